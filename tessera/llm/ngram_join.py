@@ -241,34 +241,47 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _overlaps(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray, grams: np.ndarray, threshold: float, whole: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs of documents of one segment with their overlap there, those left out that lengths or, where it is the only segment, the overlap rule out."""
-    _, gram = np.unique(grams, return_inverse=True)
-    order = np.argsort(gram, kind="stable")
+    """Pairs of documents of one segment with their overlap there, those left out that lengths or, where it is the only segment, the overlap rule out.
+
+    N-grams of many documents count by a product of 0/1 matrices, the others by spelling out their pairs.
+    """
+    _, gram, freq = np.unique(grams, return_inverse=True, return_counts=True)
+    keep = freq[gram] > 1
+    gram, at = gram[keep], at[keep]
+    order = np.lexsort((at, gram))
     gram, at = gram[order], at[order]
-    n, width, step = len(ids), int(gram[-1]) + 1 if len(gram) else 0, 8192
-    block = 1024
+    n, block, step = len(ids), 1024, 1024
+    common = freq[gram] > max(8, n // 16)
+    x_common, y_common = at[common], np.unique(gram[common], return_inverse=True)[1]
+    width = int(y_common.max()) + 1 if len(y_common) else 0
+    at, gram = at[~common], gram[~common]
+    edge = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1], True]) if len(gram) else np.zeros(1, np.int64)
+    stop = np.repeat(edge[1:], np.diff(edge))
+    later = stop - np.arange(len(at)) - 1  # documents after this one that have the n-gram too
     for r in range(0, n, block):
-        for c in range(r, n, block):
-            sa, sb = sizes[r : r + block].astype(np.float64), sizes[c : c + block].astype(np.float64)
-            count = np.zeros((len(sa), len(sb)), np.float32)
-            for k in range(0, width, step):
-                i, j = np.searchsorted(gram, (k, k + step))
-                x, y = at[i:j], gram[i:j] - k
-                wide = min(step, width - k)
-                left = np.zeros((len(sa), wide), np.float32)
-                m = (x >= r) & (x < r + block)
-                left[x[m] - r, y[m]] = 1
-                if r == c:
-                    right = left
-                else:
-                    right = np.zeros((len(sb), wide), np.float32)
-                    m = (x >= c) & (x < c + block)
-                    right[x[m] - c, y[m]] = 1
-                count += left @ right.T
-            both = np.minimum.outer(sa, sb) >= np.maximum.outer(sa, sb) * threshold - 1e-9
-            both &= count >= (threshold / (1 + threshold) * np.add.outer(sa, sb) - 1e-6) if whole else count > 0
-            a, b = np.nonzero(np.triu(both, 1) if r == c else both)
-            yield ids[a + r], ids[b + c], sizes[a + r], sizes[b + c], count[a, b].astype(np.int32)
+        m = min(block, n - r)
+        count = np.zeros((m, n - r), np.float32)
+        for k in range(0, width, step):
+            i, j = np.searchsorted(y_common, (k, k + step))
+            x, y = x_common[i:j], y_common[i:j] - k
+            right = np.zeros((n - r, min(step, width - k)), np.float32)
+            right[x[x >= r] - r, y[x >= r]] = 1
+            count += right[:m] @ right.T
+        mine = np.flatnonzero((at >= r) & (at < r + m) & (later > 0))
+        flat, bounds = count.reshape(-1), np.cumsum(later[mine])
+        i = 0
+        while i < len(mine):
+            j = max(i + 1, int(np.searchsorted(bounds, (bounds[i - 1] if i else 0) + (1 << 21), side="right")))
+            part = mine[i:j]
+            first = np.repeat(part, later[part])
+            second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(later[part]) - later[part], later[part])
+            np.add.at(flat, (at[first] - r) * (n - r) + at[second] - r, np.float32(1))
+            i = j
+        sa, sb = sizes[r : r + m].astype(np.float64), sizes[r:].astype(np.float64)
+        both = np.minimum.outer(sa, sb) >= np.maximum.outer(sa, sb) * threshold - 1e-9
+        both &= count >= (threshold / (1 + threshold) * np.add.outer(sa, sb) - 1e-6) if whole else count > 0
+        a, b = np.nonzero(np.triu(both, 1))
+        yield ids[a + r], ids[b + r], sizes[a + r], sizes[b + r], count[a, b].astype(np.int32)
 
 
 def _pairs(threshold: float):
