@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import fingerprint, language_id, mixing, ngram_join, quality, secrets_crf, sentence_dedup, sentencepiece_lattice, toxicity
+from tessera.llm import fingerprint, language_id, mixing, ngram_join, quality, secrets_crf, sentence_dedup, sentencepiece_lattice, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_crf.find_secrets(_documents(spark, sf_dir))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(warc.records(warc.render(spark.read.parquet(f"{sf_dir}/pages.parquet"))))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_lattice.encode_checked(_documents(spark, sf_dir))
 
@@ -50,6 +54,6 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_language_id, op4_substring_dedup, op5_secret_scans, op7_sentencepiece, op8_toxicity, op9_mixing, op10_document_fingerprints)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_language_id, op4_substring_dedup, op5_secret_scans, op6_warc, op7_sentencepiece, op8_toxicity, op9_mixing, op10_document_fingerprints)
 }
 ORACLE = {"op1_ngram_jaccard_join": ngram_join.ORACLE, "op2_quality_rules": quality.ORACLE, "op10_document_fingerprints": fingerprint.ORACLE}
