@@ -1,0 +1,271 @@
+"""Relations from texts and units by declarative rules.
+
+Each rule yields an array of edges as a column; exploding their
+concatenation gives all relations of a unit in one pass, without a join.
+"""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from tessera.functions import text as T
+from tessera.operators import evidence, ontology
+
+INSTRUMENTS = "定位工具 相机 光合有效辐射计 红外相机 土壤水分传感器 时域反射仪 涡度相关仪 蒸渗仪 叶面积指数仪 生长锥 测高仪 测径尺 流速仪 罗盘 GPS".split()
+SOURCES = "分类结果 高空间分辨率数据 通量站 监测站 已有观测站点 已有水文观测站点 训练样本 观测数据 光学数据 DEM 数字高程模型 数字高程模型（DEM） 土地覆盖数据 土地利用数据 降雨量资料 气象数据 长期监测数据 野外调查数据 地面调查数据 遥感数据 遥感影像 遥感图像 遥感影像数据".split()
+ECOSYSTEMS = "冰川/永久积雪 城市绿地 耕地 裸地 农田 草地 灌丛 森林 盐碱地 沙地 沙漠 河流 湖泊 沼泽 稀疏草地 草丛 草原 草甸 稀疏林 针阔混交林 阔叶林 针叶林 荒漠生态系统 城镇生态系统 农田生态系统 湿地生态系统 草地生态系统 灌丛生态系统 森林生态系统 陆地生态系统".split()
+SPACES = "评估区域 项目区 生态功能区 评估区 省市县级行政区域 省级行政区 全国".split()
+GENERIC = "方法 具体方法 计算方法 评估方法 观测方法 调查方法".split()
+_EDGE = "head_name string, head_type string, relation_type string, tail_name string, tail_type string, evidence_text string"
+_EDGES = "array<struct<head_name:string,head_type:string,relation_type:string,tail_name:string,tail_type:string,evidence_text:string>>"
+PROCEDURE = r"采用|按照|应当?|观测|调查|测量|测定|计算|取样|采样|记录"
+QUALITY = r"质量(?:控制|保证|要求)|误差|精度|校核|复核|检查|剔除|补测|不低于|不高于|不少于|不超过"
+
+
+def _edge(head: Column, head_type: str, relation: str, tail: Column, tail_type: str, why: Column) -> Column:
+    return F.struct(head.alias("head_name"), F.lit(head_type).alias("head_type"), F.lit(relation).alias("relation_type"), tail.alias("tail_name"), F.lit(tail_type).alias("tail_type"), why.alias("evidence_text"))
+
+
+def _edges(*parts: Column) -> Column:
+    """Edges whose ends have names."""
+    return F.filter(F.concat(*(F.coalesce(p.cast(_EDGES), F.array().cast(_EDGES)) for p in parts)), lambda e: (F.coalesce(e["head_name"], F.lit("")) != "") & (F.coalesce(e["tail_name"], F.lit("")) != ""))
+
+
+_USES = r"([㐀-鿿A-Za-z]{2,20}?)(?:的)?(?:计算)?(?:采用|使用|利用)([㐀-鿿A-Za-z（）()]{2,30}?(?:方程|模型|公式|法))(?:进行)?(?:计算|评估|核算|估算)"
+_EQI = r"(生态系统质量)[^。]*?(?:计算公式为|构建[^。]*?公式)[^。]*?(EQI)"
+_NEEDS = r"生态系统质量由([^。；]{4,90}?)的?相对密度"
+
+
+def chunk_edges(text: str = "text") -> Column:
+    """First-generation rules over a chunk: formulas used, the quality index, its parameters."""
+    t = T.normalize_space(text)
+    uses = F.transform(F.regexp_extract_all(t, F.lit(_USES), F.lit(0)), lambda m: _edge(T.clean_indicator(F.regexp_extract(m, _USES, 1)), "indicator", "uses_formula", T.clean_formula(F.regexp_extract(m, _USES, 2)), "formula", m))
+    whole = F.regexp_extract(t, _EQI, 0)
+    eqi = F.when(whole != "", F.array(_edge(F.regexp_extract(t, _EQI, 1), "indicator", "uses_formula", F.regexp_extract(t, _EQI, 2), "formula", whole)))
+    why = F.regexp_extract(t, _NEEDS, 0)
+    names = F.filter(F.transform(F.split(F.regexp_extract(t, _NEEDS, 1), "[、，和及与]"), lambda x: F.trim(x)), lambda x: F.length(x) >= 2)
+    needs = F.when(why != "", F.transform(names, lambda n: _edge(F.lit("生态系统质量"), "indicator", "depends_on", n, "parameter", why)))
+    return _edges(uses, eqi, needs)
+
+
+def with_ids(relations: DataFrame) -> DataFrame:
+    """Ids of ends and relation; the relation's has no chunk, so that repeats on a page are one."""
+    r = relations.withColumns({"head_id": T.stable_id("head_type", "head_name"), "tail_id": T.stable_id("tail_type", "tail_name")})
+    return r.withColumn("relation_id", T.stable_id("standard_code", "page", "head_id", "relation_type", "tail_id"))
+
+
+def rule_relations(chunks: DataFrame) -> DataFrame:
+    """Candidate relations of chunks, with ids, nested evidence, method and confidence."""
+    e = chunks.select("*", F.explode(chunk_edges("text")).alias("e"))
+    r = e.select("standard_code", "page", "path_id", "e.*", F.struct("standard_code", "page", "section", "chunk_id", F.col("e.evidence_text").alias("evidence_text"), "source_sha256").alias("evidence")).drop("evidence_text")
+    return with_ids(r).withColumns({"extraction_method": F.lit("rule"), "confidence": F.lit(1.0), "review_status": F.lit("pending")})
+
+
+def extract(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted relations, and rejected ones as (relation_id, reason)."""
+    done = evidence.checked(rule_relations(chunks), chunks)
+    return done.where("valid").drop("valid", "reason"), done.where("NOT valid").select("relation_id", "reason")
+
+
+_METHOD = re.compile(r"([㐀-鿿A-Za-z0-9（）()·—\-]{1,30}?(?:调查|观测|测量|测定|计算|估算|分析|插值|抽样|样方|观察|照相|烘干|模型|机器学习|回归|统计)法|[㐀-鿿A-Za-z]{2,24}(?:方程|模型|算法))")
+_LEAD = re.compile(r"^(?:可|应|宜|并|再|主要|一般|通常)*(?:采用|使用|利用|通过|按照|依据|基于|根据|选用)(?:的)?")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def method_candidates(texts: pd.Series) -> pd.Series:
+    """Names of methods in a text; look-behind and list splits make this a rule for Python, by batches."""
+
+    def one(text) -> list[str]:
+        out: dict[str, None] = {}
+        for m in _METHOD.finditer(text or ""):
+            for part in re.split("[、，和及与或]", m.group(1)):
+                name = _LEAD.sub("", part).strip(" ：:，,。；;（(")
+                if 2 <= len(name) <= 28 and name not in GENERIC and re.search(r"(?:法|方程|模型|算法)$", name):
+                    out.setdefault(name)
+        return list(out)
+
+    return texts.map(one)
+
+
+def quality_candidates(text: str | Column) -> Column:
+    """Threshold phrases as canonical rules."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(r"[㐀-鿿]{2,12}(?:不低于|不高于|不少于|不超过|应?小于|应?大于)\s*[0-9.]+\s*[%％a-zA-Z㐀-鿿]{0,3}"), F.lit(0)), lambda m: F.regexp_replace(m, r"\s+", "")))
+
+
+def ecosystems(text: str | Column) -> Column:
+    x = F.col(text) if isinstance(text, str) else text
+    return F.array_union(T.gazetteer(x, ECOSYSTEMS), F.regexp_extract_all(x, F.lit("第[ⅠⅡⅢ一二三四五]类植被生态系统"), F.lit(0)))
+
+
+def formula_edges(units: DataFrame) -> DataFrame:
+    """Edges of formula packages: (unit_id, edge columns). Units have provenance (standard_code, document_title, heading_chain), introduction, interstitial_text, adjacent_source_text, formulas and variable_definitions."""
+    v = F.col("variable_definitions")
+    package = F.concat_ws(" ", "introduction", "interstitial_text", "adjacent_source_text", F.array_join(F.transform(v, lambda x: F.coalesce(x["definition"], F.lit(""))), " "))
+    u = units.select("*", package.alias("_text"), F.explode("formulas").alias("_f")).withColumn("_methods", method_candidates("_text"))
+    expr = F.col("_f.expression_text")
+    name = F.concat(F.lit("公式（"), F.col("_f.formula_number"), F.lit("）"))
+    heading = T.heading_title("provenance.heading_chain")
+    indicator = F.when(~heading.isin("评估技术方法", "指标与方法", "评估结果") & (T.subject_name("provenance.document_title") != ""), heading).otherwise("")
+    occurs = F.filter(v, lambda x: T.symbol_occurs(x["symbol"], expr, fold=True))
+    used = F.when((~F.contains(expr, F.lit("=")) | (F.size(occurs) == 0)) & (F.size("formulas") == 1), v).otherwise(occurs)
+    outs = T.lhs_symbols(expr)
+    is_out = lambda x: F.exists(outs, lambda o: (o == x["symbol"]) | (T.symbol_base(o) == T.symbol_base(x["symbol"])))
+    outputs = F.filter(used, is_out)
+    e = lambda h, ht, r, t, tt: _edge(h, ht, r, t, tt, expr)
+    all_ = _edges(
+        F.array(e(T.subject_name("provenance.document_title"), "assessment_subject", "has_indicator", indicator, "assessment_indicator"), e(indicator, "assessment_indicator", "calculated_by", name, "formula")),
+        F.transform(outputs, lambda x: e(name, "formula", "has_output", x["symbol"], "model_variable")),
+        F.transform(F.filter(used, lambda x: ~is_out(x)), lambda x: e(name, "formula", "has_input", x["symbol"], "model_variable")),
+        F.transform(outputs, lambda x: e(x["symbol"], "model_variable", "calculated_by", name, "formula")),
+        F.transform(used, lambda x: e(x["symbol"], "model_variable", "has_unit", T.clean_name(x["unit"]), "unit")),
+        F.flatten(F.transform(outputs, lambda x: F.transform("_methods", lambda m: e(x["symbol"], "model_variable", "obtained_by", m, "method")))),
+        F.flatten(F.transform(used, lambda x: F.transform(T.gazetteer(x["definition"], SOURCES), lambda s: e(x["symbol"], "model_variable", "sourced_from", s, "data_source")))),
+        F.transform(ecosystems("_text"), lambda x: e(name, "formula", "applies_to_ecosystem", x, "ecosystem_type")),
+        F.transform(T.gazetteer_maximal("_text", SPACES), lambda x: e(name, "formula", "applies_to_space", x, "spatial_scope")),
+    )
+    return u.select("unit_id", F.explode(F.array_distinct(all_)).alias("e")).select("unit_id", "e.*")
+
+
+def table_edges(units: DataFrame) -> DataFrame:
+    """Edges of table records. The first of four kinds that fits a row is taken: quality, observation, grading, indicator. Classification rows have none."""
+    cell = lambda k: T.clean_name(F.coalesce(F.try_element_at("cells", F.lit(k)), F.lit("")))
+    values = F.array_join(F.filter(F.map_values("cells"), lambda x: F.coalesce(x, F.lit("")) != ""), " ")
+    u = units.withColumn("_text", values).withColumn("_methods", method_candidates("_text"))
+    text = F.col("_text")
+    e = lambda h, ht, r, t, tt: _edge(h, ht, r, t, tt, text)
+    subject = T.subject_name("provenance.document_title")
+    classes = F.exists(F.map_entries("cells"), lambda x: x["key"].rlike("^(?:[ⅠⅡⅢ一二三]级分类|分类依据)$") & (F.coalesce(x["value"], F.lit("")) != ""))
+    need = cell("具体要求")
+    quality = F.array(e(F.coalesce(F.nullif(F.regexp_replace(cell("内容"), "质量$", ""), F.lit("")), F.lit("数据")), "data_source", "constrained_by", F.left(F.concat(F.coalesce(F.nullif(cell("二级指标"), F.lit("")), F.lit("质量规则")), F.lit("："), need), F.lit(240)), "quality_rule"))
+    var = F.coalesce(F.nullif(cell("观测指标"), F.lit("")), cell("核查指标"))
+    real = lambda x: F.when(~x.isin("—", "-", "/"), x).otherwise("")
+    content = cell("观测内容")
+    methods = F.array_distinct(F.concat("_methods", F.when(content.rlike("(?:观测|调查|测量|测定|检尺)$"), F.array(content)).otherwise(F.array().cast("array<string>"))))
+    observation = _edges(
+        F.array(e(var, "observation_variable", "observed_during", real(cell("观测时间")), "temporal_scope"), e(var, "observation_variable", "observed_every", real(cell("观测频度")), "frequency")),
+        F.transform(T.gazetteer(text, INSTRUMENTS), lambda x: e(var, "observation_variable", "measured_with", x, "instrument")),
+        F.transform(methods, lambda x: e(var, "observation_variable", "obtained_by", x, "method")),
+        F.transform(T.gazetteer(text, SOURCES), lambda x: e(var, "observation_variable", "sourced_from", x, "data_source")),
+    )
+    graded = T.clean_name(F.regexp_replace(F.regexp_replace("table_title", r"^表\s*[A-Z]?\d+(?:\.\d+)?\s*", ""), "(?:分级标准表?|分级|等级划分表?)$", ""))
+    rule = F.array_join(F.array_compact(F.array(*(F.when(cell(k) != "", F.concat(F.lit(f"{k}："), cell(k))) for k in "优良中低差"))), "；")
+    listed = F.left(F.array_join(F.transform(F.filter(F.map_entries("cells"), lambda x: ~F.coalesce(x["value"], F.lit("")).isin("", "—")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), "；"), F.lit(240))
+    names = F.when(graded == "生态系统质量", F.array(F.lit("生态系统质量指数（EQI）"), F.lit("EQI"))).otherwise(F.array(graded))
+    grading = F.flatten(F.transform(names, lambda n: F.concat(F.array(e(subject, "assessment_subject", "has_indicator", n, "assessment_indicator")), F.transform(T.unique(F.array(rule, listed)), lambda r: e(n, "assessment_indicator", "classified_by", r, "classification_rule")))))
+    is_grading = F.col("table_title").rlike("分级|等级|程度") & listed.rlike(r"[<>≤≥％%]|\d") & (subject != "")
+    ind = F.coalesce(F.nullif(cell("评估指标"), F.lit("")), F.nullif(cell("调查评估指标"), F.lit("")), F.when(subject != "", cell("二级指标")), F.lit(""))
+    indicator = F.concat(F.array(e(subject, "assessment_subject", "has_indicator", ind, "assessment_indicator")), F.transform(ecosystems(text), lambda x: e(ind, "assessment_indicator", "applies_to_ecosystem", x, "ecosystem_type")))
+    chosen = F.when(classes, F.array().cast(_EDGES)).when((F.col("provenance.standard_code") == "HJ 1176-2021") & (need != ""), quality.cast(_EDGES)).when(var != "", observation.cast(_EDGES)).when(is_grading, grading.cast(_EDGES)).otherwise(indicator.cast(_EDGES))
+    return u.select("unit_id", F.explode(F.array_distinct(_edges(chosen))).alias("e")).select("unit_id", "e.*")
+
+
+def clause_edges(units: DataFrame) -> DataFrame:
+    """Edges of procedure and quality clauses: methods with rules, ecosystems and scopes of the same clause (a cross product inside the unit). Short clauses and contents pages have none."""
+    u = units.where((F.length("clause_text") >= 8) & ~F.contains("clause_text", F.lit("目 次"))).withColumn("_methods", method_candidates("clause_text"))
+    t = F.col("clause_text")
+    e = lambda h, ht, r, x, tt: _edge(h, ht, r, x, tt, t)
+    each = lambda items, f: F.flatten(F.transform("_methods", lambda m: F.transform(items, lambda x: f(m, x))))
+    sources = T.gazetteer_first(t, SOURCES)
+    all_ = _edges(
+        each(quality_candidates(t), lambda m, x: e(m, "method", "constrained_by", x, "quality_rule")),
+        each(ecosystems(t), lambda m, x: e(m, "method", "applies_to_ecosystem", x, "ecosystem_type")),
+        each(T.gazetteer_maximal(t, SPACES), lambda m, x: e(m, "method", "applies_to_space", x, "spatial_scope")),
+        F.flatten(F.transform(sources, lambda s: F.transform(quality_candidates(t), lambda r: e(s, "data_source", "constrained_by", r, "quality_rule")))),
+    )
+    return u.select("unit_id", F.explode(F.array_distinct(all_)).alias("e")).select("unit_id", "e.*")
+
+
+def predictions(units: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per unit: entities and relations sorted, and why there are no relations. Units without edges stay."""
+    r = edges.select("unit_id", F.struct(T.stable_id("unit_id", "head_type", "head_name").alias("head_id"), "head_name", "head_type", "relation_type", T.stable_id("unit_id", "tail_type", "tail_name").alias("tail_id"), "tail_name", "tail_type").alias("r"))
+    e = edges.select("unit_id", F.explode(F.array(F.struct(F.col("head_type").alias("entity_type"), F.col("head_name").alias("name")), F.struct(F.col("tail_type").alias("entity_type"), F.col("tail_name").alias("name")))).alias("e"))
+    both = r.groupBy("unit_id").agg(F.array_sort(F.collect_set("r")).alias("relations")).join(e.groupBy("unit_id").agg(F.array_sort(F.collect_set("e")).alias("entities")), "unit_id")
+    out = units.select("unit_id").join(both, "unit_id", "left")
+    return out.select("unit_id", "entities", "relations", F.when(F.coalesce(F.size("relations"), F.lit(0)) == 0, "no rule applies").otherwise("").alias("no_relation_reason"))
+
+
+def clause_units(paragraphs: DataFrame, unit: list[str]) -> DataFrame:
+    """Clauses from paragraphs (unit columns, text): quality before procedure; other paragraphs go."""
+    t = T.normalize_pdf_text("text")
+    kind = F.when(t.rlike(QUALITY), "quality_clause").when(t.rlike(PROCEDURE), "procedure_clause")
+    p = paragraphs.withColumn("unit_type", kind).where("unit_type IS NOT NULL")
+    q = F.col("unit_type") == "quality_clause"
+    none = F.array().cast("array<string>")
+    return p.select(
+        *unit, T.stable_id(*unit, "unit_type").alias("unit_id"), "unit_type", t.alias("clause_text"),
+        F.when(q, T.matched(t, QUALITY)).otherwise(T.matched(t, PROCEDURE)).alias("trigger_terms"),
+        F.when(q, T.matched(t, r"(?:不低于|不高于|不少于|不超过|[≥≤<>])\s*\d+(?:\.\d+)?\s*[%％a-z次]*")).otherwise(none).alias("threshold_mentions"),
+        F.when(q, T.gazetteer(t, "检查 校核 复核 修正 剔除 补测".split())).otherwise(none).alias("action_mentions"),
+        F.when(~q, T.matched(t, r"\d+\s*[—\-～~至]\s*\d+\s*月|[每多一]年|每月|每季度|生长季|基准年")).otherwise(none).alias("temporal_mentions"),
+        F.when(~q, T.matched(t, r"(?:[一每]年|每月|每季度)\s*[\d一]*\s*次")).otherwise(none).alias("frequency_mentions"),
+        F.when(~q, T.matched(t, "[^，。；]{0,12}(?:样方|传感器|设备|仪器)")).otherwise(none).alias("instrument_mentions"),
+    )
+
+
+def llm_candidates(answers: DataFrame, most: int = 20) -> DataFrame:
+    """Relations from a model's JSON answers (chunk columns, answer): capped by chunk, confidence clamped to [0, 1] (0.8 where absent), required fields present."""
+    shape = "array<struct<head_name:string,head_type:string,relation_type:string,tail_name:string,tail_type:string,evidence_text:string,confidence:double>>"
+    v = T.fenced_json("answer")
+    listed = F.coalesce(F.try_variant_get(v, "$.relations", shape), F.try_variant_get(v, "$", shape))
+    p = answers.select("*", F.posexplode(F.slice(listed, 1, most)).alias("i", "e")).select("*", "e.*").drop("e", "answer")
+    names = ["head_name", "head_type", "relation_type", "tail_name", "tail_type", "evidence_text"]
+    p = p.where(" AND ".join(f"coalesce(trim({n}), '') <> ''" for n in names))
+    p = p.withColumn("confidence", F.least(F.greatest(F.coalesce("confidence", F.lit(0.8)), F.lit(0.0)), F.lit(1.0))).withColumn("candidate_index", F.col("i") + 1).drop("i")
+    p = p.withColumns({"head_id": T.stable_id("head_type", "head_name"), "tail_id": T.stable_id("tail_type", "tail_name")})
+    return p.withColumn("relation_id", T.stable_id("chunk_id", "candidate_index", "head_id", "relation_type", "tail_id"))
+
+
+def selection(answer: str | Column) -> Column:
+    """(relation_ids, entity_ids) that a model chose."""
+    return F.from_json(F.to_json(T.fenced_json(answer)), "relation_ids array<string>, entity_ids array<string>")
+
+
+def chosen(candidates: DataFrame, picks: DataFrame, unit: str = "unit_id") -> DataFrame:
+    """Candidates whose id is among those chosen for their unit; unknown ids do nothing."""
+    return candidates.join(picks.select(unit, F.explode("relation_ids").alias("relation_id")).distinct(), [unit, "relation_id"], "left_semi")
+
+
+def prompt(chunk_text: str | Column, version: int = 1) -> Column:
+    allowed = "\n".join(f"{h} -[{r}]-> {t}" for h, r, t in ontology.patterns(version))
+    return F.concat(F.lit(f"Allowed relations:\n{allowed}\n\nText:\n"), F.col(chunk_text) if isinstance(chunk_text, str) else chunk_text)
+
+
+def complete(prompts: DataFrame, provider, retries: int = 2, column: str = "prompt", out: str = "answer") -> DataFrame:
+    """Answers of a completion provider (an object with ``complete(system, prompt)``), by batches; null after ``retries`` failed attempts more."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(text):
+            for _ in range(retries + 1):
+                try:
+                    return provider.complete("", text)
+                except Exception:  # noqa: BLE001  (a provider may raise anything)
+                    continue
+            return None
+
+        return texts.map(one)
+
+    return prompts.withColumn(out, run(column))
+
+
+class MockProvider:
+    """Always the same answer."""
+
+    def __init__(self, answer: str = '{"relations": []}'):
+        self.answer = answer
+
+    def complete(self, system: str, prompt: str) -> str:
+        return self.answer
+
+
+def training_rows(relations: DataFrame, instruction: str = "Extract the relations.") -> DataFrame:
+    """Chat examples (messages) of relations that a reviewer accepted."""
+    target = F.to_json(F.struct("head_name", "head_type", "relation_type", "tail_name", "tail_type"))
+    ok = relations.where(F.col("review_status").isin("accepted", "consensus_accepted"))
+    role = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("content"))
+    return ok.select(F.array(role("system", F.lit(instruction)), role("user", F.col("evidence.evidence_text")), role("assistant", target)).alias("messages"))

@@ -1,10 +1,598 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, each with SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.operators import corpus, evaluation, evidence, extraction, graph, layout, ontology, resolution, validation
+from tessera.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+SPACE = r"[\s\x0b\x{85}\p{Z}]+"
+NORMAL = rf"trim(regexp_replace(text, '{SPACE}', ' ', 'g'))"
+#: The knowledge graph that the sales tables make; a customer or supplier is defined in its nation.
+TRIPLES = """
+SELECT 'r' || r_regionkey AS head_id, r_name AS head_name, 'region' AS head_type, 'has_nation' AS relation_type, 'n' || n_nationkey AS tail_id, n_name AS tail_name, 'nation' AS tail_type FROM region JOIN nation ON r_regionkey = n_regionkey
+UNION ALL SELECT 'n' || n_nationkey, n_name, 'nation', 'has_customer', 'c' || c_custkey, c_name, 'customer' FROM nation JOIN customer ON n_nationkey = c_nationkey
+UNION ALL SELECT 'n' || n_nationkey, n_name, 'nation', 'has_supplier', 's' || s_suppkey, s_name, 'supplier' FROM nation JOIN supplier ON n_nationkey = s_nationkey
+UNION ALL SELECT 'c' || c_custkey, c_name, 'customer', 'placed', 'o' || o_orderkey, 'order ' || o_orderkey, 'order' FROM customer JOIN orders ON c_custkey = o_custkey
+"""
+_ALLOWED = "('region','has_nation','nation'),('nation','has_customer','customer'),('customer','placed','order')"
+
+
+def triples(spark: SparkSession, d: str) -> DataFrame:
+    frames = {n: table(spark, d, n) for n in ("region", "nation", "customer", "supplier", "orders")}
+    sql = TRIPLES
+    for n in frames:
+        sql = sql.replace(f"FROM {n} ", f"FROM {{{n}}} ").replace(f"JOIN {n} ", f"JOIN {{{n}}} ")
+    t = spark.sql(sql, **frames)
+    return t.withColumn("relation_id", T.stable_id("head_id", "relation_type", "tail_id"))
+
+
+def _allowed(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {_ALLOWED} AS t(head_type, relation_type, tail_type)")
+
+
+# -- corpus ---------------------------------------------------------------
+
+
+@query("""
+WITH a AS (SELECT source, doc_id, n_chars, sha256(text) AS sha256, row_number() OVER (PARTITION BY sha256(text) ORDER BY n_chars DESC, doc_id) AS n FROM documents WHERE source <> ''),
+b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS m FROM a WHERE n = 1)
+SELECT source, doc_id, n_chars, sha256 FROM b WHERE m = 1""")
+def manifest_dedup(spark, d):
+    return corpus.best_copies(table(spark, d, "documents"), "text", "source", [F.desc("n_chars"), F.col("doc_id")]).select("source", "doc_id", "n_chars", "sha256")
+
+
+@query(rf"SELECT doc_id, sha256({NORMAL}) AS folded, sha256(regexp_replace(text, '{SPACE}', '', 'g')) AS compact FROM documents")
+def text_normalize(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.normalize_space("text"), 256).alias("folded"), F.sha2(T.compact("text"), 256).alias("compact"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN regexp_matches(x, '式中|公式\\s*[（(]?[0-9]') THEN 'formula' WHEN regexp_matches(x, '(?m)^\\s*表\\s*[A-Z]?\\.?[0-9]') THEN 'table' WHEN regexp_matches(x, '(?m)^\\s*图\\s*[A-Z]?\\.?[0-9]') THEN 'figure_caption' ELSE 'paragraph' END AS kind
+FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '式中 ' WHEN 1 THEN '表 1 ' WHEN 2 THEN '图 A.2 ' ELSE '' END || text AS x FROM documents)""")
+def block_classify(spark, d):
+    x = F.concat(F.element_at(F.array(F.lit("式中 "), F.lit("表 1 "), F.lit("图 A.2 "), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int")), "text")
+    return table(spark, d, "documents").select("doc_id", T.block_kind(x).alias("kind"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 20 BETWEEN 1 AND 11 THEN 'HJ ' || (1165 + page_id % 20) || '-2021' ELSE '' END AS code FROM pages")
+def code_extract(spark, d):
+    p = table(spark, d, "pages")
+    return p.select("page_id", T.standard_code("url", F.concat(F.lit("HJ "), (1165 + F.col("page_id") % 20).cast("string"), F.lit(" - 2021.pdf"))).alias("code"))
+
+
+@query(rf"""
+WITH RECURSIVE c AS (
+  SELECT doc_id, text, length(text) AS n, 0 AS s, least(length(text), 1400) AS e0 FROM documents WHERE length(text) > 0
+  UNION ALL SELECT doc_id, text, n, greatest(s + 1, e - 150) AS s, least(n, greatest(s + 1, e - 150) + 1400) FROM
+    (SELECT *, CASE WHEN e0 < n AND instr(reverse(substr(text, s + 1, e0 - s)), '.') > 0 AND e0 - instr(reverse(substr(text, s + 1, e0 - s)), '.') > s + 700 THEN e0 - instr(reverse(substr(text, s + 1, e0 - s)), '.') + 1 ELSE e0 END AS e FROM c) WHERE e < n),
+x AS (SELECT doc_id, s, substr(text, s + 1, CASE WHEN e0 < n AND instr(reverse(substr(text, s + 1, e0 - s)), '.') > 0 AND e0 - instr(reverse(substr(text, s + 1, e0 - s)), '.') > s + 700 THEN e0 - instr(reverse(substr(text, s + 1, e0 - s)), '.') + 1 ELSE e0 END - s) AS c FROM c),
+y AS (SELECT doc_id, s, regexp_replace(regexp_replace(c, '^{SPACE}', ''), '{SPACE}$', '') AS c FROM x)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s)::INT AS chunk_no, s::INT AS start, md5(c) AS chunk FROM y WHERE c <> ''""")
+def chunk_documents(spark, d):
+    return corpus.chunks(table(spark, d, "documents"), "doc_id", "text", marks=".").withColumn("chunk", F.md5("chunk"))
+
+
+@query("""
+SELECT conv_id, turn, md5(coalesce(last_value(CASE WHEN role = 'user' THEN nullif(text, '') END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '')) AS question FROM conversations""")
+def section_carry(spark, d):
+    c = corpus.carry_forward(table(spark, d, "conversations"), F.when(F.col("role") == "user", F.col("text")), ["conv_id"], ["turn"], "question")
+    return c.select("conv_id", "turn", F.md5("question").alias("question"))
+
+
+@query("""
+WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<(nav|h1|p|li|footer|script)[ >]', 1)) AS tag FROM pages)
+SELECT page_id, CASE WHEN tag IN ('nav', 'footer') THEN 'header_footer' WHEN tag = 'li' THEN 'table_cell' WHEN tag = 'h1' THEN 'heading' ELSE 'paragraph' END AS kind, count(*) AS n FROM t GROUP BY 1, 2""")
+def line_kind(spark, d):
+    t = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<(nav|h1|p|li|footer|script)[ >]"), F.lit(1))).alias("tag"))
+    text = F.when(F.col("tag") == "h1", "1 title").otherwise("text")
+    return t.select("page_id", T.line_kind(text, F.col("tag").isin("nav", "footer"), F.col("tag") == "li").alias("kind")).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, substr(sha256(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus)), 1, 16) AS id FROM orders")
+def stable_ids(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", T.stable_id("o_orderkey", "o_custkey", "o_orderstatus").alias("id"))
+
+
+@query("""
+WITH b AS (SELECT c_custkey, ('0x' || substr(sha256('42|' || c_custkey), 1, 8))::BIGINT / 4294967295.0 AS b, c_nationkey FROM customer),
+g AS (SELECT o_orderkey, o_custkey, max(CASE WHEN o_orderpriority = '1-URGENT' AND o_custkey % 7 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey) AS ext FROM orders)
+SELECT o_orderkey, CASE WHEN ext = 1 THEN 'external_test' WHEN b < 0.70 THEN 'train' WHEN b < 0.85 THEN 'validation' ELSE 'test' END AS split FROM g JOIN b ON o_custkey = c_custkey""")
+def group_split(spark, d):
+    o = table(spark, d, "orders")
+    return corpus.group_split(o, "o_custkey", (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_custkey") % 7 == 0)).select("o_orderkey", "split")
+
+
+_UNIT = "CASE WHEN source IN ('src0', 'src1') THEN 'test' WHEN source NOT IN ('src2', 'src3', 'src4', 'src5') THEN 'train' WHEN ('0x' || substr(sha256(concat_ws('|', source, lang)), 1, 16))::UBIGINT % 5 = 0 THEN 'dev' ELSE 'train' END"
+
+
+def _unit_split():
+    role = F.when(F.col("source").isin("src0", "src1"), "external_test").when(F.col("source").isin("src2", "src3", "src4", "src5"), "core").otherwise("support")
+    return corpus.unit_split(role, F.col("source"), F.col("lang"))
+
+
+@query(f"SELECT doc_id, {_UNIT} AS split FROM documents")
+def doc_group_split(spark, d):
+    return table(spark, d, "documents").select("doc_id", _unit_split().alias("split"))
+
+
+@query(f"""
+WITH s AS (SELECT n_chars % 50 AS triple, {_UNIT} AS split FROM documents)
+SELECT triple, CASE max(CASE split WHEN 'test' THEN 2 WHEN 'dev' THEN 1 ELSE 0 END) WHEN 2 THEN 'test' WHEN 1 THEN 'dev' ELSE 'train' END AS split FROM s GROUP BY 1""")
+def triple_split(spark, d):
+    s = table(spark, d, "documents").select((F.col("n_chars") % 50).alias("triple"), _unit_split().alias("split"))
+    return corpus.triple_split(s, "triple")
+
+
+@query(f"SELECT lang, count(DISTINCT {_UNIT}) AS splits FROM documents GROUP BY 1 HAVING count(DISTINCT {_UNIT}) > 1")
+def split_leaks(spark, d):
+    return corpus.split_report(table(spark, d, "documents").withColumn("split", _unit_split()), "lang")
+
+
+# -- ontology and evidence ------------------------------------------------
+
+
+def _proposed(spark, d):
+    return triples(spark, d).select("relation_id", F.when(F.col("relation_type") == "has_supplier", "has_customer").otherwise(F.col("relation_type")).alias("relation_type"), "head_type", F.when(F.col("tail_name").endswith("7"), "widget").otherwise(F.col("tail_type")).alias("tail_type"))
+
+
+_PROPOSED = f"""
+WITH t AS ({TRIPLES}), p AS (SELECT substr(sha256(concat_ws('|', head_id, relation_type, tail_id)), 1, 16) AS relation_id, CASE WHEN relation_type = 'has_supplier' THEN 'has_customer' ELSE relation_type END AS relation_type, head_type, CASE WHEN tail_name LIKE '%7' THEN 'widget' ELSE tail_type END AS tail_type FROM t),
+a(h, r, t) AS (VALUES {_ALLOWED}),
+c AS (SELECT p.*, CASE WHEN tail_type NOT IN ('nation', 'customer', 'order', 'region') THEN 'unknown schema value' WHEN a.h IS NULL THEN head_type || ' -[' || relation_type || ']-> ' || tail_type || ' is not allowed' ELSE '' END AS reason FROM p LEFT JOIN a ON a.h = head_type AND a.r = relation_type AND a.t = tail_type)
+"""
+
+
+@query(_PROPOSED + "SELECT relation_id, head_type, relation_type, tail_type FROM c WHERE reason = ''")
+def ontology_accept(spark, d):
+    return ontology.checked(_proposed(spark, d), allowed=_allowed(spark)).where("valid").select("relation_id", "head_type", "relation_type", "tail_type")
+
+
+@query(_PROPOSED + "SELECT relation_id, reason FROM c WHERE reason <> ''")
+def ontology_reject(spark, d):
+    return ontology.checked(_proposed(spark, d), allowed=_allowed(spark)).where("NOT valid").select("relation_id", "reason")
+
+
+@query("SELECT h AS head_type, r AS relation_type, t AS tail_type, v::INT AS version FROM (VALUES " + ",".join(f"('{h}','{r}','{t}',{v})" for v in (1, 2) for h, r, t in ontology.patterns(v)) + ") AS x(h, r, t, v)")
+def ontology_rows(spark, d):
+    return ontology.schema_rows(spark, 1).withColumn("version", F.lit(1)).union(ontology.schema_rows(spark, 2).withColumn("version", F.lit(2)))
+
+
+@query("SELECT c AS check, true AS passed FROM (VALUES ('entity_types'), ('relation_types'), ('patterns_unique'), ('path_edges_allowed'), ('legacy_targets_known')) AS x(c)")
+def ontology_checks(spark, d):
+    return ontology.quality_report(spark).select("check", "passed")
+
+
+@query(rf"""
+WITH b AS (SELECT item_id, {NORMAL} AS t FROM benchmark), x AS (SELECT doc_id, {NORMAL} AS t FROM documents)
+SELECT item_id, doc_id FROM b JOIN x ON contains(x.t, b.t) WHERE b.t <> ''""")
+def evidence_match(spark, d):
+    return evidence.find(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "text", "doc_id", "text")
+
+
+def _cited(spark, d):
+    """Each benchmark item cites the document of its number times three; every second citation is cut from that document."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("standard_code"), "text")
+    b = table(spark, d, "benchmark").select((F.col("item_id") * 3).cast("string").alias("k"), "item_id", F.col("text").alias("bt"))
+    j = b.join(docs, F.col("k") == F.col("chunk_id"))
+    cited = F.when(F.col("item_id") % 2 == 0, F.substring("text", 5, 40)).otherwise(F.col("bt"))
+    r = j.select("item_id", F.lit("indicator").alias("head_type"), F.lit("uses_formula").alias("relation_type"), F.lit("formula").alias("tail_type"), F.struct("chunk_id", "standard_code", cited.alias("evidence_text")).alias("evidence"))
+    return evidence.checked(r, docs)
+
+
+_CITED = rf"""
+WITH j AS (SELECT item_id, trim(regexp_replace(CASE WHEN item_id % 2 = 0 THEN substr(d.text, 5, 40) ELSE b.text END, '{SPACE}', ' ', 'g')) AS e, trim(regexp_replace(d.text, '{SPACE}', ' ', 'g')) AS s FROM benchmark b JOIN documents d ON d.doc_id = 3 * b.item_id),
+v AS (SELECT item_id, e <> '' AND (contains(s, e) OR contains(replace(s, ' ', ''), replace(e, ' ', ''))) AS valid FROM j)
+"""
+
+
+@query(_CITED + "SELECT item_id, valid FROM v")
+def evidence_check(spark, d):
+    return _cited(spark, d).select("item_id", "valid")
+
+
+@query(_CITED + "SELECT count(*) AS relations, count_if(valid)::BIGINT AS traceable, round(count_if(valid) / count(*), 6) AS accuracy, round((count(*) - count_if(valid)) / count(*), 6) AS unsupported_rate FROM v")
+def provenance_accuracy(spark, d):
+    return evidence.provenance_metrics(_cited(spark, d))
+
+
+# -- graph ----------------------------------------------------------------
+
+_TERMS = rf"""list_concat(CASE WHEN length(c) > 1 THEN list_transform(range(1, length(c)), lambda i: substr(c, i, 2)) ELSE [] END, regexp_extract_all(lower(text), '[a-z0-9_@.\-]+'))"""
+_POST = rf"""
+WITH c AS (SELECT *, regexp_replace(lower(text), '{SPACE}', '', 'g') AS c FROM documents), t AS (SELECT doc_id, lang, unnest({_TERMS}) AS term FROM c)
+"""
+_ASK = "the token of ererth"
+
+
+def _search_sql(where: str, limit: int, q: str = _ASK) -> str:
+    return rf"""
+WITH c AS (SELECT *, regexp_replace(lower(text), '{SPACE}', '', 'g') AS c FROM documents), t AS (SELECT doc_id, lang, unnest({_TERMS}) AS term FROM c),
+q AS (SELECT term, count(*) AS qtf FROM (SELECT unnest({_TERMS}) AS term FROM (SELECT '{q}' AS text, replace('{q}', ' ', '') AS c)) GROUP BY 1),
+p AS (SELECT doc_id, lang, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
+SELECT doc_id, round(sum(qtf * tf * (ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1)), 6) AS score FROM p JOIN q USING (term) JOIN f USING (term) {where} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {limit}"""
+
+
+@query(_POST + "SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY 1")
+def postings(spark, d):
+    return graph.postings(table(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(_search_sql("", 10))
+def search_topk(spark, d):
+    return graph.search(table(spark, d, "documents"), _ASK, "doc_id", "text")
+
+
+@query(_search_sql("WHERE lang = 'en'", 10))
+def search_filtered(spark, d):
+    return graph.search(table(spark, d, "documents"), _ASK, "doc_id", "text", only=F.col("lang") == "en")
+
+
+@query("SELECT doc_id, score, source, lang, CASE WHEN length(text) > 320 THEN left(text, 320) || '…' ELSE text END AS teaser FROM (" + _search_sql("", 5) + ") JOIN documents USING (doc_id)")
+def evidence_top5(spark, d):
+    docs = table(spark, d, "documents")
+    top = graph.search(docs, _ASK, "doc_id", "text", 5)
+    return docs.join(F.broadcast(top), "doc_id").select("doc_id", "score", "source", "lang", T.teaser("text").alias("teaser"))  # five rows
+
+
+@query("SELECT DISTINCT source, lang FROM documents ORDER BY 1, 2")
+def facets(spark, d):
+    return table(spark, d, "documents").select("source", "lang").distinct().orderBy("source", "lang")
+
+
+@query(f"""
+WITH RECURSIVE t AS ({TRIPLES}), w(node, depth) AS (SELECT DISTINCT CASE WHEN head_name = 'ASIA' THEN head_id ELSE tail_id END, 0 FROM t WHERE head_name = 'ASIA' OR tail_name = 'ASIA' UNION SELECT tail_id, depth + 1 FROM w JOIN t ON head_id = node WHERE depth < 3),
+m AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1)
+SELECT head_id, relation_type, tail_id, depth::INT AS depth FROM t JOIN m ON head_id = node""")
+def entity_path(spark, d):
+    return graph.entity_path(triples(spark, d), "ASIA").select("head_id", "relation_type", "tail_id", "depth")
+
+
+@query("""
+WITH h AS (SELECT c_name AS indicator, bool_or(o_orderstatus = 'O') AS a, bool_or(o_orderstatus = 'F') AS b, bool_or(o_orderstatus = 'P') AS c FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1)
+SELECT indicator, 0::INT AS position, 'open' AS missing FROM h WHERE NOT coalesce(a, false) UNION ALL SELECT indicator, 1, 'filled' FROM h WHERE NOT coalesce(b, false) UNION ALL SELECT indicator, 2, 'partial' FROM h WHERE NOT coalesce(c, false)""")
+def missing_requirements(spark, d):
+    c = table(spark, d, "customer")
+    r = c.join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_name").alias("head_name"), F.col("o_orderstatus").alias("relation_type"))
+    return graph.missing_requirements(r, c.select(F.col("c_name").alias("indicator")), [("O", "open"), ("F", "filled")], ["P"], "partial")
+
+
+@query(f"SELECT relation_type, count(*) AS n FROM ({TRIPLES}) GROUP BY 1")
+def class_distribution(spark, d):
+    return graph.class_distribution(triples(spark, d))
+
+
+# -- evaluation -----------------------------------------------------------
+
+_GP = """
+WITH gold AS (SELECT doc_id, 'quality' AS label FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1),
+pred AS (SELECT doc_id, 'quality' AS label FROM documents JOIN labels USING (doc_id) WHERE n_chars >= 700 UNION ALL SELECT doc_id, 'toxic' FROM documents JOIN labels USING (doc_id) WHERE regexp_matches(lower(text), 'idiot|trash|stupid')),
+f AS (SELECT doc_id, label, g.doc_id IS NOT NULL AS in_gold, p.doc_id IS NOT NULL AS in_pred FROM gold g FULL JOIN pred p USING (doc_id, label))
+"""
+_GP = _GP.replace("g.doc_id IS NOT NULL", "g.x IS NOT NULL").replace("p.doc_id IS NOT NULL", "p.x IS NOT NULL").replace("FROM gold g FULL JOIN pred p", "FROM (SELECT *, 1 AS x FROM gold) g FULL JOIN (SELECT *, 1 AS x FROM pred) p")
+_N = "count_if(in_gold)::BIGINT AS gold, count_if(in_pred)::BIGINT AS predicted, count_if(in_gold AND in_pred)::BIGINT AS tp"
+_P = "CASE WHEN predicted = 0 THEN CASE WHEN gold = 0 THEN 1.0 ELSE 0.0 END ELSE tp / predicted END"
+_R = "CASE WHEN gold = 0 THEN 1.0 ELSE tp / gold END"
+
+
+def _prf_sql(group: str = "") -> str:
+    return f"SELECT {group} gold, predicted, tp, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM (SELECT *, {_P} AS p, {_R} AS r FROM n)"
+
+
+def _labels(spark, d):
+    lab, docs = table(spark, d, "labels"), table(spark, d, "documents")
+    both = lambda df, a, b: df.select("doc_id", F.explode(F.array_compact(F.array(F.when(a, F.lit("quality")), F.when(b, F.lit("toxic"))))).alias("label"))
+    return both(lab, F.col("quality") == 1, F.col("toxic") == 1), both(docs.join(lab.select("doc_id"), "doc_id"), F.col("n_chars") >= 700, F.lower("text").rlike("idiot|trash|stupid"))
+
+
+@query(_GP + f", n AS (SELECT {_N} FROM f) " + _prf_sql())
+def prf_micro(spark, d):
+    return evaluation.micro(*_labels(spark, d), ["doc_id", "label"])
+
+
+@query(_GP + f", n AS (SELECT label, {_N} FROM f GROUP BY 1) " + _prf_sql("label,"))
+def prf_by_type(spark, d):
+    return evaluation.by_value(*_labels(spark, d), ["doc_id", "label"], "label")
+
+
+@query(_GP + f", n AS (SELECT label, {_N} FROM f GROUP BY 1) SELECT round(avg(f1), 6) AS macro_f1 FROM (" + _prf_sql("label,") + ")")
+def macro_f1(spark, d):
+    return evaluation.macro_f1(*_labels(spark, d), ["doc_id", "label"], "label")
+
+
+@query("SELECT count(*) AS n, round(avg(1 / rank), 6) AS mrr, round(avg((rank <= 1)::INT), 6) AS hits_1, round(avg((rank <= 3)::INT), 6) AS hits_3, round(avg((rank <= 10)::INT), 6) AS hits_10 FROM (SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, o_orderstatus = 'F' AS ok FROM orders) WHERE ok")
+def ranking_metrics(spark, d):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return evaluation.ranking(table(spark, d, "orders").select(F.row_number().over(w).alias("rank"), (F.col("o_orderstatus") == "F").alias("is_correct")))
+
+
+@query("""
+WITH g AS (SELECT l_orderkey, list_sort(list_distinct(list(l_suppkey))) AS s FROM lineitem GROUP BY 1), p AS (SELECT l_orderkey, list_sort(list_distinct(list(l_suppkey))) AS s FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1)
+SELECT count(*) AS matched, round(count_if(list_has_any(g.s, p.s)) / count(*), 6) AS overlap_rate, round(count_if(g.s = p.s) / count(*), 6) AS exact_rate FROM g JOIN p USING (l_orderkey)""")
+def evidence_overlap(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", F.array("l_suppkey").alias("e"))
+    return evaluation.evidence_overlap(li, li.where("l_returnflag <> 'R'"), ["l_orderkey"], "e")
+
+
+@query("""
+WITH g AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= 10),
+x AS (SELECT g.l_orderkey, bool_and(p.l_orderkey IS NOT NULL) AS whole FROM g LEFT JOIN p ON g.l_orderkey = p.l_orderkey AND g.l_partkey = p.l_partkey GROUP BY 1)
+SELECT count(*) AS groups, count_if(whole)::BIGINT AS complete, round(count_if(whole) / count(*), 6) AS rate FROM x""")
+def relational_division(spark, d):
+    li = table(spark, d, "lineitem")
+    return evaluation.complete_groups(li, li.where("l_quantity >= 10"), ["l_orderkey", "l_partkey"], ["l_orderkey"])
+
+
+def _paths(spark, d):
+    n, c = table(spark, d, "nation"), table(spark, d, "customer")
+    has = n.select(F.col("n_nationkey").alias("unit_id"), F.concat(F.lit("region "), "n_regionkey").alias("head_name"), F.lit("has_indicator").alias("relation_type"), F.col("n_name").alias("tail_name"), (F.col("n_nationkey") % 3 != 0).alias("hit"))
+    calc = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("n_nationkey", "n_name", F.lit("calculated_by"), "c_name", F.col("c_acctbal") > 0)
+    return has.union(calc)
+
+
+@query("""
+SELECT n_nationkey AS unit_id, 'region ' || n_regionkey AS subject, n_name AS indicator, c_name AS formula, (c_acctbal > 0) AND (n_nationkey % 3 <> 0) AS complete FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def indicator_paths(spark, d):
+    gold = _paths(spark, d)
+    return evaluation.indicator_paths(gold, gold.where("hit"))
+
+
+@query(_GP + ", u AS (SELECT doc_id, bool_and(in_gold = in_pred) AS same FROM f GROUP BY 1) SELECT count(*) AS units, count_if(same)::BIGINT AS exact, round(count_if(same) / count(*), 6) AS rate FROM u")
+def unit_exact_match(spark, d):
+    return evaluation.unit_exact_match(evaluation.matched(*_labels(spark, d), ["doc_id", "label"]), "doc_id")
+
+
+@query(_GP + "SELECT CASE WHEN in_gold THEN 'label_false_negative' ELSE 'label_false_positive' END AS error_type, doc_id, label FROM f WHERE in_gold <> in_pred")
+def error_listing(spark, d):
+    return evaluation.errors(evaluation.matched(*_labels(spark, d), ["doc_id", "label"]), ["doc_id", "label"], "label")
+
+
+_FDR = ", round(CASE WHEN predicted = 0 THEN 0.0 ELSE (predicted - tp) / predicted END, 6) AS false_discovery_rate"
+
+
+@query(_GP + f""", j AS (SELECT f.*, lang, source FROM f JOIN documents USING (doc_id)), n AS (
+SELECT 'all' AS dimension, '' AS value, {_N} FROM j UNION ALL SELECT 'label', label, {_N} FROM j GROUP BY label UNION ALL SELECT 'lang', lang, {_N} FROM j GROUP BY lang UNION ALL SELECT 'source', source, {_N} FROM j GROUP BY source)
+""" + _prf_sql("dimension, value,").replace(" AS f1 FROM", f" AS f1{_FDR} FROM"))
+def eval_grouping_sets(spark, d):
+    f = evaluation.matched(*_labels(spark, d), ["doc_id", "label"]).join(table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
+    return evaluation.by_dimensions(f, ["label", "lang", "source"])
+
+
+@query(_GP + """, s AS (SELECT doc_id, count_if(in_gold) AS l, count_if(in_pred) AS r, count_if(in_gold AND in_pred) AS c, bool_and(in_gold = in_pred) AS same FROM f GROUP BY 1),
+t AS (SELECT count(*) AS units, sum(c)::BIGINT AS common, sum(l)::BIGINT AS n_left, sum(r)::BIGINT AS n_right, round(avg(same::INT), 6) AS exact_unit_rate FROM s)
+SELECT *, round(common / n_left, 6) AS precision, round(common / n_right, 6) AS recall, round(2 * (common / n_left) * (common / n_right) / (common / n_left + common / n_right), 6) AS f1 FROM t""")
+def agreement(spark, d):
+    return evaluation.agreement(*_labels(spark, d), "doc_id", "label")
+
+
+@query(_GP + "SELECT doc_id, label, CASE WHEN in_gold THEN 'left' ELSE 'right' END AS side FROM f WHERE in_gold <> in_pred")
+def disagreements(spark, d):
+    return evaluation.disagreements(*_labels(spark, d), "doc_id", "label")
+
+
+# -- records, layout ------------------------------------------------------
+
+
+@query("SELECT event_id, CASE WHEN contains(props, '\"k\":') THEN '$.k' ELSE '' END AS paths FROM events")
+def forbidden_keys(spark, d):
+    return table(spark, d, "events").select("event_id", F.array_join(T.forbidden_paths("props", ["k"]), "|").alias("paths"))
+
+
+@query("SELECT event_id, CASE WHEN contains(props, '\"k\":') THEN '{}' ELSE props END AS value, CASE WHEN contains(props, '\"k\":') THEN '$.k' ELSE '' END AS removed FROM events")
+def sanitize(spark, d):
+    return table(spark, d, "events").select("event_id", T.sanitized("props", ["k"]).alias("x")).select("event_id", "x.value", F.array_join("x.removed", "|").alias("removed"))
+
+
+@query("""
+WITH g AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN l_shipmode END AS m FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem))
+SELECT l_orderkey, l_linenumber, last_value(m IGNORE NULLS) OVER w AS m, CASE WHEN m IS NULL AND last_value(m IGNORE NULLS) OVER w IS NOT NULL THEN 'm' ELSE '' END AS inherited FROM g
+WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) QUALIFY last_value(m IGNORE NULLS) OVER w IS NOT NULL""")
+def fill_down(spark, d):
+    g = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 25, F.concat("l_returnflag", "l_linestatus")).alias("m"))
+    return layout.fill_down(g, ["m"], ["l_orderkey"], ["l_linenumber"]).select("l_orderkey", "l_linenumber", "m", F.array_join("inherited_columns", "|").alias("inherited"))
+
+
+@query("""
+WITH n AS (SELECT p_partkey, [p_brand, p_brand, p_type, p_brand] AS v FROM part)
+SELECT p_partkey, p_brand || '|' || p_brand || '_2|' || CASE WHEN p_type = p_brand THEN p_type || '_3' ELSE p_type END || '|' || p_brand || CASE WHEN p_type = p_brand THEN '_4' ELSE '_3' END AS names FROM part""")
+def column_name_dedup(spark, d):
+    rows = F.array(F.array("p_brand", "p_brand", "p_type", "p_brand"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(layout.column_names(rows), "|").alias("names"))
+
+
+def _boxes(spark, d):
+    x, y = (F.col("l_partkey") % 40).cast("double"), (F.col("l_suppkey") % 25).cast("double")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array(x, y, x + F.col("l_quantity") % 9 + 1, y + F.col("l_linenumber") * 2).alias("bbox"))
+
+
+@query("""
+WITH b AS (SELECT l_orderkey, l_linenumber, (l_partkey % 40)::DOUBLE AS x0, (l_suppkey % 25)::DOUBLE AS y0, (l_partkey % 40)::DOUBLE + l_quantity % 9 + 1 AS x1, (l_suppkey % 25)::DOUBLE + l_linenumber * 2 AS y1 FROM lineitem)
+SELECT a.l_orderkey, a.l_linenumber, max(greatest(least(a.x1, t.x1) - greatest(a.x0, t.x0), 0) * greatest(least(a.y1, t.y1) - greatest(a.y0, t.y0), 0) / ((a.x1 - a.x0) * (a.y1 - a.y0))) >= 0.5 AS in_table
+FROM b a LEFT JOIN b t ON a.l_orderkey = t.l_orderkey AND t.l_linenumber = 1 GROUP BY 1, 2""")
+def spatial_overlap(spark, d):
+    b = _boxes(spark, d)
+    return layout.in_table(b, b.where("l_linenumber = 1").select("l_orderkey", "bbox"), ["l_orderkey"]).select("l_orderkey", "l_linenumber", "in_table")
+
+
+@query("""
+WITH b AS (SELECT l_orderkey, l_linenumber, (l_partkey % 40)::DOUBLE AS x0, (l_suppkey % 25)::DOUBLE AS y0, (l_partkey % 40)::DOUBLE + l_quantity % 9 + 1 AS x1, (l_suppkey % 25)::DOUBLE + l_linenumber * 2 AS y1 FROM lineitem)
+SELECT l_orderkey, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber) AS line_ids FROM b GROUP BY 1""")
+def evidence_spans(spark, d):
+    b = _boxes(spark, d).select("l_orderkey", F.lit(1).alias("page"), F.col("l_linenumber").alias("reading_order"), F.lit("x").alias("text"), "bbox", F.col("l_linenumber").cast("string").alias("line_id"), F.lit("1").alias("printed_page"))
+    s = layout.spans(b, ["l_orderkey"])
+    return s.select("l_orderkey", *(F.get("bbox", F.lit(k)).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))), F.array_join("line_ids", ",").alias("line_ids"))
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, event_type, date_diff('second', TIMESTAMP '1970-01-01', ts)::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o FROM events),
+t AS (SELECT user_id, event_id, y FROM e WHERE event_type = (SELECT min(event_type) FROM events)), c AS (SELECT user_id, event_id AS c, y, o FROM e WHERE event_type = (SELECT max(event_type) FROM events)),
+j AS (SELECT t.event_id, c.c, row_number() OVER (PARTITION BY t.event_id ORDER BY t.y - c.y, c.o DESC) AS n FROM t JOIN c ON t.user_id = c.user_id AND t.y - c.y BETWEEN -3 AND 86400)
+SELECT t.event_id, coalesce(j.c::VARCHAR, '') AS title FROM t LEFT JOIN j ON j.event_id = t.event_id AND n = 1""")
+def table_caption_asof(spark, d):
+    from pyspark.sql.window import Window
+
+    e = table(spark, d, "events")
+    low, high = e.agg(F.min("event_type"), F.max("event_type")).first()
+    y = F.floor(F.unix_micros("ts") / 1_000_000).cast("double")
+    e = e.select("user_id", "event_id", "event_type", y.alias("y"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("reading_order"))
+    box = F.array(F.lit(0.0), F.col("y"), F.lit(1.0), F.col("y"))
+    t = e.where(F.col("event_type") == low).select("user_id", F.col("event_id").alias("table_id"), box.alias("bbox"))
+    c = e.where(F.col("event_type") == high).select("user_id", F.col("event_id").cast("string").alias("text"), F.lit("table_caption").alias("kind"), box.alias("bbox"), "reading_order")
+    return layout.captions(t, c, ["user_id"], gap=86400).select(F.col("table_id").alias("event_id"), "title")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+f AS (SELECT user_id, event_id, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 1 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM e)
+SELECT user_id, island::INT AS island, count(*) AS n, min(event_id) AS first_id FROM f GROUP BY 1, 2""")
+def paragraph_islands(spark, d):
+    e = table(spark, d, "events")
+    new = F.col("ts") - layout.previous("ts", ["user_id"], ["ts", "event_id"]) > F.expr("INTERVAL 1 DAY")
+    return layout.islands(e, ["user_id"], ["ts", "event_id"], new).groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query()
+def formula_sessions(spark, d):
+    """Documents' lines as a page: lines with an equals sign anchor clusters."""
+    lines = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("standard_code"), F.posexplode(F.split("text", "\n")).alias("reading_order", "text"))
+    lines = lines.select("standard_code", F.lit(1).alias("page"), "reading_order", "text", F.when(F.contains("text", F.lit("=")), "formula").otherwise("paragraph").alias("kind"))
+    return layout.formula_clusters(lines).where("cluster IS NOT NULL").groupBy("standard_code", "cluster").agg(F.count("*").alias("lines"), F.min("reading_order").alias("first"))
+
+
+@query("SELECT conv_id, bool_and(p IS NULL OR p < turn) AS ok FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) GROUP BY 1")
+def reading_order_check(spark, d):
+    return layout.reading_order_ok(table(spark, d, "conversations"), ["conv_id"], "turn", ["turn"])
+
+
+@query("""
+WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+h AS (SELECT *, CASE i % 5 WHEN 0 THEN '1' WHEN 1 THEN '1.1' WHEN 3 THEN '1.2' END AS s FROM t)
+SELECT doc_id, i::INT AS i, CASE i % 5 WHEN 0 THEN '1 h' WHEN 1 THEN '1 h|1.1 h' WHEN 2 THEN '1 h|1.1 h' ELSE '1 h|1.2 h' END AS chain FROM h""")
+def heading_chains(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lines = lines.select("doc_id", "i", F.when(F.col("i") % 5 == 0, "1").when(F.col("i") % 5 == 1, "1.1").when(F.col("i") % 5 == 3, "1.2").alias("heading_section"), F.lit("h").alias("heading_title"))
+    return layout.heading_chain(lines, "doc_id", ["i"]).select("doc_id", "i", F.array_join("heading_chain", "|").alias("chain"))
+
+
+@query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[0-9]+(?:[.][0-9]+)?(?:%|mm|cm)?'))), '|') AS thresholds, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), 'token|password|license'))), '|') AS triggers FROM documents")
+def triggers(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.matched(F.lower("text"), r"[0-9]+(?:[.][0-9]+)?(?:%|mm|cm)?"), "|").alias("thresholds"), F.array_join(T.matched(F.lower("text"), "token|password|license"), "|").alias("triggers"))
+
+
+_WORDS = ["ther", "the", "tion", "erth", "thertion", "ation"]
+
+
+@query("WITH m AS (SELECT doc_id, list_filter([" + ",".join(f"'{w}'" for w in _WORDS) + "], lambda w: contains(text, w)) AS m FROM documents) SELECT doc_id, array_to_string(m, '|') AS all_terms, array_to_string(list_filter(m, lambda w: len(list_filter(m, lambda o: o <> w AND contains(o, w))) = 0), '|') AS maximal FROM m")
+def gazetteer_maximal(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.gazetteer("text", _WORDS), "|").alias("all_terms"), F.array_join(T.gazetteer_maximal("text", _WORDS), "|").alias("maximal"))
+
+
+@query("SELECT p_partkey, unnest(CASE WHEN p_size % 2 = 0 THEN ['A', 'B', 'C'] ELSE [p_name] END) AS symbol FROM part")
+def compound_split(spark, d):
+    x = F.when(F.col("p_size") % 2 == 0, F.lit("A、B和C")).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", F.explode(T.split_compound(x)).alias("symbol"))
+
+
+@query("""
+WITH o AS (SELECT p_partkey, 'manual' AS p_name, p_partkey % 10 = 0 AS replace_existing FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT -1 - p_partkey, 'new', false FROM part WHERE p_partkey % 50 = 0),
+k AS (SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM o WHERE replace_existing))
+SELECT * FROM k UNION ALL SELECT p_partkey, p_name FROM o WHERE p_partkey NOT IN (SELECT p_partkey FROM k)""")
+def override_merge(spark, d):
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    o = p.where("p_partkey % 5 = 0").select("p_partkey", F.lit("manual").alias("p_name"), (F.col("p_partkey") % 10 == 0).alias("replace_existing"))
+    o = o.union(p.where("p_partkey % 50 = 0").select(-1 - F.col("p_partkey"), F.lit("new"), F.lit(False)))
+    return resolution.merge_overrides(p, o, ["p_partkey"])
+
+
+@query("""
+WITH m AS (SELECT n_name AS code, c_mktsegment AS name, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT substr(sha256(concat_ws('|', code, 'segment', name, '')), 1, 16) AS entity_id, code AS standard_code, name, count(DISTINCT c_custkey)::INT AS mentions, min(c_custkey) AS first_unit FROM m GROUP BY code, name""")
+def entity_resolution(spark, d):
+    m = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    m = m.select(F.col("c_custkey").cast("string").alias("unit_id"), F.col("c_custkey").alias("seq"), F.col("n_name").alias("standard_code"), F.concat(F.lit(" "), "c_mktsegment", F.lit(" ；")).alias("name"), F.lit("segment").alias("entity_type"), F.lit("ignored").alias("context"), F.lit("").alias("definition"), F.array(F.col("c_custkey").cast("string")).alias("evidence_span_ids"))
+    return resolution.entities(m).select("entity_id", "standard_code", "name", F.size("source_unit_ids").alias("mentions"), F.element_at("source_unit_ids", 1).cast("long").alias("first_unit"))
+
+
+@query("""
+WITH r AS (SELECT DISTINCT l_suppkey, l_returnflag, l_partkey % 50 AS p, l_orderkey FROM lineitem)
+SELECT substr(sha256(concat_ws('|', 's' || l_suppkey, l_returnflag, 'p' || p)), 1, 16) AS triple_id, count(*)::INT AS evidence, min(l_orderkey) AS first_unit FROM r GROUP BY l_suppkey, l_returnflag, p""")
+def triple_dedup(spark, d):
+    r = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("head_id"), F.col("l_returnflag").alias("relation_type"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("tail_id"), F.col("l_orderkey").alias("unit_id"), F.array(F.lit("x")).alias("evidence_span_ids"))
+    return resolution.triples(r).select("triple_id", F.size("evidence").alias("evidence"), F.element_at("evidence", 1)["unit_id"].alias("first_unit"))
+
+
+@query("""
+WITH u AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0), p AS (SELECT l_orderkey AS k FROM lineitem WHERE l_linenumber <= 2),
+c AS (SELECT k, max(u) AS u, sum(p) AS p FROM (SELECT k, 1 AS u, 0 AS p FROM u UNION ALL SELECT k, 0, 1 FROM p) GROUP BY 1),
+x AS (SELECT unnest(list_filter([CASE WHEN p = 0 THEN 'missing_prediction' END, CASE WHEN u = 0 THEN 'unknown_unit' END, CASE WHEN p > 1 THEN 'duplicate_prediction' END], lambda z: z IS NOT NULL)) AS code FROM c)
+SELECT code, count(*) AS n FROM x GROUP BY 1""")
+def validation_report(spark, d):
+    u = table(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"))
+    p = table(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("k"))
+    return validation.histogram(validation.reconcile(u, p, "k"))
+
+
+@query("SELECT source, lang, count(*) AS records, sum(n_chars)::BIGINT AS chars, substr(sha256(concat_ws('|', source, lang, count(*)::VARCHAR)), 1, 16) AS package_id FROM documents GROUP BY 1, 2")
+def manifest_counts(spark, d):
+    g = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("records"), F.sum("n_chars").alias("chars"))
+    return g.withColumn("package_id", T.stable_id("source", "lang", "records"))
+
+
+@query(f"SELECT substr(sha256(concat_ws('|', head_id, relation_type, tail_id)), 1, 16) AS relation_id, head_name, tail_name, head_id AS chunk_id, 'pending' AS review_status FROM ({TRIPLES})")
+def annotation_sheet(spark, d):
+    t = triples(spark, d)
+    t = t.withColumns({"path_id": F.col("head_id"), "extraction_method": F.lit("rule"), "confidence": F.lit(1.0), "review_status": F.lit("accepted"), "evidence": F.struct(F.lit("x").alias("standard_code"), F.lit(1).alias("page"), F.lit("").alias("section"), F.col("head_id").alias("chunk_id"), F.lit("").alias("evidence_text"), F.lit("").alias("source_sha256"))})
+    return files.annotation_sheet(t).select("relation_id", "head_name", "tail_name", "chunk_id", "review_status")
+
+
+@query("SELECT 'component' AS parameter, 6::BIGINT AS n UNION ALL SELECT 'max_chars', 3 UNION ALL SELECT 'shots', 4 UNION ALL SELECT 'threshold', 3")
+def ablation_matrix(spark, d):
+    return files.ablations(spark).groupBy("parameter").agg(F.count("*").alias("n"))
+
+
+@query()
+def training_rows(spark, d):
+    c = table(spark, d, "conversations").where("role = 'assistant'")
+    r = c.select(F.lit("accepted").alias("review_status"), F.struct(F.col("text").alias("evidence_text")).alias("evidence"), *(F.lit("x").alias(n) for n in ("head_name", "head_type", "relation_type", "tail_name", "tail_type")))
+    return extraction.training_rows(r).select(F.to_json("messages").alias("messages"))
+
+
+def _norm_chunk(spark, d):
+    """Chunks that carry rule-bearing sentences in Chinese among the documents' text."""
+    docs = table(spark, d, "documents")
+    s = F.element_at(F.array(F.lit("生态系统的水源涵养量采用通用水量平衡方程进行计算。"), F.lit("生态系统质量由植被覆盖度、叶面积指数和总初级生产力的相对密度构成。"), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("standard_code"), F.col("doc_id").cast("int").alias("page"), F.lit("").alias("section"), F.concat(F.left("text", F.lit(60)), F.lit("\n"), s).alias("text"), F.lit("").alias("source_sha256"), F.col("lang").alias("path_id"))
+
+
+@query("""
+SELECT doc_id::INT AS page, 'uses_formula' AS relation_type, '水源涵养量' AS head_name, '水量平衡方程' AS tail_name FROM documents WHERE doc_id % 3 = 0
+UNION ALL SELECT doc_id::INT, 'depends_on', '生态系统质量', unnest(['植被覆盖度', '叶面积指数', '总初级生产力']) FROM documents WHERE doc_id % 3 = 1""")
+def rule_extraction(spark, d):
+    accepted, _ = extraction.extract(_norm_chunk(spark, d))
+    return accepted.select("page", "relation_type", "head_name", "tail_name")
+
