@@ -81,9 +81,9 @@ def role(code: Column | str) -> Column:
 
 def terms(x: Column | str) -> Column:
     """Adjacent character pairs of the lower-case text without white space, then its Latin tokens; repeats stay."""
-    c = compact(F.lower(_c(x)))
-    n = F.length(c)
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    # an array of characters: substring counts from the start of a text each time, and a lambda computes again what it closes over
+    chars = F.split(compact(F.lower(_c(x))), "")
+    pairs = F.zip_with(F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
     return F.concat(pairs, F.regexp_extract_all(F.lower(_c(x)), F.lit(r"[a-z0-9_@.\-]+"), F.lit(0)))
 
 
