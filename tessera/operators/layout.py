@@ -103,10 +103,10 @@ def paragraphs(lines: DataFrame, document: str = "standard_code") -> DataFrame:
 
 
 def fill_down(rows: DataFrame, columns: list[str], partition: list[str], order: list[str]) -> DataFrame:
-    """Null cells take the last value above ('' is a value), within a chain of continued tables; ``inherited_columns`` names them. Rows without any value go, after they counted."""
+    """Null cells take the last value above ('' is a value), within a chain of continued tables; ``inherited_columns`` names them. Rows without any value, their own or from above, go."""
     w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = rows.select("*", *(F.last(c, ignorenulls=True).over(w).alias(f"_{c}") for c in columns))
-    out = out.where(F.greatest(*(F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(0)) > 0)
+    out = out.where(F.greatest(*(F.coalesce(F.length(F.col(f"_{c}").cast("string")), F.lit(0)) for c in columns), F.lit(0)) > 0)
     inherited = F.array_compact(F.array(*(F.when(F.col(c).isNull() & F.col(f"_{c}").isNotNull(), F.lit(c)) for c in columns)))
     return out.withColumn("inherited_columns", inherited).withColumns({c: F.col(f"_{c}") for c in columns}).drop(*(f"_{c}" for c in columns))
 

@@ -409,12 +409,13 @@ def sanitize(spark, d):
 
 
 @query("""
-WITH g AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN l_shipmode END AS m FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem))
+WITH g AS (SELECT *, CASE WHEN l_quantity > 25 THEN l_shipmode END AS m FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem))
 SELECT l_orderkey, l_linenumber, last_value(m IGNORE NULLS) OVER w AS m, CASE WHEN m IS NULL AND last_value(m IGNORE NULLS) OVER w IS NOT NULL THEN 'm' ELSE '' END AS inherited FROM g
-WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) QUALIFY last_value(m IGNORE NULLS) OVER w IS NOT NULL""")
+WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) QUALIFY last_value(m IGNORE NULLS) OVER w IS NOT NULL""")
 def fill_down(spark, d):
-    g = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 25, F.concat("l_returnflag", "l_linestatus")).alias("m"))
-    return layout.fill_down(g, ["m"], ["l_orderkey"], ["l_linenumber"]).select("l_orderkey", "l_linenumber", "m", F.array_join("inherited_columns", "|").alias("inherited"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"]  # line numbers repeat
+    g = table(spark, d, "lineitem").select("l_orderkey", *order, F.when(F.col("l_quantity") > 25, F.concat("l_returnflag", "l_linestatus")).alias("m"))
+    return layout.fill_down(g, ["m"], ["l_orderkey"], order).select("l_orderkey", "l_linenumber", "m", F.array_join("inherited_columns", "|").alias("inherited"))
 
 
 @query("""
@@ -431,9 +432,9 @@ def _boxes(spark, d):
 
 
 @query("""
-WITH b AS (SELECT l_orderkey, l_linenumber, (l_partkey % 40)::DOUBLE AS x0, (l_suppkey % 25)::DOUBLE AS y0, (l_partkey % 40)::DOUBLE + l_quantity % 9 + 1 AS x1, (l_suppkey % 25)::DOUBLE + l_linenumber * 2 AS y1 FROM lineitem)
-SELECT a.l_orderkey, a.l_linenumber, max(greatest(least(a.x1, t.x1) - greatest(a.x0, t.x0), 0) * greatest(least(a.y1, t.y1) - greatest(a.y0, t.y0), 0) / ((a.x1 - a.x0) * (a.y1 - a.y0))) >= 0.5 AS in_table
-FROM b a LEFT JOIN b t ON a.l_orderkey = t.l_orderkey AND t.l_linenumber = 1 GROUP BY 1, 2""")
+WITH b AS (SELECT l_orderkey, l_linenumber, row_number() OVER () AS n, (l_partkey % 40)::DOUBLE AS x0, (l_suppkey % 25)::DOUBLE AS y0, (l_partkey % 40)::DOUBLE + l_quantity % 9 + 1 AS x1, (l_suppkey % 25)::DOUBLE + l_linenumber * 2 AS y1 FROM lineitem)
+SELECT l_orderkey, l_linenumber, in_table FROM (SELECT a.l_orderkey, a.l_linenumber, a.n, coalesce(max(greatest(least(a.x1, t.x1) - greatest(a.x0, t.x0), 0) * greatest(least(a.y1, t.y1) - greatest(a.y0, t.y0), 0) / ((a.x1 - a.x0) * (a.y1 - a.y0))) FILTER (WHERE t.l_orderkey IS NOT NULL) >= 0.5, false) AS in_table
+FROM b a LEFT JOIN b t ON a.l_orderkey = t.l_orderkey AND t.l_linenumber = 1 GROUP BY 1, 2, 3)""")
 def spatial_overlap(spark, d):
     b = _boxes(spark, d)
     return layout.in_table(b, b.where("l_linenumber = 1").select("l_orderkey", "bbox"), ["l_orderkey"]).select("l_orderkey", "l_linenumber", "in_table")
@@ -458,7 +459,7 @@ def table_caption_asof(spark, d):
 
     e = table(spark, d, "events")
     low, high = e.agg(F.min("event_type"), F.max("event_type")).first()
-    y = F.floor(F.unix_micros("ts") / 1_000_000).cast("double")
+    y = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("double")
     e = e.select("user_id", "event_id", "event_type", y.alias("y"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("reading_order"))
     box = F.array(F.lit(0.0), F.col("y"), F.lit(1.0), F.col("y"))
     t = e.where(F.col("event_type") == low).select("user_id", F.col("event_id").alias("table_id"), box.alias("bbox"))
