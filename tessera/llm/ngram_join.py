@@ -138,12 +138,11 @@ def _respread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _pack(np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(x) for x in grams]), batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int32))
 
 
-_SHARED = "doc_id long, size int, grams binary, freqs binary"
-_SHARED_ARROW = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("grams", pa.binary()), ("freqs", pa.binary())])
+_SHARED_ARROW = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("frag", pa.int32()), ("grams", pa.binary()), ("freqs", pa.binary())])
 
 
 def _fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one fragment: each document's n-grams that two documents or more have, with their frequencies."""
+    """Of one fragment: each document's n-grams that two documents or more have, in five bytes each, with their frequencies."""
     got = _unpack(batches)
     if got is None:
         return
@@ -156,28 +155,38 @@ def _fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, at, freq = keys[many], at[many], np.repeat(freq, freq)[many].astype(np.int32)
     order = np.argsort(at, kind="stable")
     keys, at, freq = keys[order], at[order], freq[order]
-    edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True]) if len(at) else np.zeros(1, np.int64)
+    frag = (keys >> _LOW).astype(np.int32)
+    edge = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (frag[1:] != frag[:-1]), True]) if len(at) else np.zeros(1, np.int64)
     for k in range(0, len(edge) - 1, 20000):
         e = edge[k : k + 20001]
         d = at[e[:-1]]
-        off = pa.py_buffer(((e - e[0]) * 8).astype(np.int32))
+        off = pa.py_buffer(((e - e[0]) * 5).astype(np.int32))
         off4 = pa.py_buffer(((e - e[0]) * 4).astype(np.int32))
         n = len(d)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(sizes[d]), pa.Array.from_buffers(pa.binary(), n, [None, off, pa.py_buffer(keys[e[0] : e[-1]].tobytes())]), pa.Array.from_buffers(pa.binary(), n, [None, off4, pa.py_buffer(freq[e[0] : e[-1]].tobytes())])], schema=_SHARED_ARROW)
+        low = np.ascontiguousarray(keys[e[0] : e[-1]].view(np.uint8).reshape(-1, 8)[:, :5])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(sizes[d]), pa.array(frag[e[:-1]]), pa.Array.from_buffers(pa.binary(), n, [None, off, pa.py_buffer(low)]), pa.Array.from_buffers(pa.binary(), n, [None, off4, pa.py_buffer(freq[e[0] : e[-1]].tobytes())])], schema=_SHARED_ARROW)
 
 
-def _by_document(packed: DataFrame, fragments: int) -> DataFrame:
-    """Shared n-grams gathered again by document: (doc_id, size, lists of grams and freqs)."""
-    shared = packed.repartitionById(fragments, F.col("frag")).mapInArrow(_fragment, _SHARED)
-    return shared.groupBy("doc_id").agg(F.max("size").alias("size"), F.collect_list(F.struct("grams", "freqs")).alias("parts"))
+def _without_freqs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _fragment(batches):
+        yield batch.select(["doc_id", "size", "frag", "grams"])
 
 
-def _merged(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _by_document(packed: DataFrame, fragments: int, freqs: bool) -> DataFrame:
+    """Shared n-grams gathered again by document: (doc_id, size, lists of fragment, grams and, where asked for, freqs)."""
+    columns = ["frag", "grams", *["freqs"] * freqs]
+    shared = packed.repartitionById(fragments, F.col("frag")).mapInArrow(_fragment if freqs else _without_freqs, "doc_id long, size int, frag int, grams binary" + ", freqs binary" * freqs)
+    return shared.groupBy("doc_id").agg(F.max("size").alias("size"), F.collect_list(F.struct(*columns)).alias("parts"))
+
+
+def _merged(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
     for doc, size, parts in zip(*(batch.column(k).to_pylist() for k in range(3))):
-        g = np.concatenate([np.frombuffer(p["grams"], np.int64) for p in parts])
-        f = np.concatenate([np.frombuffer(p["freqs"], np.int32) for p in parts])
+        low = np.frombuffer(b"".join(p["grams"] for p in parts), np.uint8).reshape(-1, 5)
+        wide = np.zeros((len(low), 8), np.uint8)
+        wide[:, :5] = low
+        g = wide.reshape(-1).view(np.int64) | np.repeat(np.array([p["frag"] for p in parts], np.int64) << _LOW, [len(p["grams"]) // 5 for p in parts])
         g, first = np.unique(g, return_index=True)
-        yield doc, size, g, f[first]
+        yield doc, size, g, np.frombuffer(b"".join(p["freqs"] for p in parts), np.int32)[first] if "freqs" in parts[0] else None
 
 
 def _covered(threshold: float):
@@ -329,12 +338,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     bits = max(1, math.ceil(math.log2(_spark.shuffle_partitions(docs))))
     fragments = 1 << bits
     packed = docs.mapInArrow(_spread(n, bits), _PACKED)
-    found = _spark.cut(_by_document(packed, fragments).mapInArrow(_covered(threshold), "doc_id long, size int, same string, grams binary"))
+    found = _spark.cut(_by_document(packed, fragments, False).mapInArrow(_covered(threshold), "doc_id long, size int, same string, grams binary"))
 
     equal = found.groupBy("same").agg(F.min("doc_id").alias("doc_id_a"), F.count("*").alias("k")).where("k > 1")
     equal = found.select("same", F.col("doc_id").alias("doc_id_b")).join(equal, "same").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b", F.lit(1.0).alias("jaccard"))
     heads = found.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.min_by("grams", "doc_id").alias("grams")).select("doc_id", "size", "grams")
-    left = _spark.cut(_by_document(heads.mapInArrow(_respread, _PACKED), fragments).mapInArrow(_ordered(threshold), "doc_id long, size int, prefix int, grams binary"))
+    left = _spark.cut(_by_document(heads.mapInArrow(_respread, _PACKED), fragments, True).mapInArrow(_ordered(threshold), "doc_id long, size int, prefix int, grams binary"))
 
     edges = left.select("doc_id", "prefix", "grams").mapInArrow(_prefixes, "gram long, doc_id long").repartition(fragments, "gram").mapInArrow(_links, "a long, b long")
     member = _spark.components(edges)
