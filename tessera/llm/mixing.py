@@ -4,6 +4,11 @@ Documents are counted by source and exact token length. Each source's
 budget is filled proportionally over its lengths, and what remains of it by
 a bounded-knapsack dynamic program over the documents left. A seeded order
 then picks that many documents of each length.
+
+The total is a stated share of all tokens, or more where the weights can be
+met with more. A source that has less than its weight asks for gives all it
+has, and the others share what it falls short by, so that no small source
+decides how much of the corpus is kept.
 """
 
 from __future__ import annotations
@@ -20,6 +25,8 @@ from pyspark.sql.window import Window
 from tessera.llm import _spark, _text
 
 ALPHA = 0.7
+#: Of the tokens of all sources with a weight, the least share that is kept where no budget is given.
+SHARE = 0.9
 RESERVE = 4096
 SEED = 11
 
@@ -70,17 +77,28 @@ def fit_budget(lengths: dict[int, int], budget: int, seed: int = SEED, reserve:
     return {k: n for k, n in take.items() if n}
 
 
-def targets(tokens: dict[str, int], weights: dict[str, float] | None, budget: int | None, alpha: float = ALPHA) -> dict[str, int]:
+def targets(tokens: dict[str, int], weights: dict[str, float] | None, budget: int | None, alpha: float = ALPHA, share: float = SHARE) -> dict[str, int]:
     """Token budgets by source. Without weights these are the sources' tokens to the power ``alpha``;
-    without a budget the total is the largest for which no source falls short."""
+    without a budget the total is ``share`` of the tokens of the sources with a weight, or the largest
+    for which no source falls short, if that is more. A source that falls short gives all it has, and
+    the rest of its part goes to the others by their weights."""
     weights = {s: float((weights or {}).get(s, 0.0)) if weights is not None else n**alpha for s, n in tokens.items() if n > 0}
-    weights = {s: w for s, w in weights.items() if w > 0}
-    whole = sum(weights.values())
-    if not whole:
-        return {}
-    if budget is None:
-        budget = min(int(tokens[s] / (w / whole)) for s, w in weights.items())
-    return {s: min(tokens[s], int(budget * w / whole + 1e-6)) for s, w in weights.items()}
+    open_ = {s: w for s, w in weights.items() if w > 0}
+    if budget is None and open_:
+        even = min(int(tokens[s] / w * sum(open_.values())) for s, w in open_.items())
+        budget = max(int(share * sum(tokens[s] for s in open_) + 1e-6), even)
+    left = budget or 0
+    goal: dict[str, int] = {}
+    while open_:
+        whole = sum(open_.values())
+        short = [s for s, w in open_.items() if left * w / whole >= tokens[s]]
+        if not short:
+            return goal | {s: int(left * w / whole + 1e-6) for s, w in open_.items()}
+        for s in short:
+            goal[s] = tokens[s]
+            left -= tokens[s]
+            del open_[s]
+    return goal
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +109,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def select(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, tokens) of the documents chosen so that each source's tokens fit its share of the budget.
+    """(doc_id, source, tokens, kept) of the documents chosen so that each source's tokens fit its share of the budget; kept is the share of the source's tokens that is chosen.
 
     Tokens are runs without ASCII white space. What the driver gets is one row
     for each source and length that occurs, not one for each document.
@@ -110,10 +128,12 @@ def select(docs: DataFrame, weights: dict[str, float] | None = None, budget: int
     for source, tokens, n in counted.groupBy("source", "tokens").count().collect():
         by_length.setdefault(source, {})[tokens] = n
     goal = targets({s: sum(k * n for k, n in x.items()) for s, x in by_length.items()}, weights, budget, alpha)
-    plan = [(s, k, n) for s, b in sorted(goal.items()) for k, n in sorted(fit_budget(by_length[s], b, seed).items())]
-    plan = spark.createDataFrame(plan, "source string, tokens long, n long")
+    fit = {s: fit_budget(by_length[s], b, seed) for s, b in sorted(goal.items())}
+    kept = {s: sum(k * n for k, n in x.items()) / sum(k * n for k, n in by_length[s].items()) for s, x in fit.items()}
+    plan = [(s, k, n, kept[s]) for s, x in fit.items() for k, n in sorted(x.items())]
+    plan = spark.createDataFrame(plan, "source string, tokens long, n long, kept double")
     place = F.row_number().over(Window.partitionBy("source", "tokens").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id"))
-    return counted.withColumn("place", place).join(plan, ["source", "tokens"]).where("place <= n").select("doc_id", "source", "tokens")
+    return counted.withColumn("place", place).join(plan, ["source", "tokens"]).where("place <= n").select("doc_id", "source", "tokens", "kept")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:

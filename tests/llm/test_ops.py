@@ -214,6 +214,28 @@ def test_mixing(spark, docs, none):
     assert mixing.select(none).collect() == [] and mixing.mix(docs).columns == docs.columns
 
 
+def test_mixing_of_skewed_sources(spark):
+    """One hot source, some middling, one stray document: the stray one doesn't decide how much of the rest is kept."""
+    rows = [(k, "hot", " ".join(["w"] * (1 + k % 50))) for k in range(2000)] + [(10_000 + k, f"mid{k % 4}", " ".join(["w"] * (1 + k % 30))) for k in range(400)] + [(20_000, None, "w w w")]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    tokens = {}
+    for _, s, t in rows:
+        tokens[s or ""] = tokens.get(s or "", 0) + len(t.split())
+    low, high, goal = 0.0, 1e9, int(sum(tokens.values()) * mixing.SHARE)
+    for _ in range(200):  # the level at which sources, each cut off at what it has, fill the budget
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(n, level * n**mixing.ALPHA) for n in tokens.values()) <= goal else (low, level)
+    want = {s: min(n, low * n**mixing.ALPHA) for s, n in tokens.items()}
+    got = mixing.select(d).toPandas()
+    chosen = got.groupby("source").tokens.sum().to_dict()
+    assert set(chosen) == set(tokens) and all(want[s] - 50 <= n <= want[s] + 1e-6 for s, n in chosen.items())
+    assert chosen[""] == 3 and chosen["hot"] > 0.8 * tokens["hot"] and sum(chosen.values()) > 0.89 * sum(tokens.values())
+    assert {r.source: r.kept for r in got.itertuples()} == pytest.approx({s: n / tokens[s] for s, n in chosen.items()})
+    assert mixing.targets({"a": 100, "b": 10, "c": 1}, {"a": 1.0, "b": 1.0, "c": 1.0}, 60) == {"a": 49, "b": 10, "c": 1}
+    assert mixing.targets({"a": 100, "b": 10}, {"a": 1.0, "b": 9.0}, 10**6) == {"a": 100, "b": 10} and mixing.targets({}, None, None) == {}
+    assert mixing.targets({"a": 100, "b": 100}, None, None) == {"a": 100, "b": 100}
+
+
 def test_fingerprint(spark, docs, none):
     fold = lambda t: " ".join(unicodedata.normalize("NFC", t or "").lower().split())
     rows = [(k + 1, t) for k, t in enumerate([*TEXTS, "café  Bar", "café bar\n"])]
