@@ -587,7 +587,7 @@ def _norm_chunk(spark, d):
     """Chunks that carry rule-bearing sentences in Chinese among the documents' text."""
     docs = table(spark, d, "documents")
     s = F.element_at(F.array(F.lit("生态系统的水源涵养量采用通用水量平衡方程进行计算。"), F.lit("生态系统质量由植被覆盖度、叶面积指数和总初级生产力的相对密度构成。"), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("standard_code"), F.col("doc_id").cast("int").alias("page"), F.lit("").alias("section"), F.concat(F.left("text", F.lit(60)), F.lit("\n"), s).alias("text"), F.lit("").alias("source_sha256"), F.col("lang").alias("path_id"))
+    return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("standard_code"), F.col("doc_id").cast("int").alias("page"), F.lit("").alias("section"), F.concat("text", F.lit("\n"), s).alias("text"), F.lit("").alias("source_sha256"), F.col("lang").alias("path_id"))
 
 
 @query("""

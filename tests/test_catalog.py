@@ -50,3 +50,9 @@ def test_terms_keep_whole_characters(spark):
     df = spark.createDataFrame([("a𝄞 bé",), ("",), ("x",), (None,)], "t string")
     got = [r[0] for r in df.select(T.terms("t")).collect()]
     assert got == [["a𝄞", "𝄞b", "bé", "a", "b"], [], ["x"], None]
+
+
+def test_rules_see_the_whole_text(spark, tmp_path):
+    rows = [(2, "long words " * 20_000 + "\n生态系统的水源涵养量采用通用水量平衡方程进行计算。\n" + "more words " * 20, "s", "zh"), (5, "nothing", "s", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in catalog.QUERIES["rule_extraction"](spark, str(tmp_path)).collect()] == [(2, "uses_formula", "水源涵养量", "水量平衡方程")]
