@@ -358,6 +358,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
 
 def all_pairs(joined: DataFrame) -> DataFrame:
     """Every pair of documents, spelled out from the result of ``ngram_jaccard_join``; quadratic in the size of groups of equal sets."""
+    joined = _spark.cut(joined)
     same = joined.where("jaccard = 1.0").select(F.col("doc_id_a").alias("head"), F.col("doc_id_b").alias("doc"))
     heads = joined.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("head")).join(same.select(F.col("doc").alias("head")), "head", "left_anti").distinct()
     member = same.union(heads.select("head", F.col("head").alias("doc")))
@@ -388,3 +389,13 @@ SELECT p.a AS doc_id_a, p.b AS doc_id_b, o / (x.size + y.size - o) AS jaccard
 FROM p JOIN h x ON x.doc_id = p.a JOIN h y ON y.doc_id = p.b WHERE o / (x.size + y.size - o) >= {THRESHOLD - 1e-9}
 UNION ALL SELECT head, doc_id, 1.0 FROM h WHERE head < doc_id
 """
+
+#: Every pair, copies of a document included.
+ORACLE_ALL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z_\\x{{80}}-\\x{{10FFFF}}]+') AS t FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) < {N} THEN [array_to_string(t, ' ')] ELSE list_transform(range(1, len(t) - {N - 2}), lambda i: array_to_string(t[i:i + {N - 1}], ' ')) END) AS gram FROM w WHERE len(t) > 0),
+s AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT p.a AS doc_id_a, p.b AS doc_id_b, o / (x.size + y.size - o) AS jaccard
+FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b WHERE o / (x.size + y.size - o) >= {THRESHOLD - 1e-9}
+"""

@@ -57,6 +57,21 @@ def test_ngram_join(docs, none):
     assert ids.count(len(TEXTS)) == 2 and None in ids and {1, 2, 3, 7} <= set(ids) and not {8, 9, 10} & set(ids)
 
 
+def test_every_pair_is_registered(spark, tmp_path):
+    """Four equal copies beside two near ones: all pairs, those of two copies and of a copy and a near copy too; the same rows from the SQL."""
+    texts = [" ".join(BASE)] * 3 + [" ".join(BASE).upper(), " ".join(BASE[:-1]), " ".join(BASE[1:]), "something else altogether here"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = [grams(t) for t in texts]
+    want = {(i, j): x for i, j in itertools.combinations(range(len(texts)), 2) if (x := len(sets[i] & sets[j]) / len(sets[i] | sets[j])) >= 0.5}
+    got = {(r[0], r[1]): r[2] for q in __spark_entry__.queries().items() if q[0] == "op1_all_pairs" for r in q[1](spark, str(tmp_path)).collect()}
+    assert len(want) == 15 and got == pytest.approx(want)
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert {(r[0], r[1]): r[2] for r in con.execute(__spark_entry__.oracle_sql()["op1_all_pairs"]).fetchall()} == pytest.approx(want)
+
+
 def test_quality(docs, none):
     got = {r.doc_id: r for r in quality.repetition(docs).collect()}
     for i, t in enumerate(TEXTS, 1):
