@@ -558,6 +558,16 @@ def validation_report(spark, d):
     return validation.histogram(validation.reconcile(u, p, "k"))
 
 
+@query("""
+WITH c AS (SELECT k, max(u) AS u, sum(p) AS p FROM (SELECT o_orderkey AS k, 1 AS u, 0 AS p FROM orders UNION ALL SELECT l_orderkey, 0, 1 FROM lineitem) GROUP BY 1),
+x AS (SELECT unnest(list_filter([CASE WHEN p = 0 THEN 'missing_prediction' END, CASE WHEN u = 0 THEN 'unknown_unit' END, CASE WHEN p > 1 THEN 'duplicate_prediction' END], lambda z: z IS NOT NULL)) AS code FROM c)
+SELECT code, count(*) AS n FROM x GROUP BY 1""")
+def validation_whole(spark, d):
+    u = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"))
+    return validation.histogram(validation.reconcile(u, p, "k"))
+
+
 @query("SELECT source, lang, count(*) AS records, sum(n_chars)::BIGINT AS chars, substr(sha256(concat_ws('|', source, lang, count(*)::VARCHAR)), 1, 16) AS package_id FROM documents GROUP BY 1, 2")
 def manifest_counts(spark, d):
     g = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("records"), F.sum("n_chars").alias("chars"))

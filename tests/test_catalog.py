@@ -56,3 +56,10 @@ def test_rules_see_the_whole_text(spark, tmp_path):
     rows = [(2, "long words " * 20_000 + "\n生态系统的水源涵养量采用通用水量平衡方程进行计算。\n" + "more words " * 20, "s", "zh"), (5, "nothing", "s", "en")]
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in catalog.QUERIES["rule_extraction"](spark, str(tmp_path)).collect()] == [(2, "uses_formula", "水源涵养量", "水量平衡方程")]
+
+
+def test_whole_tables_are_reconciled(spark, tmp_path):
+    spark.createDataFrame([(3,), (4,), (6,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(4, 3), (6, 1), (6, 5), (9, 4)], "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.code: r.n for r in catalog.QUERIES["validation_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"missing_prediction": 1, "duplicate_prediction": 1, "unknown_unit": 1}
