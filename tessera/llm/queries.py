@@ -45,6 +45,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_lattice.encode_checked(_documents(spark, sf_dir))
 
 
+def op7_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the same model as a unigram model's, whose fold is Viterbi."""
+    return sentencepiece_lattice.encode_checked(_documents(spark, sf_dir), kind=sentencepiece_lattice.UNIGRAM)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -58,6 +63,6 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op1_all_pairs, op2_quality_rules, op3_language_id, op4_substring_dedup, op5_secret_scans, op6_warc, op7_sentencepiece, op8_toxicity, op9_mixing, op10_document_fingerprints)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op1_all_pairs, op2_quality_rules, op3_language_id, op4_substring_dedup, op5_secret_scans, op6_warc, op7_sentencepiece, op7_viterbi, op8_toxicity, op9_mixing, op10_document_fingerprints)
 }
 ORACLE = {"op1_ngram_jaccard_join": ngram_join.ORACLE, "op1_all_pairs": ngram_join.ORACLE_ALL, "op2_quality_rules": quality.ORACLE, "op10_document_fingerprints": fingerprint.ORACLE}
