@@ -7,11 +7,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = r"[㐀-鿿]"
-CODE = r"HJ\s*[/T]*\s*(11(?:6[6-9]|7[0-6]))\s*[-—–]\s*2021"
-HEADING = r"(?m)^\s*([0-9]+(?:[.][0-9]+){0,3})\s+\S"
-OPERATORS = r"[=＝+×÷∑√<>≤≥]"
-FUNCTION_NAMES = r"(?i)\b(exp|sin|cos|ln|max|min)\b"
-FORMULA_NUMBER = r"[（(]\s*([A-Z]?\.?\d+(?:\.\d+)*)\s*[）)]"
+CODE = r"HJ\s*(11(?:6[6-9]|7[0-6]))\s*[-—]\s*2021"
+HEADING = r"(?md)^\s*([0-9]+(?:[.][0-9]+){0,3})\s+[^\n]"
+OPERATORS = r"[-=∑×·+−/<>≤≥\[\]{}]"
+FUNCTION_NAMES = r"(?iU)\b(exp|sin|cos|ln|max|min)\b"
+FORMULA_NUMBER = r"[（(]([A-Z](?:\.\d+)+|\d+(?:\.\d+)?)[）)]"
+TABLE_CAPTION = r"^表\s*[A-Z]?(?:\.\s*)?\d"
+FIGURE_CAPTION = r"^图\s*\d"
+#: Symbol of a definition (up to 30 characters before a double dash) and what it stands for; or a symbol that "is" something.
+DEFINITION = r"^(?:式中[：:]?\s*)?([^，,；;。]{1,30}?)\s*(?:——|--)\s*(.+)$"
+DEFINITION_IS = r"^(?:式中[：:]?\s*)?([A-Za-zΑ-ωΔλθρ′_,.]{1,16})\s+(为.+)$"
+TITLE_PREFIX = "全国生态状况调查评估技术规范"
 
 
 def _c(x: Column | str) -> Column:
@@ -52,10 +58,11 @@ def standard_code(text: Column | str, filename: Column | str | None = None) -> C
 
 
 def title(text: Column | str, fallback: Column | str) -> Column:
-    """The first line that begins with a double dash, without it; else the file name without ending and code."""
-    lines = F.filter(F.transform(F.split(_c(text), "\n"), lambda x: F.trim(x)), lambda x: x.startswith("——") & (F.length(x) > 2))
-    stem = F.trim(F.regexp_replace(F.regexp_replace(_c(fallback), r"\.[^.]*$", ""), CODE, ""))
-    return F.coalesce(F.regexp_replace(F.get(lines, F.lit(0)), "^——", ""), stem)
+    """The first line that begins with a double dash, without it; else the file name without ending, number and the series' name."""
+    lines = F.filter(F.transform(F.split(_c(text), r"[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"), normalize_space), lambda x: x.startswith("——") & (F.length(x) > 2))
+    stem = F.regexp_replace(F.regexp_extract(_c(fallback), r"([^/]*)$", 1), r"(?<=[^.])\.[^.]*$", "")
+    stem = F.regexp_replace(F.regexp_replace(stem, r"^\d+\.", ""), TITLE_PREFIX + "[—（(]?", "")
+    return F.coalesce(F.trim(F.ltrim(F.get(lines, F.lit(0)), F.lit("—"))), F.rtrim(stem, F.lit("）)")))
 
 
 def first_heading(text: Column | str) -> Column:
@@ -67,16 +74,20 @@ def block_kind(x: Column | str) -> Column:
     """formula, table, figure_caption or paragraph; the first rule that fits."""
     x = _c(x)
     return (
-        F.when(x.rlike(r"式中|公式\s*[（(]?\d"), "formula")
-        .when(x.rlike(r"(?m)^\s*表\s*[A-Z]?\.?\d"), "table")
-        .when(x.rlike(r"(?m)^\s*图\s*[A-Z]?\.?\d"), "figure_caption")
+        F.when(x.rlike(r"式中|公式[（(]?[A-Z]?\d"), "formula")
+        .when(x.rlike(r"(?U)(^|\s)表\s*[A-Z]?\d"), "table")
+        .when(x.rlike(r"(?U)(^|\s)图\s*\d"), "figure_caption")
         .otherwise("paragraph")
     )
 
 
+EXTERNAL_TEST = ("HJ 1171-2021", "HJ 1174-2021", "HJ 1175-2021")
+CORE = ("HJ 1172-2021", "HJ 1173-2021")
+
+
 def role(code: Column | str) -> Column:
     code = _c(code)
-    return F.when(code.isin("HJ 1174-2021", "HJ 1175-2021", "HJ 1176-2021"), "external_test").when(code.isin("HJ 1172-2021", "HJ 1173-2021"), "core").otherwise("support")
+    return F.when(code.isin(*EXTERNAL_TEST), "external_test").when(code.isin(*CORE), "core").otherwise("support")
 
 
 def terms(x: Column | str) -> Column:
@@ -98,12 +109,19 @@ def hash_mod(key: Column | str, modulus: int) -> Column:
     return (F.conv(F.substring(F.sha2(_c(key), 256), 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(modulus)).cast("int")
 
 
-_SYMBOLS = dict(zip("", "+-=×÷∑≤≥αβγδεηθλμπρστφωΔΣ±·()[]/"))
+#: Low bytes of the private-use characters that a symbol font leaves behind, and what they show.
+_SYMBOLS = dict(
+    zip(
+        (chr(0xF000 + int(x, 16)) for x in "28 29 2b 2d 3d 44 5b 5d 61 62 6c 71 72 a2 b0 b4 d7 e5 e6 e7 e8 e9 eb ec ed ee ef f6 f7 f8 f9 fb".split()),
+        "()+−=Δ[]αβλθρ′°×·∑⎛⎝⎞⎡⎧⎤⎨⎩⎪⎜⎟⎠⎣⎬",
+        strict=True,
+    )
+)
 
 
 def normalize_pdf_text(x: Column | str) -> Column:
     """Private-use symbols of PDF fonts as their Unicode characters, hard spaces as spaces, single blanks."""
-    x = F.translate(_c(x), "".join(_SYMBOLS) + " ", "".join(_SYMBOLS.values()) + " ")
+    x = F.translate(_c(x), "".join(_SYMBOLS) + "\u00a0", "".join(_SYMBOLS.values()) + " ")
     return F.trim(F.regexp_replace(x, r"[ \t]+", " "))
 
 
@@ -130,30 +148,39 @@ def is_formula_anchor(x: Column | str) -> Column:
 def is_formula_fragment(x: Column | str, height: Column | str, anchor_height: Column | str) -> Column:
     x = _c(x)
     small = _c(height) <= 0.75 * _c(anchor_height)
-    cjk = F.length(F.regexp_replace(x, rf"(?U)[^㐀-鿿]", ""))
-    return ~x.rlike(r"[：:。；;]\s*$") & ((cjk == 0) | ((F.length(x) <= 30) & (small | ((cjk <= 2) & has_operator(x)))))
+    cjk = F.length(F.regexp_replace(x, "[^㐀-鿿]", ""))
+    token = x.rlike(r"[-A-Za-z0-9=∑×·+−/<>≤≥]")
+    return ~x.rlike(r"[：:。；;]$") & ((cjk == 0) | ((F.length(x) <= 30) & (small | ((cjk <= 2) & token))))
 
 
 def is_definition(x: Column | str) -> Column:
-    return _c(x).rlike(r"^\s*(式中|[A-Za-zͰ-Ͽ][\w,′'{}]{0,12}\s*(?:——|—|－－|-{2,}|：))")
+    x = _c(x)
+    return x.rlike(DEFINITION) | x.rlike(DEFINITION_IS) | x.startswith("式中")
+
+
+def bridges_formula(x: Column | str) -> Column:
+    """Whether a paragraph leads over to another formula."""
+    return _c(x).rlike(r"[：:]$|计算公式|公式如下|计算如下|侵蚀量|风力侵蚀")
 
 
 def is_header_or_footer(x: Column | str, top: Column | str, bottom: Column | str, page_height: Column | str) -> Column:
     x = _c(x)
-    return ((_c(top) < 105) & x.rlike(CODE)) | ((_c(bottom) > _c(page_height) - 70) & x.rlike(r"^\s*[-—]?\s*(\d+|[IVXivx]+)\s*[-—]?\s*$"))
+    return ((_c(top) < 105) & x.rlike(r"^HJ\s*\d{4}[—-]\d{4}$")) | ((_c(bottom) > _c(page_height) - 70) & x.rlike(r"^\d+$"))
 
 
 def heading_parts(x: Column | str) -> Column:
     """(section, title) of an appendix, lettered or numbered heading; null for other lines."""
     x = _c(x)
-    appendix = r"^\s*附\s*录\s*([A-Z])\s*(.*)$"
-    lettered = r"^\s*([A-Z](?:\.\d+)+)\s+(\S.*)$"
-    numbered = r"^\s*(\d+(?:\.\d+)*)\s+(\S.*)$"
-    part = lambda k: F.coalesce(*(F.nullif(F.regexp_extract(x, p, k), F.lit("")) for p in (appendix, lettered, numbered)))
-    section = part(1)
-    first = F.split(section, r"\.")[0]
-    good = section.isNotNull() & ~is_formula_anchor(x) & ~F.coalesce(part(2), F.lit("")).startswith("式中") & F.coalesce(F.try_to_number(first, F.lit("999")) <= 30, F.lit(True))
-    return F.when(good, F.struct(section.alias("section"), F.trim(F.coalesce(part(2), F.lit(""))).alias("title")))
+    lettered, numbered = r"^([A-Z]\.\d+(?:\.\d+)*)\s+([㐀-鿿].{0,80})$", r"^(\d{1,2}(?:\.\d{1,2}){0,3})\s+([㐀-鿿].{0,80})$"
+    appendix = F.nullif(F.regexp_extract(x, r"^附\s*录\s*([A-Z])$", 1), F.lit(""))
+    part = lambda p: F.struct(F.regexp_extract(x, p, 1).alias("section"), F.regexp_extract(x, p, 2).alias("title"))
+    first = F.split_part(F.regexp_extract(x, numbered, 1), F.lit("."), F.lit(1)).cast("int")
+    return (
+        F.when(appendix.isNotNull(), F.struct(F.concat(F.lit("附录 "), appendix).alias("section"), F.lit("").alias("title")))
+        .when(is_formula_anchor(x), F.lit(None))
+        .when(x.rlike(lettered), part(lettered))
+        .when(x.rlike(numbered) & (first <= 30) & ~F.regexp_extract(x, numbered, 2).startswith("式中"), part(numbered))
+    )
 
 
 def line_kind(x: Column | str, header_footer: Column, in_table: Column) -> Column:
@@ -162,8 +189,8 @@ def line_kind(x: Column | str, header_footer: Column, in_table: Column) -> Colum
         F.when(header_footer, "header_footer")
         .when(in_table, "table_cell")
         .when(is_formula_anchor(x), "formula")
-        .when(x.rlike(r"^\s*表\s*[A-Z]?\.?\d"), "table_caption")
-        .when(x.rlike(r"^\s*图\s*[A-Z]?\.?\d"), "figure_caption")
+        .when(x.rlike(TABLE_CAPTION), "table_caption")
+        .when(x.rlike(FIGURE_CAPTION), "figure_caption")
         .when(heading_parts(x).isNotNull(), "heading")
         .otherwise("paragraph")
     )
@@ -196,9 +223,9 @@ def gazetteer_first(x: Column | str, words: list[str]) -> Column:
 
 
 def unit_of(definition: Column | str) -> Column:
-    """What follows the last comma of a definition, if it looks like a unit of measure."""
-    last = F.trim(F.regexp_extract(_c(definition), r"[，,]([^，,]{1,40})$", 1))
-    return F.when(last.rlike(r"^[A-Za-z0-9%‰°℃μ/·.\-^²³()（）\s]+$|无量纲|[吨元米克升秒天年]"), last).otherwise(F.lit(""))
+    """What follows the last comma of a definition, if it has a sign, digit or letter of a unit of measure; else ''."""
+    last = F.trim(F.regexp_extract(_c(definition), r"[，,]([^，,；;。]{1,40})[；;。]?$", 1))
+    return F.when(last.rlike("[%％/∙·0-9A-Za-z]|量纲"), last).otherwise(F.lit(""))
 
 
 def symbol_base(x: Column | str) -> Column:
@@ -210,46 +237,51 @@ def compact_math(x: Column | str) -> Column:
 
 
 def symbol_identity(x: Column | str) -> Column:
-    return F.translate(compact_math(x), "，′", ",'")
+    return F.translate(compact_math(x), "，’'", ",′′")
 
 
-def symbol_occurs(symbol: Column | str, expression: Column | str, fold: bool = False) -> Column:
-    """Whether a symbol or its base stands in an expression."""
-    s, e = compact_math(symbol), compact_math(expression)
+def symbol_occurs(symbol: Column | str, expression: Column | str, fold: bool = True) -> Column:
+    """Whether a symbol, its kinds of primes and commas made equal where ``fold`` is set, or its base stands in an expression."""
+    s, e = symbol_identity(symbol) if fold else compact_math(symbol), compact_math(expression)
     base = compact_math(symbol_base(symbol))
-    if fold:
-        s, e, base = F.lower(s), F.lower(e), F.lower(base)
     return (F.contains(e, s) & (s != "")) | (F.contains(e, base) & (base != ""))
 
 
 def split_compound(x: Column | str) -> Column:
     """The single letters of ``A、B和C``; other values as they are."""
     x = _c(x)
-    return F.when(x.rlike(r"^\s*[A-Za-z]\w?(\s*[、，,和及]\s*[A-Za-z]\w?)+\s*$"), F.regexp_extract_all(x, F.lit(r"[A-Za-z]\w?"), F.lit(0))).otherwise(F.array(x))
+    return F.when(x.rlike("^[A-Za-z](?:、[A-Za-z])+(?:和[A-Za-z])?$"), F.regexp_extract_all(x, F.lit("[A-Za-z]"), F.lit(0))).otherwise(F.array(x))
 
 
 def lhs_symbols(expression: Column | str) -> Column:
-    """For each equals sign the symbol that ends the part before it."""
-    parts = F.split(_c(expression), "[=＝]")
-    heads = F.when(F.size(parts) > 1, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<string>"))
-    return F.filter(F.transform(heads, lambda p: F.regexp_extract(p, r"([A-Za-zͰ-Ͽ][\w,′'{}]*)\s*$", 1)), lambda s: s != "")
+    """For each equals sign the symbol that ends the line or clause before it, in compact form, each once."""
+    x = _c(expression)
+    parts = F.split(x, "=")
+    places = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
+    # the text before the k-th sign
+    before = F.transform(places, lambda k: F.array_join(F.slice(parts, F.lit(1), k), "="))
+    segment = F.transform(before, lambda t: F.regexp_replace(F.trim(F.regexp_extract(t, r"([^;\n]*)$", 1)), "^[^A-Za-zͰ-Ͽ一-鿿]+", ""))
+    symbol = r"([A-Za-zͰ-Ͽ一-鿿]+[′’']?(?:_[A-Za-z0-9,]+)?(?:\s*\([^()=]{1,20}\))?)\s*$"
+    return unique(F.transform(segment, lambda t: compact_math(F.regexp_extract(t, symbol, 1))))
 
 
 def output_symbols(expression: Column | str, declared: Column | str) -> Column:
-    """Left-hand symbols as declared: the symbol of equal identity, else the only one of equal base, else itself."""
+    """Left-hand symbols as declared: the first symbol of equal identity, else the only one of equal base, else itself."""
     declared = _c(declared)
+    base_of = lambda s: symbol_identity(symbol_base(s))
 
     def resolve(s: Column) -> Column:
         same = F.filter(declared, lambda d: symbol_identity(d) == symbol_identity(s))
-        base = F.filter(declared, lambda d: symbol_base(d) == symbol_base(s))
+        base = F.filter(declared, lambda d: base_of(d) == base_of(s))
         return F.coalesce(F.get(same, F.lit(0)), F.when(F.size(base) == 1, F.get(base, F.lit(0))), s)
 
-    return F.array_distinct(F.transform(lhs_symbols(expression), resolve))
+    return unique(F.transform(lhs_symbols(expression), resolve))
 
 
 def heading_title(chain: Column | str) -> Column:
     """The last heading of a chain without its number."""
-    return F.trim(F.regexp_replace(F.coalesce(F.try_element_at(_c(chain), F.lit(-1)), F.lit("")), r"^\s*(?:附录\s*)?[A-Z]?\d*(?:\.\d+)*\s*", ""))
+    last = F.coalesce(F.try_element_at(_c(chain), F.lit(-1)), F.lit(""))
+    return clean_name(F.regexp_replace(last, r"^(?:附录\s*[A-Z]|[A-Z]?\d+(?:\.\d+)*)\s*", ""))
 
 
 def indicator_heading(chain: Column | str) -> Column:
@@ -257,11 +289,11 @@ def indicator_heading(chain: Column | str) -> Column:
 
 
 def clean_formula(x: Column | str) -> Column:
-    return F.regexp_replace(F.btrim(_c(x), F.lit(" ：:")), r"^(?:修正|通用)(?=水量平衡方程)", "")
+    return F.regexp_replace(F.btrim(_c(x), F.lit(" ：:")), "^(?:修正|通用)(?=水量平衡方程$)", "")
 
 
 def clean_indicator(x: Column | str) -> Column:
-    return F.regexp_replace(F.trim(_c(x)), r"^生态系统的?", "")
+    return F.regexp_replace(F.btrim(_c(x), F.lit(" ：:")), "^生态系统的?", "")
 
 
 def subject_name(document_title: Column | str) -> Column:

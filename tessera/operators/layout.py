@@ -1,15 +1,12 @@
 """Lines and tables of laid-out pages: boxes, islands, sessions, tables over pages.
 
-Rules that look at a bounded neighbourhood are window functions. Those whose
-state runs through a document (clusters of formulas, marks that earlier
-marks change) run in ``applyInPandas`` by document or page.
+Rules over tables of lines, as windows and joins inside a page. Those whose
+state runs through a document are in ``units``, which takes a document as one
+row.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,7 +26,7 @@ def overlap_ratio(inner: Column, outer: Column) -> Column:
     """The share of the inner box that lies in the outer one; 0 for a box without area."""
     w = F.greatest(F.least(_at(inner, 2), _at(outer, 2)) - F.greatest(_at(inner, 0), _at(outer, 0)), F.lit(0.0))
     h = F.greatest(F.least(_at(inner, 3), _at(outer, 3)) - F.greatest(_at(inner, 1), _at(outer, 1)), F.lit(0.0))
-    return F.coalesce(F.try_divide(w * h, area(inner)), F.lit(0.0))
+    return F.coalesce(w * h / F.greatest(area(inner), F.lit(0.001)), F.lit(0.0))
 
 
 def intersects(a: Column, b: Column) -> Column:
@@ -73,14 +70,6 @@ def captions(tables: DataFrame, lines: DataFrame, page: list[str], gap: float =
     return tables.drop("title").join(best, "table_id", "left").withColumn("title", F.coalesce("title", F.lit("")))
 
 
-def notes(tables: DataFrame, lines: DataFrame, page: list[str], above: float = 3, below: float = 80) -> DataFrame:
-    """(table_id, notes): note lines from ``above`` over to ``below`` under a table's lower edge."""
-    t = tables.select(*page, "table_id", _at(F.col("bbox"), 3).alias("_b"))
-    ln = lines.where(F.col("text").rlike(r"^\s*注\s*\d*\s*[：:]?")).select(*page, F.col("text").alias("_t"), _at(F.col("bbox"), 1).alias("_y"), F.col("reading_order").alias("_o"))
-    j = t.join(ln, page).where((F.col("_y") - F.col("_b") >= -above) & (F.col("_y") - F.col("_b") <= below))
-    return j.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_t"))), lambda s: s["_t"]).alias("notes"))
-
-
 def islands(rows: DataFrame, partition: list[str], order: list[str], breaks: Column, out: str = "island") -> DataFrame:
     """Numbers runs of rows; ``breaks`` (may use ``lag``, see ``previous``) is true where a new run begins."""
     w = Window.partitionBy(*partition).orderBy(*order)
@@ -92,16 +81,6 @@ def previous(column: str | Column, partition: list[str], order: list[str]) -> Co
     return F.lag(column).over(Window.partitionBy(*partition).orderBy(*order))
 
 
-def paragraphs(lines: DataFrame, document: str = "standard_code") -> DataFrame:
-    """Paragraph lines with the number of their paragraph in the page: a new one where the section changes, the gap is over 9, the indent grows by over 12, or another kind of line lies between."""
-    part, order = [document, "page"], ["reading_order"]
-    prev = lambda c: previous(c, part, order)
-    gap = _at(F.col("bbox"), 1) - prev(_at(F.col("bbox"), 3))
-    indent = _at(F.col("bbox"), 0) - prev(_at(F.col("bbox"), 0))
-    new = (prev("kind") != "paragraph") | ~F.col("section").eqNullSafe(prev("section")) | (gap > 9) | (indent > 12)
-    return islands(lines, part, order, new, "paragraph").where("kind = 'paragraph'")
-
-
 def fill_down(rows: DataFrame, columns: list[str], partition: list[str], order: list[str]) -> DataFrame:
     """Null cells take the last value above ('' is a value), within a chain of continued tables; ``inherited_columns`` names them. Rows without any value, their own or from above, go."""
     w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -121,180 +100,32 @@ def heading_chain(lines: DataFrame, document: str, order: list[str], section: st
     seq = F.row_number().over(Window.partitionBy(document).orderBy(*order))
     out = lines.withColumn("_s", seq).withColumn("_l", F.when(F.col(section).isNotNull(), level))
     for k in range(1, levels + 1):
-        out = out.withColumn(f"_h{k}", F.last(F.when(F.col("_l") == k, F.struct("_s", F.concat_ws(" ", section, title).alias("t"))), ignorenulls=True).over(w)).withColumn(f"_m{k}", F.max(F.when(F.col("_l") <= k, F.col("_s"))).over(w))
+        out = out.withColumn(f"_h{k}", F.last(F.when(F.col("_l") == k, F.struct("_s", F.trim(F.concat_ws(" ", section, title)).alias("t"))), ignorenulls=True).over(w)).withColumn(f"_m{k}", F.max(F.when(F.col("_l") <= k, F.col("_s"))).over(w))
     held = [F.when((F.col(f"_h{k}._s") >= F.coalesce(F.col(f"_m{k - 1}") if k > 1 else F.lit(0), F.lit(0))), F.col(f"_h{k}.t")) for k in range(1, levels + 1)]
     return out.withColumn("heading_chain", F.array_compact(F.array(*held))).drop("_s", "_l", *(f"_{x}{k}" for x in "hm" for k in range(1, levels + 1)))
 
 
-def variable_fragments(lines: DataFrame, part: list[str], order: list[str]) -> DataFrame:
-    """Marks (kind variable_fragment) short low lines right after a definition."""
-    height = _at(F.col("bbox"), 3) - _at(F.col("bbox"), 1)
-    w = Window.partitionBy(*part).orderBy(*order)
-    fits = T.is_definition(F.lag("text").over(w)) & (F.length("text") <= 20) & (height <= 0.75 * F.lag(height).over(w)) & (_at(F.col("bbox"), 1) - F.lag(_at(F.col("bbox"), 3)).over(w) <= 8)
-    return lines.withColumn("kind", F.when(fits, "variable_fragment").otherwise(F.col("kind")))
-
-
-def nearby_formula(lines: DataFrame, part: list[str], order: list[str], ahead: int = 12) -> DataFrame:
-    """``nearby_formula``: within the next lines a formula comes before any heading or 式中."""
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(1, ahead)
-    place = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
-    out = lines.withColumn("_n", place)
-    f = F.min(F.when(F.col("kind") == "formula", F.col("_n"))).over(w)
-    stop = F.min(F.when((F.col("kind") == "heading") | F.col("text").startswith("式中"), F.col("_n"))).over(w)
-    return out.withColumn("nearby_formula", f.isNotNull() & (stop.isNull() | (f < stop))).drop("_n")
-
-
-def adjacent_source(lines: DataFrame, part: list[str], order: list[str], trigger: str = r"来源|获取|采用|取自", after: int = 4) -> DataFrame:
-    """``adjacent_source_text``: the next lines joined, where they speak of a source; else ''."""
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(1, after)
-    joined = F.array_join(F.collect_list("text").over(w), "\n")
-    return lines.withColumn("adjacent_source_text", F.when(joined.rlike(trigger), joined).otherwise(""))
-
-
-def introduction(lines: DataFrame, part: list[str], order: list[str], before: int = 5) -> DataFrame:
-    """``introduction``: up to five paragraphs right before a line, back to the last structural line."""
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(-before, -1)
-    packed = F.collect_list(F.struct(F.col("kind").isin("paragraph", "variable_fragment").alias("p"), F.col("text").alias("t"))).over(w)
-    stop = F.array_max(F.transform(packed, lambda x, i: F.when(~x["p"], i + 1).otherwise(0)))
-    kept = F.filter(F.transform(packed, lambda x, i: F.struct(x["t"].alias("t"), i.alias("i"))), lambda s: s["i"] >= F.coalesce(stop, F.lit(0)))
-    return lines.withColumn("introduction", F.array_join(F.transform(kept, lambda s: s["t"]), "\n"))
-
-
-def definitions(lines: DataFrame, part: list[str], order: list[str]) -> DataFrame:
-    """(part, symbol, definition, unit) of definition lines; a fragment on the next line is the symbol's subscript."""
-    w = Window.partitionBy(*part).orderBy(*order)
-    after = F.when(F.lead("kind").over(w) == "variable_fragment", F.trim(F.lead("text").over(w)))
-    body = F.regexp_replace("text", r"^\s*式中\s*[：:]?\s*", "")
-    pattern = r"^\s*([A-Za-zͰ-Ͽ][\w,′'{}]{0,12})\s*(?:——|—|－－|-{2,}|：)\s*(.+?)[；;。]?\s*$"
-    found = lines.withColumn("_a", after).withColumn("_b", body).where(F.col("_b").rlike(pattern))
-    definition = F.regexp_extract("_b", pattern, 2)
-    return found.select(*part, *order, F.concat(F.regexp_extract("_b", pattern, 1), F.coalesce(F.concat(F.lit("_"), "_a"), F.lit(""))).alias("symbol"), definition.alias("definition"), T.unit_of(definition).alias("unit"))
-
-
-def formula_fragments(lines: DataFrame, part: list[str]) -> DataFrame:
-    """Marks fragments around formula anchors (kind formula_fragment): upwards while the gap is at most 24, downwards at most 10. Marks of one anchor bound the next, so a page is worked through in order."""
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("reading_order").reset_index(drop=True)
-        kind, text, box = pdf["kind"].tolist(), pdf["text"].tolist(), pdf["bbox"].tolist()
-        for a in [i for i, k in enumerate(kind) if k == "formula"]:
-            tall = box[a][3] - box[a][1]
-            for step, most in ((-1, 24), (1, 10)):
-                i, last = a + step, a
-                while 0 <= i < len(kind) and kind[i] == "paragraph":
-                    gap = box[last][1] - box[i][3] if step < 0 else box[i][1] - box[last][3]
-                    if gap > most or not _fragment(text[i], box[i][3] - box[i][1], tall):
-                        break
-                    kind[i], last = "formula_fragment", i
-                    i += step
-        return pdf.assign(kind=kind)
-
-    return lines.groupBy(*part).applyInPandas(page, lines.schema)
-
-
-_OPS = re.compile(r"[=＝+×÷∑√<>≤≥]|\b(?:exp|sin|cos|ln|max|min)\b", re.I)
-
-
-def _fragment(text: str, height: float, anchor: float) -> bool:
-    cjk = len(re.findall("[㐀-鿿]", text))
-    if re.search(r"[：:。；;]\s*$", text):
-        return False
-    return cjk == 0 or (len(text) <= 30 and (height <= 0.75 * anchor or (cjk <= 2 and bool(_OPS.search(text)))))
-
-
-def formula_clusters(lines: DataFrame, document: str = "standard_code") -> DataFrame:
-    """Adds ``cluster`` (null outside): formulas that follow each other belong together with their 式中 block, until a heading or a Chinese paragraph that isn't part of it."""
-    schema = lines.drop("cluster").withColumn("cluster", F.lit(None).cast("int")).schema
-
-    def doc(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "reading_order"]).reset_index(drop=True)
-        cluster: list[int | None] = [None] * len(pdf)
-        n, open_, defining = 0, False, False
-        for i, (kind, text) in enumerate(zip(pdf["kind"], pdf["text"])):
-            if kind == "formula":
-                if not open_ or defining:
-                    n += 1
-                open_, defining = True, False
-            elif not open_:
-                continue
-            elif text.startswith("式中"):
-                defining = True
-            elif kind in ("formula_fragment", "variable_fragment"):
-                pass
-            elif kind == "heading" or not (defining and re.match(r"^\s*[A-Za-zͰ-Ͽ][\w,′'{}]{0,12}\s*(?:——|—|：|-{2,})", text)):
-                open_ = defining = False
-                continue
-            cluster[i] = n
-        return pdf.assign(cluster=pd.array(cluster, dtype="Int32"))
-
-    return lines.groupBy(document).applyInPandas(doc, schema)
-
-
 def header_rows(rows: Column) -> Column:
-    """1 or 2: a first row with a null above a second row without digits makes two header rows."""
-    first, second = F.get(rows, F.lit(0)), F.get(rows, F.lit(1))
-    two = F.exists(first, lambda c: c.isNull()) & second.isNotNull() & ~F.exists(second, lambda c: F.coalesce(c, F.lit("")).rlike(r"\d"))
-    return F.when(F.coalesce(two, F.lit(False)), 2).otherwise(1)
+    """2 where, of more than two rows, the first has a null and the second has values, none with a digit; else 1, and 0 without rows."""
+    first, second = F.get(rows, F.lit(0)), F.filter(F.get(rows, F.lit(1)), lambda c: F.coalesce(c, F.lit("")) != "")
+    two = (F.size(rows) > 2) & F.exists(first, lambda c: c.isNull()) & (F.size(second) > 0) & ~F.exists(second, lambda c: c.rlike(r"\d"))
+    return F.when(F.coalesce(F.size(rows), F.lit(0)) < 1, 0).when(F.coalesce(two, F.lit(False)), 2).otherwise(1)
 
 
-def column_names(rows: Column) -> Column:
-    """Names from header rows: cells filled from the left, different parts joined by ' / ', repeats numbered."""
+def column_names(rows: Column, width: Column | None = None) -> Column:
+    """Names from header rows: empty cells filled from the left, values joined by ' / ' downwards but for one that repeats the one above, columns without any numbered, and repeated names too."""
     none = F.array().cast("array<string>")
-    filled = F.transform(rows, lambda r: F.aggregate(r, none, lambda acc, c: F.concat(acc, F.array(F.coalesce(c, F.element_at(F.concat(F.array(F.lit("")), acc), -1))))))
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    names = F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.array_join(F.array_distinct(F.filter(F.transform(filled, lambda r: F.trim(F.coalesce(F.get(r, k), F.lit("")))), lambda x: x != "")), " / "))
-    seen = lambda i: F.size(F.filter(F.slice(names, F.lit(1), i + 1), lambda o: o == F.get(names, i)))
-    return F.transform(names, lambda n, i: F.when(seen(i) > 1, F.concat(n, F.lit("_"), seen(i).cast("string"))).otherwise(n))
-
-
-def pad_rows(rows: Column) -> Column:
-    """Ragged rows filled with nulls to the widest."""
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    return F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(None).cast("string"), width - F.size(r))))
-
-
-def cells(names: Column, values: Column) -> Column:
-    return F.map_from_arrays(names, values)
-
-
-def row_text(cell_map: Column) -> Column:
-    """Cells that aren't empty as 'name：value', joined by '；'."""
-    full = F.map_filter(cell_map, lambda k, v: F.coalesce(F.trim(v), F.lit("")) != "")
-    return F.array_join(F.transform(F.map_entries(full), lambda e: F.concat(e["key"], F.lit("："), e["value"])), "；")
-
-
-def row_box(boxes: Column) -> Column:
-    """The box of a row from its cells of at most 1.5 times the least height."""
-    good = F.filter(boxes, lambda b: b.isNotNull() & (F.size(b) == 4))
-    low = F.array_min(F.transform(good, lambda b: _at(b, 3) - _at(b, 1)))
-    flat = F.filter(good, lambda b: _at(b, 3) - _at(b, 1) <= 1.5 * low)
-    pick = lambda k, f: f(F.transform(flat, lambda b: _at(b, k)))
-    return F.when(F.size(flat) > 0, F.array(pick(0, F.array_min), pick(1, F.array_min), pick(2, F.array_max), pick(3, F.array_max))).otherwise(F.array().cast("array<double>"))
-
-
-def continued_tables(tables: DataFrame, document: str = "standard_code") -> DataFrame:
-    """``continued_from_table_id``: the table before, on the page before, where it ends low, this one begins high, and both are as wide; ``chain`` is the first table of such a row."""
-    w = Window.partitionBy(document).orderBy("page", _at(F.col("bbox"), 1))
-    prev = lambda c: F.lag(c).over(w)
-    width = F.size("column_names")
-    goes_on = (prev("page") == F.col("page") - 1) & (prev(_at(F.col("bbox"), 3)) >= prev("page_height") - 120) & (_at(F.col("bbox"), 1) <= 150) & (prev(width) == width)
-    out = tables.withColumn("continued_from_table_id", F.when(goes_on, prev("table_id")))
-    begins = F.when(F.col("continued_from_table_id").isNull(), F.col("table_id"))
-    return out.withColumn("chain", F.last(begins, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def repeated_header_rows(header: Column, rows: Column) -> Column:
-    """How many first rows of a continued table repeat the header of the table before."""
-    same = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.size(header), F.size(rows)), F.lit(1))), lambda k: F.slice(rows, F.lit(1), k) == F.slice(header, F.lit(1), k))
-    return F.coalesce(F.size(F.filter(same, lambda s: s)), F.lit(0))
+    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(""))
+    filled = F.transform(rows, lambda r: F.aggregate(r, none, lambda acc, c: F.concat(acc, F.array(F.coalesce(F.nullif(c, F.lit("")), last(acc))))))
+    width = F.array_max(F.transform(rows, lambda r: F.size(r))) if width is None else width
+    at = lambda k: F.transform(filled, lambda r: F.trim(F.coalesce(F.get(r, k), F.lit(""))))
+    parts = lambda k: F.aggregate(at(k), none, lambda acc, x: F.when((x != "") & ((F.size(acc) == 0) | (last(acc) != x)), F.concat(acc, F.array(x))).otherwise(acc))
+    named = F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.coalesce(F.nullif(F.array_join(parts(k), " / "), F.lit("")), F.concat(F.lit("column_"), (k + 1).cast("string"))))
+    seen = lambda i: F.size(F.filter(F.slice(named, F.lit(1), i + 1), lambda o: o == F.get(named, i)))
+    return F.transform(named, lambda n, i: F.when(seen(i) > 1, F.concat(n, F.lit("_"), seen(i).cast("string"))).otherwise(n))
 
 
 def reading_order_ok(rows: DataFrame, part: list[str], order: str, place: list[str]) -> DataFrame:
     """(part, ok): the order rises strictly along the given place."""
     prev = F.lag(order).over(Window.partitionBy(*part).orderBy(*place))
     return rows.withColumn("_ok", prev.isNull() | (prev < F.col(order))).groupBy(*part).agg(F.bool_and("_ok").alias("ok"))
-
-
-def unique_lines(lines: DataFrame) -> DataFrame:
-    """Lines once per line_id, by page and reading order."""
-    return lines.dropDuplicates(["line_id"]).orderBy("page", "reading_order")
