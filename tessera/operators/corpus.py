@@ -42,7 +42,7 @@ def chunk_bounds(text: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP, mar
 
 
 def chunks(docs: DataFrame, key: str, text: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP, marks: str = MARKS) -> DataFrame:
-    """(key, chunk_no, start, chunk): chunks without white space at their ends, the empty ones left out.
+    """(key, chunk_no, start, chunk): chunks of each text, whose white space is folded to single spaces before it is cut.
 
     Each cut depends on the one before, so a chunker runs over Arrow batches; rows need no shuffle.
     """
@@ -53,11 +53,11 @@ def chunks(docs: DataFrame, key: str, text: str, size: int = CHUNK_CHARS, overla
             at, no, start, out, held = [], [], [], [], 0
             for row, x in enumerate(batch.column(1).to_pylist()):
                 k = 0
-                for a, b in chunk_bounds(x or "", size, overlap, marks):
-                    if c := x[a:b].strip():
-                        k += 1
-                        at.append(row), no.append(k), start.append(a), out.append(c)
-                        held += len(c)
+                x = " ".join((x or "").split())
+                for a, b in chunk_bounds(x, size, overlap, marks):
+                    k += 1
+                    at.append(row), no.append(k), start.append(a), out.append(x[a:b])
+                    held += b - a
                 if held > 8 << 20:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(no, pa.int32()), pa.array(start, pa.int32()), pa.array(out, pa.string())], names=[key, "chunk_no", "start", "chunk"])
                     at, no, start, out, held = [], [], [], [], 0
@@ -75,7 +75,7 @@ def document_chunks(pages: DataFrame) -> DataFrame:
     cut = cut.join(pages.withColumn("_key", F.struct("standard_code", "page").cast("string")).drop("text"), "_key").drop("_key")
     so_far = Window.partitionBy("standard_code").orderBy("page", "chunk_no").rowsBetween(Window.unboundedPreceding, 0)
     section = F.coalesce(F.last(T.first_heading("chunk"), ignorenulls=True).over(so_far), F.lit(""))
-    code = F.regexp_replace("standard_code", r"\s|-2021$", "")
+    code = F.replace(F.replace("standard_code", F.lit(" "), F.lit("")), F.lit("-"), F.lit("_"))
     return cut.withColumn("section", section).select(
         F.concat(code, F.lit("-p"), "page", F.lit("-c"), "chunk_no").alias("chunk_id"), "standard_code", "document_title", "page", "section", T.block_kind("chunk").alias("block_type"), F.col("chunk").alias("text"), "source_file", "source_sha256",
         T.stable_id("standard_code", F.when(F.col("section") != "", F.col("section")).otherwise(F.concat(F.lit("page-"), "page"))).alias("path_id"), F.lit(None).cast("array<double>").alias("bbox"),
@@ -97,8 +97,9 @@ def group_split(rows: DataFrame, group: str, external: Column, seed: int = 42, o
 
 
 def unit_split(role: Column, code: Column, group: Column) -> Column:
-    """external_test documents to test, others than core to train; of core a fifth of the groups to dev."""
-    return F.when(role == "external_test", "test").when(role != "core", "train").when(T.hash_mod(F.concat_ws("|", code, group), 5) == 0, "dev").otherwise("train")
+    """external_test documents to test, others than core to train; of core a fifth of the groups to dev. ``group`` is '|table|id' or '|section|number', as in ``annotate.unit_split``."""
+    bucket = F.conv(T.stable_id(F.lit("split-v2"), F.concat(code, group)), 16, 10).cast("decimal(20,0)") % 5
+    return F.when(role == "external_test", "test").when(role != "core", "train").when(bucket == 0, "dev").otherwise("train")
 
 
 def triple_split(evidence: DataFrame, triple: str, split: str = "split") -> DataFrame:

@@ -68,7 +68,7 @@ def ranking(rows: DataFrame, ks: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
 
 def evidence_overlap(gold: DataFrame, predicted: DataFrame, key: list[str], evidence: str) -> DataFrame:
     """Over keys of both sides: how often their evidence sets meet, and how often they are equal; null where no key matches."""
-    side = lambda d, name: d.select(*key, F.explode(evidence).alias("e")).withColumn("e", F.col("e").cast("string")).groupBy(*key).agg(F.array_sort(F.collect_set("e")).alias(name))
+    side = lambda d, name: d.select(*key, F.explode_outer(evidence).alias("e")).withColumn("e", F.col("e").cast("string")).groupBy(*key).agg(F.array_sort(F.collect_set("e")).alias(name))
     both = side(gold, "g").join(side(predicted, "p"), key)
     n = F.count("*")
     return both.agg(n.alias("matched"), F.round(F.try_divide(F.count_if(F.arrays_overlap("g", "p")), n), 6).alias("overlap_rate"), F.round(F.try_divide(F.count_if(F.col("g") == F.col("p")), n), 6).alias("exact_rate"))

@@ -1,56 +1,54 @@
-"""Relations from texts and units by declarative rules.
+"""Relations of chunks by declarative rules and by a language model, and training examples made from them.
 
-Each rule yields an array of edges as a column; exploding their
-concatenation gives all relations of a unit in one pass, without a join.
+The rules yield an array of edges as a column; exploding their
+concatenation gives all relations of a chunk in one pass, without a join.
+Units have rules of their own, in ``annotate``.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
 import re
+import time
+import urllib.error
+import urllib.request
+from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from tessera.functions import text as T
-from tessera.operators import evidence, ontology
+from tessera.operators import annotate, evidence, ontology
+from tessera.operators.units import by_row, stable_id
 
-INSTRUMENTS = "定位工具 相机 光合有效辐射计 红外相机 土壤水分传感器 时域反射仪 涡度相关仪 蒸渗仪 叶面积指数仪 生长锥 测高仪 测径尺 流速仪 罗盘 GPS".split()
-SOURCES = "分类结果 高空间分辨率数据 通量站 监测站 已有观测站点 已有水文观测站点 训练样本 观测数据 光学数据 DEM 数字高程模型 数字高程模型（DEM） 土地覆盖数据 土地利用数据 降雨量资料 气象数据 长期监测数据 野外调查数据 地面调查数据 遥感数据 遥感影像 遥感图像 遥感影像数据".split()
-ECOSYSTEMS = "冰川/永久积雪 城市绿地 耕地 裸地 农田 草地 灌丛 森林 盐碱地 沙地 沙漠 河流 湖泊 沼泽 稀疏草地 草丛 草原 草甸 稀疏林 针阔混交林 阔叶林 针叶林 荒漠生态系统 城镇生态系统 农田生态系统 湿地生态系统 草地生态系统 灌丛生态系统 森林生态系统 陆地生态系统".split()
-SPACES = "评估区域 项目区 生态功能区 评估区 省市县级行政区域 省级行政区 全国".split()
-GENERIC = "方法 具体方法 计算方法 评估方法 观测方法 调查方法".split()
-_EDGE = "head_name string, head_type string, relation_type string, tail_name string, tail_type string, evidence_text string"
-_EDGES = "array<struct<head_name:string,head_type:string,relation_type:string,tail_name:string,tail_type:string,evidence_text:string>>"
-PROCEDURE = r"采用|按照|应当?|观测|调查|测量|测定|计算|取样|采样|记录"
-QUALITY = r"质量(?:控制|保证|要求)|误差|精度|校核|复核|检查|剔除|补测|不低于|不高于|不少于|不超过"
+_EDGE = "array<struct<head_name:string,head_type:string,relation_type:string,tail_name:string,tail_type:string,evidence_text:string>>"
+_USES = "运用([^，。；]{2,45}?)(?:计算|估算)([^，。；]{2,32}?)(?:，|。|；|具体)"
+_EQI = "(生态系统质量).*?(?:计算公式为|构建.*?公式).*?(EQI)"
+_NEEDS = "生态系统质量由([^。；]{4,90}?)的?相对密度"
+SYSTEM = "Extract relations between named things from the text of a technical standard. Use the text alone, infer nothing, and answer in JSON only."
+TRAINING_SYSTEM = "From the evidence given, answer with one relation as JSON and add nothing that it doesn't say."
+SELECT_SYSTEM = "Choose among the candidate entities and relations those that the text states. Change no name, type or evidence. 只输出单行紧凑JSON, without Markdown, comments or line breaks."
 
 
-def _edge(head: Column, head_type: str, relation: str, tail: Column, tail_type: str, why: Column) -> Column:
-    return F.struct(head.alias("head_name"), F.lit(head_type).alias("head_type"), F.lit(relation).alias("relation_type"), tail.alias("tail_name"), F.lit(tail_type).alias("tail_type"), why.alias("evidence_text"))
+# -- rules ------------------------------------------------------------------
 
 
-def _edges(*parts: Column) -> Column:
-    """Edges whose ends have names."""
-    return F.filter(F.concat(*(F.coalesce(p.cast(_EDGES), F.array().cast(_EDGES)) for p in parts)), lambda e: (F.coalesce(e["head_name"], F.lit("")) != "") & (F.coalesce(e["tail_name"], F.lit("")) != ""))
-
-
-_USES = r"([㐀-鿿A-Za-z]{2,20}?)(?:的)?(?:计算)?(?:采用|使用|利用)([㐀-鿿A-Za-z（）()]{2,30}?(?:方程|模型|公式|法))(?:进行)?(?:计算|评估|核算|估算)"
-_EQI = r"(生态系统质量)[^。]*?(?:计算公式为|构建[^。]*?公式)[^。]*?(EQI)"
-_NEEDS = r"生态系统质量由([^。；]{4,90}?)的?相对密度"
+def _edge(head: Column, relation: str, tail: Column, tail_type: str, why: Column) -> Column:
+    return F.struct(head.alias("head_name"), F.lit("indicator").alias("head_type"), F.lit(relation).alias("relation_type"), tail.alias("tail_name"), F.lit(tail_type).alias("tail_type"), why.alias("evidence_text"))
 
 
 def chunk_edges(text: str = "text") -> Column:
-    """First-generation rules over a chunk: formulas used, the quality index, its parameters."""
+    """First-generation rules over a chunk: formulas used, the quality index, and what that depends on."""
     t = T.normalize_space(text)
-    uses = F.transform(F.regexp_extract_all(t, F.lit(_USES), F.lit(0)), lambda m: _edge(T.clean_indicator(F.regexp_extract(m, _USES, 1)), "indicator", "uses_formula", T.clean_formula(F.regexp_extract(m, _USES, 2)), "formula", m))
-    whole = F.regexp_extract(t, _EQI, 0)
-    eqi = F.when(whole != "", F.array(_edge(F.regexp_extract(t, _EQI, 1), "indicator", "uses_formula", F.regexp_extract(t, _EQI, 2), "formula", whole)))
-    why = F.regexp_extract(t, _NEEDS, 0)
-    names = F.filter(F.transform(F.split(F.regexp_extract(t, _NEEDS, 1), "[、，和及与]"), lambda x: F.trim(x)), lambda x: F.length(x) >= 2)
-    needs = F.when(why != "", F.transform(names, lambda n: _edge(F.lit("生态系统质量"), "indicator", "depends_on", n, "parameter", why)))
-    return _edges(uses, eqi, needs)
+    part = lambda m, p, k: F.regexp_extract(m, p, k)
+    uses = F.transform(F.regexp_extract_all(t, F.lit(_USES), F.lit(0)), lambda m: _edge(T.clean_indicator(part(m, _USES, 2)), "uses_formula", T.clean_formula(part(m, _USES, 1)), "formula", m))
+    whole, why = part(t, _EQI, 0), part(t, _NEEDS, 0)
+    quality = F.when(whole != "", F.array(_edge(part(t, _EQI, 1), "uses_formula", part(t, _EQI, 2), "formula", whole)))
+    names = F.filter(F.transform(F.split(part(t, _NEEDS, 1), "[、，和及与]"), lambda x: F.trim(x)), lambda x: F.length(x) >= 2)
+    needs = F.when(why != "", F.transform(names, lambda n: _edge(F.lit("生态系统质量"), "depends_on", n, "parameter", why)))
+    return F.concat(*(F.coalesce(p.cast(_EDGE), F.array().cast(_EDGE)) for p in (uses, quality, needs)))
 
 
 def with_ids(relations: DataFrame) -> DataFrame:
@@ -62,8 +60,9 @@ def with_ids(relations: DataFrame) -> DataFrame:
 def rule_relations(chunks: DataFrame) -> DataFrame:
     """Candidate relations of chunks, with ids, nested evidence, method and confidence."""
     e = chunks.select("*", F.explode(chunk_edges("text")).alias("e"))
-    r = e.select("standard_code", "page", "path_id", "e.*", F.struct("standard_code", "page", "section", "chunk_id", F.col("e.evidence_text").alias("evidence_text"), "source_sha256").alias("evidence")).drop("evidence_text")
-    return with_ids(r).withColumns({"extraction_method": F.lit("rule"), "confidence": F.lit(1.0), "review_status": F.lit("pending")})
+    source = F.struct("standard_code", "page", "section", "chunk_id", F.col("e.evidence_text").alias("evidence_text"), "source_sha256")
+    r = with_ids(e.select("standard_code", "page", "path_id", "e.*", source.alias("evidence")).drop("evidence_text"))
+    return r.withColumns({"extraction_method": F.lit("rule"), "confidence": F.lit(1.0), "review_status": F.lit("unreviewed")})
 
 
 def extract(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,200 +71,329 @@ def extract(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return done.where("valid").drop("valid", "reason"), done.where("NOT valid").select("relation_id", "reason")
 
 
-_METHOD = re.compile(r"([㐀-鿿A-Za-z0-9（）()·—\-]{1,30}?(?:调查|观测|测量|测定|计算|估算|分析|插值|抽样|样方|观察|照相|烘干|模型|机器学习|回归|统计)法|[㐀-鿿A-Za-z]{2,24}(?:方程|模型|算法))")
-_LEAD = re.compile(r"^(?:可|应|宜|并|再|主要|一般|通常)*(?:采用|使用|利用|通过|按照|依据|基于|根据|选用)(?:的)?")
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def method_candidates(texts: pd.Series) -> pd.Series:
-    """Names of methods in a text; look-behind and list splits make this a rule for Python, by batches."""
-
-    def one(text) -> list[str]:
-        out: dict[str, None] = {}
-        for m in _METHOD.finditer(text or ""):
-            for part in re.split("[、，和及与或]", m.group(1)):
-                name = _LEAD.sub("", part).strip(" ：:，,。；;（(")
-                if 2 <= len(name) <= 28 and name not in GENERIC and re.search(r"(?:法|方程|模型|算法)$", name):
-                    out.setdefault(name)
-        return list(out)
-
-    return texts.map(one)
-
-
-def quality_candidates(text: str | Column) -> Column:
-    """Threshold phrases as canonical rules."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(r"[㐀-鿿]{2,12}(?:不低于|不高于|不少于|不超过|应?小于|应?大于)\s*[0-9.]+\s*[%％a-zA-Z㐀-鿿]{0,3}"), F.lit(0)), lambda m: F.regexp_replace(m, r"\s+", "")))
-
-
-def ecosystems(text: str | Column) -> Column:
-    x = F.col(text) if isinstance(text, str) else text
-    return F.array_union(T.gazetteer(x, ECOSYSTEMS), F.regexp_extract_all(x, F.lit("第[ⅠⅡⅢ一二三四五]类植被生态系统"), F.lit(0)))
-
-
-def formula_edges(units: DataFrame) -> DataFrame:
-    """Edges of formula packages: (unit_id, edge columns). Units have provenance (standard_code, document_title, heading_chain), introduction, interstitial_text, adjacent_source_text, formulas and variable_definitions."""
-    v = F.col("variable_definitions")
-    package = F.concat_ws(" ", "introduction", "interstitial_text", "adjacent_source_text", F.array_join(F.transform(v, lambda x: F.coalesce(x["definition"], F.lit(""))), " "))
-    u = units.select("*", package.alias("_text"), F.explode("formulas").alias("_f")).withColumn("_methods", method_candidates("_text"))
-    expr = F.col("_f.expression_text")
-    name = F.concat(F.lit("公式（"), F.col("_f.formula_number"), F.lit("）"))
-    heading = T.heading_title("provenance.heading_chain")
-    indicator = F.when(~heading.isin("评估技术方法", "指标与方法", "评估结果") & (T.subject_name("provenance.document_title") != ""), heading).otherwise("")
-    occurs = F.filter(v, lambda x: T.symbol_occurs(x["symbol"], expr, fold=True))
-    used = F.when((~F.contains(expr, F.lit("=")) | (F.size(occurs) == 0)) & (F.size("formulas") == 1), v).otherwise(occurs)
-    outs = T.lhs_symbols(expr)
-    is_out = lambda x: F.exists(outs, lambda o: (o == x["symbol"]) | (T.symbol_base(o) == T.symbol_base(x["symbol"])))
-    outputs = F.filter(used, is_out)
-    e = lambda h, ht, r, t, tt: _edge(h, ht, r, t, tt, expr)
-    all_ = _edges(
-        F.array(e(T.subject_name("provenance.document_title"), "assessment_subject", "has_indicator", indicator, "assessment_indicator"), e(indicator, "assessment_indicator", "calculated_by", name, "formula")),
-        F.transform(outputs, lambda x: e(name, "formula", "has_output", x["symbol"], "model_variable")),
-        F.transform(F.filter(used, lambda x: ~is_out(x)), lambda x: e(name, "formula", "has_input", x["symbol"], "model_variable")),
-        F.transform(outputs, lambda x: e(x["symbol"], "model_variable", "calculated_by", name, "formula")),
-        F.transform(used, lambda x: e(x["symbol"], "model_variable", "has_unit", T.clean_name(x["unit"]), "unit")),
-        F.flatten(F.transform(outputs, lambda x: F.transform("_methods", lambda m: e(x["symbol"], "model_variable", "obtained_by", m, "method")))),
-        F.flatten(F.transform(used, lambda x: F.transform(T.gazetteer(x["definition"], SOURCES), lambda s: e(x["symbol"], "model_variable", "sourced_from", s, "data_source")))),
-        F.transform(ecosystems("_text"), lambda x: e(name, "formula", "applies_to_ecosystem", x, "ecosystem_type")),
-        F.transform(T.gazetteer_maximal("_text", SPACES), lambda x: e(name, "formula", "applies_to_space", x, "spatial_scope")),
-    )
-    return u.select("unit_id", F.explode(F.array_distinct(all_)).alias("e")).select("unit_id", "e.*")
-
-
-def table_edges(units: DataFrame) -> DataFrame:
-    """Edges of table records. The first of four kinds that fits a row is taken: quality, observation, grading, indicator. Classification rows have none."""
-    cell = lambda k: T.clean_name(F.coalesce(F.try_element_at("cells", F.lit(k)), F.lit("")))
-    values = F.array_join(F.filter(F.map_values("cells"), lambda x: F.coalesce(x, F.lit("")) != ""), " ")
-    u = units.withColumn("_text", values).withColumn("_methods", method_candidates("_text"))
-    text = F.col("_text")
-    e = lambda h, ht, r, t, tt: _edge(h, ht, r, t, tt, text)
-    subject = T.subject_name("provenance.document_title")
-    classes = F.exists(F.map_entries("cells"), lambda x: x["key"].rlike("^(?:[ⅠⅡⅢ一二三]级分类|分类依据)$") & (F.coalesce(x["value"], F.lit("")) != ""))
-    need = cell("具体要求")
-    quality = F.array(e(F.coalesce(F.nullif(F.regexp_replace(cell("内容"), "质量$", ""), F.lit("")), F.lit("数据")), "data_source", "constrained_by", F.left(F.concat(F.coalesce(F.nullif(cell("二级指标"), F.lit("")), F.lit("质量规则")), F.lit("："), need), F.lit(240)), "quality_rule"))
-    var = F.coalesce(F.nullif(cell("观测指标"), F.lit("")), cell("核查指标"))
-    real = lambda x: F.when(~x.isin("—", "-", "/"), x).otherwise("")
-    content = cell("观测内容")
-    methods = F.array_distinct(F.concat("_methods", F.when(content.rlike("(?:观测|调查|测量|测定|检尺)$"), F.array(content)).otherwise(F.array().cast("array<string>"))))
-    observation = _edges(
-        F.array(e(var, "observation_variable", "observed_during", real(cell("观测时间")), "temporal_scope"), e(var, "observation_variable", "observed_every", real(cell("观测频度")), "frequency")),
-        F.transform(T.gazetteer(text, INSTRUMENTS), lambda x: e(var, "observation_variable", "measured_with", x, "instrument")),
-        F.transform(methods, lambda x: e(var, "observation_variable", "obtained_by", x, "method")),
-        F.transform(T.gazetteer(text, SOURCES), lambda x: e(var, "observation_variable", "sourced_from", x, "data_source")),
-    )
-    graded = T.clean_name(F.regexp_replace(F.regexp_replace("table_title", r"^表\s*[A-Z]?\d+(?:\.\d+)?\s*", ""), "(?:分级标准表?|分级|等级划分表?)$", ""))
-    rule = F.array_join(F.array_compact(F.array(*(F.when(cell(k) != "", F.concat(F.lit(f"{k}："), cell(k))) for k in "优良中低差"))), "；")
-    listed = F.left(F.array_join(F.transform(F.filter(F.map_entries("cells"), lambda x: ~F.coalesce(x["value"], F.lit("")).isin("", "—")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), "；"), F.lit(240))
-    names = F.when(graded == "生态系统质量", F.array(F.lit("生态系统质量指数（EQI）"), F.lit("EQI"))).otherwise(F.array(graded))
-    grading = F.flatten(F.transform(names, lambda n: F.concat(F.array(e(subject, "assessment_subject", "has_indicator", n, "assessment_indicator")), F.transform(T.unique(F.array(rule, listed)), lambda r: e(n, "assessment_indicator", "classified_by", r, "classification_rule")))))
-    is_grading = F.col("table_title").rlike("分级|等级|程度") & listed.rlike(r"[<>≤≥％%]|\d") & (subject != "")
-    ind = F.coalesce(F.nullif(cell("评估指标"), F.lit("")), F.nullif(cell("调查评估指标"), F.lit("")), F.when(subject != "", cell("二级指标")), F.lit(""))
-    indicator = F.concat(F.array(e(subject, "assessment_subject", "has_indicator", ind, "assessment_indicator")), F.transform(ecosystems(text), lambda x: e(ind, "assessment_indicator", "applies_to_ecosystem", x, "ecosystem_type")))
-    chosen = F.when(classes, F.array().cast(_EDGES)).when((F.col("provenance.standard_code") == "HJ 1176-2021") & (need != ""), quality.cast(_EDGES)).when(var != "", observation.cast(_EDGES)).when(is_grading, grading.cast(_EDGES)).otherwise(indicator.cast(_EDGES))
-    return u.select("unit_id", F.explode(F.array_distinct(_edges(chosen))).alias("e")).select("unit_id", "e.*")
-
-
-def clause_edges(units: DataFrame) -> DataFrame:
-    """Edges of procedure and quality clauses: methods with rules, ecosystems and scopes of the same clause (a cross product inside the unit). Short clauses and contents pages have none."""
-    u = units.where((F.length("clause_text") >= 8) & ~F.contains("clause_text", F.lit("目 次"))).withColumn("_methods", method_candidates("clause_text"))
-    t = F.col("clause_text")
-    e = lambda h, ht, r, x, tt: _edge(h, ht, r, x, tt, t)
-    each = lambda items, f: F.flatten(F.transform("_methods", lambda m: F.transform(items, lambda x: f(m, x))))
-    sources = T.gazetteer_first(t, SOURCES)
-    all_ = _edges(
-        each(quality_candidates(t), lambda m, x: e(m, "method", "constrained_by", x, "quality_rule")),
-        each(ecosystems(t), lambda m, x: e(m, "method", "applies_to_ecosystem", x, "ecosystem_type")),
-        each(T.gazetteer_maximal(t, SPACES), lambda m, x: e(m, "method", "applies_to_space", x, "spatial_scope")),
-        F.flatten(F.transform(sources, lambda s: F.transform(quality_candidates(t), lambda r: e(s, "data_source", "constrained_by", r, "quality_rule")))),
-    )
-    return u.select("unit_id", F.explode(F.array_distinct(all_)).alias("e")).select("unit_id", "e.*")
-
-
-def predictions(units: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per unit: entities and relations sorted, and why there are no relations. Units without edges stay."""
-    r = edges.select("unit_id", F.struct(T.stable_id("unit_id", "head_type", "head_name").alias("head_id"), "head_name", "head_type", "relation_type", T.stable_id("unit_id", "tail_type", "tail_name").alias("tail_id"), "tail_name", "tail_type").alias("r"))
-    e = edges.select("unit_id", F.explode(F.array(F.struct(F.col("head_type").alias("entity_type"), F.col("head_name").alias("name")), F.struct(F.col("tail_type").alias("entity_type"), F.col("tail_name").alias("name")))).alias("e"))
-    both = r.groupBy("unit_id").agg(F.array_sort(F.collect_set("r")).alias("relations")).join(e.groupBy("unit_id").agg(F.array_sort(F.collect_set("e")).alias("entities")), "unit_id")
-    out = units.select("unit_id").join(both, "unit_id", "left")
-    return out.select("unit_id", "entities", "relations", F.when(F.coalesce(F.size("relations"), F.lit(0)) == 0, "no rule applies").otherwise("").alias("no_relation_reason"))
-
-
-def clause_units(paragraphs: DataFrame, unit: list[str]) -> DataFrame:
-    """Clauses from paragraphs (unit columns, text): quality before procedure; other paragraphs go."""
-    t = T.normalize_pdf_text("text")
-    kind = F.when(t.rlike(QUALITY), "quality_clause").when(t.rlike(PROCEDURE), "procedure_clause")
-    p = paragraphs.withColumn("unit_type", kind).where("unit_type IS NOT NULL")
-    q = F.col("unit_type") == "quality_clause"
-    none = F.array().cast("array<string>")
-    return p.select(
-        *unit, T.stable_id(*unit, "unit_type").alias("unit_id"), "unit_type", t.alias("clause_text"),
-        F.when(q, T.matched(t, QUALITY)).otherwise(T.matched(t, PROCEDURE)).alias("trigger_terms"),
-        F.when(q, T.matched(t, r"(?:不低于|不高于|不少于|不超过|[≥≤<>])\s*\d+(?:\.\d+)?\s*[%％a-z次]*")).otherwise(none).alias("threshold_mentions"),
-        F.when(q, T.gazetteer(t, "检查 校核 复核 修正 剔除 补测".split())).otherwise(none).alias("action_mentions"),
-        F.when(~q, T.matched(t, r"\d+\s*[—\-～~至]\s*\d+\s*月|[每多一]年|每月|每季度|生长季|基准年")).otherwise(none).alias("temporal_mentions"),
-        F.when(~q, T.matched(t, r"(?:[一每]年|每月|每季度)\s*[\d一]*\s*次")).otherwise(none).alias("frequency_mentions"),
-        F.when(~q, T.matched(t, "[^，。；]{0,12}(?:样方|传感器|设备|仪器)")).otherwise(none).alias("instrument_mentions"),
-    )
-
-
-def llm_candidates(answers: DataFrame, most: int = 20) -> DataFrame:
-    """Relations from a model's JSON answers (chunk columns, answer): capped by chunk, confidence clamped to [0, 1] (0.8 where absent), required fields present."""
-    shape = "array<struct<head_name:string,head_type:string,relation_type:string,tail_name:string,tail_type:string,evidence_text:string,confidence:double>>"
-    v = T.fenced_json("answer")
-    listed = F.coalesce(F.try_variant_get(v, "$.relations", shape), F.try_variant_get(v, "$", shape))
-    p = answers.select("*", F.posexplode(F.slice(listed, 1, most)).alias("i", "e")).select("*", "e.*").drop("e", "answer")
-    names = ["head_name", "head_type", "relation_type", "tail_name", "tail_type", "evidence_text"]
-    p = p.where(" AND ".join(f"coalesce(trim({n}), '') <> ''" for n in names))
-    p = p.withColumn("confidence", F.least(F.greatest(F.coalesce("confidence", F.lit(0.8)), F.lit(0.0)), F.lit(1.0))).withColumn("candidate_index", F.col("i") + 1).drop("i")
-    p = p.withColumns({"head_id": T.stable_id("head_type", "head_name"), "tail_id": T.stable_id("tail_type", "tail_name")})
-    return p.withColumn("relation_id", T.stable_id("chunk_id", "candidate_index", "head_id", "relation_type", "tail_id"))
+# -- providers --------------------------------------------------------------
 
 
-def selection(answer: str | Column) -> Column:
-    """(relation_ids, entity_ids) that a model chose."""
-    return F.from_json(F.to_json(T.fenced_json(answer)), "relation_ids array<string>, entity_ids array<string>")
+class TruncatedError(RuntimeError):
+    """The answer ended at the limit of tokens."""
 
 
-def chosen(candidates: DataFrame, picks: DataFrame, unit: str = "unit_id") -> DataFrame:
-    """Candidates whose id is among those chosen for their unit; unknown ids do nothing."""
-    return candidates.join(picks.select(unit, F.explode("relation_ids").alias("relation_id")).distinct(), [unit, "relation_id"], "left_semi")
+class HTTPError(RuntimeError):
+    """The provider answered with an error."""
 
 
-def prompt(chunk_text: str | Column, version: int = 1) -> Column:
-    allowed = "\n".join(f"{h} -[{r}]-> {t}" for h, r, t in ontology.patterns(version))
-    return F.concat(F.lit(f"Allowed relations:\n{allowed}\n\nText:\n"), F.col(chunk_text) if isinstance(chunk_text, str) else chunk_text)
-
-
-def complete(prompts: DataFrame, provider, retries: int = 2, column: str = "prompt", out: str = "answer") -> DataFrame:
-    """Answers of a completion provider (an object with ``complete(system, prompt)``), by batches; null after ``retries`` failed attempts more."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text):
-            for _ in range(retries + 1):
-                try:
-                    return provider.complete("", text)
-                except Exception:  # noqa: BLE001  (a provider may raise anything)
-                    continue
-            return None
+@dataclass
+class MockProvider:
+    """Always the same answer."""
 
-        return texts.map(one)
+    response: str = '{"relations":[]}'
+    last_raw_response: dict | None = None
 
-    return prompts.withColumn(out, run(column))
+    def complete(self, system: str, prompt: str) -> str:
+        return self.response
+
+
+@dataclass
+class HTTPProvider:
+    """A chat completion endpoint in the common JSON form, at temperature 0."""
+
+    base_url: str
+    api_key: str
+    model: str
+    timeout: int = 120
+    max_tokens: int = 4096
+    no_think: bool = False
+    thinking: bool | None = None
+    last_raw_response: dict | None = field(default=None, repr=False)
+
+    @classmethod
+    def from_env(cls, env: dict[str, str] | None = None) -> HTTPProvider:
+        """From TESSERA_LLM_BASE_URL, _API_KEY, _MODEL, _MAX_TOKENS, _NO_THINK and _THINKING (auto, true or false)."""
+        get = lambda k, d: (os.environ if env is None else env).get(f"TESSERA_LLM_{k}", d)
+        words = {"auto": None, **dict.fromkeys(("1", "true", "yes"), True), **dict.fromkeys(("0", "false", "no"), False)}
+        if (said := get("THINKING", "auto").lower()) not in words:
+            raise ValueError("TESSERA_LLM_THINKING must be auto, true or false")
+        return cls(get("BASE_URL", "http://127.0.0.1:8000/v1"), get("API_KEY", "local-token"), get("MODEL", ""), max_tokens=int(get("MAX_TOKENS", "4096")), no_think=get("NO_THINK", "0").lower() in ("1", "true", "yes"), thinking=words[said])
 
+    def complete(self, system: str, prompt: str) -> str:
+        self.last_raw_response = None
+        chat = [{"role": "system", "content": system}, {"role": "user", "content": prompt + "\n/no_think" * self.no_think}]
+        body = {"model": self.model, "messages": chat, "temperature": 0, "max_tokens": self.max_tokens} | ({} if self.thinking is None else {"chat_template_kwargs": {"enable_thinking": self.thinking}})
+        ask = urllib.request.Request(f"{self.base_url.rstrip('/')}/chat/completions", json.dumps(body).encode(), {"Authorization": f"Bearer {self.api_key}", "Content-Type": "application/json"}, method="POST")
+        try:
+            with urllib.request.urlopen(ask, timeout=self.timeout) as answer:
+                got = json.load(answer)
+        except urllib.error.HTTPError as e:
+            text = e.read().decode("utf-8", "replace")
+            self.last_raw_response = {"http_status": e.code, "reason": str(e.reason), "error_body": text}
+            raise HTTPError(f"HTTP {e.code} {e.reason}: {text[:2000] or '<empty response body>'}") from e
+        self.last_raw_response = got
+        first = got["choices"][0]
+        if first.get("finish_reason") == "length":
+            raise TruncatedError(f"the completion was truncated (completion_tokens={got.get('usage', {}).get('completion_tokens', 'unknown')})")
+        return first["message"].get("content") or first["message"].get("reasoning_content") or ""
+
+
+class LocalProvider:
+    """A model of the transformers library, which has to be there."""
+
+    def __init__(self, name: str):
+        try:
+            from transformers import AutoModelForCausalLM, AutoTokenizer
+        except ImportError as e:
+            raise RuntimeError("the transformers library isn't installed") from e
+        self.tokens = AutoTokenizer.from_pretrained(name)
+        self.model = AutoModelForCausalLM.from_pretrained(name, torch_dtype="auto", device_map="auto")
+        self.last_raw_response = None
 
-class MockProvider:
-    """Always the same answer."""
+    def complete(self, system: str, prompt: str) -> str:
+        chat = [{"role": "system", "content": system}, {"role": "user", "content": prompt}]
+        asked = self.tokens([self.tokens.apply_chat_template(chat, tokenize=False, add_generation_prompt=True, enable_thinking=False)], return_tensors="pt").to(self.model.device)
+        made = self.model.generate(**asked, max_new_tokens=1024, do_sample=False)
+        return self.tokens.decode(made[0][asked.input_ids.shape[-1] :], skip_special_tokens=True)
+
+
+# -- relations by a model ---------------------------------------------------
+
+
+def prompt_of(chunk: dict) -> str:
+    allowed = "\n".join(f"- {h} --{r}--> {t}" for h, r, t in ontology.patterns(1))
+    shape = '{"relations":[{"head_name":"","head_type":"","relation_type":"","tail_name":"","tail_type":"","evidence_text":"","confidence":0.0}]}'
+    rules = "evidence_text must be a literal part of the text. Without relations answer {\"relations\":[]}. Answer in JSON, without comments or Markdown."
+    where = "\n".join(f"{k}: {chunk.get(k)}" for k in ("standard_code", "page", "section", "chunk_id"))
+    return f"Allowed relations:\n{allowed}\n\n{rules}\nForm: {shape}\n\n{where}\ntext:\n{chunk['text']}"
+
+
+def parse_answer(answer: str) -> list[dict]:
+    """The relations of an answer: a JSON list, or an object with the key relations, with or without a code fence or text around. Raises ValueError for anything else."""
+    text = answer.strip()
+    if text.startswith("```"):
+        text = re.sub("```$", "", re.sub("^```(?:json)?", "", text).strip()).strip()
+    try:
+        got = json.loads(text)
+    except json.JSONDecodeError:
+        a, b = text.find("{"), text.rfind("}")
+        if a < 0 or b <= a:
+            raise
+        got = json.loads(text[a : b + 1])
+    got = got if isinstance(got, list) else got.get("relations", [])
+    if not isinstance(got, list):
+        raise ValueError("relations must be a list")
+    return [x for x in got if isinstance(x, dict)]
+
+
+_FIELDS = ("head_name", "head_type", "relation_type", "tail_name", "tail_type", "evidence_text")
+
+
+def to_relation(chunk: dict, candidate: dict, index: int) -> dict:
+    """A relation row; raises where a field is missing or empty."""
+    x = {k: str(candidate[k]).strip() for k in _FIELDS}
+    if not all(x.values()):
+        raise ValueError("empty required field")
+    head, tail = stable_id(x["head_type"], x["head_name"]), stable_id(x["tail_type"], x["tail_name"])
+    source = {k: chunk.get(k) for k in ("standard_code", "page", "section", "chunk_id", "source_sha256")}
+    return {
+        **{k: x[k] for k in _FIELDS[:-1]}, "relation_id": stable_id(chunk["standard_code"], chunk["page"], chunk["chunk_id"], index, head, x["relation_type"], tail), "path_id": chunk.get("path_id"),
+        "head_id": head, "tail_id": tail, "evidence": {**source, "evidence_text": x["evidence_text"]}, "extraction_method": "llm_schema",
+        "confidence": max(0.0, min(float(candidate.get("confidence", 0.8)), 1.0)), "review_status": "unreviewed",
+    }
+
+
+_LLM = (
+    "chunk_id string, reason string, response_preview string, raw_response_preview string, attempts int, candidate string, relation_id string, path_id string, head_id string, head_name string, head_type string, "
+    "relation_type string, tail_id string, tail_name string, tail_type string, evidence struct<standard_code: string, page: int, section: string, chunk_id: string, evidence_text: string, source_sha256: string>, "
+    "extraction_method string, confidence double, review_status string"
+)
+
+
+def ask(provider, system: str, prompt: str, retries: int, pause: float) -> tuple[str, list[dict], str, int]:
+    """The answer, its relations, the last error ('' without) and the attempts made."""
+    answer, error = "", ""
+    for attempt in range(1, max(1, retries + 1) + 1):
+        try:
+            answer = provider.complete(system, prompt)
+            return answer, parse_answer(answer), "", attempt
+        except Exception as e:  # a provider may raise anything
+            error = str(e) or type(e).__name__
+            if attempt <= retries:
+                time.sleep(pause)
+    return answer, [], error, max(1, retries + 1)
+
+
+def _raw_preview(provider) -> str:
+    raw = getattr(provider, "last_raw_response", None)
+    return "" if raw is None else json.dumps(raw, ensure_ascii=False, default=str)[:2000]
+
+
+def extract_with_model(chunks: DataFrame, provider, most: int = 20, retries: int = 2, pause: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Accepted relations of a model's answers, and rejected ones (chunk_id, relation_id, reason, candidate, response_preview, raw_response_preview, attempts).
+
+    Each chunk is asked for once per attempt, where it lies; of an answer the
+    first ``most`` relations count. An answer that fails or doesn't parse, a
+    candidate without a field, and a relation that breaks the ontology or
+    whose evidence isn't in the chunk are rejected, each with its reason.
+    The result is kept in the shared folder, so that no chunk is asked for twice.
+    """
+    from tessera import shared
+
+    def one(chunk: dict) -> list[dict]:
+        answer, found, error, attempts = ask(provider, SYSTEM, prompt_of(chunk), retries, pause)
+        if error:
+            return [{"chunk_id": chunk["chunk_id"], "reason": f"provider_or_parse_error: {error}", "response_preview": answer[:1200], "raw_response_preview": _raw_preview(provider), "attempts": attempts}]
+        out = []
+        for k, c in enumerate(found[:most], 1):
+            said = json.dumps(c, ensure_ascii=False)
+            try:
+                out.append({"chunk_id": chunk["chunk_id"], "candidate": said, **to_relation(chunk, c, k)})
+            except Exception as e:
+                out.append({"chunk_id": chunk["chunk_id"], "candidate": said, "reason": f"candidate_error: {e}"})
+        return out
+
+    rows = shared.kept(by_row(chunks, one, _LLM))
+    refused = ["chunk_id", "relation_id", "reason", "candidate", "response_preview", "raw_response_preview", "attempts"]
+    made = evidence.checked(rows.where("reason IS NULL").drop("reason"), chunks)
+    plain = [c for c in made.columns if c not in (*refused, "valid")]
+    return made.where("valid").select("relation_id", *plain), made.where("NOT valid").select(*refused).union(rows.where("reason IS NOT NULL").select(*refused))
+
+
+# -- choice among a unit's candidates ---------------------------------------
+
+_SHOWN = ("clause_text", "cells", "table_title", "formulas", "variable_definitions", "manual_variable_roles", "introduction", "interstitial_text", "adjacent_source_text")
+_SHOWN += ("temporal_mentions", "frequency_mentions", "instrument_mentions", "trigger_terms")
+
+
+def selection_messages(unit: dict, candidates: dict) -> tuple[str, str]:
+    """System text and a JSON prompt: the unit's texts, and candidates by id."""
+    p = unit["provenance"]
+    shown = {"unit_id": unit["unit_id"], "unit_type": unit["unit_type"], "standard_code": p.get("standard_code") or "", "section": p.get("section") or "", "heading_chain": p.get("heading_chain") or []}
+    body = {
+        "task": "Return selected_relation_ids and selected_entity_ids of the candidates that the text states. Entities of chosen relations need not be repeated.",
+        "source_unit": shown | {k: unit[k] for k in _SHOWN if unit.get(k)},
+        "candidate_entities": [{"id": e["entity_id"], "name": e["name"], "type": e["entity_type"]} for e in candidates["entities"]],
+        "candidate_relations": [{"id": r["relation_id"], "head": r["head_id"], "type": r["relation_type"], "tail": r["tail_id"]} for r in candidates["relations"]],
+        "output_schema": {"selected_entity_ids": ["entity_id"], "selected_relation_ids": ["relation_id"]},
+    }
+    return SELECT_SYSTEM, json.dumps(body, ensure_ascii=False, sort_keys=True)
+
+
+def parse_selection(answer: str) -> tuple[list[str], list[str]]:
+    """(entity ids, relation ids) that a model chose."""
+    fenced = re.search(r"```(?:json)?\s*(.*?)```", answer, re.DOTALL | re.IGNORECASE)
+    got = json.loads(fenced[1] if fenced else answer.strip())
+    return [str(x) for x in got.get("selected_entity_ids", [])], [str(x) for x in got.get("selected_relation_ids", [])]
+
+
+def chosen(candidates: dict, entity_ids: list[str], relation_ids: list[str]) -> dict:
+    """The candidates of those ids, with the ends of the relations; unknown ids do nothing."""
+    by_id = {r["relation_id"]: r for r in candidates["relations"]}
+    relations = [by_id[x] for x in relation_ids if x in by_id]
+    wanted = {r[k] for r in relations for k in ("head_id", "tail_id")} | set(entity_ids)
+    return {**candidates, "backend": "llm", "entities": [e for e in candidates["entities"] if e["entity_id"] in wanted], "relations": relations, "no_relation_reason": "" if relations else "llm_selected_no_relation"}
+
+
+def digest(value: object) -> str:
+    """SHA-256 of a value's JSON with sorted keys."""
+    return hashlib.sha256(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+CONFIG = {
+    "experiment_id": "rule_baseline_v2", "backend": "rule", "model": "deterministic-v2-rule", "seed": 42, "temperature": 0, "max_tokens": 1024,
+    "candidate_generator": "structure-aware-rule-v2.1", "use_schema": True, "use_layout": True, "use_evidence": True,
+}
+
+
+def predict(units: DataFrame, config: dict | None = None, provider=None) -> DataFrame:
+    """PREDICTION rows of UNIT rows with the run's settings and digests: the candidate rules or, with the backend llm, what the provider chooses among them. A unit that fails stays, with its error."""
+    config = {**CONFIG, **(config or {})}
+    if config["backend"] not in ("rule", "llm"):
+        raise ValueError("backend must be 'rule' or 'llm'")
+    if config["backend"] == "llm":
+        if int(config["max_tokens"]) < 1:
+            raise ValueError("max_tokens must be positive")
+        if not isinstance(config.get("enable_thinking", True), bool):
+            raise ValueError("enable_thinking must be a boolean")
+        provider = provider or HTTPProvider.from_env()
+        for name, value in (("model", str(config["model"])), ("max_tokens", int(config["max_tokens"])), ("thinking", config.get("enable_thinking"))):
+            if value is not None and hasattr(provider, name):
+                setattr(provider, name, value)
+    run = {"experiment_id": config["experiment_id"], "config_hash": digest(config), "model": config["model"], "seed": config["seed"]}
+
+    def one(unit: dict) -> list[dict]:
+        found = asked = None
+        try:
+            out = found = annotate.predict_unit(unit)
+            if config["backend"] == "llm":
+                system, prompt = selection_messages(unit, found)
+                asked = digest({"system": system, "prompt": prompt})
+                out = chosen(found, *parse_selection(provider.complete(system, prompt)))
+            else:
+                asked = None
+        except Exception as e:
+            out = {
+                "schema_version": annotate.PREDICTION_VERSION, "ontology_version": annotate.ONTOLOGY_VERSION, "unit_id": unit["unit_id"], "standard_code": unit["provenance"]["standard_code"], "unit_type": unit["unit_type"],
+                "backend": config["backend"], "status": "error", "error_type": type(e).__name__, "error_message": str(e), "entities": [], "relations": [], "no_relation_reason": "extraction_error",
+            }
+        of = digest({"entities": found["entities"], "relations": found["relations"]}) if found else None
+        return [{**out, **run, "candidate_hash": of, "prompt_hash": asked}]
+
+    return by_row(units, one, annotate.PREDICTION)
+
+
+def run_summary(predictions: DataFrame) -> DataFrame:
+    """One row: units, successes, errors, entities and relations."""
+    ok = F.col("status") == "success"
+    return predictions.agg(
+        F.count("*").alias("unit_count"), F.count_if(ok).alias("success_count"), F.count_if(~ok).alias("error_count"),
+        F.coalesce(F.sum(F.size("entities")), F.lit(0)).alias("entity_count"), F.coalesce(F.sum(F.size("relations")), F.lit(0)).alias("relation_count"),
+    )
 
-    def __init__(self, answer: str = '{"relations": []}'):
-        self.answer = answer
 
-    def complete(self, system: str, prompt: str) -> str:
-        return self.answer
+# -- training examples ------------------------------------------------------
 
 
-def training_rows(relations: DataFrame, instruction: str = "Extract the relations.") -> DataFrame:
-    """Chat examples (messages) of relations that a reviewer accepted."""
+def training_rows(relations: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Chat examples (system, prompt, completion, messages) of relations that reviewers accepted, with the columns to keep."""
+    e = F.col("evidence")
+    fields = [F.coalesce(e[k].cast("string"), F.lit("")) for k in ("standard_code", "section", "evidence_text")]
+    asked = F.concat(F.lit("标准："), fields[0], F.lit("\n章节："), fields[1], F.lit("\n证据："), fields[2], F.lit("\nhead_name, head_type, relation_type, tail_name, tail_type?"))
     target = F.to_json(F.struct("head_name", "head_type", "relation_type", "tail_name", "tail_type"))
     ok = relations.where(F.col("review_status").isin("accepted", "consensus_accepted"))
-    role = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("content"))
-    return ok.select(F.array(role("system", F.lit(instruction)), role("user", F.col("evidence.evidence_text")), role("assistant", target)).alias("messages"))
+    rows = ok.select(*(keep or []), F.lit(TRAINING_SYSTEM).alias("system"), asked.alias("prompt"), target.alias("completion"))
+    role = lambda r, c: F.struct(F.lit(r).alias("role"), F.col(c).alias("content"))
+    return rows.withColumn("messages", F.array(role("system", "system"), role("user", "prompt"), role("assistant", "completion")))
+
+
+def selection_examples(units: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(unit_id, messages, and counts gold_entities, covered_entities, gold_relations, covered_relations): the candidates of each training unit that its gold has, as the answer to give.
+
+    Raises where an annotation isn't marked split=train, or units and annotations don't match one to one.
+    """
+    from tessera.operators import validation
+
+    if not annotations.where(F.coalesce("split", F.lit("missing")) != "train").isEmpty():
+        raise ValueError("only annotations explicitly marked split=train")
+    gold = annotations.select(F.col("unit_id"), F.struct("entities", "relations").alias("gold"))
+    rows = validation.one_to_one(units.select("unit_id", F.struct(*units.columns).alias("unit")), gold, "unit_id")
+
+    def one(row: dict) -> list[dict]:
+        found, gold = annotate.predict_unit(row["unit"]), row["gold"]
+        key = lambda e: (e["name"], e["entity_type"])
+        link = lambda r: (r["head_name"], r["head_type"], r["relation_type"], r["tail_name"], r["tail_type"])
+        wanted, known = {key(e) for e in gold["entities"] or []}, {key(e): e["entity_id"] for e in found["entities"]}
+        links, have = {link(r) for r in gold["relations"] or []}, {link(r): r for r in found["relations"]}
+        picked = [have[k] for k in links if k in have]
+        ends = {r[k] for r in picked for k in ("head_id", "tail_id")}
+        answer = {"selected_entity_ids": sorted(i for k, i in known.items() if k in wanted and i not in ends), "selected_relation_ids": sorted(r["relation_id"] for r in picked)}
+        system, prompt = selection_messages(row["unit"], found)
+        chat = [{"role": r, "content": c} for r, c in (("system", system), ("user", prompt), ("assistant", json.dumps(answer, ensure_ascii=False, sort_keys=True)))]
+        return [{"unit_id": row["unit_id"], "messages": chat, "gold_entities": len(wanted), "covered_entities": len(wanted & known.keys()), "gold_relations": len(links), "covered_relations": len(links & have.keys())}]
+
+    return by_row(rows, one, "unit_id string, messages array<struct<role: string, content: string>>, gold_entities int, covered_entities int, gold_relations int, covered_relations int")
+
+
+def candidate_coverage(examples: DataFrame) -> DataFrame:
+    """How much of the gold the candidates could give at best; 1 where there is no gold."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    cols = [total(f"{a}_{b}").alias(f"{a}_{b}") for b in ("entities", "relations") for a in ("gold", "covered")]
+    bound = [F.coalesce(F.try_divide(total(f"covered_{b}"), total(f"gold_{b}")), F.lit(1.0)).alias(f"{b}_recall_upper_bound") for b in ("entities", "relations")]
+    return examples.agg(F.count("*").alias("training_records"), *cols, *bound)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TYPES_V1 = "indicator formula parameter unit data_source method ecosystem_type spatial_scope temporal_scope quality_requirement standard_clause"
@@ -41,7 +41,35 @@ PATHS = {
     "observation_path": ("observation_variable obtained_by method", "observation_variable measured_with instrument; observation_variable observed_during temporal_scope; observation_variable observed_every frequency"),
     "quality_path": ("observation_variable constrained_by quality_rule", ""),
 }
-LEGACY = {"parameter": ["model_variable", "observation_variable"], "indicator": ["assessment_indicator"], "quality_requirement": ["quality_rule"]}
+#: First-generation values and what they may have become; none is migrated without a person, and provenance is no relation any more.
+LEGACY = {
+    "indicator": ["assessment_indicator", "observation_variable"],
+    "parameter": ["model_variable", "observation_variable"],
+    "uses_formula": ["calculated_by"],
+    "depends_on": ["has_input", "has_output"],
+    "applies_to": ["applies_to_ecosystem", "applies_to_space"],
+    "defined_in": [],
+}
+#: Objects of documents, which take no part in relations.
+DOCUMENT_OBJECTS = ["standard", "clause", "table", "formula_block", "evidence_span", "source_unit"]
+_LABELS_V1 = dict(zip(_V1, "采用公式 依赖参数 数据来源于 单位为 适用于 定义于条款 采用处理方法 受质量要求约束 由参数派生".split(), strict=True))
+#: What the text must say for a relation of the second generation.
+EVIDENCE_RULES = {
+    "has_indicator": "subject and indicator stand in one system of indicators or one definition",
+    "calculated_by": "the indicator or variable and the number of the formula stand together",
+    "has_input": "the symbol stands to the right of the formula",
+    "has_output": "the symbol stands to the left of the formula",
+    "obtained_by": "variable and method stand in one clause",
+    "measured_with": "variable and instrument stand in one clause or row",
+    "sourced_from": "the text names where the variable's data come from",
+    "has_unit": "the unit stands in the variable's definition",
+    "observed_during": "variable and time stand in one clause or row",
+    "observed_every": "variable and frequency stand in one clause or row",
+    "applies_to_ecosystem": "the text limits it to the ecosystem",
+    "applies_to_space": "the text limits it to the area",
+    "constrained_by": "what is constrained and the threshold, condition or action stand in one clause",
+    "classified_by": "indicator and classes stand in one table or clause",
+}
 
 
 def patterns(version: int = 2) -> list[tuple[str, str, str]]:
@@ -54,8 +82,13 @@ def patterns(version: int = 2) -> list[tuple[str, str, str]]:
     return out
 
 
-def schema_rows(spark: SparkSession, version: int = 2) -> DataFrame:
-    return spark.createDataFrame(patterns(version), "head_type string, relation_type string, tail_type string")
+def schema_rows(spark: SparkSession, version: int = 2, described: bool = False) -> DataFrame:
+    """Allowed patterns; ``described`` adds the label of a relation (first generation) or the rule for its evidence (second), and the version."""
+    rows = spark.createDataFrame(patterns(version), "head_type string, relation_type string, tail_type string")
+    if not described:
+        return rows
+    name, texts = ("relation_label_zh", _LABELS_V1) if version == 1 else ("evidence_rule", EVIDENCE_RULES)
+    return rows.withColumn(name, F.create_map(*(F.lit(x) for kv in texts.items() for x in kv))[F.col("relation_type")]).withColumn("ontology_version", F.lit(version))
 
 
 def allowed_pairs(spark: SparkSession, relation: str, version: int = 2) -> DataFrame:
@@ -82,22 +115,29 @@ def checked(relations: DataFrame, version: int = 2, allowed: DataFrame | None =
 
 
 def quality_report(spark: SparkSession) -> DataFrame:
-    """(check, passed, expected, actual): the ontology's own consistency."""
+    """(check, passed, details): the second generation's own consistency; details are what breaks the rule."""
     v2 = patterns(2)
-    types = {x for h, _, t in v2 for x in (h, t)}
+    types, relations = {x for h, _, t in v2 for x in (h, t)}, {r for _, r, _ in v2}
     steps = [tuple(e.split()) for parts in PATHS.values() for text in parts for e in filter(None, text.split(";"))]
-    rows = [
-        ("entity_types", len(types) == 15, "15", str(len(types))),
-        ("relation_types", len(_V2) == 14, "14", str(len(_V2))),
-        ("patterns_unique", len(set(v2)) == len(v2), str(len(v2)), str(len(set(v2)))),
-        ("path_edges_allowed", all(s in v2 for s in steps), str(len(steps)), str(sum(s in v2 for s in steps))),
-        ("legacy_targets_known", all(t in types for x in LEGACY.values() for t in x), "0", str(sum(t not in types for x in LEGACY.values() for t in x))),
-    ]
-    return spark.createDataFrame(rows, "check string, passed boolean, expected string, actual string")
-
-
-def migration_status(legacy_type):
-    """candidates, manual_review_required or not_legacy of a type name column."""
-    x = F.col(legacy_type) if isinstance(legacy_type, str) else legacy_type
-    many = [k for k, v in LEGACY.items() if len(v) > 1]
-    return F.when(x.isin(many), "manual_review_required").when(x.isin(list(LEGACY)), "candidates").otherwise("not_legacy")
+    broken = {
+        "all_domain_entities_defined": sorted(set(ENTITY_TYPES) ^ types),
+        "all_relations_constrained": sorted(set(_V2) ^ relations),
+        "no_unbounded_relation": sorted(r for r in _V2 if r not in relations or not EVIDENCE_RULES.get(r)),
+        "legacy_ambiguous_values_excluded": sorted({"indicator", "parameter", "defined_in", "applies_to"} & (types | relations)),
+        "path_templates_use_allowed_edges": [" ".join(s) for s in steps if s not in v2],
+    }
+    return spark.createDataFrame([(k, not v, v) for k, v in broken.items()], "check string, passed boolean, details array<string>")
+
+
+ENTITY_TYPES = (
+    "assessment_subject assessment_indicator observation_variable model_variable formula method instrument data_source unit ecosystem_type spatial_scope temporal_scope frequency quality_rule classification_rule".split()
+)
+
+
+def migration_status(legacy: str | Column) -> Column:
+    """(status, candidates): manual_review_required for every first-generation value that changed, else not_legacy."""
+    x = F.col(legacy) if isinstance(legacy, str) else legacy
+    table = F.create_map(*(v for k, c in LEGACY.items() for v in (F.lit(k), F.array(*map(F.lit, c)).cast("array<string>"))))
+    found = F.try_element_at(table, x)
+    none = F.array().cast("array<string>")
+    return F.struct(F.when(found.isNull(), "not_legacy").otherwise("manual_review_required").alias("status"), F.coalesce(found, none).alias("candidates"))

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def reconcile(units: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
@@ -27,36 +24,11 @@ def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key)
 
 
-def unit_failures(units: DataFrame, predictions: DataFrame, allowed: DataFrame) -> DataFrame:
-    """(unit_id, code, detail): every failure of a unit's prediction.
-
-    Endpoints must be predicted entities of the same name and type, the pattern allowed, evidence spans
-    those of the unit, entity ids unique. Units have (unit_id, span_ids),
-    predictions (unit_id, entities, relations) as arrays of structs.
-    """
-    p = predictions.join(units.select("unit_id", "span_ids"), "unit_id")
-    e = p.select("unit_id", "span_ids", F.explode("entities").alias("e"))
-    r = p.select("unit_id", "span_ids", F.explode("relations").alias("r")).select("unit_id", "span_ids", "r.*")
-    names = e.select("unit_id", F.col("e.entity_id").alias("id"), F.col("e.name").alias("n"), F.col("e.entity_type").alias("t"))
-    per = Window.partitionBy("unit_id", "id")
-    twice = names.withColumn("k", F.count("*").over(per)).where("k > 1").select("unit_id", F.lit("duplicate_entity_id").alias("code"), F.col("id").alias("detail")).distinct()
-    ends = []
-    for side in ("head", "tail"):
-        j = r.join(names.dropDuplicates(["unit_id", "id"]).withColumnRenamed("unit_id", "_u"), (F.col("unit_id") == F.col("_u")) & (F.col(f"{side}_id") == F.col("id")), "left")
-        code = F.when(F.col("id").isNull(), f"unknown_{side}").when((F.col("n") != F.col(f"{side}_name")) | (F.col("t") != F.col(f"{side}_type")), f"{side}_mismatch")
-        ends.append(j.select("unit_id", code.alias("code"), F.col("relation_id").alias("detail")).where("code IS NOT NULL"))
-    wrong = r.join(F.broadcast(allowed.distinct()), ["head_type", "relation_type", "tail_type"], "left_anti").select("unit_id", F.lit("pattern_not_allowed").alias("code"), F.col("relation_id").alias("detail"))
-    foreign = F.size(F.array_except("evidence_span_ids", "span_ids")) > 0
-    spans = r.where(foreign | (F.size("evidence_span_ids") == 0)).select("unit_id", F.when(foreign, "foreign_evidence").otherwise("no_evidence").alias("code"), F.col("relation_id").alias("detail"))
-    own = e.select("unit_id", "span_ids", "e.*").where(foreign).select("unit_id", F.lit("foreign_evidence").alias("code"), F.col("entity_id").alias("detail"))
-    return reduce(DataFrame.union, [twice, *ends, wrong, spans, own])
-
-
 def histogram(failures: DataFrame) -> DataFrame:
     return failures.groupBy("code").agg(F.count("*").alias("n")).orderBy("code")
 
 
 def unresolved_references(texts: DataFrame, inventory: DataFrame, key: str, text: str, number: str) -> DataFrame:
     """References 按式（N） to formulas that the document doesn't have."""
-    refs = texts.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"按(?:公)?式\s*[（(]\s*([A-Z]?\.?\d+)\s*[）)]"), F.lit(1))).alias(number)).distinct()
+    refs = texts.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"按式\s*[（(]([A-Z]?\.?\d+)[）)]"), F.lit(1))).alias(number)).distinct()
     return refs.join(inventory.select(key, number).distinct(), [key, number], "left_anti")
