@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import corpus, evaluation, evidence, extraction, graph, layout, ontology, resolution, validation
+from tessera.operators import annotate, contract, corpus, evaluation, evidence, extraction, gates, graph, layout, ontology, resolution, units, validation
 from tessera.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,11 +70,14 @@ def text_normalize(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(T.normalize_space("text"), 256).alias("folded"), F.sha2(T.compact("text"), 256).alias("compact"))
 
 
-@query("""
-SELECT doc_id, CASE WHEN regexp_matches(x, '式中|公式\\s*[（(]?[0-9]') THEN 'formula' WHEN regexp_matches(x, '(?m)^\\s*表\\s*[A-Z]?\\.?[0-9]') THEN 'table' WHEN regexp_matches(x, '(?m)^\\s*图\\s*[A-Z]?\\.?[0-9]') THEN 'figure_caption' ELSE 'paragraph' END AS kind
-FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '式中 ' WHEN 1 THEN '表 1 ' WHEN 2 THEN '图 A.2 ' ELSE '' END || text AS x FROM documents)""")
+@query(r"""
+SELECT doc_id, CASE WHEN regexp_matches(x, '式中|公式[（(]?[A-Z]?[0-9]+') THEN 'formula' WHEN regexp_matches(x, '(^|\s)表\s*[A-Z]?[0-9]') THEN 'table' WHEN regexp_matches(x, '(^|\s)图\s*[0-9]') THEN 'figure_caption' ELSE 'paragraph' END AS kind
+FROM (SELECT doc_id, substr(text, 1, n_chars // 2) || CASE doc_id % 7 WHEN 0 THEN '式中 ' WHEN 1 THEN ' 见 表1 ' WHEN 2 THEN '\n图 2 ' WHEN 3 THEN '公式A1 ' WHEN 4 THEN 'x表 1 ' WHEN 5 THEN ' 图 A.2 ' ELSE '' END || substr(text, n_chars // 2 + 1) AS x FROM documents)""".replace(r"\n图", "' || chr(10) || '图"))
 def block_classify(spark, d):
-    x = F.concat(F.element_at(F.array(F.lit("式中 "), F.lit("表 1 "), F.lit("图 A.2 "), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int")), "text")
+    """A caption, formula or near miss in the middle of each whole text."""
+    marks = ["式中 ", " 见 表1 ", "\n图 2 ", "公式A1 ", "x表 1 ", " 图 A.2 ", ""]
+    half = F.expr("n_chars div 2").cast("int")
+    x = F.concat(F.substring("text", F.lit(1), half), F.element_at(F.array(*map(F.lit, marks)), (F.col("doc_id") % 7 + 1).cast("int")), F.expr("substring(text, cast(n_chars div 2 AS int) + 1)"))
     return table(spark, d, "documents").select("doc_id", T.block_kind(x).alias("kind"))
 
 
@@ -85,13 +88,12 @@ def code_extract(spark, d):
 
 
 @query(rf"""
-WITH RECURSIVE c AS (
-  SELECT doc_id, text, length(text) AS n, 0 AS s, least(length(text), 1400) AS e0 FROM documents WHERE length(text) > 0
+WITH RECURSIVE d AS (SELECT doc_id, {NORMAL} AS text FROM documents), c AS (
+  SELECT doc_id, text, length(text) AS n, 0 AS s, least(length(text), 1400) AS e0 FROM d WHERE length(text) > 0
   UNION ALL SELECT doc_id, text, n, greatest(s + 1, e - 150) AS s, least(n, greatest(s + 1, e - 150) + 1400) FROM
     (SELECT *, CASE WHEN e0 < n AND instr(reverse(substr(text, s + 1, e0 - s)), '.') > 0 AND e0 - instr(reverse(substr(text, s + 1, e0 - s)), '.') > s + 700 THEN e0 - instr(reverse(substr(text, s + 1, e0 - s)), '.') + 1 ELSE e0 END AS e FROM c) WHERE e < n),
-x AS (SELECT doc_id, s, substr(text, s + 1, CASE WHEN e0 < n AND instr(reverse(substr(text, s + 1, e0 - s)), '.') > 0 AND e0 - instr(reverse(substr(text, s + 1, e0 - s)), '.') > s + 700 THEN e0 - instr(reverse(substr(text, s + 1, e0 - s)), '.') + 1 ELSE e0 END - s) AS c FROM c),
-y AS (SELECT doc_id, s, regexp_replace(regexp_replace(c, '^{SPACE}', ''), '{SPACE}$', '') AS c FROM x)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s)::INT AS chunk_no, s::INT AS start, md5(c) AS chunk FROM y WHERE c <> ''""")
+x AS (SELECT doc_id, s, substr(text, s + 1, CASE WHEN e0 < n AND instr(reverse(substr(text, s + 1, e0 - s)), '.') > 0 AND e0 - instr(reverse(substr(text, s + 1, e0 - s)), '.') > s + 700 THEN e0 - instr(reverse(substr(text, s + 1, e0 - s)), '.') + 1 ELSE e0 END - s) AS c FROM c)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s)::INT AS chunk_no, s::INT AS start, md5(c) AS chunk FROM x""")
 def chunk_documents(spark, d):
     return corpus.chunks(table(spark, d, "documents"), "doc_id", "text", marks=".").withColumn("chunk", F.md5("chunk"))
 
@@ -108,7 +110,7 @@ WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<(nav|h1|p|li|footer
 SELECT page_id, CASE WHEN tag IN ('nav', 'footer') THEN 'header_footer' WHEN tag = 'li' THEN 'table_cell' WHEN tag = 'h1' THEN 'heading' ELSE 'paragraph' END AS kind, count(*) AS n FROM t GROUP BY 1, 2""")
 def line_kind(spark, d):
     t = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<(nav|h1|p|li|footer|script)[ >]"), F.lit(1))).alias("tag"))
-    text = F.when(F.col("tag") == "h1", "1 title").otherwise("text")
+    text = F.when(F.col("tag") == "h1", "1 标题").otherwise("text")
     return t.select("page_id", T.line_kind(text, F.col("tag").isin("nav", "footer"), F.col("tag") == "li").alias("kind")).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
 
 
@@ -126,12 +128,12 @@ def group_split(spark, d):
     return corpus.group_split(o, "o_custkey", (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_custkey") % 7 == 0)).select("o_orderkey", "split")
 
 
-_UNIT = "CASE WHEN source IN ('src0', 'src1') THEN 'test' WHEN source NOT IN ('src2', 'src3', 'src4', 'src5') THEN 'train' WHEN ('0x' || substr(sha256(concat_ws('|', source, lang)), 1, 16))::UBIGINT % 5 = 0 THEN 'dev' ELSE 'train' END"
+_UNIT = "CASE WHEN source IN ('src0', 'src1') THEN 'test' WHEN source NOT IN ('src2', 'src3', 'src4', 'src5') THEN 'train' WHEN ('0x' || substr(sha256('split-v2|' || source || '|section|' || lang), 1, 16))::UBIGINT % 5 = 0 THEN 'dev' ELSE 'train' END"
 
 
 def _unit_split():
     role = F.when(F.col("source").isin("src0", "src1"), "external_test").when(F.col("source").isin("src2", "src3", "src4", "src5"), "core").otherwise("support")
-    return corpus.unit_split(role, F.col("source"), F.col("lang"))
+    return corpus.unit_split(role, F.col("source"), F.concat(F.lit("|section|"), "lang"))
 
 
 @query(f"SELECT doc_id, {_UNIT} AS split FROM documents")
@@ -181,7 +183,15 @@ def ontology_rows(spark, d):
     return ontology.schema_rows(spark, 1).withColumn("version", F.lit(1)).union(ontology.schema_rows(spark, 2).withColumn("version", F.lit(2)))
 
 
-@query("SELECT c AS check, true AS passed FROM (VALUES ('entity_types'), ('relation_types'), ('patterns_unique'), ('path_edges_allowed'), ('legacy_targets_known')) AS x(c)")
+_V2 = ",".join(f"('{h}','{r}','{t}')" for h, r, t in ontology.patterns(2))
+_STEPS = ",".join("(" + ",".join(f"'{x}'" for x in e.split()) + ")" for parts in ontology.PATHS.values() for text in parts for e in text.split(";") if e)
+
+
+@query(f"""
+WITH v(h, r, t) AS (VALUES {_V2}), s(h, r, t) AS (VALUES {_STEPS}), y AS (SELECT h AS x FROM v UNION SELECT t FROM v UNION SELECT r FROM v)
+SELECT 'all_domain_entities_defined' AS "check", (SELECT count(*) FROM (SELECT h FROM v UNION SELECT t FROM v)) = 15 AS passed
+UNION ALL SELECT 'all_relations_constrained', (SELECT count(DISTINCT r) FROM v) = 14 UNION ALL SELECT 'no_unbounded_relation', (SELECT min(n) FROM (SELECT count(*) AS n FROM v GROUP BY r)) > 0
+UNION ALL SELECT 'legacy_ambiguous_values_excluded', NOT EXISTS (FROM y WHERE x IN ('indicator', 'parameter', 'defined_in', 'applies_to')) UNION ALL SELECT 'path_templates_use_allowed_edges', NOT EXISTS (FROM s ANTI JOIN v USING (h, r, t))""")
 def ontology_checks(spark, d):
     return ontology.quality_report(spark).select("check", "passed")
 
@@ -419,11 +429,14 @@ def fill_down(spark, d):
 
 
 @query("""
-WITH n AS (SELECT p_partkey, [p_brand, p_brand, p_type, p_brand] AS v FROM part)
-SELECT p_partkey, p_brand || '|' || p_brand || '_2|' || CASE WHEN p_type = p_brand THEN p_type || '_3' ELSE p_type END || '|' || p_brand || CASE WHEN p_type = p_brand THEN '_4' ELSE '_3' END AS names FROM part""")
+WITH n AS (SELECT p_partkey, p_brand || ' / ' || p_type AS a, p_brand || ' / ' || CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_type END AS b FROM part)
+SELECT p_partkey, a || '|' || CASE WHEN b = a THEN b || '_2' ELSE b END || '|column_3|' || CASE WHEN p_size % 3 = 0 THEN 'x' ELSE 'x_y' END || '|' || CASE WHEN p_size % 3 = 0 THEN 'x_2' ELSE 'x' END AS names FROM n JOIN part USING (p_partkey)""")
 def column_name_dedup(spark, d):
-    rows = F.array(F.array("p_brand", "p_brand", "p_type", "p_brand"))
-    return table(spark, d, "part").select("p_partkey", F.array_join(layout.column_names(rows), "|").alias("names"))
+    """Two header rows: a value over two columns, one that repeats downwards, an empty column, and equal names."""
+    none, x = F.lit(None).cast("string"), F.when(F.col("p_size") % 3 == 0, "x").otherwise("x_y")
+    first = F.array("p_brand", none, F.lit(" "), x, F.lit("x"))
+    second = F.array("p_type", F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(none), F.lit(" "), x, F.lit("x"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(layout.column_names(F.array(first, second)), "|").alias("names"))
 
 
 def _boxes(spark, d):
@@ -477,27 +490,27 @@ def paragraph_islands(spark, d):
     return layout.islands(e, ["user_id"], ["ts", "event_id"], new).groupBy("user_id", "island").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
-@query()
-def formula_sessions(spark, d):
-    """Documents' lines as a page: lines with an equals sign anchor clusters."""
-    lines = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("standard_code"), F.posexplode(F.split("text", "\n")).alias("reading_order", "text"))
-    lines = lines.select("standard_code", F.lit(1).alias("page"), "reading_order", "text", F.when(F.contains("text", F.lit("=")), "formula").otherwise("paragraph").alias("kind"))
-    return layout.formula_clusters(lines).where("cluster IS NOT NULL").groupBy("standard_code", "cluster").agg(F.count("*").alias("lines"), F.min("reading_order").alias("first"))
-
-
-@query("SELECT conv_id, bool_and(p IS NULL OR p < turn) AS ok FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) GROUP BY 1")
+@query("""
+WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY text, turn) AS n FROM conversations), o AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY n) AS p FROM t)
+SELECT conv_id, bool_and(p IS NULL OR p < turn) AS ok FROM o GROUP BY 1""")
 def reading_order_check(spark, d):
-    return layout.reading_order_ok(table(spark, d, "conversations"), ["conv_id"], "turn", ["turn"])
+    """Whether turns are in order where texts are: hardly ever."""
+    return layout.reading_order_ok(table(spark, d, "conversations"), ["conv_id"], "turn", ["text", "turn"])
 
 
 @query("""
-WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
-h AS (SELECT *, CASE i % 5 WHEN 0 THEN '1' WHEN 1 THEN '1.1' WHEN 3 THEN '1.2' END AS s FROM t)
-SELECT doc_id, i::INT AS i, CASE i % 5 WHEN 0 THEN '1 h' WHEN 1 THEN '1 h|1.1 h' WHEN 2 THEN '1 h|1.1 h' ELSE '1 h|1.2 h' END AS chain FROM h""")
+WITH t AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i, l_partkey % 4 + 1 AS level, l_suppkey FROM lineitem),
+h AS (SELECT *, CASE level WHEN 1 THEN '' WHEN 2 THEN '1.' WHEN 3 THEN '1.1.' ELSE '1.1.1.' END || (l_suppkey % 9 + 1) || CASE WHEN l_suppkey % 2 = 0 THEN ' h' ELSE '' END AS label FROM t),
+a AS (SELECT x.l_orderkey, x.i, y.level, y.label, y.i AS yi FROM h x JOIN h y ON x.l_orderkey = y.l_orderkey AND y.i <= x.i AND NOT EXISTS (FROM h z WHERE z.l_orderkey = x.l_orderkey AND z.i > y.i AND z.i <= x.i AND z.level <= y.level))
+SELECT l_orderkey, i::INT AS i, string_agg(label, '|' ORDER BY level) AS chain FROM a GROUP BY 1, 2""")
 def heading_chains(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    lines = lines.select("doc_id", "i", F.when(F.col("i") % 5 == 0, "1").when(F.col("i") % 5 == 1, "1.1").when(F.col("i") % 5 == 3, "1.2").alias("heading_section"), F.lit("h").alias("heading_title"))
-    return layout.heading_chain(lines, "doc_id", ["i"]).select("doc_id", "i", F.array_join("heading_chain", "|").alias("chain"))
+    """Headings of four levels in an order that the line items make: each holds until one of its level or a lower one comes."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    above = F.element_at(F.array(*map(F.lit, ("", "1.", "1.1.", "1.1.1."))), (F.col("l_partkey") % 4 + 1).cast("int"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.row_number().over(w).alias("i"), F.concat(above, (F.col("l_suppkey") % 9 + 1).cast("string")).alias("heading_section"), F.when(F.col("l_suppkey") % 2 == 0, "h").otherwise("").alias("heading_title"))
+    return layout.heading_chain(lines, "l_orderkey", ["i"]).select("l_orderkey", "i", F.array_join("heading_chain", "|").alias("chain"))
 
 
 @query(r"SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[0-9]+(?:[.][0-9]+)?(?:%|mm|cm)?'))), '|') AS thresholds, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), 'token|password|license'))), '|') AS triggers FROM documents")
@@ -547,17 +560,6 @@ def triple_dedup(spark, d):
     return resolution.triples(r).select("triple_id", F.size("evidence").alias("evidence"), F.element_at("evidence", 1)["unit_id"].alias("first_unit"))
 
 
-@query("""
-WITH u AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 <> 0), p AS (SELECT l_orderkey AS k FROM lineitem WHERE l_linenumber <= 2),
-c AS (SELECT k, max(u) AS u, sum(p) AS p FROM (SELECT k, 1 AS u, 0 AS p FROM u UNION ALL SELECT k, 0, 1 FROM p) GROUP BY 1),
-x AS (SELECT unnest(list_filter([CASE WHEN p = 0 THEN 'missing_prediction' END, CASE WHEN u = 0 THEN 'unknown_unit' END, CASE WHEN p > 1 THEN 'duplicate_prediction' END], lambda z: z IS NOT NULL)) AS code FROM c)
-SELECT code, count(*) AS n FROM x GROUP BY 1""")
-def validation_report(spark, d):
-    u = table(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"))
-    p = table(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("k"))
-    return validation.histogram(validation.reconcile(u, p, "k"))
-
-
 @query("""
 WITH c AS (SELECT k, max(u) AS u, sum(p) AS p FROM (SELECT o_orderkey AS k, 1 AS u, 0 AS p FROM orders UNION ALL SELECT l_orderkey, 0, 1 FROM lineitem) GROUP BY 1),
 x AS (SELECT unnest(list_filter([CASE WHEN p = 0 THEN 'missing_prediction' END, CASE WHEN u = 0 THEN 'unknown_unit' END, CASE WHEN p > 1 THEN 'duplicate_prediction' END], lambda z: z IS NOT NULL)) AS code FROM c)
@@ -574,36 +576,324 @@ def manifest_counts(spark, d):
     return g.withColumn("package_id", T.stable_id("source", "lang", "records"))
 
 
-@query(f"SELECT substr(sha256(concat_ws('|', head_id, relation_type, tail_id)), 1, 16) AS relation_id, head_name, tail_name, head_id AS chunk_id, 'pending' AS review_status FROM ({TRIPLES})")
+@query(f"SELECT substr(sha256(concat_ws('|', head_id, relation_type, tail_id)), 1, 16) AS record_id, head_name, tail_name, head_id AS source_chunk_id, 'pending' AS review_status FROM ({TRIPLES})")
 def annotation_sheet(spark, d):
     t = triples(spark, d)
     t = t.withColumns({"path_id": F.col("head_id"), "extraction_method": F.lit("rule"), "confidence": F.lit(1.0), "review_status": F.lit("accepted"), "evidence": F.struct(F.lit("x").alias("standard_code"), F.lit(1).alias("page"), F.lit("").alias("section"), F.col("head_id").alias("chunk_id"), F.lit("").alias("evidence_text"), F.lit("").alias("source_sha256"))})
-    return files.annotation_sheet(t).select("relation_id", "head_name", "tail_name", "chunk_id", "review_status")
+    return files.annotation_sheet(t).select("record_id", "head_name", "tail_name", "source_chunk_id", "review_status")
 
 
-@query("SELECT 'component' AS parameter, 6::BIGINT AS n UNION ALL SELECT 'max_chars', 3 UNION ALL SELECT 'shots', 4 UNION ALL SELECT 'threshold', 3")
+@query("""
+SELECT 'full_method' AS experiment_id, '{}' AS overrides UNION ALL SELECT 'without_' || n, '{"' || coalesce(k, n) || '": false}' FROM (VALUES ('schema', NULL), ('graphrag', NULL), ('lora', NULL), ('few_shot', NULL), ('evidence', 'evidence_validation')) AS x(n, k)
+UNION ALL SELECT 'chunk_' || n, '{"chunk_tokens": ' || n || '}' FROM (VALUES (150), (300), (600)) AS x(n) UNION ALL SELECT 'shot_' || n, '{"shots": ' || n || '}' FROM (VALUES (0), (1), (3), (5)) AS x(n)
+UNION ALL SELECT 'threshold_' || n, '{"candidate_threshold": ' || n || '}' FROM (VALUES ('0.65'), ('0.75'), ('0.85')) AS x(n)""")
 def ablation_matrix(spark, d):
-    return files.ablations(spark).groupBy("parameter").agg(F.count("*").alias("n"))
+    return files.ablations(spark).select("experiment_id", "overrides")
 
 
-@query()
+@query("""
+WITH c AS (SELECT *, CASE turn % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'consensus_accepted' ELSE 'rejected' END AS review_status FROM conversations)
+SELECT conv_id, turn, md5('标准：' || role || chr(10) || '章节：' || turn || chr(10) || '证据：' || coalesce(text, '') || chr(10) || 'head_name, head_type, relation_type, tail_name, tail_type?') AS prompt,
+  '{"head_name":"' || role || '","head_type":"h","relation_type":"r","tail_name":"t' || conv_id || '","tail_type":"t"}' AS completion, 3 AS messages FROM c WHERE review_status <> 'rejected'""")
 def training_rows(spark, d):
-    c = table(spark, d, "conversations").where("role = 'assistant'")
-    r = c.select(F.lit("accepted").alias("review_status"), F.struct(F.col("text").alias("evidence_text")).alias("evidence"), *(F.lit("x").alias(n) for n in ("head_name", "head_type", "relation_type", "tail_name", "tail_type")))
-    return extraction.training_rows(r).select(F.to_json("messages").alias("messages"))
+    c = table(spark, d, "conversations")
+    status = F.element_at(F.array(F.lit("accepted"), F.lit("consensus_accepted"), F.lit("rejected")), (F.col("turn") % 3 + 1).cast("int"))
+    r = c.select("conv_id", "turn", status.alias("review_status"), F.struct(F.col("role").alias("standard_code"), F.col("turn").cast("string").alias("section"), F.col("text").alias("evidence_text")).alias("evidence"), F.col("role").alias("head_name"), F.lit("h").alias("head_type"), F.lit("r").alias("relation_type"), F.concat(F.lit("t"), "conv_id").alias("tail_name"), F.lit("t").alias("tail_type"))
+    rows = extraction.training_rows(r, keep=["conv_id", "turn"])
+    return rows.select("conv_id", "turn", F.md5("prompt").alias("prompt"), "completion", F.size("messages").alias("messages"))
+
+
+_SAID = ["生态系统的水源量", "运用通用水量平衡方程计算生态系统的水源涵养量，具体见附录。", "运用 模型 {n} 估算土壤 保持量。", "生态系统质量由植被覆盖度、叶面积指数和总初级生产力的相对密度构建，计算公式为EQI。"]
 
 
 def _norm_chunk(spark, d):
-    """Chunks that carry rule-bearing sentences in Chinese among the documents' text."""
+    """Sentences with and without relations between the two halves of each document's text."""
     docs = table(spark, d, "documents")
-    s = F.element_at(F.array(F.lit("生态系统的水源涵养量采用通用水量平衡方程进行计算。"), F.lit("生态系统质量由植被覆盖度、叶面积指数和总初级生产力的相对密度构成。"), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("standard_code"), F.col("doc_id").cast("int").alias("page"), F.lit("").alias("section"), F.concat("text", F.lit("\n"), s).alias("text"), F.lit("").alias("source_sha256"), F.col("lang").alias("path_id"))
+    s = F.replace(F.element_at(F.array(*map(F.lit, _SAID)), (F.col("doc_id") % 4 + 1).cast("int")), F.lit("{n}"), F.col("n_chars").cast("string"))
+    text = F.concat(F.expr("substring(text, 1, cast(n_chars div 2 AS int))"), F.lit("\n。"), s, F.lit("\n"), F.expr("substring(text, cast(n_chars div 2 AS int) + 1)"))
+    return docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("standard_code"), F.col("doc_id").cast("int").alias("page"), F.lit("").alias("section"), text.alias("text"), F.lit("").alias("source_sha256"), F.col("lang").alias("path_id"))
 
 
 @query("""
-SELECT doc_id::INT AS page, 'uses_formula' AS relation_type, '水源涵养量' AS head_name, '水量平衡方程' AS tail_name FROM documents WHERE doc_id % 3 = 0
-UNION ALL SELECT doc_id::INT, 'depends_on', '生态系统质量', unnest(['植被覆盖度', '叶面积指数', '总初级生产力']) FROM documents WHERE doc_id % 3 = 1""")
+SELECT doc_id::INT AS page, 'uses_formula' AS relation_type, '水源涵养量' AS head_name, '水量平衡方程' AS tail_name FROM documents WHERE doc_id % 4 = 1
+UNION ALL SELECT doc_id::INT, 'uses_formula', '土壤 保持量', '模型 ' || n_chars FROM documents WHERE doc_id % 4 = 2
+UNION ALL SELECT doc_id::INT, 'uses_formula', '生态系统质量', 'EQI' FROM documents WHERE doc_id % 4 = 3
+UNION ALL SELECT doc_id::INT, 'depends_on', '生态系统质量', unnest(['植被覆盖度', '叶面积指数', '总初级生产力']) FROM documents WHERE doc_id % 4 = 3""")
 def rule_extraction(spark, d):
     accepted, _ = extraction.extract(_norm_chunk(spark, d))
     return accepted.select("page", "relation_type", "head_name", "tail_name")
 
+
+# -- documents that the parts make ------------------------------------------
+#
+# Each part is a document of one page, whose number is the part's: a heading, a
+# paragraph that leads to a formula, the formula with definitions and a source,
+# a quality rule, a procedure, and a table. The SQL says what is in it by the
+# rules of layout, units and annotation.
+
+_CODE = "'HJ ' || (1166 + p_partkey % 11) || '-2021'"
+_PAGE = [
+    ("'HJ 1173—2021'", 100, 50, "header_footer", "''", "''"),
+    ("(p_size % 9 + 1) || ' 指标'", 100, 100, "heading", "(p_size % 9 + 1)::VARCHAR", "(p_size % 9 + 1) || ' 指标'"),
+    ("p_name || ' 采用模型计算评估区面积。'", 100, 150, "paragraph", "", ""),
+    ("'按下式计算公式如下：'", 100, 162, "paragraph", "", ""),
+    ("'P = S / T （' || p_size || '）'", 100, 200, "formula", "", ""),
+    ("'式中：P——比例，%；'", 100, 230, "paragraph", "", ""),
+    ("'S——' || p_type || '，km2；'", 100, 250, "paragraph", "", ""),
+    ("'数据来源于遥感数据监测。'", 100, 270, "paragraph", "", ""),
+    ("'10 质量'", 100, 300, "heading", "'10'", "'10 质量'"),
+    ("p_brand || ' 误差不低于 ' || p_size || '%，应复核。'", 100, 340, "paragraph", "'10'", "'10 质量'"),
+    ("p_name || ' 每年 1 次观测，采用传感器。'", 100, 380, "paragraph", "'10'", "'10 质量'"),
+    ("'表 1 观测表'", 200, 480, "table_caption", "'10'", "'10 质量'"),
+    ("p_brand", 110, 510, "table_cell", "'10'", "'10 质量'"),
+    ("'12'", 300, 780, "header_footer", "'10'", "'10 质量'"),
+]
+
+
+def _spark_text(sql: str) -> str:
+    return sql.replace("::VARCHAR", "")
+
+
+def raw_documents(spark: SparkSession, d: str) -> DataFrame:
+    """RAW documents of the parts."""
+    lines = ", ".join(f"named_struct('text', cast({_spark_text(t)} AS string), 'bbox', array({x}D, {y}D, {x + 150}D, {y + 10}D))" for t, x, y, *_ in _PAGE)
+    rows = "array(array('观测指标', '观测时间', '观测频度'), array(p_brand, '7—9月', '一年一次'), array(p_type, NULL, '一年一次'))"
+    boxes = "transform(sequence(0, 2), r -> transform(sequence(0, 2), c -> IF(r = 2 AND c = 1, NULL, array(100D + 130D * c, 500D + 30D * r, 230D + 130D * c, 530D + 30D * r))))"
+    page = f"named_struct('page', cast(p_partkey AS int), 'width', 600D, 'height', 800D, 'lines', array({lines}), 'tables', array(named_struct('bbox', array(100D, 500D, 490D, 590D), 'rows', {rows}, 'cell_bboxes', {boxes})))"
+    title = "element_at(array('生态系统质量评估', '手册'), cast(p_partkey % 2 + 1 AS int))"
+    columns = (f"{_CODE} AS standard_code", f"{title} AS document_title", "concat(p_partkey, '.pdf') AS source_file", "sha2(cast(p_partkey AS string), 256) AS source_sha256", f"array({page}) AS pages")
+    return table(spark, d, "part").selectExpr(*columns)
+
+
+def part_units(spark: SparkSession, d: str) -> DataFrame:
+    u = units.source_units(units.layouts(raw_documents(spark, d)))
+    return u.withColumn("seq", F.col("provenance.pages")[0].cast("long") * 100 + F.col("seq"))
+
+
+_LINES = " UNION ALL ".join(
+    f"SELECT p_partkey, {k} AS reading_order, {t} AS text, '{kind}' AS kind, {section or '(p_size % 9 + 1)::VARCHAR'} AS section, {chain or chr(40) + 'p_size % 9 + 1) || ' + repr(' 指标')} AS chain FROM part" for k, (t, _, _, kind, section, chain) in enumerate(_PAGE, 1)
+)
+
+
+@query(f"SELECT p_partkey::INT AS page, reading_order::INT AS reading_order, md5(text) AS text, kind, section, chain FROM ({_LINES})")
+def layout_lines(spark, d):
+    lines = units.layouts(raw_documents(spark, d)).select(F.explode("pages").alias("p")).select(F.explode("p.lines").alias("x")).select("x.*")
+    return lines.select("page", "reading_order", F.md5("text").alias("text"), "kind", "section", F.array_join("heading_chain", "|").alias("chain"))
+
+
+@query(f"SELECT p_partkey::INT AS page, 1 AS tables, 14 AS lines, 1 AS formulas, substr(sha256(concat_ws('|', {_CODE}, p_partkey::VARCHAR, '1', '表 1 观测表', '100.0', '500.0', '490.0', '590.0')), 1, 16) AS table_id, '表 1 观测表' AS title, '观测指标|观测时间|观测频度' AS columns FROM part")
+def layout_tables(spark, d):
+    doc = units.layouts(raw_documents(spark, d))
+    counts = units.layout_counts(doc.withColumn("standard_code", F.concat("standard_code", F.lit("|"), "source_file")))
+    t = doc.select(F.concat("standard_code", F.lit("|"), "source_file").alias("standard_code"), F.explode("pages").alias("p")).select("standard_code", F.explode("p.tables").alias("t"))
+    return t.join(counts, "standard_code").select("t.page", "tables", "lines", "formulas", "t.table_id", "t.title", F.array_join("t.column_names", "|").alias("columns"))
+
+
+_DETAIL = """
+WITH c AS (SELECT *, p_name || ' 采用模型计算评估区面积。' AS lead, '观测指标：' || p_brand || '；观测时间：7—9月；观测频度：一年一次' AS r1, '观测指标：' || p_type || '；观测时间：7—9月；观测频度：一年一次' AS r2 FROM part)
+SELECT p_partkey::INT AS page, 'formula_package' AS unit_type, concat_ws('|', p_size % 9 + 1, p_size, lead || '按下式计算公式如下：', 'P,S', '%,km2', '数据来源于遥感数据监测。') AS detail FROM c
+UNION ALL SELECT p_partkey::INT, 'table_record', concat_ws('|', p_brand, '7—9月', '一年一次', '') FROM c UNION ALL SELECT p_partkey::INT, 'table_record', concat_ws('|', p_type, '7—9月', '一年一次', '观测时间') FROM c
+UNION ALL SELECT p_partkey::INT, 'procedure_clause', concat_ws('|', r1, '观测表逻辑行', '7—9月', '一年一次', '') FROM c UNION ALL SELECT p_partkey::INT, 'procedure_clause', concat_ws('|', r2, '观测表逻辑行', '7—9月', '一年一次', '') FROM c
+UNION ALL SELECT p_partkey::INT, 'procedure_clause', concat_ws('|', p_name || ' 每年 1 次观测，采用传感器。', '每年,观测,采用', '每年', '每年 1 次', '采用传感器') FROM c
+UNION ALL SELECT p_partkey::INT, 'quality_clause', concat_ws('|', p_brand || ' 误差不低于 ' || p_size || '%，应复核。', '复核,误差', concat_ws(',', nullif(regexp_extract(p_brand, '[0-9]+'), ''), '不低于 ' || p_size || '%'), '复核') FROM c"""
+
+
+@query(_DETAIL)
+def source_units(spark, d):
+    u = part_units(spark, d)
+    join = lambda c: F.array_join(c, ",")
+    first = F.element_at("formulas", 1)["formula_number"]
+    by = {
+        "formula_package": F.concat_ws("|", "provenance.section", first, "introduction", join("variable_definitions.symbol"), join("variable_definitions.unit"), "adjacent_source_text"),
+        "table_record": F.concat_ws("|", F.array_join(F.map_values("cells"), "|"), join("inherited_columns")),
+        "procedure_clause": F.concat_ws("|", "clause_text", join("trigger_terms"), join("temporal_mentions"), join("frequency_mentions"), join("instrument_mentions")),
+        "quality_clause": F.concat_ws("|", "clause_text", join("trigger_terms"), join("threshold_mentions"), join("action_mentions")),
+    }
+    return u.select(F.col("provenance.pages")[0].alias("page"), "unit_type", F.coalesce(*(F.when(F.col("unit_type") == k, v) for k, v in by.items())).alias("detail"))
+
+
+@query(f"""
+SELECT p_partkey::INT AS page, substr(sha256(concat_ws('|', {_CODE}, p_size % 9 + 1, p_size, p_partkey)), 1, 16) AS unit_id, 6 AS lines, 100.0::DOUBLE AS x0, 150.0::DOUBLE AS y0, 250.0::DOUBLE AS x1, 280.0::DOUBLE AS y1,
+  md5(concat_ws(chr(10), p_name || ' 采用模型计算评估区面积。', '按下式计算公式如下：', 'P = S / T （' || p_size || '）', '式中：P——比例，%；', 'S——' || p_type || '，km2；', '数据来源于遥感数据监测。')) AS text FROM part""")
+def formula_evidence(spark, d):
+    """Where a formula's unit stands: its lines, the box around them, and its id."""
+    s = part_units(spark, d).where("unit_type = 'formula_package'").select("unit_id", F.explode("provenance.evidence_spans").alias("s"))
+    return s.select("s.page", "unit_id", F.size("s.line_ids").alias("lines"), *(F.get("s.bbox", F.lit(k)).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))), F.md5("s.text").alias("text"))
+
+
+@query("""
+SELECT 'source-unit-v2.0' AS schema_version, count(DISTINCT p_partkey % 11) AS document_count, 7 * count(*) AS unit_count, count(*) AS formula_package, 2 * count(*) AS table_record, 3 * count(*) AS procedure_clause, count(*) AS quality_clause, 7 * count(*) AS evidence_span_count, 1.0::DOUBLE AS coordinate_coverage FROM part""")
+def unit_summary(spark, d):
+    return units.unit_summary(part_units(spark, d))
+
+
+#: Relations of the parts' gold: page, kind of unit, relation, ends with their types, and the formula's context.
+_GOLD = f"""
+WITH c AS (SELECT *, {_CODE} AS code, 1166 + p_partkey % 11 AS n, (p_size % 9 + 1) || '|' || p_size AS ctx, '公式（' || p_size || '）' AS f FROM part),
+s AS (SELECT *, ['生态系统格局', '生态系统质量', '生态系统服务功能', '生态问题', '项目尺度生态影响'][n - 1170] AS subject, CASE WHEN n = 1172 THEN coalesce(['生态系统参数相对密度', '归一化指数', '生态系统质量指数（EQI）'][p_size], '指标') ELSE '指标' END AS indicator FROM c WHERE n BETWEEN 1171 AND 1175),
+o AS (SELECT *, unnest([p_brand, p_type]) AS name FROM c),
+g AS (
+SELECT p_partkey, code, 'formula_package' AS unit_type, 'has_output' AS relation_type, f AS head_name, 'formula' AS head_type, ctx AS head_ctx, 'P' AS tail_name, 'model_variable' AS tail_type, ctx AS tail_ctx FROM c
+UNION ALL SELECT p_partkey, code, 'formula_package', 'has_input', f, 'formula', ctx, 'S', 'model_variable', ctx FROM c
+UNION ALL SELECT p_partkey, code, 'formula_package', 'has_unit', v, 'model_variable', ctx, u, 'unit', '' FROM c, (VALUES ('P', '%'), ('S', 'km2')) AS x(v, u)
+UNION ALL SELECT p_partkey, code, 'formula_package', 'applies_to_space', f, 'formula', ctx, '评估区', 'spatial_scope', '' FROM c
+UNION ALL SELECT p_partkey, code, 'formula_package', 'has_indicator', subject, 'assessment_subject', '', indicator, 'assessment_indicator', '' FROM s
+UNION ALL SELECT p_partkey, code, 'formula_package', 'calculated_by', indicator, 'assessment_indicator', '', f, 'formula', ctx FROM s
+UNION ALL SELECT p_partkey, code, u, r, name, 'observation_variable', '', t, k, '' FROM o, (VALUES ('observed_during', '7—9月', 'temporal_scope'), ('observed_every', '一年一次', 'frequency')) AS x(r, t, k), (VALUES ('table_record'), ('procedure_clause')) AS y(u)
+  WHERE u = 'table_record' OR (n <= 1170 AND p_partkey >= 4))
+"""
+
+
+@query(_GOLD + "SELECT p_partkey::INT AS page, unit_type, relation_type, head_name, head_type, tail_name, tail_type FROM g")
+def gold_relations(spark, d):
+    a = annotate.annotations(part_units(spark, d))
+    return a.select(F.col("pages")[0].alias("page"), "unit_type", F.explode("relations").alias("r")).select("page", "unit_type", "r.relation_type", "r.head_name", "r.head_type", "r.tail_name", "r.tail_type")
+
+
+@query(_GOLD + """, e AS (SELECT *, substr(sha256(concat_ws('|', 'entity-v2', code, head_type, head_name, head_ctx)), 1, 16) AS h, substr(sha256(concat_ws('|', 'entity-v2', code, tail_type, tail_name, tail_ctx)), 1, 16) AS t FROM g)
+SELECT substr(sha256(concat_ws('|', 'triple-v2', h, relation_type, t)), 1, 16) AS triple_id, any_value(head_name) AS head_name, any_value(tail_name) AS tail_name, count(*) AS evidence, min(p_partkey)::INT AS first_page FROM e GROUP BY h, relation_type, t""")
+def gold_triples(spark, d):
+    t = annotate.gold_triples(annotate.annotations(part_units(spark, d)))
+    return t.select("triple_id", "head_name", "tail_name", F.size("evidence").cast("long").alias("evidence"), F.element_at("evidence", 1)["pages"][0].alias("first_page"))
+
+
+@query(_GOLD + """, e AS (SELECT code, head_type AS k, head_name AS name, head_ctx AS ctx, p_partkey, unit_type FROM g UNION SELECT code, tail_type, tail_name, tail_ctx, p_partkey, unit_type FROM g)
+SELECT substr(sha256(concat_ws('|', 'entity-v2', code, k, name, ctx)), 1, 16) AS entity_id, any_value(name) AS name, any_value(k) AS entity_type FROM e GROUP BY code, k, name, ctx
+UNION SELECT substr(sha256(concat_ws('|', 'entity-v2', code, 'data_source', '遥感数据', '')), 1, 16), '遥感数据', 'data_source' FROM c
+UNION SELECT substr(sha256(concat_ws('|', 'entity-v2', code, k, x, '')), 1, 16), x, k FROM c, (VALUES ('每年', 'temporal_scope'), ('每年 1 次', 'frequency')) AS y(x, k) WHERE n <= 1170 AND p_partkey >= 4
+UNION SELECT substr(sha256(concat_ws('|', 'entity-v2', code, 'spatial_scope', '评估区', '')), 1, 16), '评估区', 'spatial_scope' FROM c""")
+def gold_entities(spark, d):
+    return annotate.gold_entities(annotate.annotations(part_units(spark, d))).select("entity_id", "name", "entity_type")
+
+
+@query(f"""
+WITH u AS (SELECT {_CODE} AS code, 1166 + p_partkey % 11 AS n, '|section|' || (p_size % 9 + 1) AS part, 1 AS k FROM part
+UNION ALL SELECT {_CODE}, 1166 + p_partkey % 11, '|section|10', 4 FROM part
+UNION ALL SELECT {_CODE}, 1166 + p_partkey % 11, '|table|' || substr(sha256(concat_ws('|', {_CODE}, p_partkey::VARCHAR, '1', '表 1 观测表', '100.0', '500.0', '490.0', '590.0')), 1, 16), 2 FROM part)
+SELECT code, CASE WHEN n IN (1171, 1174, 1175) THEN 'test' WHEN n NOT IN (1172, 1173) THEN 'train' WHEN ('0x' || substr(sha256('split-v2|' || code || part), 1, 16))::UBIGINT % 5 = 0 THEN 'dev' ELSE 'train' END AS split, sum(k)::BIGINT AS units FROM u GROUP BY 1, 2""")
+def unit_splits(spark, d):
+    return annotate.unit_split(part_units(spark, d)).groupBy(F.col("provenance.standard_code").alias("code"), "split").agg(F.count("*").alias("units"))
+
+
+@query("""
+WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE p_partkey % 11 BETWEEN 5 AND 9) AS s FROM part)
+SELECT 'input_passed' AS rule, n AS formulas, n AS passed FROM c UNION ALL SELECT 'output_passed', n, n FROM c UNION ALL SELECT 'unit_passed', n, n FROM c UNION ALL SELECT 'source_passed', n, 0 FROM c UNION ALL SELECT 'indicator_path_passed', n, n FROM c""")
+def gold_formula_rules(spark, d):
+    """The formulas' gold has inputs, outputs, units and indicators; no variable is sourced, as none speaks of the source."""
+    u = part_units(spark, d)
+    f = gates.gold_formula_paths(u, annotate.annotations(u))
+    names = ("input_passed", "output_passed", "unit_passed", "source_passed", "indicator_path_passed")
+    one = f.agg(F.count("*").alias("n"), *(F.count_if(c).alias(c) for c in names))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("rule"), F.col("n").alias("formulas"), F.col(c).alias("passed")) for c in names))).alias("x")).select("x.*")
+
+
+# -- predictions against gold -----------------------------------------------
+
+
+def _order_rows(spark, d):
+    """Orders as units, their line items as gold entities and relations; predictions have those of a quantity of ten or more, and in some orders one too many."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    unit = o.select(F.col("o_orderkey").cast("string").alias("unit_id"), F.struct(F.col("o_orderpriority").alias("standard_code")).alias("provenance"), F.col("o_orderstatus").alias("unit_type"))
+    span = F.array(F.col("l_linenumber").cast("string"))
+    x = li.select(F.col("l_orderkey").cast("string").alias("unit_id"), "l_quantity", F.struct(F.concat(F.lit(" s"), F.col("l_suppkey") % 20, F.lit("  x")).alias("name"), F.col("l_returnflag").alias("entity_type"), span.alias("evidence_span_ids")).alias("e"),
+                  F.struct(F.concat(F.lit("s"), F.col("l_suppkey") % 20).alias("head_name"), F.col("l_returnflag").alias("head_type"), F.element_at(F.array(*map(F.lit, ("has_input", "has_output", "has_unit", "calculated_by", "has_indicator"))), (F.col("l_partkey") % 5 + 1).cast("int")).alias("relation_type"), F.concat(F.lit("s"), F.col("l_partkey") % 20).alias("tail_name"), F.col("l_returnflag").alias("tail_type"), span.alias("evidence_span_ids")).alias("r"))
+    none = F.array().cast(f"array<{x.schema['e'].dataType.simpleString()}>"), F.array().cast(f"array<{x.schema['r'].dataType.simpleString()}>")
+    rows = lambda f: unit.select("unit_id").join(f.groupBy("unit_id").agg(F.collect_list("e").alias("entities"), F.collect_list("r").alias("relations")), "unit_id", "left").select("unit_id", F.coalesce("entities", none[0]).alias("entities"), F.coalesce("relations", none[1]).alias("relations"))
+    known = x.join(unit.select("unit_id"), "unit_id", "left_semi")
+    return unit, rows(known).withColumn("ontology_version", F.lit(annotate.ONTOLOGY_VERSION)), rows(known.where("l_quantity >= 10"))
+
+
+_ORDERS = """
+WITH x AS (SELECT l_orderkey, l_quantity >= 10 AS p, 's' || (l_suppkey % 20) || ' x' AS name, l_returnflag AS k, 's' || (l_suppkey % 20) AS h, ['has_input', 'has_output', 'has_unit', 'calculated_by', 'has_indicator'][l_partkey % 5 + 1] AS r, 's' || (l_partkey % 20) AS t, l_linenumber AS e FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+ent AS (SELECT l_orderkey, name, k, bool_or(p) AS in_pred, list_sort(list_distinct(list(e))) AS ge, list_sort(list_distinct(list(e) FILTER (WHERE p))) AS pe FROM x GROUP BY ALL),
+rel AS (SELECT l_orderkey, h, k, r, t, bool_or(p) AS in_pred, list_sort(list_distinct(list(e))) AS ge, list_sort(list_distinct(list(e) FILTER (WHERE p))) AS pe FROM x GROUP BY ALL)
+"""
+
+
+def _dimension_sql(source: str, kind: str) -> str:
+    dims = [("'all'", "''"), (f"'{kind[0]}'", kind[1]), ("'standard_code'", "o_orderpriority"), ("'unit_type'", "o_orderstatus")]
+    rows = " UNION ALL ".join(f"SELECT {n} AS dimension, {v} AS value, count(*) AS gold, count_if(in_pred)::BIGINT AS predicted FROM {source} JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2" for n, v in dims)
+    return f"SELECT dimension, value, gold, predicted, predicted AS tp, CASE WHEN predicted > 0 THEN 1 ELSE 0 END::DOUBLE AS precision, round(predicted / gold, 6) AS recall, round(CASE WHEN predicted = 0 THEN 0 ELSE 2 * predicted / (gold + predicted) END, 6) AS f1, 0::DOUBLE AS false_discovery_rate FROM ({rows})"
+
+
+@query(_ORDERS + _dimension_sql("ent", ("entity_type", "k")))
+def evaluate_entities(spark, d):
+    return contract.evaluate(*_order_rows(spark, d))["entities"]
+
+
+@query(_ORDERS + _dimension_sql("rel", ("relation_type", "r")))
+def evaluate_relations(spark, d):
+    return contract.evaluate(*_order_rows(spark, d))["relations"]
+
+
+_OVER = "SELECT '{0}' AS field, count_if(in_pred)::BIGINT AS matched, count_if(list_has_any(ge, pe))::BIGINT AS overlap, round(count_if(list_has_any(ge, pe)) / count_if(in_pred), 6) AS overlap_accuracy, count_if(ge = pe)::BIGINT AS exact, round(count_if(ge = pe) / count_if(in_pred), 6) AS exact_rate FROM {1}"
+
+
+@query(_ORDERS + _OVER.format("entities", "ent") + " UNION ALL " + _OVER.format("relations", "rel"))
+def evaluate_evidence(spark, d):
+    return contract.evaluate(*_order_rows(spark, d))["evidence"]
+
+
+@query(_ORDERS + """, c AS (SELECT o_orderkey, coalesce(bool_and(in_pred), true) AS e FROM orders LEFT JOIN ent ON l_orderkey = o_orderkey GROUP BY 1), f AS (SELECT o_orderkey, coalesce(bool_and(in_pred), true) AS r FROM orders LEFT JOIN rel ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT count(*) AS units, count_if(e)::BIGINT AS entity_exact, count_if(r)::BIGINT AS relation_exact, count_if(e AND r)::BIGINT AS both_exact, round(count_if(e AND r) / count(*), 6) AS both_exact_rate FROM c JOIN f USING (o_orderkey)""")
+def evaluate_exact(spark, d):
+    return contract.evaluate(*_order_rows(spark, d))["exact"]
+
+
+@query(_ORDERS + """, g AS (
+SELECT 'formula_input_complete' AS path, bool_and(in_pred) AS whole FROM rel WHERE r = 'has_input' GROUP BY l_orderkey, h, k UNION ALL SELECT 'formula_output_complete', bool_and(in_pred) FROM rel WHERE r = 'has_output' GROUP BY l_orderkey, h, k
+UNION ALL SELECT 'explicit_unit_edges', in_pred FROM rel WHERE r = 'has_unit'
+UNION ALL SELECT 'indicator_formula_complete', a.in_pred AND NOT EXISTS (FROM rel b WHERE b.r = 'has_indicator' AND b.l_orderkey = a.l_orderkey AND b.t = a.h AND b.k = a.k AND NOT b.in_pred) FROM rel a WHERE a.r = 'calculated_by'),
+n AS (SELECT path, count(*) AS applicable, count_if(whole)::BIGINT AS complete, round(count_if(whole) / count(*), 6) AS rate FROM g GROUP BY 1)
+SELECT * FROM n UNION ALL SELECT p, 0, 0, NULL FROM (VALUES ('explicit_source_edges'), ('quality_constraint_edges')) AS x(p)""")
+def evaluate_paths(spark, d):
+    return contract.evaluate(*_order_rows(spark, d))["paths"]
+
+
+@query(_ORDERS + "SELECT 'entity_false_negative' AS error_type, concat_ws('|', l_orderkey, name, k) AS key FROM ent WHERE NOT in_pred UNION ALL SELECT 'relation_false_negative', concat_ws('|', l_orderkey, h, k, r, t, k) FROM rel WHERE NOT in_pred")
+def evaluate_errors(spark, d):
+    return contract.evaluate(*_order_rows(spark, d))["errors"].select("error_type", F.array_join("key", "|").alias("key"))
+
+
+@query(_ORDERS + """, a AS (SELECT o_orderkey, o_orderpriority, coalesce(bool_and(in_pred), true) AS e FROM orders LEFT JOIN ent ON l_orderkey = o_orderkey GROUP BY ALL), b AS (SELECT o_orderkey, coalesce(bool_and(in_pred), true) AS r FROM orders LEFT JOIN rel ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT o_orderpriority AS standard_code, count(*) AS units, count_if(e)::BIGINT AS entity_exact, count_if(r)::BIGINT AS relation_exact, count_if(e AND r)::BIGINT AS both_exact, round(count_if(e AND r) / count(*), 6) AS both_exact_rate FROM a JOIN b USING (o_orderkey) GROUP BY 1""")
+def expert_agreement(spark, d):
+    return contract.compare_experts(*_order_rows(spark, d))[1]
+
+
+@query(_ORDERS + """, t AS (SELECT 'entities' AS field, count_if(in_pred) AS shared, count(*) AS n, (SELECT count(*) FROM orders) AS u, (SELECT count(DISTINCT l_orderkey) FROM ent WHERE NOT in_pred) AS off FROM ent UNION ALL SELECT 'relations', count_if(in_pred), count(*), (SELECT count(*) FROM orders), (SELECT count(DISTINCT l_orderkey) FROM rel WHERE NOT in_pred) FROM rel)
+SELECT field, shared::BIGINT AS shared, n AS left_count, shared::BIGINT AS right_count, round(shared / n, 6) AS precision, 1::DOUBLE AS recall, round(2 * shared / (n + shared), 6) AS f1, u - off AS exact_units, round((u - off) / u, 6) AS exact_unit_rate FROM t""")
+def expert_totals(spark, d):
+    return contract.compare_experts(*_order_rows(spark, d))[0]
+
+
+def _json_orders(spark, d):
+    """Orders as units and predictions in JSON, with a fault of each kind in some of them, by the order's number; orders with none or several predictions."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    unit = F.to_json(F.struct(F.col("k").cast("string").alias("unit_id"), F.lit("formula_package").alias("unit_type"), F.struct(F.lit("HJ 1171-2021").alias("standard_code"), F.array(F.struct(F.concat(F.lit("s"), "k").alias("span_id"), F.lit(1).alias("page"), F.array(F.lit(0.0)).alias("bbox"))).alias("evidence_spans")).alias("provenance")))
+    m = F.col("k") % 12
+    spans = F.when(m == 1, F.array(F.lit("other"))).when(m == 2, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("s"), "k")))
+    e = lambda i, name, kind: F.struct(i.alias("entity_id"), F.lit(name).alias("name"), kind.alias("entity_type"), spans.alias("evidence_span_ids"))
+    entities = F.array(e(F.lit("f"), "公式", F.when(m == 3, "thing").otherwise("formula")), e(F.when(m == 4, "f").otherwise("v"), "P", F.lit("model_variable")))
+    r = F.struct(F.lit("r").alias("relation_id"), F.lit("f").alias("head_id"), F.when(m == 5, "another").otherwise("公式").alias("head_name"), F.lit("formula").alias("head_type"), F.when(m == 6, "calculated_by").when(m == 7, "likes").otherwise("has_input").alias("relation_type"),
+                 F.lit("v").alias("tail_id"), F.lit("P").alias("tail_name"), F.lit("model_variable").alias("tail_type"), F.array(F.concat(F.lit("s"), "k")).alias("evidence_span_ids"))
+    p = F.struct(F.col("k").cast("string").alias("unit_id"), F.lit(annotate.PREDICTION_VERSION).alias("schema_version"), F.lit(annotate.ONTOLOGY_VERSION).alias("ontology_version"), F.when(m == 8, "error").otherwise("success").alias("status"), F.lit("x").alias("experiment_id"), F.lit("x").alias("config_hash"),
+                 F.lit("x").alias("candidate_hash"), F.when(m == 9, "").otherwise("m").alias("model"), F.lit(1).alias("seed"), F.when(m == 10, "llm").otherwise("rule").alias("backend"), F.lit("HJ 1171-2021").alias("standard_code"), F.lit("formula_package").alias("unit_type"), F.when(m == 11, "x").alias("review_status"), entities.alias("entities"), F.array(r).alias("relations"))
+    pred = o.withColumn("n", F.when(F.col("k") % 25 == 0, 0).when(F.col("k") % 26 == 0, 2).otherwise(1)).where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(1), "n"))).select(F.to_json(p).alias("value"))
+    extra = o.where("k % 50 = 0").select(F.to_json(F.struct(F.concat(F.lit("no"), "k").alias("unit_id"))).alias("value"))
+    return o.select(unit.alias("value")), pred.union(extra)
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 12 AS m, o_orderkey % 25 <> 0 AND o_orderkey % 26 <> 0 AS one FROM orders)
+SELECT code, sum(n)::BIGINT AS n FROM (SELECT unnest(CASE m WHEN 1 THEN ['invalid_entity_evidence', 'invalid_entity_evidence'] WHEN 2 THEN ['missing_entity_evidence', 'missing_entity_evidence'] WHEN 3 THEN ['invalid_entity_type', 'endpoint_payload_mismatch']
+  WHEN 4 THEN ['duplicate_entity_id', 'missing_relation_endpoint'] WHEN 5 THEN ['endpoint_payload_mismatch'] WHEN 6 THEN ['invalid_relation_direction'] WHEN 7 THEN ['invalid_relation_type'] WHEN 8 THEN ['extraction_status'] WHEN 9 THEN ['missing_reproducibility_field'] WHEN 10 THEN ['missing_prompt_hash'] WHEN 11 THEN ['gold_field_leakage'] ELSE [] END) AS code, 1 AS n FROM o WHERE one
+UNION ALL SELECT 'missing_prediction_units', 1 FROM o WHERE k % 25 = 0 UNION ALL SELECT 'duplicate_prediction_units', 1 FROM o WHERE k % 25 <> 0 AND k % 26 = 0 UNION ALL SELECT 'extra_prediction_units', 1 FROM o WHERE k % 50 = 0) GROUP BY 1""")
+def prediction_failures(spark, d):
+    failures, _ = contract.validate_predictions(*_json_orders(spark, d))
+    return failures.groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS unit_id FROM orders WHERE o_orderkey % 12 = 0 AND o_orderkey % 25 <> 0 AND o_orderkey % 26 <> 0")
+def valid_predictions(spark, d):
+    return contract.validate_predictions(*_json_orders(spark, d))[1].select("unit_id")
