@@ -45,8 +45,16 @@ def stable_id(*parts: Column | str, length: int = 16) -> Column:
 
 
 def json_digest(record: Column | str) -> Column:
-    """SHA-256 of a struct's JSON in the order of its fields, nulls included."""
-    return F.sha2(F.to_json(_c(record), {"ignoreNullFields": "false"}), 256)
+    """SHA-256 of a value's JSON with sorted keys at every depth, no white space, nulls included."""
+    return F.sha2(_sorted_json()(F.to_json(_c(record), {"ignoreNullFields": "false"})), 256)
+
+
+def _sorted_json():
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else json.dumps(json.loads(v), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+
+    return run
 
 
 def standard_code(text: Column | str, filename: Column | str | None = None) -> Column:
@@ -308,7 +316,7 @@ def unique(values: Column | str) -> Column:
 
 def display(x: Column, placeholder: str = "待实验补充") -> Column:
     """Four decimals; a placeholder for null."""
-    return F.coalesce(F.format_string("%.4f", x), F.lit(placeholder))
+    return F.when(x.isNull(), placeholder).otherwise(F.format_string("%.4f", x))
 
 
 def teaser(x: Column | str, most: int = 320) -> Column:

@@ -82,14 +82,19 @@ def read_any(spark: SparkSession, root: str, names: list[str]) -> dict[str, Data
     return {n: spark.read.parquet(f"{root}/{n}.parquet") for n in names if exists(spark, f"{root}/{n}.parquet")}
 
 
+_VARIABLE = "struct<symbol: string, definition: string, role: string, unit: string>"
+OVERRIDES = (
+    "standard_code string, document_title string, printed_page string, section string, formula_number string, expression_text string, transcription_method string, review_status string, "
+    f"page int, bbox array<double>, line_ids array<string>, heading_chain array<string>, replace_existing boolean, variables array<{_VARIABLE}>"
+)
+
+
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
-    """Manual formulas, one row each."""
-    variable = "struct<symbol: string, definition: string, role: string, unit: string>"
-    one = (
-        "struct<standard_code: string, document_title: string, printed_page: string, section: string, formula_number: string, expression_text: string, transcription_method: string, review_status: string, "
-        f"page: int, bbox: array<double>, line_ids: array<string>, heading_chain: array<string>, replace_existing: boolean, variables: array<{variable}>>"
-    )
-    return read_json(spark, path, f"overrides array<{one}>").select(F.explode("overrides").alias("o")).select("o.*")
+    """OVERRIDES rows: formulas typed in by hand."""
+    from pyspark.sql.types import ArrayType, StructType, _parse_datatype_string
+
+    shape = StructType().add("overrides", ArrayType(_parse_datatype_string(OVERRIDES)))
+    return spark.read.option("multiLine", True).schema(shape).json(path).select(F.explode("overrides").alias("o")).select("o.*")
 
 
 def read_cases(spark: SparkSession, *paths: str) -> DataFrame:
