@@ -54,6 +54,17 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`").cast(kind.get(c, "string")).alias(c) for c in ("doc_id", *columns))).where("doc_id IS NOT NULL")
 
 
+def one_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), each doc_id once: of different texts the longest, then the greatest. Only where some doc_id has several do texts move for it."""
+    docs = documents(docs, "text")
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("x"), F.max(F.xxhash64("text")).alias("y")).where("n > 1 AND x <> y").select("doc_id")
+    if odd.isEmpty():
+        return docs
+    odd = cut(odd)
+    one = docs.join(odd.hint("shuffle_hash"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(F.length("text").alias("n"), "text")).alias("x")).select("doc_id", "x.text")
+    return docs.join(odd.hint("shuffle_hash"), "doc_id", "left_anti").union(one)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (id, component), the component being its least id.
 

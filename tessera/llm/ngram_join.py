@@ -12,15 +12,23 @@ summed, per document at first and per pair in the end:
 2. Documents with equal sets become one; the others of such a set are
    paired with its least doc_id and aren't compared again.
 3. Fragments of what is left count the frequency of each n-gram. The order
-   is now rarest first; pairs must share an n-gram among the first
-   ``size - ceil(threshold * size) + 1`` of both (prefix filter, exact), and
-   so lie in one component of the graph of documents and prefix n-grams.
-4. Each component is cut vertically again; its fragments count overlaps of
-   pairs by a 0/1 matrix product, and the sum over fragments per pair gives
-   the Jaccard similarity.
-
-A phrase that a million documents share thus makes no million squared
-pairs: it is common, hence last in the order, and joins no components.
+   is now rarest first; a pair must share an n-gram among the first
+   ``size - ceil(threshold * size) + 1`` of both (prefix filter, exact).
+4. Documents that share a band of minima of hashed n-grams form blocks, cut
+   to what a task can hold. A block's n-gram order is cut into fragments
+   in its task; overlaps are counted fragment by fragment (a 0/1 matrix product
+   each, rare n-grams spelled out) and summed per pair. Pairs are counted and
+   forgotten, so that a dense group of copies sends no pairs anywhere.
+5. Pairs of two blocks: the order is cut into as many fragments as leave a
+   document some n-grams in each. A pair that reaches the threshold does so in
+   at least one fragment, as the sum of its partial overlaps is a share of the
+   sum of its partial sizes; so each fragment tells the pairs that reach it
+   there (by a prefix filter of its own), and chance pairs, which share few
+   n-grams anywhere, are told by none. What is told is counted over all n-grams.
+
+Blocks decide where a pair is counted and not whether. A phrase that a
+million documents share makes no million squared pairs: it is common, hence
+last in the order, and in no prefix.
 """
 
 from __future__ import annotations
@@ -40,7 +48,12 @@ N = 3
 THRESHOLD = 0.5
 _LOW = 40
 _FLUSH = 3 << 20
-_SEGMENT = 4 << 20
+#: N-grams and documents of a block that one task counts.
+_HELD_GRAMS, _HELD_DOCS = 4 << 20, 20_000
+#: Bands that link documents to blocks, and minima in each.
+_BANDS, _ROWS = 8, 5
+#: N-grams that a document should have in a fragment, fragments at most, and n-grams of a fragment that one task looks at.
+_LOCAL, _FRAGMENTS, _LOOKED = 24, 64, 2 << 20
 
 
 def _needed(size: np.ndarray, threshold: float) -> np.ndarray:
@@ -215,11 +228,38 @@ def _ordered(threshold: float):
     return run
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bands of minima of a document's hashed n-grams: each band of a batch with the least document that has it (gram, a), and the links of the batch's other documents to that one (a, b).
+
+    A hash says which minimum an n-gram counts for. Two documents share a band
+    with their similarity to the power of its length: copies hardly miss all
+    bands, and documents of chance similarity hardly share one.
+    """
     for batch in batches:
-        g = [np.frombuffer(x, np.int64)[:p] for p, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        if g:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g)), pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in g]))], names=["gram", "doc_id"])
+        keys, docs = [], []
+        for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            h = _text.mix(np.frombuffer(raw, np.uint64))
+            least = np.full(_BANDS * _ROWS, np.iinfo(np.uint64).max, np.uint64)
+            np.minimum.at(least, (h % np.uint64(len(least))).astype(np.int64), h)
+            bands = least.reshape(_BANDS, _ROWS)
+            some = (bands != np.iinfo(np.uint64).max).any(1)
+            keys.append((_text.combine(list(bands.T)) ^ _text.mix(np.arange(1, _BANDS + 1, dtype=np.uint64)))[some].view(np.int64))
+            docs.append(np.full(int(some.sum()), doc, np.int64))
+        if keys:
+            g, d, pair = _stars(np.concatenate(keys), np.concatenate(docs))
+            none = pa.nulls(len(g), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(d), none], names=["gram", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(pair.shape[1], pa.int64()), pa.array(pair[0]), pa.array(pair[1])], names=["gram", "a", "b"])
+
+
+def _stars(g: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams, the least document of each, and the distinct pairs of the other documents with it."""
+    order = np.lexsort((d, g))
+    g, d = g[order], d[order]
+    edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True]) if len(g) else np.zeros(1, np.int64)
+    pair = np.stack([d, np.repeat(d[edge[:-1]], np.diff(edge))])
+    pair = np.unique(pair[:, pair[0] != pair[1]], axis=1)
+    return g[edge[:-1]], d[edge[:-1]], pair
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,39 +267,29 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
     if not got:
         return
-    g, d = (np.concatenate(x) for x in zip(*got))
-    order = np.lexsort((d, g))
-    g, d = g[order], d[order]
-    edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
-    pair = np.unique(np.stack([d, np.repeat(d[edge[:-1]], np.diff(edge))]), axis=1) if len(g) else np.zeros((2, 0), np.int64)
-    pair = pair[:, pair[0] != pair[1]]
+    _, _, pair = _stars(*(np.concatenate(x) for x in zip(*got)))
     if pair.shape[1]:
         yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cuts a document's n-grams into its component's number of vertical segments."""
-    for batch in batches:
-        rows = []
-        for doc, size, comp, cuts, raw in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            g = np.frombuffer(raw, np.int64)
-            seg = _text.mix(g.astype(np.uint64)) % np.uint64(cuts)
-            rows += [(comp, k, doc, size, cuts, g[seg == k].tobytes()) for k in range(cuts)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["component", "segment", "doc_id", "size", "cuts", "grams"])
+def _least(o: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether an overlap of sets of a and b members gives the Jaccard similarity."""
+    return o >= (threshold - 1e-9) * (a + b - o)
 
 
-def _overlaps(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray, grams: np.ndarray, threshold: float, whole: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs of documents of one segment with their overlap there, those left out that lengths or, where it is the only segment, the overlap rule out.
+def _overlaps(sizes: np.ndarray, at: np.ndarray, grams: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (indices of documents, overlap) of one block that reach the threshold.
 
-    N-grams of many documents count by a product of 0/1 matrices, the others by spelling out their pairs.
+    The order of n-grams is cut into fragments, whose partial overlaps are
+    summed per pair: those of many documents count by a product of 0/1
+    matrices, the others by spelling out their pairs.
     """
     _, gram, freq = np.unique(grams, return_inverse=True, return_counts=True)
     keep = freq[gram] > 1
     gram, at = gram[keep], at[keep]
     order = np.lexsort((at, gram))
     gram, at = gram[order], at[order]
-    n, block, step = len(ids), 1024, 1024
+    n, block, step = len(sizes), 1024, 1024
     common = freq[gram] > max(8, n // 16)
     x_common, y_common = at[common], np.unique(gram[common], return_inverse=True)[1]
     width = int(y_common.max()) + 1 if len(y_common) else 0
@@ -286,33 +316,242 @@ def _overlaps(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray, grams: np.ndar
             second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(later[part]) - later[part], later[part])
             np.add.at(flat, (at[first] - r) * (n - r) + at[second] - r, np.float32(1))
             i = j
-        sa, sb = sizes[r : r + m].astype(np.float64), sizes[r:].astype(np.float64)
-        both = np.minimum.outer(sa, sb) >= np.maximum.outer(sa, sb) * threshold - 1e-9
-        both &= count >= (threshold / (1 + threshold) * np.add.outer(sa, sb) - 1e-6) if whole else count > 0
-        a, b = np.nonzero(np.triu(both, 1))
-        yield ids[a + r], ids[b + r], sizes[a + r], sizes[b + r], count[a, b].astype(np.int32)
+        sa, sb = sizes[r : r + m].astype(np.float64)[:, None], sizes[r:].astype(np.float64)[None, :]
+        a, b = np.nonzero(np.triu(_least(count, sa, sb, threshold) & (count > 0), 1))
+        yield a + r, b + r, count[a, b].astype(np.int32)
+
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (block first, sorted by it) of one block after the other."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[0] != now and held:
+                yield held
+                held = []
+            now = row[0]
+            held.append(row)
+    if held:
+        yield held
+
+
+def _joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (least member) of classes after joining those of a and b."""
+    while True:
+        x, y = labels[a], labels[b]
+        apart = x != y
+        if not apart.any():
+            return labels
+        np.minimum.at(labels, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(deeper := labels[labels], labels):
+            labels = deeper
+
+
+def _within(threshold: float, pairs: bool):
+    """Of blocks by rows (block, doc_id, size, k, grams): pairs, or each document's class and links; k documents have a document's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches):
+            rows.sort(key=lambda r: r[1])
+            ids, sizes, k = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int32), np.array([r[3] for r in rows], np.int64)
+            grams = np.frombuffer(b"".join(r[4] for r in rows), np.int64)
+            at = np.repeat(np.arange(len(rows)), [len(r[4]) // 8 for r in rows])
+            links, labels = np.zeros(len(rows)), np.arange(len(rows))
+            for a, b, o in _overlaps(sizes, at, grams, threshold):
+                if pairs and len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(o / (sizes[a] + sizes[b] - o))], names=["doc_id_a", "doc_id_b", "jaccard"])
+                elif len(a):
+                    links += np.bincount(a, k[b], len(rows)) + np.bincount(b, k[a], len(rows))
+                    labels = _joined(labels, a, b)
+            if not pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[labels]), pa.array(links.astype(np.int64))], names=["doc_id", "class_id", "links"])
+
+    return run
+
+
+_LOCAL_SETS = "task int, doc_id long, size int, block long, grams binary"
+
+
+def _local_prefix(length: np.ndarray, threshold: float) -> np.ndarray:
+    return length - _needed(length, threshold) + 1
+
+
+def _local_sets(fragments: int, buckets: int, threshold: float):
+    """Of rows (doc_id, size, block, grams) the part that each fragment has, rarest first, for each bucket that its prefix there has an n-gram in."""
 
-def _pairs(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
         for batch in batches:
-            for comp, seg, doc, size, cuts, raw in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                held.setdefault((comp, seg, cuts), []).append((doc, size, raw))
-        while held:
-            (_, _, cuts), rows = held.popitem()
-            rows.sort()
-            ids, sizes = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
-            grams = np.frombuffer(b"".join(r[2] for r in rows), np.int64)
-            at = np.repeat(np.arange(len(rows)), [len(r[2]) // 8 for r in rows])
-            for out in _overlaps(ids, sizes, at, grams, threshold, cuts == 1):
-                if len(out[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["a", "b", "size_a", "size_b", "part"])
+            rows = []
+            for doc, size, block, raw in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                g = np.frombuffer(raw, np.int64)
+                h = _text.mix(g.astype(np.uint64))
+                frag = (h % np.uint64(fragments)).astype(np.int64)
+                for f in np.unique(frag).tolist():
+                    mine = frag == f
+                    part, first = g[mine].tobytes(), h[mine][: int(_local_prefix(np.int64(mine.sum()), threshold))]
+                    rows += [(f * buckets + b, doc, size, block, part) for b in np.unique((first >> np.uint64(40)) % np.uint64(buckets)).tolist()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["task", "doc_id", "size", "block", "grams"])
 
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+def _local_pairs(buckets: int, threshold: float):
+    """Of a fragment (and bucket): pairs of two blocks (a, b, size_a, size_b) whose sets reach the threshold there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[*(batch.column(k).to_numpy() for k in range(4)), batch.column(4).to_pylist()] for batch in batches if batch.num_rows]
+        if not held:
+            return
+        task = np.concatenate([h[0] for h in held])
+        raw = [x for h in held for x in h[4]]
+        columns = [np.concatenate([h[k] for h in held]) for k in range(1, 4)]
+        for t in np.unique(task).tolist():
+            mine = np.flatnonzero(task == t)
+            mine = mine[np.lexsort((columns[0][mine], columns[2][mine]))]  # by block
+            yield from _pairs_of_fragment(*(c[mine] for c in columns), [raw[k] for k in mine.tolist()], t % buckets, buckets, threshold)
+
+    return run
+
+
+def _pairs_of_fragment(ids: np.ndarray, sizes: np.ndarray, block: np.ndarray, raw: list[bytes], bucket: int, buckets: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    length = np.array([len(x) // 8 for x in raw], np.int64)
+    grams, start = np.frombuffer(b"".join(raw), np.int64), np.cumsum(length) - length
+    doc = np.repeat(np.arange(len(ids)), length)
+    place = np.arange(len(grams)) - start[doc]
+    h = _text.mix(grams.astype(np.uint64))
+    wanted = (place < _local_prefix(length, threshold)[doc]) & ((h >> np.uint64(40)) % np.uint64(buckets) == np.uint64(bucket))
+    at, g = doc[wanted], grams[wanted]
+    order = np.lexsort((at, g))
+    at, g = at[order], g[order]
+    edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
+    stop = np.repeat(edge[1:], np.diff(edge))
+    other = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (block[at[1:]] != block[at[:-1]]), True])
+    after = np.repeat(other[1:], np.diff(other))  # where the next block of the n-gram begins
+    known = np.sort(h ^ _text.mix(doc.astype(np.uint64) + np.uint64(1)))
+    need = _needed(length, threshold)
+    share = threshold / (1 + threshold)
+    order = np.argsort(at, kind="stable")  # all of a pair's n-grams are met from the document of the lesser block
+    later = (stop - after)[order]
+    bounds, i = np.cumsum(later), 0
+    ends = np.searchsorted(at[order], at[order], side="right")  # the entries of one document stay together
+    while i < len(order):
+        j = max(i + 1, int(np.searchsorted(bounds, (bounds[i - 1] if i else 0) + (1 << 21), side="right")))
+        j = int(ends[min(j, len(order)) - 1])
+        entry, n = order[i:j], later[i:j]
+        i = j
+        first = np.repeat(entry, n)
+        second = np.repeat(after[entry], n) + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
+        key, common = np.unique(at[first] * len(ids) + at[second], return_counts=True)
+        a, b = key // len(ids), key % len(ids)
+        near = np.minimum(sizes[a], sizes[b]) >= np.maximum(sizes[a], sizes[b]) * threshold - 1e-9
+        least = share * (length[a] + length[b]) - 1e-9
+        if buckets == 1:  # what is common of the prefixes is then known whole
+            near &= common + np.maximum(need[a], need[b]) - 1 >= least
+        a, b, least = a[near], b[near], least[near]
+        for k in range(0, len(a), 1 << 16):
+            x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+            which = np.repeat(np.arange(len(x)), length[x])
+            own = np.repeat(start[x] - np.r_[0, np.cumsum(length[x])][:-1], length[x]) + np.arange(len(which))
+            asked = h[own] ^ _text.mix(y[which].astype(np.uint64) + np.uint64(1))
+            hit = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
+            good = np.bincount(which, hit, len(x)) >= least[k : k + (1 << 16)]
+            x, y = x[good], y[good]
+            if len(x):
+                low = ids[x] < ids[y]
+                p, q = np.where(low, x, y), np.where(low, y, x)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(ids[q]), pa.array(sizes[p]), pa.array(sizes[q])], names=["a", "b", "size_a", "size_b"])
+
+
+def _verified(threshold: float):
+    """Pairs (a, b, size_a, size_b, grams of a, grams of b) that reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y = (batch.column(c).to_numpy() for c in range(4))
+            o = [len(np.intersect1d(np.frombuffer(p, np.int64), np.frombuffer(q, np.int64), assume_unique=True)) for p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            o = np.array(o, np.int64)
+            keep = _least(o, x, y, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array((o / (x + y - o))[keep])], names=["doc_id_a", "doc_id_b", "jaccard"])
+
+    return run
+
+
+_PAIRS = "doc_id_a long, doc_id_b long, jaccard double"
+_CLASSES = "doc_id long, class_id long, links long"
+
+
+def _searched(docs: DataFrame, n: int, threshold: float, held_grams: int, held_docs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets that can be in a pair (doc_id, rep, k: the least document with its set and how many have it); the blocks (block, doc_id, size, k, grams) to count by a task each; and the pairs of two blocks, kept."""
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be in (0, 1]")
+    docs = _spark.one_text(docs)
+    bits = max(1, math.ceil(math.log2(_spark.shuffle_partitions(docs))))
+    fragments = 1 << bits
+    packed = docs.mapInArrow(_spread(n, bits), _PACKED)
+    found = _spark.cut(_by_document(packed, fragments, False).mapInArrow(_covered(threshold), "doc_id long, size int, same string, grams binary"))
+
+    same = found.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k"))
+    equal = found.select("same", "doc_id").join(same, "same").select("doc_id", "rep", "k")
+    heads = found.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "size", "grams")
+    left = _spark.cut(_by_document(heads.mapInArrow(_respread, _PACKED), fragments, True).mapInArrow(_ordered(threshold), "doc_id long, size int, prefix int, grams binary"))
+
+    stars = left.select("doc_id", "grams").mapInArrow(_minima, "gram long, a long, b long")
+    edges = stars.where("gram IS NOT NULL").select("gram", "a").repartition(fragments, "gram").mapInArrow(_links, "a long, b long").union(stars.where("gram IS NULL").select("a", "b"))
+    member = _spark.components(edges).withColumnRenamed("id", "doc_id")
+    weight = left.select("doc_id", F.length("grams").alias("w")).join(member, "doc_id").groupBy("component")
+    cuts = weight.agg(F.ceil(F.greatest(F.sum("w") / (8 * held_grams), F.count("*") / held_docs)).alias("cuts"))
+    # a block is a component or, of one that is too large, a slice by hash
+    block = F.when(F.col("cuts") > 1, F.xxhash64("component", F.pmod(F.xxhash64("doc_id"), F.col("cuts")))).otherwise(F.col("component"))
+    blocks = _spark.cut(member.join(cuts, "component").select("doc_id", block.alias("block")))
+
+    k = same.select(F.col("rep").alias("doc_id"), "k")
+    held = left.join(blocks, "doc_id").join(k, "doc_id").select("block", "doc_id", "size", "k", "grams").repartition(fragments, "block").sortWithinPartitions("block")
+    alone = F.xxhash64("doc_id", F.lit("alone"))
+    weight = left.agg(F.coalesce(F.sum(F.length("grams") / 8), F.lit(0)).alias("grams"), F.greatest(F.count("*"), F.lit(1)).alias("docs")).first()
+    cuts = max(1, min(_FRAGMENTS, int(weight["grams"] / weight["docs"] / _LOCAL)))
+    buckets = max(1, math.ceil(weight["grams"] / cuts / _LOOKED))
+    local = left.join(blocks, "doc_id", "left").select("doc_id", "size", F.coalesce("block", alone).alias("block"), "grams").mapInArrow(_local_sets(cuts, buckets, threshold), _LOCAL_SETS)
+    told = local.repartitionById(cuts * buckets, F.col("task")).mapInArrow(_local_pairs(buckets, threshold), "a long, b long, size_a int, size_b int")
+    open_ = _spark.cut(told.distinct())
+    wanted = open_.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    grams = left.join(wanted, "doc_id", "left_semi").select("doc_id", "grams")
+    both = open_.join(grams.toDF("a", "grams_a"), "a").join(grams.toDF("b", "grams_b"), "b")
+    apart = both.select("a", "b", "size_a", "size_b", "grams_a", "grams_b").mapInArrow(_verified(threshold), _PAIRS)
+    return equal, held, _spark.cut(apart.join(k.toDF("doc_id_a", "k_a"), "doc_id_a").join(k.toDF("doc_id_b", "k_b"), "doc_id_b"))
+
+
+def near_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, held_grams: int = _HELD_GRAMS, held_docs: int = _HELD_DOCS) -> DataFrame:
+    """For each document (doc_id) the least doc_id that a chain of pairs connects it with (class_id) and in how many pairs it is (links).
+
+    Pairs are those of ``ngram_jaccard_join`` and of ``all_pairs``: every two
+    documents whose sets of word n-grams have a Jaccard similarity of at least
+    ``threshold``, equal ones included. They are counted, not told, so that the result
+    has one row for each document.
+
+    Defined results: as for ``ngram_jaccard_join``; a document in no pair is
+    its own class with no links, and so is one without words.
+    """
+    equal, held, apart = _searched(docs, n, threshold, held_grams, held_docs)
+    inside = held.mapInArrow(_within(threshold, False), _CLASSES)
+    if apart.isEmpty():
+        classes = inside
+    else:
+        inside = _spark.cut(inside)
+        ends = apart.select(F.col("doc_id_a").alias("doc_id"), F.col("k_b").alias("k")).union(apart.select("doc_id_b", "k_a"))
+        more = ends.groupBy("doc_id").agg(F.sum("k").alias("more"))
+        every = inside.join(more, "doc_id", "full").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("links"))
+        every = _spark.cut(every)
+        root = every.select("doc_id", "class_id")
+        joined = apart.select("doc_id_a", "doc_id_b").join(root.toDF("doc_id_a", "x"), "doc_id_a").join(root.toDF("doc_id_b", "y"), "doc_id_b").select("x", "y")
+        roots = _spark.components(joined, "x", "y").toDF("class_id", "root")
+        classes = every.join(roots, "class_id", "left").select("doc_id", F.coalesce("root", "class_id").alias("class_id"), "links")
+    known = equal.join(classes.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("k") - 1).alias("links"))
+    every = _spark.documents(docs).distinct().join(known, "doc_id", "left")
+    return every.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, held_grams: int = _HELD_GRAMS, held_docs: int = _HELD_DOCS) -> DataFrame:
     """Pairs (doc_id_a < doc_id_b, jaccard) of documents whose sets of word n-grams have at least that Jaccard similarity.
 
     Words are runs of ASCII letters, digits and underscores and all
@@ -328,36 +567,20 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
 
     Defined results: a null doc_id is left out; a null, empty or wordless
     text has no n-grams and is in no pair; rows that repeat a doc_id are one
-    document (of rows with different texts the union counts, its size being
-    that of the largest); no documents give no pairs; further columns are not
-    looked at. Texts of any length are used whole.
+    document (of different texts the longest counts, then the greatest); no
+    documents give no pairs; further columns are not looked at. Texts of any
+    length are used whole.
     """
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must be in (0, 1]")
-    docs = _spark.documents(docs, "text")
-    bits = max(1, math.ceil(math.log2(_spark.shuffle_partitions(docs))))
-    fragments = 1 << bits
-    packed = docs.mapInArrow(_spread(n, bits), _PACKED)
-    found = _spark.cut(_by_document(packed, fragments, False).mapInArrow(_covered(threshold), "doc_id long, size int, same string, grams binary"))
-
-    equal = found.groupBy("same").agg(F.min("doc_id").alias("doc_id_a"), F.count("*").alias("k")).where("k > 1")
-    equal = found.select("same", F.col("doc_id").alias("doc_id_b")).join(equal, "same").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b", F.lit(1.0).alias("jaccard"))
-    heads = found.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.min_by("grams", "doc_id").alias("grams")).select("doc_id", "size", "grams")
-    left = _spark.cut(_by_document(heads.mapInArrow(_respread, _PACKED), fragments, True).mapInArrow(_ordered(threshold), "doc_id long, size int, prefix int, grams binary"))
-
-    edges = left.select("doc_id", "prefix", "grams").mapInArrow(_prefixes, "gram long, doc_id long").repartition(fragments, "gram").mapInArrow(_links, "a long, b long")
-    member = _spark.components(edges)
-    weight = left.select("doc_id", F.length("grams").alias("w")).join(member, F.col("doc_id") == F.col("id"))
-    cuts = weight.groupBy("component").agg(F.ceil(F.sum("w") / (8 * _SEGMENT)).cast("int").alias("cuts"))
-    member = member.join(cuts, "component")
-    parts = left.join(member, F.col("doc_id") == F.col("id")).select("doc_id", "size", "component", "cuts", "grams").mapInArrow(_segments, "component long, segment int, doc_id long, size int, cuts int, grams binary")
-    pairs = parts.repartition(fragments, "component", "segment").mapInArrow(_pairs(threshold), "a long, b long, size_a int, size_b int, part int")
-    near = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.sum("part").alias("o")).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), (F.col("o") / (F.col("size_a") + F.col("size_b") - F.col("o"))).alias("jaccard"))
-    return near.where(F.col("jaccard") >= threshold - 1e-9).union(equal)
+    equal, held, apart = _searched(docs, n, threshold, held_grams, held_docs)
+    pairs = held.mapInArrow(_within(threshold, True), _PAIRS).union(apart.select("doc_id_a", "doc_id_b", "jaccard"))
+    return pairs.union(equal.where("rep < doc_id").select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard")))
 
 
 def all_pairs(joined: DataFrame) -> DataFrame:
-    """Every pair of documents, spelled out from the result of ``ngram_jaccard_join``; quadratic in the size of groups of equal sets."""
+    """Every pair of documents, spelled out from the result of ``ngram_jaccard_join``; quadratic in the size of groups of equal sets.
+
+    Defined results: no pairs give none; repeated rows, which ``ngram_jaccard_join`` doesn't give, give repeated pairs.
+    """
     joined = _spark.cut(joined)
     same = joined.where("jaccard = 1.0").select(F.col("doc_id_a").alias("head"), F.col("doc_id_b").alias("doc"))
     heads = joined.select(F.explode(F.array("doc_id_a", "doc_id_b")).alias("head")).join(same.select(F.col("doc").alias("head")), "head", "left_anti").distinct()
@@ -373,23 +596,10 @@ def keep_one_of_each_group(docs: DataFrame, n: int = N, threshold: float = THRES
     Rows whose doc_id is null or whose text has no words stay. Of rows that
     repeat a doc_id all stay or all go.
     """
-    group = _spark.components(ngram_jaccard_join(docs, n, threshold), "doc_id_a", "doc_id_b")
-    gone = group.where("id <> component").select(F.col("id").alias("doc_id"))
+    gone = near_classes(docs, n, threshold).where("class_id < doc_id").select("doc_id")
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
-ORACLE = f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z_\\x{{80}}-\\x{{10FFFF}}]+') AS t FROM documents),
-g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) < {N} THEN [array_to_string(t, ' ')] ELSE list_transform(range(1, len(t) - {N - 2}), lambda i: array_to_string(t[i:i + {N - 1}], ' ')) END) AS gram FROM w WHERE len(t) > 0),
-s AS (SELECT doc_id, count(*) AS size, string_agg(gram, '|' ORDER BY gram) AS all_grams FROM g GROUP BY doc_id),
-h AS (SELECT doc_id, size, min(doc_id) OVER (PARTITION BY all_grams) AS head FROM s),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id
-      WHERE a.doc_id IN (SELECT head FROM h) AND b.doc_id IN (SELECT head FROM h) GROUP BY ALL)
-SELECT p.a AS doc_id_a, p.b AS doc_id_b, o / (x.size + y.size - o) AS jaccard
-FROM p JOIN h x ON x.doc_id = p.a JOIN h y ON y.doc_id = p.b WHERE o / (x.size + y.size - o) >= {THRESHOLD - 1e-9}
-UNION ALL SELECT head, doc_id, 1.0 FROM h WHERE head < doc_id
-"""
-
 #: Every pair, copies of a document included.
 ORACLE_ALL = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z_\\x{{80}}-\\x{{10FFFF}}]+') AS t FROM documents),
@@ -399,3 +609,14 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.
 SELECT p.a AS doc_id_a, p.b AS doc_id_b, o / (x.size + y.size - o) AS jaccard
 FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b WHERE o / (x.size + y.size - o) >= {THRESHOLD - 1e-9}
 """
+
+#: Each document's class, by the pairs that ORACLE_ALL has, and in how many of them it is.
+ORACLE = f"""
+WITH RECURSIVE pairs AS ({ORACLE_ALL}),
+near AS (SELECT doc_id_a AS x, doc_id_b AS y FROM pairs UNION ALL SELECT doc_id_b, doc_id_a FROM pairs),
+reach AS (SELECT DISTINCT x, y FROM near UNION SELECT reach.x, near.y FROM reach JOIN near ON reach.y = near.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+many AS (SELECT x, count(*) AS links FROM near GROUP BY x)
+SELECT DISTINCT d.doc_id, coalesce(least(d.doc_id, least.y), d.doc_id) AS class_id, coalesce(links, 0) AS links
+FROM documents d LEFT JOIN least ON least.x = d.doc_id LEFT JOIN many ON many.x = d.doc_id WHERE d.doc_id IS NOT NULL
+"""

@@ -14,11 +14,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_jaccard_join(_documents(spark, sf_dir))
+    return ngram_join.near_classes(_documents(spark, sf_dir))
 
 
 def op1_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.all_pairs(op1_ngram_jaccard_join(spark, sf_dir))
+    return ngram_join.all_pairs(ngram_join.ngram_jaccard_join(_documents(spark, sf_dir)))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +65,4 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_jaccard_join, op1_all_pairs, op2_quality_rules, op3_language_id, op4_substring_dedup, op5_secret_scans, op6_warc, op7_sentencepiece, op7_viterbi, op8_toxicity, op9_mixing, op10_document_fingerprints)
 }
-ORACLE = {"op1_ngram_jaccard_join": ngram_join.ORACLE, "op1_all_pairs": ngram_join.ORACLE_ALL, "op2_quality_rules": quality.ORACLE, "op10_document_fingerprints": fingerprint.ORACLE}
+ORACLE = {"op1_ngram_jaccard_join": ngram_join.ORACLE, "op1_all_pairs": ngram_join.ORACLE_ALL, "op2_quality_rules": quality.ORACLE, "op4_substring_dedup": sentence_dedup.ORACLE, "op10_document_fingerprints": fingerprint.ORACLE}
