@@ -1,7 +1,7 @@
 """Web captures assembled from WARC records.
 
 Request, response and metadata records of one transaction name each other
-in WARC-Concurrent-To. The naming may go either way and over one record
+in WARC-Concurrent-To. The naming may go either way and over records
 between (a metadata record that names the request of a response). Links are
 joined on identifiers alone; contents move once, when each response meets
 the records found for it.
@@ -9,10 +9,10 @@ the records found for it.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -22,9 +22,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm import _spark
 
-RECORD = "record_id string, type string, concurrent_to array<string>, target_uri string, date string, content_type string, head string, body string"
-_ARROW = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("target_uri", pa.string()), ("date", pa.string()), ("content_type", pa.string()), ("head", pa.string()), ("body", pa.string())])
+RECORD = "record_id string, type string, concurrent_to array<string>, target_uri string, date string, content_type string, head string, body binary, skipped long"
+_ARROW = pa.schema([
+    ("record_id", pa.string()), ("type", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("target_uri", pa.string()), ("date", pa.string()),
+    ("content_type", pa.string()), ("head", pa.string()), ("body", pa.binary()), ("skipped", pa.int64()),
+])
 CAPTURES = ("response", "revisit")
+#: The type of a row that stands for bytes which are no record.
+MALFORMED = "malformed"
 
 
 def _record(kind: str, record_id: str, uri: str, content_type: str, content: bytes, concurrent: list[str], date: str) -> bytes:
@@ -62,39 +67,98 @@ def render(pages: DataFrame) -> DataFrame:
     return pages.where("page_id IS NOT NULL AND url IS NOT NULL").mapInArrow(run, "warc binary")
 
 
-def parse(stream: BinaryIO) -> Iterator[tuple]:
-    """Records of an uncompressed WARC stream, as RECORD has them.
+def _malformed(size: int) -> tuple:
+    return None, MALFORMED, [], None, None, None, None, None, size
+
 
-    Bytes that are no UTF-8 become the replacement character. A record
-    without identifier or type is passed over; the stream ends at the first
-    record that is cut off or doesn't begin with a WARC version.
+def parse(stream: BinaryIO) -> Iterator[tuple]:
+    """Records of an uncompressed WARC stream, as RECORD has them; ``body`` is the bytes as they are.
+
+    What is no record is passed over up to the next line that begins with
+    ``WARC/``, and told as a row of type ``malformed`` with the number of bytes
+    in ``skipped`` (null for records): text between records, a head that is
+    cut off or has no length that is a number, a record that is cut off, and
+    one without identifier or type. Heads that are no UTF-8 get the
+    replacement character.
     """
-    while True:
-        line = stream.readline()
-        while line in (b"\r\n", b"\n"):
-            line = stream.readline()
+    line, skipped = b"", 0
+    while line or (line := stream.readline()):
         if not line.startswith(b"WARC/"):
-            return
+            skipped += len(line) if line.strip() else 0
+            line = b""
+            continue
+        if skipped:
+            yield _malformed(skipped)
         names: dict[str, str] = {}
         concurrent: list[str] = []
-        while (line := stream.readline()) not in (b"\r\n", b"\n"):
-            if not line:
-                return
-            name, _, value = line.decode("utf-8", "replace").partition(":")
+        skipped, line = len(line), b""
+        while (field := stream.readline()) not in (b"\r\n", b"\n", b"") and not field.startswith(b"WARC/"):
+            skipped += len(field)
+            name, _, value = field.decode("utf-8", "replace").partition(":")
             name, value = name.strip().lower(), value.strip()
             if name == "warc-concurrent-to":
                 concurrent.append(value.strip("<>"))
             else:
                 names[name] = value
-        size = int(names.get("content-length") or 0)
-        content = stream.read(size)
-        if len(content) < size:
-            return
-        head, body = b"", content
+        size = names.get("content-length", "")
+        if field.startswith(b"WARC/"):
+            line = field
+        if not field or line or not (size.isascii() and size.isdigit()):
+            continue
+        content = stream.read(int(size))
+        if len(content) < int(size):  # too short, or the length was wrong: look for records inside
+            at = content.find(b"\nWARC/") + 1
+            skipped += at or len(content)
+            stream = io.BytesIO(content[at:] if at else b"")
+            continue
+        if not (names.get("warc-record-id", "").strip("<>") and names.get("warc-type")):
+            yield _malformed(skipped + len(content))
+            skipped = 0
+            continue
+        skipped, head, body = 0, b"", content
         if names.get("content-type", "").startswith("application/http"):
             head, _, body = content.partition(b"\r\n\r\n")
-        if names.get("warc-record-id") and names.get("warc-type"):
-            yield names["warc-record-id"].strip("<>"), names["warc-type"].lower(), concurrent, names.get("warc-target-uri"), names.get("warc-date"), names.get("content-type"), head.decode("utf-8", "replace"), body.decode("utf-8", "replace")
+        yield names["warc-record-id"].strip("<>"), names["warc-type"].lower(), concurrent, names.get("warc-target-uri"), names.get("warc-date"), names.get("content-type"), head.decode("utf-8", "replace"), body, None
+    if skipped:
+        yield _malformed(skipped)
+
+
+class _Gunzip(io.RawIOBase):
+    """Members of a gzip stream one after the other; after a broken one the next that begins."""
+
+    def __init__(self, raw: BinaryIO):
+        self.raw, self.held, self.out, self.member = raw, b"", b"", None
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.out:
+            if not self.held and not (more := self.raw.read(1 << 20)):
+                return 0
+            self.held = self.held or more
+            if self.member is None:
+                at = self.held.find(b"\x1f\x8b\x08")
+                if at < 0:
+                    more = self.raw.read(1 << 20)
+                    self.held = self.held[-2:] + more if more else b""
+                    continue
+                self.held, self.member = self.held[at:], zlib.decompressobj(31)
+            try:
+                self.out = self.member.decompress(self.held, 4 << 20)
+            except zlib.error:
+                self.held, self.out, self.member = self.held[1:], b"\r\n", None
+                continue
+            self.held = self.member.unconsumed_tail
+            if self.member.eof:
+                self.held, self.member = self.member.unused_data, None
+        n = min(len(into), len(self.out))
+        into[:n], self.out = self.out[:n], self.out[n:]
+        return n
+
+
+def _plain(stream: BinaryIO, zipped: bool) -> BinaryIO:
+    return io.BufferedReader(_Gunzip(stream), 1 << 20) if zipped else stream
 
 
 def _batches(rows: Iterator[tuple], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -102,7 +166,7 @@ def _batches(rows: Iterator[tuple], limit: int = 4 << 20) -> Iterator[pa.RecordB
     size = 0
     for row in rows:
         held.append(row)
-        size += len(row[7])
+        size += len(row[7] or b"")
         if size > limit:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _ARROW)], schema=_ARROW)
             held, size = [], 0
@@ -111,14 +175,20 @@ def _batches(rows: Iterator[tuple], limit: int = 4 << 20) -> Iterator[pa.RecordB
 
 
 def records(warc: DataFrame, column: str = "warc") -> DataFrame:
-    """Records of WARC data in a binary column, compressed (gzip, by record or whole) or not; null and empty data have none."""
+    """Records of WARC data in a binary column, compressed (gzip, by record or whole) or not.
+
+    Defined results: null and empty data have no rows; what is no record gives
+    rows of type ``malformed``, as in ``parse``, and so does a broken or cut off gzip
+    member, after which the next one is read; repeated rows give their records
+    again; no rows give none; further columns are not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for raw in batch.column(0):
                     raw = raw.as_py() or b""
-                    yield from parse(gzip.open(io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw))
+                    yield from parse(_plain(io.BytesIO(raw), raw[:2] == b"\x1f\x8b"))
 
         yield from _batches(rows())
 
@@ -126,7 +196,10 @@ def records(warc: DataFrame, column: str = "warc") -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all WARC files under a path; each is streamed by the task that got its name, never read whole."""
+    """Records of all WARC files under a path; each is streamed by the task that got its name, never read whole.
+
+    Defined results: as ``records``; empty files and folders have no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -137,56 +210,73 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     system, at = fs.FileSystem.from_uri(uri)
                     with system.open_input_stream(at, compression=None) as f:
                         buffered = io.BufferedReader(f, 1 << 20)
-                        yield from parse(gzip.open(buffered) if buffered.peek(2)[:2] == b"\x1f\x8b" else buffered)
+                        yield from parse(_plain(buffered, buffered.peek(2)[:2] == b"\x1f\x8b"))
 
         yield from _batches(rows())
 
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").mapInArrow(run, RECORD)
 
 
+def members(ids: DataFrame) -> DataFrame:
+    """(capture_id, record_id): the records that belong to each capture, found hop by hop over identifiers alone until no hop finds another."""
+    heads = ids.select("record_id", F.explode("concurrent_to").alias("other")).where("record_id <> other")
+    links = heads.select(F.col("record_id").alias("a"), F.col("other").alias("b")).union(heads.select("other", "record_id"))
+    kind = ids.groupBy("record_id").agg(F.bool_or(F.col("type").isin(*CAPTURES)).alias("capture"))
+    # links to records that are there and no captures; a says whether it is one itself
+    links = links.join(kind.where("NOT capture").select(F.col("record_id").alias("b")), "b").join(kind.select(F.col("record_id").alias("a"), "capture"), "a").select("a", "b", "capture").distinct()
+    links = _spark.cut(links)
+    step = links.where("NOT capture").select(F.col("a").alias("record_id"), "b")
+    new = found = links.where("capture").select(F.col("a").alias("capture_id"), F.col("b").alias("record_id"))
+    while True:
+        new = _spark.cut(new.join(step, "record_id").select("capture_id", F.col("b").alias("record_id")).distinct().join(found, ["capture_id", "record_id"], "left_anti"))
+        if new.isEmpty():
+            return found
+        found = found.union(new)
+
+
 def captures(found: DataFrame) -> DataFrame:
     """One nested row per capture: (capture_id, target_uri, date, request, response, metadata).
 
-    ``request`` is the request of least record_id, or null; ``metadata`` is an
-    array ordered by record_id, empty where there is none. A record belongs to
-    a response that it names or is named by, or that a record so linked to it
-    is linked to.
+    ``request`` and ``metadata`` are arrays ordered by record_id, empty where
+    there is none; bodies are bytes, fields of metadata are text. A record belongs to
+    a response that it names or is named by, or that a record which belongs to it
+    names or is named by, over any number of steps; another response ends a chain.
 
-    Defined results: records that reach no response are in no row; a record
+    Contents move once: those of responses by their own identifier, those of the
+    others by theirs and then with their response. ``found`` is computed three times
+    (identifiers, responses, others) rather than kept.
+
+    Defined results: rows without identifier or type, malformed ones among them, are passed over;
+    records that reach no response are in no row; a record
     linked to several responses is in the row of each; records that repeat an identifier
-    count once (that of the least content); links to absent records do nothing; no
-    records give no rows; further columns are not looked at.
+    count once (that of the least content), and have the links of all; links to absent records do nothing; no
+    records give no rows; null contents stay null; further columns are not looked at.
     """
     spark = found.sparkSession
-    found = spark.read.parquet(_spark.written(found.select("record_id", "type", "concurrent_to", "target_uri", "date", "content_type", "head", "body").where("record_id IS NOT NULL AND type IS NOT NULL")))
-    heads = found.select("record_id", "type", F.explode("concurrent_to").alias("other")).where("record_id <> other")
-    links = heads.select(F.col("record_id").alias("a"), F.col("other").alias("b")).union(heads.select("other", "record_id")).distinct()
-    ids = found.where(F.col("type").isin(*CAPTURES)).select(F.col("record_id").alias("capture_id")).distinct()
-    side = found.where(~F.col("type").isin(*CAPTURES)).select("record_id").distinct()
-    near = links.join(ids, F.col("a") == F.col("capture_id")).select("capture_id", F.col("b").alias("record_id")).join(side, "record_id", "left_semi")
-    far = near.join(links, F.col("record_id") == F.col("a")).select("capture_id", F.col("b").alias("record_id")).join(side, "record_id", "left_semi")
-    member = near.select("capture_id", "record_id").union(far.select("capture_id", "record_id")).distinct()
-
-    once = found.where(~F.col("type").isin(*CAPTURES)).select("record_id", F.struct("type", "head", "body", "date").alias("r")).groupBy("record_id").agg(F.min("r").alias("r"))
+    found = found.select("record_id", "type", "concurrent_to", "target_uri", "date", "content_type", "head", "body").where("record_id IS NOT NULL AND type IS NOT NULL")
+    ids = spark.read.parquet(_spark.written(found.select("record_id", "type", "concurrent_to")))
+    member = members(ids)
+
+    is_capture = F.col("type").isin(*CAPTURES)
+    once = found.where(~is_capture & F.col("type").isin("request", "metadata")).select("record_id", F.struct("type", "head", "body", "date").alias("r")).groupBy("record_id").agg(F.min("r").alias("r"))
+    request = F.struct("record_id", F.col("r.date").alias("date"), F.col("r.head").alias("head"), F.col("r.body").alias("body"))
+    metadata = F.struct("record_id", F.col("r.date").alias("date"), F.expr("make_valid_utf8(cast(r.body AS string))").alias("fields"))
     joined = member.join(once, "record_id").groupBy("capture_id").agg(
-        F.min(F.when(F.col("r.type") == "request", F.struct("record_id", F.col("r.date").alias("date"), F.col("r.head").alias("head"), F.col("r.body").alias("body")))).alias("request"),
-        F.sort_array(F.collect_list(F.when(F.col("r.type") == "metadata", F.struct("record_id", F.col("r.date").alias("date"), F.col("r.body").alias("fields"))))).alias("metadata"),
+        F.sort_array(F.collect_list(F.when(F.col("r.type") == "request", request))).alias("request"),
+        F.sort_array(F.collect_list(F.when(F.col("r.type") == "metadata", metadata))).alias("metadata"),
     )
-    # equal identifiers meet in the shuffle that the join needs anyway
-    response = found.where(F.col("type").isin(*CAPTURES)).select(F.col("record_id").alias("capture_id"), F.struct("body", "head", "target_uri", "date", "type", "content_type").alias("r"))
-    joined = response.join(joined.hint("shuffle_hash"), "capture_id", "left").groupBy("capture_id").agg(F.min("r").alias("r"), F.first("request").alias("request"), F.first("metadata").alias("metadata")) if _repeats(ids, found) else response.join(joined.hint("shuffle_hash"), "capture_id", "left")
+    response = found.where(is_capture).select(F.col("record_id").alias("capture_id"), F.struct("body", "head", "target_uri", "date", "type", "content_type").alias("r"))
+    joined = response.join(joined.hint("shuffle_hash"), "capture_id", "left")
+    captured = ids.where(is_capture).groupBy("record_id").count()
+    if not captured.where("count > 1").isEmpty():  # equal identifiers have met in the join already
+        joined = joined.groupBy("capture_id").agg(F.min("r").alias("r"), F.first("request").alias("request"), F.first("metadata").alias("metadata"))
     kind = F.regexp_extract("r.head", r"(?im)^content-type:[ \t]*([^\r\n]*)", 1)
+    status = F.expr("try_cast(regexp_extract(r.head, '^HTTP/[^ ]+ ([0-9]+)', 1) AS int)")
     return joined.select(
         "capture_id",
         F.col("r.target_uri").alias("target_uri"),
         F.col("r.date").alias("date"),
-        "request",
-        F.struct(F.col("r.type").alias("type"), F.expr("try_cast(regexp_extract(r.head, '^HTTP/[^ ]+ ([0-9]+)', 1) AS int)").alias("status"), kind.alias("content_type"), F.col("r.head").alias("head"), F.col("r.body").alias("body")).alias("response"),
+        F.coalesce("request", F.expr("array()").cast("array<struct<record_id:string,date:string,head:string,body:binary>>")).alias("request"),
+        F.struct(F.col("r.type").alias("type"), status.alias("status"), kind.alias("content_type"), F.col("r.head").alias("head"), F.col("r.body").alias("body")).alias("response"),
         F.coalesce("metadata", F.expr("array()").cast("array<struct<record_id:string,date:string,fields:string>>")).alias("metadata"),
     )
-
-
-def _repeats(ids: DataFrame, found: DataFrame) -> bool:
-    """Whether any response identifier occurs twice; a count of identifiers alone."""
-    rows = found.where(F.col("type").isin(*CAPTURES)).count()
-    return rows > ids.count()
