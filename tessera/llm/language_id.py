@@ -49,9 +49,11 @@ def windows(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
     start = offs[doc] + k * WINDOW
     length = np.minimum(WINDOW, offs[doc + 1] - start)
-    at = start[:, None] + np.arange(WINDOW)
-    inside = np.arange(WINDOW) < length[:, None]
-    return np.where(inside, buf[np.minimum(at, max(len(buf) - 1, 0))] if len(buf) else 0, 0).astype(np.uint8), doc, length
+    out = np.zeros((len(doc), WINDOW), np.uint8)
+    # the windows of a text lie side by side, but for what its last one is short of
+    to = np.repeat(np.cumsum(n) * WINDOW - (n * WINDOW - size) - np.cumsum(size), size) + np.arange(len(buf)) if len(buf) else np.zeros(0, np.int64)
+    out.reshape(-1)[to] = buf
+    return out, doc, length
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -181,8 +183,8 @@ def _run(model: Model):
     return run
 
 
-def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, language, confidence, windows) of each document, by a model trained on at most ``train_rows`` labelled texts (column lang) of each language.
+def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_windows: int = TRAIN_WINDOWS) -> DataFrame:
+    """(doc_id, language, confidence, windows) of each document, by a model trained on at most ``train_rows`` labelled texts (column lang) of each language, ``train_windows`` windows of each.
 
     Defined results: a null doc_id is left out; null and empty texts are
     'und' with confidence 0.0 and no windows; between equal probabilities the
@@ -190,5 +192,5 @@ def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     'und'; repeated rows each give a row; no documents give no rows; further
     columns are not looked at. All windows of a text of any length count.
     """
-    model = fit(docs, train_rows)
+    model = fit(docs, train_rows, train_windows)
     return _spark.documents(docs, "text").mapInArrow(_run(model), "doc_id long, language string, confidence double, windows int")

@@ -316,7 +316,13 @@ def find_secrets(docs: DataFrame, lines: int = LINES) -> DataFrame:
 
 
 def redact(docs: DataFrame, mask: str = MASK, lines: int = LINES) -> DataFrame:
-    """``docs`` with each secret of the text replaced by ``mask`` and, where there is such a column, n_chars counted again; rows without secrets stay as they are."""
+    """``docs`` with each secret of the text replaced by ``mask`` and, where there is such a column, n_chars counted again.
+
+    Defined results: those of ``find_secrets``; rows without secrets, of a null doc_id
+    and of null or empty texts stay as they are, a null doc_id's secrets being masked too;
+    repeated rows are masked each; no documents give no rows; further columns stay;
+    a table without the column text raises. Texts of any length are masked whole.
+    """
     model, schema, at = fit(lines), docs.schema, docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 

@@ -29,6 +29,8 @@ BEGINNINGS = (4, 6, 8)
 TRAIN_ROWS = 4000
 REJECT = 0.5
 SEED = 7
+#: A feature is selected from as many toxic training documents at least, and the best so many in all; more than ``CAP`` occurrences in a text count as that many.
+MIN_DOCS, MOST, CAP = 3, 4000, 3
 
 
 class Model(NamedTuple):
@@ -64,14 +66,14 @@ def _counts(buckets: np.ndarray, doc: np.ndarray, selected: np.ndarray) -> tuple
     return key // len(selected), key % len(selected), count
 
 
-def fit(texts: list[str], toxic: list[int], min_docs: int = 3, ratio: float = 4.0, most: int = 4000, epochs: int = 300) -> Model:
+def fit(texts: list[str], toxic: list[int], min_docs: int = MIN_DOCS, ratio: float = 4.0, most: int = MOST, epochs: int = 300, cap: int = CAP) -> Model:
     """Trains on labelled texts. Without both labels the model finds nothing toxic."""
     y = np.array(toxic, bool)
     buf, offs = _text.flat(_text.lowered(pa.array(texts, pa.string())))
     b, d, n_words = features(buf, offs)
     n = len(y)
     if not y.any() or y.all():
-        return Model(np.zeros(0, np.int64), np.zeros(0), np.array([30.0, 31.0, 32.0]), 3)
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.array([30.0, 31.0, 32.0]), cap)
     pair = np.unique(d[None, :].astype(np.int64) * (1 << BITS) + b)
     doc, bucket = pair >> BITS, pair & ((1 << BITS) - 1)
     bad = np.bincount(bucket[y[doc]], minlength=1 << BITS)
@@ -82,8 +84,7 @@ def fit(texts: list[str], toxic: list[int], min_docs: int = 3, ratio: float = 4.
     chosen = np.flatnonzero((bad >= min_docs) & (lift >= ratio))
     chosen = np.sort(chosen[np.argsort(-(bad * np.log(lift))[chosen], kind="stable")[:most]])
     if not len(chosen):
-        return Model(np.zeros(0, np.int64), np.zeros(0), np.array([30.0, 31.0, 32.0]), 3)
-    cap = 3
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.array([30.0, 31.0, 32.0]), cap)
     row, col, count = _counts(b, d, chosen)
     x = np.log1p(np.minimum(count, cap))
     density = np.bincount(row, count, n) / np.maximum(n_words, 1)
@@ -145,10 +146,12 @@ def _score(model: Model):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, min_docs: int = MIN_DOCS, most: int = MOST, cap: int = CAP) -> DataFrame:
     """(doc_id, severity, p_toxic, toxic): expected severity from 0 to 3, probability of a grade above 0, and whether that reaches 0.5.
 
-    The model is trained on at most ``train_rows`` of the labelled documents.
+    The model is trained on at most ``train_rows`` of the labelled documents,
+    with at most ``most`` features from ``min_docs`` toxic ones each; a feature
+    counts up to ``cap`` times in a text. All texts are scored whole.
 
     Defined results: a null doc_id is left out; null, empty and wordless
     texts have no features and get the model's base rate; repeated rows each
@@ -157,12 +160,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     count; no documents give no rows; further columns are not looked at.
     Texts of any length are scored whole.
     """
-    model = fit(*sample(docs, labels, train_rows))
+    model = fit(*sample(docs, labels, train_rows), min_docs=min_docs, most=most, cap=cap)
     return _spark.documents(docs, "text").mapInArrow(_score(model), "doc_id long, severity double, p_toxic double, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` without the documents that the model rejects, all columns as they are; null texts stay."""
+    """``docs`` without the documents that the model rejects, all columns as they are.
+
+    Defined results: those of ``toxicity``; rows of a null doc_id, and null, empty
+    and wordless texts, stay; repeated rows all stay or all go; without labels of
+    both kinds all stay; no documents give no rows; a table without the column text raises.
+    """
     model = fit(*sample(docs, labels, train_rows))
     schema = docs.schema
     at = docs.columns.index("text")
