@@ -1,9 +1,9 @@
 """Exact copies by the digest of a canonical text, checked byte by byte.
 
-The canonical text is normalised (NFC), in lower case, with white space
-folded to single spaces and none at the ends. Its 128-bit xxh3 digest
-travels instead of the text; only texts whose digest another text has
-too are compared themselves.
+The canonical text is normalised (NFC), case-folded (full Unicode folding:
+ß is ss, ﬁ is fi), normalised again, with white space folded to single
+spaces and none at the ends. Its 128-bit xxh3 digest travels instead of the
+text; only texts whose digest another text has too are compared themselves.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm import _spark
 
@@ -26,8 +25,8 @@ BROADCAST_BYTES = 64 << 20
 
 
 def canonical(text: pa.Array, form: str = FORM) -> pa.Array:
-    x = pc.utf8_lower(pc.utf8_normalize(pc.fill_null(text, ""), form=form))
-    return pc.utf8_trim(pc.replace_substring_regex(x, SPACE, " "), " ")
+    folded = pa.array([x.casefold() for x in pc.utf8_normalize(pc.fill_null(text, ""), form=form).to_pylist()], pa.string())
+    return pc.utf8_trim(pc.replace_substring_regex(pc.utf8_normalize(folded, form=form), SPACE, " "), " ")
 
 
 def _digests(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,13 +68,25 @@ def _texts(form: str, wanted):
 
 
 def fingerprints(docs: DataFrame, form: str = FORM) -> DataFrame:
-    """(doc_id, high, low): the two halves of each canonical text's 128-bit digest."""
+    """(doc_id, high, low): the two halves of each canonical text's 128-bit digest.
+
+    Defined results: a null doc_id is left out; null, empty and white texts
+    have the digest of the empty text; repeated rows each give a row; no
+    documents give no rows; further columns are not looked at. Texts of any
+    length are digested whole.
+    """
     return _spark.documents(docs, "text").mapInArrow(_digest(form), "doc_id long, high long, low long")
 
 
 def exact_copies(docs: DataFrame, form: str = FORM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """For each document (doc_id) the least doc_id with the same canonical text (first_doc_id) and how many documents have it (copies).
 
+    Texts of one digest are compared byte by byte, by grouping on the text
+    itself, which leaves one row of each in a task before anything moves; no
+    group of copies is ever held as a list. Where a digest turns out to have
+    one text, its documents get the figures of the digest; where it has
+    several, they are joined by text.
+
     Digests that several documents share are broadcast as an array of numbers while that
     takes up to ``broadcast_bytes``; beyond, the texts are joined to them by doc_id.
 
@@ -84,25 +95,48 @@ def exact_copies(docs: DataFrame, form: str = FORM, broadcast_bytes: int = BROAD
     text they have; equal digests of different texts stay apart; no documents
     give no rows; further columns are not looked at.
     """
+    return _grouped(docs, _digest(form), lambda wanted: _texts(form, wanted), broadcast_bytes)
+
+
+def _grouped(docs: DataFrame, digest, texts_of, broadcast_bytes: int) -> DataFrame:
     docs = _spark.documents(docs, "text")
-    same = Window.partitionBy("high", "low")
-    marked = _spark.cut(fingerprints(docs, form).distinct().withColumn("n", F.count("*").over(same)))
-    alone = marked.where("n = 1").select("doc_id", F.col("doc_id").alias("first_doc_id"), F.lit(1).cast("long").alias("copies"))
-    shared = marked.where("n > 1")
+    key = ["high", "low"]
+    marked = _spark.cut(docs.mapInArrow(digest, "doc_id long, high long, low long").distinct())
+    shared = _spark.cut(marked.groupBy(*key).agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("copies")).where("copies > 1"))
+    alone = marked.join(shared, key, "left_anti").select("doc_id", F.col("doc_id").alias("first_doc_id"), F.lit(1).cast("long").alias("copies"))
     buckets = shared.select("high").distinct()
     if (count := buckets.count()) == 0:
         return alone
+    kind = "doc_id long, high long, low long, text string"
     if count * 8 <= broadcast_bytes:
         wanted = docs.sparkSession.sparkContext.broadcast(np.sort(buckets.toPandas()["high"].to_numpy()))
-        texts = docs.mapInArrow(_texts(form, wanted), "doc_id long, high long, low long, text string").join(buckets, "high", "left_semi")
+        texts = docs.mapInArrow(texts_of(wanted), kind).join(shared.select(*key), key, "left_semi")
     else:
-        texts = docs.join(shared.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_texts(form, None), "doc_id long, high long, low long, text string")
-        texts = texts.join(shared.select("high", "low").distinct(), ["high", "low"], "left_semi")
-    groups = texts.groupBy("high", "low", "text").agg(F.collect_set("doc_id").alias("ids"))
-    return alone.union(groups.select(F.explode("ids").alias("doc_id"), F.array_min("ids").alias("first_doc_id"), F.size("ids").cast("long").alias("copies")))
-
-
-ORACLE = r"""
-WITH c AS (SELECT DISTINCT doc_id, trim(regexp_replace(lower(nfc_normalize(coalesce(text, ''))), '[\pZ\s\x0b\x{85}]+', ' ', 'g'), ' ') AS t FROM documents)
+        ids = marked.join(shared.select(*key), key, "left_semi").select("doc_id").distinct()
+        texts = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(texts_of(None), kind).join(shared.select(*key), key, "left_semi")
+    several = texts.groupBy(*key, "text").agg(F.count("*").alias("_")).groupBy(*key).agg(F.count("*").alias("k")).where("k > 1")
+    several = _spark.cut(several.select(*key))
+    same = marked.join(shared.join(several, key, "left_anti"), key).select("doc_id", "first_doc_id", "copies")
+    if several.isEmpty():
+        return alone.union(same)
+    apart = texts.join(several, key, "left_semi").select("doc_id", "text").distinct()
+    apart = apart.join(apart.groupBy("text").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("copies")), "text")
+    return alone.union(same).union(apart.select("doc_id", "first_doc_id", "copies"))
+
+
+def _sql_fold(x: str) -> str:
+    """SQL that folds case: lower() after the characters whose folding isn't their lower case."""
+    odd = {c: f for c in map(chr, range(0x1E944)) if not "\ud800" <= c <= "\udfff" and (f := c.casefold()) != c.lower() and (f != c or c.lower() != c)}
+    one = {c: f for c, f in odd.items() if len(f) == 1 and c.lower() == c}
+    odd["İ"] = "İ".casefold()  # SQL's lower() drops the dot
+    x = f"translate({x}, '{''.join(one)}', '{''.join(one.values())}')"
+    for c, f in sorted(odd.items()):
+        if c not in one:
+            x = f"replace({x}, '{c}', '{f}')"
+    return f"lower({x})"
+
+
+ORACLE = rf"""
+WITH c AS (SELECT DISTINCT doc_id, trim(regexp_replace(nfc_normalize({_sql_fold("nfc_normalize(coalesce(text, ''))")}), '[\pZ\s\x0b\x{{85}}]+', ' ', 'g'), ' ') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS first_doc_id, count(*) OVER (PARTITION BY t) AS copies FROM c
 """
