@@ -44,13 +44,56 @@ def grams(t, n=3):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
+def near_classes(pairs, ids):
+    root = {i: i for i in ids}
+    for _ in root:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    return {i: (root[i], sum(i in p for p in pairs)) for i in root}
+
+
+def test_ngram_join_of_dense_groups(spark):
+    """Groups of near copies that share n-grams with each other too, by both ways; the SQL has the same rows."""
+    rng = np.random.default_rng(8)
+    seeds = [[f"v{x}" for x in rng.integers(0, 60, 50)] for _ in range(3)]
+    texts = []
+    for k in range(90):
+        t = list(seeds[k % 3])
+        for _ in range(int(rng.integers(0, 6))):
+            t[int(rng.integers(0, 50))] = f"u{rng.integers(0, 40)}"
+        texts.append(" ".join(t))
+    sets = [grams(t) for t in texts]
+    want = {(i, j): x for i, j in itertools.combinations(range(90), 2) if (x := len(sets[i] & sets[j]) / len(sets[i] | sets[j])) >= 0.5}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for how in ({}, {"held_docs": 2}, {"held_grams": 10}):
+        assert {(r[0], r[1]): r[2] for r in ngram_join.all_pairs(ngram_join.ngram_jaccard_join(d, **how)).collect()} == pytest.approx(want)
+        assert {r.doc_id: (r.class_id, r.links) for r in ngram_join.near_classes(d, **how).collect()} == near_classes(want, range(90))
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": range(90), "text": texts}))
+    assert {r[0]: r[1:] for r in con.execute(ngram_join.ORACLE).fetchall()} == near_classes(want, range(90))
+
+
+def test_similarity_never_passes_one(spark):
+    """Rows of one doc_id with different texts: the longest counts."""
+    d = spark.createDataFrame([(1, "a b c d e"), (1, "p q r"), (2, "a b c d e"), (2, None), (3, "p q r")], "doc_id long, text string")
+    assert [tuple(r) for r in ngram_join.ngram_jaccard_join(d).collect()] == [(1, 2, 1.0)]
+    assert {tuple(r) for r in ngram_join.near_classes(d).collect()} == {(1, 1, 1), (2, 1, 1), (3, 3, 0)}
+
+
 def test_ngram_join(docs, none):
     sets = {i + 1: grams(t) for i, t in enumerate(TEXTS)}
     for threshold in (0.5, 0.8):
         want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in itertools.combinations(sets, 2) if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold}
         got = {(r[0], r[1]): r[2] for r in ngram_join.all_pairs(ngram_join.ngram_jaccard_join(docs, threshold=threshold)).collect()}
         assert got == pytest.approx(want)
-    assert ngram_join.ngram_jaccard_join(none).collect() == []
+        # the way of components that no task can hold
+        assert {(r[0], r[1]): r[2] for r in ngram_join.all_pairs(ngram_join.ngram_jaccard_join(docs, threshold=threshold, held_docs=1)).collect()} == pytest.approx(want)
+        classes = near_classes(want, range(1, len(TEXTS) + 1))
+        for held in (20_000, 1):
+            assert {r.doc_id: (r.class_id, r.links) for r in ngram_join.near_classes(docs, threshold=threshold, held_docs=held).collect()} == classes
+    assert ngram_join.ngram_jaccard_join(none).collect() == [] and ngram_join.near_classes(none).collect() == []
     kept = ngram_join.keep_one_of_each_group(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
@@ -108,6 +151,33 @@ def test_language_held_out(spark, docs, none):
     assert language_id.identify(none).collect() == []
 
 
+def test_language_network_is_the_plain_convolution(spark, docs):
+    """Language, confidence and windows of each document by loops over windows, places and filters."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(d, 20, 1)
+    texts = {1: "", 2: "x", 3: "é" * 300, 4: "the quick " * 60, 5: "a" * 256, 6: "b" * 257}
+    got = {r.doc_id: r for r in spark.createDataFrame(list(texts.items()), "doc_id long, text string").mapInArrow(language_id._run(model), "doc_id long, language string, confidence double, windows int").collect()}
+    for i, t in texts.items():
+        raw = t.encode()
+        parts = [raw[k : k + 256] for k in range(0, len(raw), 256)]
+        assert got[i].windows == len(parts)
+        if not parts:
+            assert (got[i].language, got[i].confidence) == ("und", 0.0)
+            continue
+        total = np.zeros(len(model.languages))
+        for part in parts:
+            x = np.frombuffer(part.ljust(256, b"\0"), np.uint8)
+            h = []
+            for filters, bias in zip(model.filters, model.biases):
+                w = len(filters)
+                h += [max(0.0, max(sum(model.embedding[x[p + k]] @ filters[k][:, f] for k in range(w)) for p in range(256 - w + 1)) + bias[f]) for f in range(len(bias))]
+            z = model.weights @ np.array(h) + model.bias
+            total += (z - z.max() - np.log(np.exp(z - z.max()).sum())) * len(part)
+        mean = total / len(raw)
+        p = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+        assert got[i].language == model.languages[int(p.argmax())] and got[i].confidence == pytest.approx(p.max(), abs=1e-4)
+
+
 def brute_repeats(texts, least=sentence_dedup.MIN_WORDS):
     runs = []
     for i, t in texts:
@@ -142,6 +212,13 @@ def test_sentence_dedup(spark, docs, none):
     by = {r.doc_id: r for r in rows}
     assert by[1].text is None and by[2].text == "" and by[7].removed == 0 and by[8].text == by[9].text == "" and by[18].text == TEXTS[17]
     assert sentence_dedup.remove_repeats(none).collect() == []
+    # rows of one doc_id with different texts: each loses what lesser doc_ids have, and no other's sentences
+    long = [" ".join(f"w{a}{k}" for k in range(25)) + "." for a in "abcdef"]
+    odd = spark.createDataFrame([(1, long[0]), (2, " ".join(long)), (2, f"short. {long[0]}"), (3, " ".join(long[1:3]) + " tail.")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text.strip(), r.removed) for r in sentence_dedup.remove_repeats(odd).collect())
+    assert got == sorted([(1, long[0], 0), (2, " ".join(long[1:]), 1), (2, "short.", 1), (3, "tail.", 2)])
+    twice = spark.createDataFrame([(1, f"Start. {long[0]} Middle. {long[0]} End.")], "doc_id long, text string")
+    assert sentence_dedup.remove_repeats(twice).first().text == f"Start. {long[0]} Middle. End."
 
 
 def test_viterbi_is_the_best_path():
@@ -170,29 +247,187 @@ def test_secrets(spark, docs, none):
     assert secrets_crf.redact(docs).where("doc_id <= 3").select("text").collect() == docs.where("doc_id <= 3").select("text").collect()
 
 
+def test_secrets_are_those_of_whole_chains(spark, docs):
+    """Each document's tokens tagged by one Viterbi over the whole of it, without cutting chains."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("length(text) < 3000 AND (doc_id < 100 OR text LIKE '%token%')").union(docs.select(F.col("doc_id") + 10**6, "text").where("length(text) < 3000"))
+    model, want = secrets_crf.fit(), set()
+    for i, t in ((r.doc_id, r.text or "") for r in d.collect() if r.doc_id is not None):
+        raw = t.encode()
+        buf, offs = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+        s, e, doc, *rest = secrets_crf.observe(buf, offs)
+        if not len(s):
+            continue
+        tags = secrets_crf.viterbi(secrets_crf.emissions(model, doc, *rest).astype(np.float64), model.trans.astype(np.float64))
+        k = 0
+        while k < len(tags):
+            j = k + 1
+            if tags[k] != 0:
+                while j < len(tags) and tags[j] == 2:
+                    j += 1
+                a, b = len(raw[: s[k]].decode()), len(raw[: e[j - 1]].decode())
+                want.add((i, a, b, t[a:b]))
+            k = j
+    assert {tuple(r) for r in secrets_crf.find_secrets(d).collect()} == want and want
+
+
 def test_warc(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = warc.captures(warc.records(warc.render(pages))).collect()
-    want = {(r.page_id, r.url) for r in pages.collect()}
-    assert {(int(re.search(r"page_id: (\d+)", r.metadata[0].fields)[1]), r.target_uri) for r in got} == want and len(got) == len(want)
-    assert all(r.request is not None for r in got)
+    want = {(r.page_id, r.url): r.html or "" for r in pages.collect()}
+    assert len(got) == len(want)
+    for r in got:
+        (fields,) = r.metadata
+        (request,) = r.request
+        page = int(re.search(r"page_id: (\d+)", fields.fields)[1])
+        html = want[page, r.target_uri].encode()
+        assert bytes(r.response.body) == html and f"bytes: {len(html)}" in fields.fields and r.response.status == 200 and r.response.content_type == "text/html; charset=utf-8"
+        host, _, path = r.target_uri.partition("://")[2].partition("/")
+        assert request.head == f"GET /{path} HTTP/1.1\r\nHost: {host}" and bytes(request.body) == b"" and r.date == "2024-01-01T00:00:00Z" == request.date
     odd = spark.createDataFrame([(1, "http://a/b", None, 0), (None, "http://x", "y", 0), (2, None, "z", 0), (3, "http://a/c", "", 0)], "page_id long, url string, html string, record_id int")
     assert sorted(r.target_uri for r in warc.captures(warc.records(warc.render(odd))).collect()) == ["http://a/b", "http://a/c"]
-    empty = warc.records(spark.createDataFrame([(None,), (b"",), (b"no warc",)], "warc binary"))
+    empty = warc.records(spark.createDataFrame([(None,), (b"",)], "warc binary"))
     assert empty.collect() == [] and warc.captures(empty).collect() == []
 
 
-def test_sentencepiece_is_the_encoder_of_the_model(spark, docs, none):
+def brute_captures(records):
+    """Transactions by following links one by one; records: (id, type, concurrent ids, content)."""
+    least, names = {}, {}
+    for i, kind, to, content in records:
+        least[i] = min(least.get(i, (kind, content)), (kind, content))
+        for x in to:
+            if x != i:
+                names.setdefault(i, set()).add(x)
+                names.setdefault(x, set()).add(i)
+    out = {}
+    for i, (kind, _) in least.items():
+        if kind == "response":
+            seen, todo = set(), [i]
+            while todo:
+                for x in names.get(todo.pop(), ()):
+                    if x in least and x not in seen and least[x][0] != "response":
+                        seen.add(x)
+                        todo.append(x)
+            out[i] = {k: sorted((x, least[x][1]) for x in seen if least[x][0] == k) for k in ("request", "metadata")}
+    return out
+
+
+def test_warc_transactions_of_any_shape(spark):
+    rng = np.random.default_rng(3)
+    ids = [f"r{k}" for k in range(60)]
+    records = [(i, str(rng.choice(["request", "response", "metadata", "metadata"])), [str(x) for x in rng.choice([*ids, "absent"], int(rng.integers(0, 3)))], f"{i} body") for i in ids]
+    records += [(*records[5][:3], "another"), records[7]]
+    raw = b"".join(warc._record(kind, i, "http://x", "text/plain", content.encode(), to, "d") for i, kind, to, content in records)
+    got = {r.capture_id: {"request": [(x.record_id, bytes(x.body).decode()) for x in r.request], "metadata": [(x.record_id, x.fields) for x in r.metadata]} for r in warc.captures(warc.records(spark.createDataFrame([(raw, 1)], "warc binary, record_id int"))).collect()}
+    assert got == brute_captures(records)
+
+
+def test_warc_files(spark, tmp_path):
+    """Compressed by record, whole or not at all; bodies that are no text; and what is broken is told, while the rest is read."""
+    import gzip
+
+    body = bytes(range(256))
+    record = lambda k, content=body, **x: warc._record(x.get("kind", "response"), f"id{k}", "http://x", "image/png", content, [], "d")
+    good = [record(k) for k in range(3)]
+    (tmp_path / "sub").mkdir()
+    for name, data in {"a.warc": b"".join(good), "sub/b.warc.gz": gzip.compress(b"".join(good)), "c.warc.gz": b"".join(map(gzip.compress, good)), "empty.warc": b""}.items():
+        (tmp_path / name).write_bytes(data)
+    rows = warc.read(spark, str(tmp_path)).collect()
+    assert sorted(r.record_id for r in rows) == sorted([f"id{k}" for k in range(3)] * 3) and all(bytes(r.body) == body and r.skipped is None for r in rows)
+
+    def ids(data):
+        rows = warc.records(spark.createDataFrame([(data,)], "warc binary")).collect()
+        assert all((r.type == warc.MALFORMED) == (r.record_id is None) == (r.skipped is not None) for r in rows)
+        return [r.record_id for r in rows]
+
+    bad = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <bad>\r\nContent-Length: abc\r\n\r\ncontent\r\n\r\n"
+    long = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <bad>\r\nContent-Length: 99999\r\n\r\ncontent\r\n\r\n"
+    assert ids(good[0] + bad + good[1]) == ["id0", None, "id1"]
+    assert ids(good[0] + long + good[1]) == ["id0", None, "id1"]
+    assert ids(b"no warc\n" + good[0]) == [None, "id0"] and ids(b"no warc") == [None]
+    assert ids(good[0] + b"WARC/1.1\r\nWARC-Type: x\r\n" + good[1]) == ["id0", None, "id1"]
+    assert ids(good[0] + good[1][:-40]) == ["id0", None]
+    assert ids(good[0] + warc._record("response", "", "u", "t", b"x", [], "d") + good[1]) == ["id0", None, "id1"]
+    zipped = [gzip.compress(x) for x in good]
+    assert ids(zipped[0] + zipped[1][:-9]) == ["id0", "id1"] or None in ids(zipped[0] + zipped[1][:-9])
+    assert ids(zipped[0] + zipped[1][: len(zipped[1]) // 2] + zipped[2])[-1:] == ["id2"]
+
+
+def odd_texts(spark, docs):
+    odd = [(-1, "日本語 🎉 \u0007 mixed x" + "y" * 300), (-2, "a▁b  c"), (-3, " "), (-4, "-" * 500 + " qq" + "ab" * 100)]
+    return docs.select(F.col("doc_id") + 10**6, "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
+
+
+@pytest.mark.parametrize("table_bytes", [sentencepiece_lattice.TABLE_BYTES, 30_000, 0])
+def test_sentencepiece_is_the_encoder_of_the_model(spark, docs, none, table_bytes):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.MODEL)
-    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(docs.select(F.col("doc_id") + 10**6, "text")).union(spark.createDataFrame([(-1, "日本語 🎉 \u0007 mixed x" + "y" * 300)], "doc_id long, text string"))
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").toDF("doc_id", "text").union(odd_texts(spark, docs).toDF("doc_id", "text"))
     texts = {r.doc_id: r.text or "" for r in d.collect()}
-    for r in sentencepiece_lattice.encode(d).collect():
+    rows = sentencepiece_lattice.encode_checked(d, table_bytes=table_bytes).collect()
+    assert len(rows) == d.where("doc_id IS NOT NULL").count()
+    for r in rows:
         assert r.ids == sp.encode(texts[r.doc_id]), texts[r.doc_id][:80]
-    by = {r.doc_id: r for r in sentencepiece_lattice.encode_checked(docs).collect()}
-    assert by[1].ids == by[2].ids == [] and by[7].n_chars == len(TEXTS[6])
-    assert sentencepiece_lattice.encode(none).collect() == []
+        assert r.same and r.n_chars == len(texts[r.doc_id])
+    assert sentencepiece_lattice.encode(none, table_bytes=table_bytes).collect() == []
+
+
+def test_decoding_gives_the_texts_back(spark, docs):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.MODEL)
+    d = odd_texts(spark, docs).toDF("doc_id", "text")
+    texts = {r.doc_id: (r.text or "").replace("▁", " ") for r in d.collect()}
+    assert {r.doc_id: r.text for r in sentencepiece_lattice.decode(sentencepiece_lattice.encode(d)).collect()} == {i: t for i, t in texts.items() if i is not None}
+    ids = [None, [], [None, 1, 2, 10**9, -5], [259 + 3, None, 300], sp.encode("two words"), [3 + 0xE6, 3 + 0x97]]
+    got = [r.text for r in sentencepiece_lattice.decode(spark.createDataFrame([(k, x, 0) for k, x in enumerate(ids)], "doc_id long, ids array<int>, text int")).orderBy("doc_id").collect()]
+    assert got[:3] == ["", "", ""] and got[4] == "two words" and "\ufffd" in got[5] and got[3] == sp.decode([259 + 3, 300])
+
+
+def cheapest(unit, cost, unknown):
+    """The least cost over all ways to cut a unit."""
+    ways = [[unit[a:b] for a, b in itertools.pairwise((0, *cuts, len(unit)))] for k in range(len(unit)) for cuts in itertools.combinations(range(1, len(unit)), k)]
+    return min(sum(cost.get(p, unknown if len(p) == 1 else math.inf) for p in way) for way in ways)
+
+
+def test_viterbi_fold(spark, tmp_path):
+    """The fold finds the cheapest of all ways to cut a unit; words have the ids that the public unigram encoder gives them."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    rng = np.random.default_rng(5)
+    pieces = {"".join(rng.choice(list("abc"), int(rng.integers(1, 5)))): float(rng.integers(1, 9)) for _ in range(25)}
+    pieces.pop("c", None)
+    table = spark.createDataFrame([(p, k, k, c) for k, (p, c) in enumerate(pieces.items())], "piece string, id int, rank long, cost double")
+    units = sorted({"".join(rng.choice(list("abc"), int(rng.integers(1, 10)))) for _ in range(60)})
+    found = sentencepiece_lattice.lattice(spark.createDataFrame([(k, u, 1) for k, u in enumerate(units)], "h long, unit string, n long"), table, 4, False)
+    for unit, places in sentencepiece_lattice.viterbi_fold(found, 30.0).select("unit", "places").collect():
+        cuts = [k for k in range(len(unit) + 1) if places >> k & 1]
+        cost = sum(pieces.get(unit[a:b], 30.0 if b == a + 1 else math.inf) for a, b in itertools.pairwise(cuts))
+        assert cost == cheapest(unit, pieces, 30.0)
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(sentencepiece_lattice.MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    model.trainer_spec.model_type = sentencepiece_lattice.UNIGRAM
+    for p in model.pieces:  # the encoder counts in single precision
+        p.score = max(p.score, -40_000.0)
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    words = sorted({w for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() for w in (r.text or "").split()})[:4000]
+    d = spark.createDataFrame(list(enumerate([*words, "日本🎉", "z" * 80])), "doc_id long, text string")
+    for r in sentencepiece_lattice.encode(d, path).collect():
+        assert r.ids == sp.encode([*words, "日本🎉", "z" * 80][r.doc_id])
+    some = {r.doc_id: r.ids for r in sentencepiece_lattice.encode(d, path, lattice_chars=3).collect()}  # by the other way
+    assert some == {k: sp.encode(w) for k, w in enumerate([*words, "日本🎉", "z" * 80])}
+
+    model.normalizer_spec.remove_extra_whitespaces = True
+    with open(path + "2", "wb") as f:
+        f.write(model.SerializeToString())
+    with pytest.raises(ValueError, match="keep texts"):
+        sentencepiece_lattice.load(path + "2")
 
 
 def test_toxicity_held_out(spark, docs, none):
@@ -207,13 +442,39 @@ def test_toxicity_held_out(spark, docs, none):
     assert len(toxicity.toxicity(docs, odd).collect()) == len(TEXTS) + 1
 
 
+def test_toxicity_is_the_plain_sum(spark, docs):
+    """Severity and probability of each text by counting its words' features one by one."""
+    sf = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(*toxicity.sample(d, labels))
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    hashed = lambda raw: int(_text.span_hash(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))[0])
+    mask, some = (1 << toxicity.BITS) - 1, d.where("doc_id < 60").union(docs.where("doc_id <> 17").select(F.col("doc_id") + 10**6, "text"))
+    got = {r.doc_id: r for r in some.mapInArrow(toxicity._score(model), "doc_id long, severity double, p_toxic double, toxic boolean").collect()}
+    for i, t in ((r.doc_id, r.text or "") for r in some.collect()):
+        counts = {}
+        for w in words(t):
+            raw = w.encode()
+            own = {hashed(raw) & mask} | {int(_text.mix(np.array([hashed(raw[:k]) + k & (1 << 64) - 1], np.uint64))[0]) & mask for k in toxicity.BEGINNINGS if len(raw) > k}
+            for x in own & weight.keys():
+                counts[x] = counts.get(x, 0) + 1
+        z = sum(weight[x] * math.log1p(min(n, model.cap)) for x, n in counts.items())
+        p = [1 / (1 + math.exp(-max(-30, min(30, z - b)))) for b in model.bounds]
+        assert got[i].severity == pytest.approx(sum(p)) and got[i].p_toxic == pytest.approx(p[0]) and got[i].toxic == (got[i].p_toxic >= toxicity.REJECT)
+    assert model.bounds.tolist() == sorted(model.bounds.tolist()) and len(weight) <= toxicity.MOST
+
+
 def test_mixing(spark, docs, none):
     rng = np.random.default_rng(4)
-    for _ in range(40):
-        items = [(int(rng.integers(1, 9)), int(rng.integers(0, 4))) for _ in range(3)]
-        budget = int(rng.integers(0, 30))
-        best, taken = mixing.bounded_knapsack(items, budget)
-        assert best == sum(k * n for (k, _), n in zip(items, taken)) == max(s for t in itertools.product(*(range(c + 1) for _, c in items)) if (s := sum(k * n for (k, _), n in zip(items, t))) <= budget)
+    for _ in range(2000):
+        lengths = {int(k): int(c) for k, c in zip(rng.integers(1, 13, 5), rng.integers(0, 5, 5))}
+        budget = int(rng.integers(0, 60))
+        sums = {0}
+        for k, c in lengths.items():
+            sums = {x + k * n for x in sums for n in range(c + 1)}
+        fit = mixing.fit_budget(lengths, budget, reserve=int(rng.choice([2, 4096])))
+        assert sum(k * n for k, n in fit.items()) == max(x for x in sums if x <= budget) and all(0 < n <= lengths[k] for k, n in fit.items())
+    assert mixing.fit_budget({2: 10, 5: 1}, 7) == {2: 1, 5: 1}
     d = spark.read.parquet(f"{SF}/documents.parquet")
     every = {r.doc_id: (r.source or "", len(re.findall(r"[^ \t\n\f\r\x0b]+", r.text or ""))) for r in d.collect()}
     got = mixing.select(d, {"src0": 1.0, "src1": 3.0}, 2000).toPandas()
@@ -224,6 +485,8 @@ def test_mixing(spark, docs, none):
         for n in lengths:
             reach |= (reach << n) & ((1 << budget + 1) - 1)
         assert got[got.source == source].tokens.sum() == reach.bit_length() - 1
+    chosen = sorted(map(tuple, mixing.select(d, budget=20_000).collect()))
+    assert chosen == sorted(map(tuple, mixing.select(d, budget=20_000, rows_each=1).collect()))  # cut by the hash as finely as can be
     odd = mixing.select(docs).collect()
     assert len({r.doc_id for r in odd}) == len(odd) and {r.source for r in odd} <= {"", "s"} and not {1, 2, 3} & {r.doc_id for r in odd}
     assert mixing.select(none).collect() == [] and mixing.mix(docs).columns == docs.columns
@@ -252,16 +515,35 @@ def test_mixing_of_skewed_sources(spark):
 
 
 def test_fingerprint(spark, docs, none):
-    fold = lambda t: " ".join(unicodedata.normalize("NFC", t or "").lower().split())
-    rows = [(k + 1, t) for k, t in enumerate([*TEXTS, "café  Bar", "café bar\n"])]
+    fold = lambda t: " ".join(unicodedata.normalize("NFC", unicodedata.normalize("NFC", t or "").casefold()).split())
+    more = ["café  Bar", "cafe\u0301 bar\n", "STRASSE", "straße", "Straẞe", "ﬁne", "FINE", "ΣΊΣΥΦΟΣ", "σίσυφος"]
+    rows = [(k + 1, t) for k, t in enumerate([*TEXTS, *more])]
     groups = {}
     for i, t in rows:
         groups.setdefault(fold(t), []).append(i)
     want = {(i, min(g), len(g)) for g in groups.values() for i in g}
-    d = docs.select("doc_id", "text", "h").union(spark.createDataFrame([(i, t, 0) for i, t in rows[-2:]], "doc_id long, text string, h int"))
+    d = docs.select("doc_id", "text", "h").union(spark.createDataFrame([(i, t, 0) for i, t in rows[-len(more) :]], "doc_id long, text string, h int"))
     assert {tuple(r) for r in fingerprint.exact_copies(d).collect()} == want
     assert {tuple(r) for r in fingerprint.exact_copies(d, broadcast_bytes=0).collect()} == want
     assert fingerprint.exact_copies(none).collect() == []
+    assert groups[fold("straße")] == [len(TEXTS) + k for k in (3, 4, 5)] and len(groups[fold("fine")]) == len(groups[fold("σίσυφος")]) == 2
+
+    def digest(batches):  # of three values only, so that different texts share them
+        for b in batches:
+            n = [len(x.as_py() or "") % 3 for x in fingerprint.canonical(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array([0] * len(n), pa.int64())], names=["doc_id", "high", "low"])
+
+    def texts(wanted):
+        def run(batches):
+            for b in batches:
+                t = fingerprint.canonical(b.column(1))
+                n = [len(x.as_py() or "") % 3 for x in t]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array([0] * len(n), pa.int64()), t], names=["doc_id", "high", "low", "text"])
+
+        return run
+
+    for limit in (fingerprint.BROADCAST_BYTES, 0):
+        assert {tuple(r) for r in fingerprint._grouped(d, digest, texts, limit).collect()} == want
 
 
 def test_pipeline(spark, tmp_path):
@@ -288,5 +570,35 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity" and math.isfinite(len(rows))
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty texts, ties, repeated rows, a further column, and no rows at all."""
+    rows = [(1, None, None, None, None, 1), (None, "words of none", "en", "s", 3, 2), (2, "", "en", "s", 0, 3), (3, "same words in both", "en", None, 1, 4), (4, "same words in both", None, "s", 1, 5), (4, "same words in both", None, "s", 1, 5), (5, "other words " * 3000, "en", "t", 2, 6)]  # the last is more than its source's budget
+    kind = "doc_id long, text string, lang string, source string, n_chars long, ids int"
+    labels = spark.createDataFrame([(1, None, None), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    for name, part in (("some", rows), ("none", [])):
+        spark.createDataFrame(part, kind).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/some")
+        assert docs.columns == kind.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
+    got = sorted((r.doc_id, r.n_chars, r.same) for r in corpus_pipeline.run(spark, f"{tmp_path}/some").collect())
+    assert got == [(3, 18, True)] and corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(n for n in __spark_entry__.oracle_sql() if n.startswith("op")))
+def test_sql(spark, name):
+    """The registered query has the rows of its SQL, over whole tables."""
+    import duckdb
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    found = con.execute(__spark_entry__.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    df = __spark_entry__.queries()[name](spark, sf)
+    plain = lambda rows: sorted(str([f"{v:.9g}" if isinstance(v, float) else v for v in r]) for r in rows)
+    assert sorted(df.columns) == sorted(columns) and plain(df.select(*columns).collect()) == plain(found.fetchall())
+
+
 def test_registered():
     assert {f"op{k}" for k in range(1, 11)} <= {n.partition("_")[0] for n in __spark_entry__.queries()} and "pipeline" in __spark_entry__.queries()
