@@ -8,6 +8,8 @@ least one whole document, however long that is.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,16 @@ _BASE = 0x9E3779B97F4A7C15
 _GRAM = U(0xD6E8FEB86659FD93)
 
 
+def release() -> None:
+    """Gives memory that a Python worker freed back to the system, where there is a way to; workers live on, and others need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> U(30))

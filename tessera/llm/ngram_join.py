@@ -183,6 +183,7 @@ def _fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _without_freqs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _fragment(batches):
         yield batch.select(["doc_id", "size", "frag", "grams"])
+    _text.release()
 
 
 def _by_document(packed: DataFrame, fragments: int, freqs: bool) -> DataFrame:
@@ -365,6 +366,7 @@ def _within(threshold: float, pairs: bool):
                     labels = _joined(labels, a, b)
             if not pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[labels]), pa.array(links.astype(np.int64))], names=["doc_id", "class_id", "links"])
+        _text.release()
 
     return run
 
@@ -410,6 +412,7 @@ def _local_pairs(buckets: int, threshold: float):
             mine = np.flatnonzero(task == t)
             mine = mine[np.lexsort((columns[0][mine], columns[2][mine]))]  # by block
             yield from _pairs_of_fragment(*(c[mine] for c in columns), [raw[k] for k in mine.tolist()], t % buckets, buckets, threshold)
+        _text.release()
 
     return run
 

@@ -145,13 +145,21 @@ def units(text: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray, np.
         yield i, j, b, starts, np.r_[starts[1:], len(b)], np.searchsorted(o, starts, side="right") - 1
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: what is copied of their texts on the way stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 _DISTINCT = "h long, unit string, n long"
 
 
-def _distinct(path: str, most: int = 1 << 19):
+def _distinct(path: str, most: int = 1 << 18):
     """Units with how often they occur. A unit is told again once ``most`` others came; the aggregate behind adds up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _text.release()
         keys, place, count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         told: list[tuple[np.ndarray, pa.Array]] = []
 
@@ -161,7 +169,7 @@ def _distinct(path: str, most: int = 1 << 19):
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), text, pa.array(count[at : at + len(h)])], names=["h", "unit", "n"])
                 at += len(h)
 
-        for batch in batches:
+        for batch in _slices(batches):
             for _, _, b, s, e, _ in units(_prepared(batch.column(0)), path):
                 h, first, n = np.unique(_text.span_hash(b, s, e), return_index=True, return_counts=True)
                 at = np.searchsorted(keys, h)
@@ -176,6 +184,8 @@ def _distinct(path: str, most: int = 1 << 19):
                     keys, place, count = keys[:0], place[:0], count[:0]
                     told.clear()
         yield from flush()
+        told.clear()
+        _text.release()
 
     return run
 
@@ -427,8 +437,9 @@ def _encode(path: str, files: tuple[tuple[int, str], ...], holes: bool):
     """Encodes what the table has. With ``holes`` the text stays, and units that aren't in the table are told with their places among the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _text.release()
         table = _Lookup.get(files)
-        for batch in batches:
+        for batch in _slices(batches):
             text = _prepared(batch.column(1))
             for i, j, b, s, e, d in units(text, path):
                 h = _text.span_hash(b, s, e)
