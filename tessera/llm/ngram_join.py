@@ -74,35 +74,41 @@ def _unplanes(raw: bytes, width: int, dtype: type) -> np.ndarray:
 
 _PACKED = "frag int, ids binary, sizes binary, counts binary, grams binary"
 _PACKED_ARROW = pa.schema([("frag", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())])
+_SHARED = "bucket int, ids binary, sizes binary, counts binary, grams binary, freqs binary"
+_SHARED_ARROW = pa.schema([("bucket", pa.int32()), *list(_PACKED_ARROW)[1:], ("freqs", pa.binary())])
 
 
-def _pack(keys: np.ndarray, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of one fragment each. keys: fragment and 40 more bits of each n-gram; at: its document as an index of ids and sizes."""
+def _pack(group: np.ndarray, keys: np.ndarray, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray, width: int, freqs: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """One row of each group. keys: n-grams, of which the low bytes are kept; at: the document of each as an index of ids and sizes."""
     if not len(keys):
         return
-    frag = keys >> _LOW
-    order = np.argsort(frag, kind="stable")
-    frag, keys, at = frag[order], keys[order], at[order]
-    edge = np.flatnonzero(np.r_[True, frag[1:] != frag[:-1], True])
+    order = np.argsort(group, kind="stable")
+    group, keys, at = group[order], keys[order], at[order]
+    edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
     rows: list[tuple] = []
     for a, b in zip(edge[:-1], edge[1:]):
         d = at[a:b]
         first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
         k = d[first]
-        rows.append((int(frag[a]), _planes(np.diff(ids[k], prepend=0), 8), _planes(sizes[k], 4), _planes(np.diff(np.r_[first, b - a]).astype(np.int32), 4), _planes(keys[a:b] & ((1 << _LOW) - 1), 5)))
-    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _PACKED_ARROW)], schema=_PACKED_ARROW)
+        rows.append((int(group[a]), _planes(np.diff(ids[k], prepend=0), 8), _planes(sizes[k], 4), _planes(np.diff(np.r_[first, b - a]).astype(np.int32), 4), _planes(keys[a:b], width), *([] if freqs is None else [_planes(freqs[order[a:b]], 4)])))
+    kind = _PACKED_ARROW if freqs is None else _SHARED_ARROW
+    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), kind)], schema=kind)
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    keys, at, ids, sizes, base = [], [], [], [], 0
+def _unpack(batches: Iterator[pa.RecordBatch], width: int) -> tuple[np.ndarray, ...] | None:
+    """keys, at, ids, sizes and, where there are such, frequencies; the group is the upper part of keys that have no 8 bytes."""
+    keys, at, ids, sizes, freqs, base = [], [], [], [], [], 0
     for batch in batches:
-        for frag, i, s, c, g in zip(*(batch.column(k).to_pylist() for k in range(5))):
+        for group, i, s, c, g, *f in zip(*(column.to_pylist() for column in batch.columns)):
             ids.append(np.cumsum(_unplanes(i, 8, np.int64)))
             sizes.append(_unplanes(s, 4, np.int32))
             at.append(np.repeat(np.arange(base, base + len(ids[-1]), dtype=np.int32), _unplanes(c, 4, np.int32)))
-            keys.append(_unplanes(g, 5, np.int64) | (int(frag) << _LOW))
+            keys.append(_unplanes(g, width, np.int64))
+            if width < 8:
+                keys[-1] |= int(group) << _LOW
+            freqs += [_unplanes(x, 4, np.int32) for x in f]
             base += len(ids[-1])
-    return (np.concatenate(keys), np.concatenate(at), np.concatenate(ids), np.concatenate(sizes)) if keys else None
+    return tuple(np.concatenate(x) for x in (keys, at, ids, sizes, *[freqs] * bool(freqs))) if keys else None
 
 
 def gram_sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -127,7 +133,7 @@ def _spread(n: int, bits: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             ids, sizes, keys, at = (np.concatenate(x) for x in zip(*held))
-            yield from _pack(keys, at, ids, sizes)
+            yield from _pack(keys >> _LOW, keys, at, ids, sizes, _LOW // 8)
 
         for batch in batches:
             for ids, sizes, g, d in gram_sets(batch, n):
@@ -148,67 +154,71 @@ def _respread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         grams = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
         if grams:
-            yield from _pack(np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(x) for x in grams]), batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int32))
+            keys, at = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(x) for x in grams])
+            yield from _pack(keys >> _LOW, keys, at, batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int32), _LOW // 8)
 
 
-_SHARED_ARROW = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("frag", pa.int32()), ("grams", pa.binary()), ("freqs", pa.binary())])
+def _shared(buckets: int):
+    """Of one fragment: the n-grams that two documents or more have, with their frequencies, packed by bucket of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _unpack(batches, _LOW // 8)
+        if got is None:
+            return
+        keys, at, ids, sizes = got
+        order = np.argsort(keys, kind="stable")
+        keys, at = keys[order], at[order]
+        edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+        freq = np.diff(edge)
+        many = np.repeat(freq > 1, freq)
+        keys, at, freq = keys[many], at[many], np.repeat(freq, freq)[many].astype(np.int32)
+        order = np.argsort(at, kind="stable")
+        keys, at, freq = keys[order], at[order], freq[order]
+        bucket = (_text.mix(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        yield from _pack(bucket[at], keys, at, ids, sizes, 8, freq)
+        del got, keys, at, ids, sizes, order, edge, freq, many, bucket
+        _text.release()
+
+    return run
+
+
+def _by_document(packed: DataFrame, fragments: int) -> DataFrame:
+    """Shared n-grams by bucket of documents, a partition each: as many rows as there are pairs of a fragment and a bucket, and not of a fragment and a document."""
+    shared = packed.repartitionById(fragments, F.col("frag")).mapInArrow(_shared(fragments), _SHARED)
+    return shared.repartitionById(fragments, F.col("bucket"))
 
 
-def _fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one fragment: each document's n-grams that two documents or more have, in five bytes each, with their frequencies."""
-    got = _unpack(batches)
+def _gathered(batches: Iterator[pa.RecordBatch], threshold: float, rare: bool) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
+    """doc_ids, sizes and shared n-grams, in ascending order or rarest first, of the documents of a bucket that have enough of these; some 2**19 n-grams at once."""
+    got = _unpack(batches, 8)
     if got is None:
         return
-    keys, at, ids, sizes = got
-    order = np.argsort(keys, kind="stable")
-    keys, at = keys[order], at[order]
-    edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-    freq = np.diff(edge)
-    many = np.repeat(freq > 1, freq)
-    keys, at, freq = keys[many], at[many], np.repeat(freq, freq)[many].astype(np.int32)
-    order = np.argsort(at, kind="stable")
-    keys, at, freq = keys[order], at[order], freq[order]
-    frag = (keys >> _LOW).astype(np.int32)
-    edge = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (frag[1:] != frag[:-1]), True]) if len(at) else np.zeros(1, np.int64)
-    for k in range(0, len(edge) - 1, 20000):
-        e = edge[k : k + 20001]
-        d = at[e[:-1]]
-        off = pa.py_buffer(((e - e[0]) * 5).astype(np.int32))
-        off4 = pa.py_buffer(((e - e[0]) * 4).astype(np.int32))
-        n = len(d)
-        low = np.ascontiguousarray(keys[e[0] : e[-1]].view(np.uint8).reshape(-1, 8)[:, :5])
-        yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(sizes[d]), pa.array(frag[e[:-1]]), pa.Array.from_buffers(pa.binary(), n, [None, off, pa.py_buffer(low)]), pa.Array.from_buffers(pa.binary(), n, [None, off4, pa.py_buffer(freq[e[0] : e[-1]].tobytes())])], schema=_SHARED_ARROW)
-
-
-def _without_freqs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _fragment(batches):
-        yield batch.select(["doc_id", "size", "frag", "grams"])
-    _text.release()
-
-
-def _by_document(packed: DataFrame, fragments: int, freqs: bool) -> DataFrame:
-    """Shared n-grams gathered again by document: (doc_id, size, lists of fragment, grams and, where asked for, freqs)."""
-    columns = ["frag", "grams", *["freqs"] * freqs]
-    shared = packed.repartitionById(fragments, F.col("frag")).mapInArrow(_fragment if freqs else _without_freqs, "doc_id long, size int, frag int, grams binary" + ", freqs binary" * freqs)
-    return shared.groupBy("doc_id").agg(F.max("size").alias("size"), F.collect_list(F.struct(*columns)).alias("parts"))
-
-
-def _merged(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
-    for doc, size, parts in zip(*(batch.column(k).to_pylist() for k in range(3))):
-        low = np.frombuffer(b"".join(p["grams"] for p in parts), np.uint8).reshape(-1, 5)
-        wide = np.zeros((len(low), 8), np.uint8)
-        wide[:, :5] = low
-        g = wide.reshape(-1).view(np.int64) | np.repeat(np.array([p["frag"] for p in parts], np.int64) << _LOW, [len(p["grams"]) // 5 for p in parts])
-        g, first = np.unique(g, return_index=True)
-        yield doc, size, g, np.frombuffer(b"".join(p["freqs"] for p in parts), np.int32)[first] if "freqs" in parts[0] else None
+    keys, at, ids, sizes, freqs = got
+    ids, of = np.unique(ids, return_inverse=True)
+    size = np.zeros(len(ids), np.int64)
+    size[of] = sizes
+    doc = of.astype(np.int32)[at]
+    order = np.lexsort((keys, doc))
+    keys, doc, freqs = keys[order], doc[order], freqs[order]
+    keep = np.r_[True, (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])]
+    keys, doc, freqs = keys[keep], doc[keep], freqs[keep]
+    del got, at, of, order, keep
+    if rare:
+        keys = keys[np.lexsort((keys, freqs, doc))]
+    edge = np.searchsorted(doc, np.arange(len(ids) + 1))
+    enough = np.flatnonzero(np.diff(edge) >= _needed(size, threshold))
+    held = np.cumsum(np.diff(edge)[enough]) >> 19
+    for part in np.split(enough, np.flatnonzero(held[1:] != held[:-1]) + 1):
+        if len(part):
+            yield ids[part].tolist(), size[part].tolist(), [keys[edge[k] : edge[k + 1]] for k in part]
 
 
 def _covered(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(doc, size, xxhash.xxh3_128_hexdigest(g.tobytes()) if len(g) == size else f"alone {doc}", g.tobytes()) for doc, size, g, _ in _merged(batch) if len(g) >= _needed(np.int64(size), threshold)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string(), pa.binary()))], names=["doc_id", "size", "same", "grams"])
+        for ids, sizes, grams in _gathered(batches, threshold, False):
+            same = [xxhash.xxh3_128_hexdigest(g.tobytes()) if len(g) == size else f"alone {doc}" for doc, size, g in zip(ids, sizes, grams)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(same), pa.array([g.tobytes() for g in grams], pa.binary())], names=["doc_id", "size", "same", "grams"])
+        _text.release()
 
     return run
 
@@ -217,14 +227,10 @@ def _ordered(threshold: float):
     """Covered documents with their shared n-grams rarest first and how many of these are in the prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, size, g, f in _merged(batch):
-                need = int(_needed(np.int64(size), threshold))
-                if len(g) >= need:
-                    rows.append((doc, size, len(g) - need + 1, g[np.lexsort((g, f))].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["doc_id", "size", "prefix", "grams"])
+        for ids, sizes, grams in _gathered(batches, threshold, True):
+            prefix = np.array([len(g) for g in grams]) - _needed(np.array(sizes, np.int64), threshold) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefix, pa.int32()), pa.array([g.tobytes() for g in grams], pa.binary())], names=["doc_id", "size", "prefix", "grams"])
+        _text.release()
 
     return run
 
@@ -492,12 +498,12 @@ def _searched(docs: DataFrame, n: int, threshold: float, held_grams: int, held_d
     bits = max(1, math.ceil(math.log2(_spark.shuffle_partitions(docs))))
     fragments = 1 << bits
     packed = docs.mapInArrow(_spread(n, bits), _PACKED)
-    found = _spark.cut(_by_document(packed, fragments, False).mapInArrow(_covered(threshold), "doc_id long, size int, same string, grams binary"))
+    found = _spark.cut(_by_document(packed, fragments).mapInArrow(_covered(threshold), "doc_id long, size int, same string, grams binary"))
 
     same = found.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k"))
     equal = found.select("same", "doc_id").join(same, "same").select("doc_id", "rep", "k")
     heads = found.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "size", "grams")
-    left = _spark.cut(_by_document(heads.mapInArrow(_respread, _PACKED), fragments, True).mapInArrow(_ordered(threshold), "doc_id long, size int, prefix int, grams binary"))
+    left = _spark.cut(_by_document(heads.mapInArrow(_respread, _PACKED), fragments).mapInArrow(_ordered(threshold), "doc_id long, size int, prefix int, grams binary"))
 
     stars = left.select("doc_id", "grams").mapInArrow(_minima, "gram long, a long, b long")
     edges = stars.where("gram IS NOT NULL").select("gram", "a").repartition(fragments, "gram").mapInArrow(_links, "a long, b long").union(stars.where("gram IS NULL").select("a", "b"))

@@ -4,9 +4,11 @@ import itertools
 import math
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +77,24 @@ def test_ngram_join_of_dense_groups(spark):
     assert {r[0]: r[1:] for r in con.execute(ngram_join.ORACLE).fetchall()} == near_classes(want, range(90))
 
 
+def test_ngram_join_gathers_by_bucket():
+    """More fragments give no row for each document and fragment; documents that share half of their n-grams come with all that they share."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9, 200)) if k % 3 else " ".join(f"u{k}x{x}" for x in range(50)) for k in range(300)]
+    rows, sets = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], names=["doc_id", "text"]), [grams(t) for t in texts]
+    many = {g for g, n in Counter(g for s in sets for g in s).items() if n > 1}
+    for bits in (2, 5):
+        packed = pa.Table.from_batches(list(ngram_join._spread(3, bits)(iter([rows]))))
+        parts = [b for f in range(1 << bits) for b in ngram_join._shared(4)(iter(packed.filter(pc.equal(packed["frag"], f)).to_batches()))]
+        shared = pa.Table.from_batches(parts)
+        assert shared.num_rows <= 4 << bits
+        got = {}
+        for k in range(4):
+            for b in ngram_join._covered(0.5)(iter(shared.filter(pc.equal(shared["bucket"], k)).to_batches())):
+                got |= {d: (n, len(g) // 8) for d, n, g in zip(b["doc_id"].to_pylist(), b["size"].to_pylist(), b["grams"].to_pylist())}
+        assert got == {k: (len(s), len(s & many)) for k, s in enumerate(sets) if 2 * len(s & many) >= len(s)}
+
+
 def test_similarity_never_passes_one(spark):
     """Rows of one doc_id with different texts: the longest counts."""
     d = spark.createDataFrame([(1, "a b c d e"), (1, "p q r"), (2, "a b c d e"), (2, None), (3, "p q r")], "doc_id long, text string")
