@@ -19,12 +19,13 @@ summed, per document at first and per pair in the end:
    in its task; overlaps are counted fragment by fragment (a 0/1 matrix product
    each, rare n-grams spelled out) and summed per pair. Pairs are counted and
    forgotten, so that a dense group of copies sends no pairs anywhere.
-5. Pairs of two blocks: the order is cut into as many fragments as leave a
-   document some n-grams in each. A pair that reaches the threshold does so in
-   at least one fragment, as the sum of its partial overlaps is a share of the
-   sum of its partial sizes; so each fragment tells the pairs that reach it
-   there (by a prefix filter of its own), and chance pairs, which share few
-   n-grams anywhere, are told by none. What is told is counted over all n-grams.
+5. Pairs of two blocks: prefixes are spread by n-gram, and a document has the
+   parities of its whole set with it, some two to four bits for each n-gram. Two
+   documents that share an n-gram of both prefixes are told if what they have
+   from it on reaches the overlap that the threshold needs, and if their
+   parities don't differ in more places than n-grams may be in only one of them
+   (both exact). Chance pairs, which share few n-grams, are hardly told. What is
+   told is counted over all n-grams.
 
 Blocks decide where a pair is counted and not whether. A phrase that a
 million documents share makes no million squared pairs: it is common, hence
@@ -52,8 +53,8 @@ _FLUSH = 3 << 20
 _HELD_GRAMS, _HELD_DOCS = 4 << 20, 20_000
 #: Bands that link documents to blocks, and minima in each.
 _BANDS, _ROWS = 8, 5
-#: N-grams that a document should have in a fragment, fragments at most, and n-grams of a fragment that one task looks at.
-_LOCAL, _FRAGMENTS, _LOOKED = 24, 64, 2 << 20
+#: Bytes of prefixes and parities that one task looks at.
+_LOOKED = 128 << 20
 
 
 def _needed(size: np.ndarray, threshold: float) -> np.ndarray:
@@ -377,99 +378,122 @@ def _within(threshold: float, pairs: bool):
     return run
 
 
-_LOCAL_SETS = "task int, doc_id long, size int, block long, grams binary"
+_ROUTED = "bucket int, docs binary, bits binary, counts binary, places binary, grams binary"
+_ROUTED_ARROW = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("docs", "bits", "counts", "places", "grams"))])
 
 
-def _local_prefix(length: np.ndarray, threshold: float) -> np.ndarray:
-    return length - _needed(length, threshold) + 1
+def _widths(length: np.ndarray) -> np.ndarray:
+    """Bits of the parities of sets: a power of 2, two for each n-gram at least."""
+    return np.maximum(128, 1 << np.ceil(np.log2(2 * np.maximum(length, 1))).astype(np.int64))
 
 
-def _local_sets(fragments: int, buckets: int, threshold: float):
-    """Of rows (doc_id, size, block, grams) the part that each fragment has, rarest first, for each bucket that its prefix there has an n-gram in."""
+def _parities(h: np.ndarray, width: int) -> bytes:
+    """Whether an odd number of hashes is at each place; folded by halves, those of half the width."""
+    return np.packbits((np.bincount((h & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def _routed(buckets: int):
+    """Of rows (doc_id, size, block, prefix, grams) the prefixes by bucket of n-grams, a row each, with the parities of the whole sets of the documents that have one there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            raw = [np.frombuffer(x, np.int64) for x in batch.column(4).to_pylist()]
+            if not raw:
+                continue
+            length = np.array([len(x) for x in raw], np.int64)
+            prefix = batch.column(3).to_numpy().astype(np.int64)
+            bits = [_parities(_text.mix(x.astype(np.uint64)), w) for x, w in zip(raw, _widths(length).tolist())]
+            about = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy(), length])
+            at, g = np.repeat(np.arange(len(raw)), prefix), np.concatenate([x[:n] for x, n in zip(raw, prefix.tolist())])
+            place = (np.arange(len(g)) - np.repeat(np.cumsum(prefix) - prefix, prefix)).astype(np.int32)
+            bucket = ((_text.mix(g.astype(np.uint64)) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            at, g, place, bucket = at[order], g[order], place[order], bucket[order]
+            edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
             rows = []
-            for doc, size, block, raw in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                g = np.frombuffer(raw, np.int64)
-                h = _text.mix(g.astype(np.uint64))
-                frag = (h % np.uint64(fragments)).astype(np.int64)
-                for f in np.unique(frag).tolist():
-                    mine = frag == f
-                    part, first = g[mine].tobytes(), h[mine][: int(_local_prefix(np.int64(mine.sum()), threshold))]
-                    rows += [(f * buckets + b, doc, size, block, part) for b in np.unique((first >> np.uint64(40)) % np.uint64(buckets)).tolist()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["task", "doc_id", "size", "block", "grams"])
+            for a, b in zip(edge[:-1], edge[1:]):
+                first = np.flatnonzero(np.r_[True, at[a + 1 : b] != at[a : b - 1]])
+                k = at[a:b][first]
+                rows.append((int(bucket[a]), about[:, k].T.tobytes(), b"".join([bits[x] for x in k.tolist()]), np.diff(np.r_[first, b - a]).astype(np.int32).tobytes(), place[a:b].tobytes(), g[a:b].tobytes()))
+                if len(rows) == 64 or b == edge[-1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ROUTED_ARROW)], schema=_ROUTED_ARROW)
+                    rows = []
 
     return run
 
 
-def _local_pairs(buckets: int, threshold: float):
-    """Of a fragment (and bucket): pairs of two blocks (a, b, size_a, size_b) whose sets reach the threshold there."""
+def _told(threshold: float):
+    """Of a bucket: pairs of two blocks (a, b, size_a, size_b) that may reach the threshold, by the places of an n-gram of both prefixes and by the parities of both sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[*(batch.column(k).to_numpy() for k in range(4)), batch.column(4).to_pylist()] for batch in batches if batch.num_rows]
-        if not held:
-            return
-        task = np.concatenate([h[0] for h in held])
-        raw = [x for h in held for x in h[4]]
-        columns = [np.concatenate([h[k] for h in held]) for k in range(1, 4)]
-        for t in np.unique(task).tolist():
-            mine = np.flatnonzero(task == t)
-            mine = mine[np.lexsort((columns[0][mine], columns[2][mine]))]  # by block
-            yield from _pairs_of_fragment(*(c[mine] for c in columns), [raw[k] for k in mine.tolist()], t % buckets, buckets, threshold)
-        _text.release()
+        about, bits, at, place, g, base = [], [], [], [], [], 0
+        for batch in batches:
+            for d, x, c, p, q in zip(*(batch.column(k).to_pylist() for k in range(1, 6))):
+                about.append(np.frombuffer(d, np.int64).reshape(-1, 4))
+                bits.append(np.frombuffer(x, np.uint64))
+                at.append(np.repeat(np.arange(base, base + len(about[-1]), dtype=np.int32), np.frombuffer(c, np.int32)))
+                place.append(np.frombuffer(p, np.int32))
+                g.append(np.frombuffer(q, np.int64))
+                base += len(about[-1])
+        if about:
+            about, bits, at, place, g = (np.concatenate(x) for x in (about, bits, at, place, g))
+            yield from _pairs_of_bucket(about, bits, at, place, g, threshold)
+            del about, bits, at, place, g
+            _text.release()
 
     return run
 
 
-def _pairs_of_fragment(ids: np.ndarray, sizes: np.ndarray, block: np.ndarray, raw: list[bytes], bucket: int, buckets: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    length = np.array([len(x) // 8 for x in raw], np.int64)
-    grams, start = np.frombuffer(b"".join(raw), np.int64), np.cumsum(length) - length
-    doc = np.repeat(np.arange(len(ids)), length)
-    place = np.arange(len(grams)) - start[doc]
-    h = _text.mix(grams.astype(np.uint64))
-    wanted = (place < _local_prefix(length, threshold)[doc]) & ((h >> np.uint64(40)) % np.uint64(buckets) == np.uint64(bucket))
-    at, g = doc[wanted], grams[wanted]
-    order = np.lexsort((at, g))
-    at, g = at[order], g[order]
+def _apart(bits: np.ndarray, start: np.ndarray, width: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number of n-grams that only one of each two sets has, by their parities."""
+    out = np.zeros(len(a), np.int64)
+    narrow, wide = np.where(width[a] <= width[b], a, b), np.where(width[a] <= width[b], b, a)
+    kind = width[narrow] * (1 << 32) + width[wide]
+    for k in np.unique(kind).tolist():
+        mine = np.flatnonzero(kind == k)
+        few, many = (k >> 32) // 64, (k & ((1 << 32) - 1)) // 64
+        step = max(1, (1 << 20) // many)
+        for i in range(0, len(mine), step):
+            m = mine[i : i + step]
+            x = bits[start[narrow[m]][:, None] + np.arange(few)]
+            y = bits[start[wide[m]][:, None] + np.arange(many)].reshape(len(m), many // few, few)
+            out[m] = np.bitwise_count(x ^ np.bitwise_xor.reduce(y, axis=1)).sum(1)
+    return out
+
+
+def _pairs_of_bucket(about: np.ndarray, bits: np.ndarray, at: np.ndarray, place: np.ndarray, g: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """about: doc_id, size, block and length of each document; at, place, g: document, place and n-gram of each entry."""
+    ids, sizes, block, length = about.T.copy()
+    width = _widths(length)
+    start = np.cumsum(width // 64) - width // 64
+    order = np.lexsort((block[at], g))
+    at, left, g = at[order], (length[at] - place)[order], g[order]  # left: n-grams from this one on
     edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
     stop = np.repeat(edge[1:], np.diff(edge))
     other = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (block[at[1:]] != block[at[:-1]]), True])
     after = np.repeat(other[1:], np.diff(other))  # where the next block of the n-gram begins
-    known = np.sort(h ^ _text.mix(doc.astype(np.uint64) + np.uint64(1)))
-    need = _needed(length, threshold)
     share = threshold / (1 + threshold)
-    order = np.argsort(at, kind="stable")  # all of a pair's n-grams are met from the document of the lesser block
+    order = np.argsort(at, kind="stable")  # what a pair shares is met together, mostly
     later = (stop - after)[order]
+    order, later = order[later > 0], later[later > 0]
     bounds, i = np.cumsum(later), 0
-    ends = np.searchsorted(at[order], at[order], side="right")  # the entries of one document stay together
     while i < len(order):
-        j = max(i + 1, int(np.searchsorted(bounds, (bounds[i - 1] if i else 0) + (1 << 21), side="right")))
-        j = int(ends[min(j, len(order)) - 1])
+        j = max(i + 1, int(np.searchsorted(bounds, (bounds[i - 1] if i else 0) + (1 << 20), side="right")))
         entry, n = order[i:j], later[i:j]
         i = j
         first = np.repeat(entry, n)
-        second = np.repeat(after[entry], n) + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
-        key, common = np.unique(at[first] * len(ids) + at[second], return_counts=True)
+        second = np.repeat(after[entry] - (np.cumsum(n) - n), n) + np.arange(len(first))
+        a, b = at[first], at[second]
+        x, y = sizes[a], sizes[b]
+        near = (np.minimum(left[first], left[second]) >= share * (x + y) - 1e-6) & (np.minimum(x, y) >= np.maximum(x, y) * threshold - 1e-6)
+        key = np.unique(a[near].astype(np.int64) * len(ids) + b[near])
         a, b = key // len(ids), key % len(ids)
-        near = np.minimum(sizes[a], sizes[b]) >= np.maximum(sizes[a], sizes[b]) * threshold - 1e-9
-        least = share * (length[a] + length[b]) - 1e-9
-        if buckets == 1:  # what is common of the prefixes is then known whole
-            near &= common + np.maximum(need[a], need[b]) - 1 >= least
-        a, b, least = a[near], b[near], least[near]
-        for k in range(0, len(a), 1 << 16):
-            x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-            which = np.repeat(np.arange(len(x)), length[x])
-            own = np.repeat(start[x] - np.r_[0, np.cumsum(length[x])][:-1], length[x]) + np.arange(len(which))
-            asked = h[own] ^ _text.mix(y[which].astype(np.uint64) + np.uint64(1))
-            hit = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
-            good = np.bincount(which, hit, len(x)) >= least[k : k + (1 << 16)]
-            x, y = x[good], y[good]
-            if len(x):
-                low = ids[x] < ids[y]
-                p, q = np.where(low, x, y), np.where(low, y, x)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(ids[q]), pa.array(sizes[p]), pa.array(sizes[q])], names=["a", "b", "size_a", "size_b"])
+        good = length[a] + length[b] - _apart(bits, start, width, a, b) >= 2 * share * (sizes[a] + sizes[b]) - 1e-6
+        a, b = a[good], b[good]
+        if len(a):
+            low = ids[a] < ids[b]
+            p, q = np.where(low, a, b), np.where(low, b, a)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(ids[q]), pa.array(sizes[p], pa.int32()), pa.array(sizes[q], pa.int32())], names=["a", "b", "size_a", "size_b"])
 
 
 def _verified(threshold: float):
@@ -517,11 +541,11 @@ def _searched(docs: DataFrame, n: int, threshold: float, held_grams: int, held_d
     k = same.select(F.col("rep").alias("doc_id"), "k")
     held = left.join(blocks, "doc_id").join(k, "doc_id").select("block", "doc_id", "size", "k", "grams").repartition(fragments, "block").sortWithinPartitions("block")
     alone = F.xxhash64("doc_id", F.lit("alone"))
-    weight = left.agg(F.coalesce(F.sum(F.length("grams") / 8), F.lit(0)).alias("grams"), F.greatest(F.count("*"), F.lit(1)).alias("docs")).first()
-    cuts = max(1, min(_FRAGMENTS, int(weight["grams"] / weight["docs"] / _LOCAL)))
-    buckets = max(1, math.ceil(weight["grams"] / cuts / _LOOKED))
-    local = left.join(blocks, "doc_id", "left").select("doc_id", "size", F.coalesce("block", alone).alias("block"), "grams").mapInArrow(_local_sets(cuts, buckets, threshold), _LOCAL_SETS)
-    told = local.repartitionById(cuts * buckets, F.col("task")).mapInArrow(_local_pairs(buckets, threshold), "a long, b long, size_a int, size_b int")
+    # what the documents of a bucket and their entries take at most, as if no document had two entries in one
+    weight = left.agg(F.coalesce(F.sum(F.col("prefix") * (F.length("grams") / 16 + 48)), F.lit(0)).alias("bytes")).first()
+    buckets = max(1, math.ceil(weight["bytes"] / _LOOKED))
+    routed = left.join(blocks, "doc_id", "left").select("doc_id", "size", F.coalesce("block", alone).alias("block"), "prefix", "grams").mapInArrow(_routed(buckets), _ROUTED)
+    told = routed.repartitionById(buckets, F.col("bucket")).mapInArrow(_told(threshold), "a long, b long, size_a int, size_b int")
     open_ = _spark.cut(told.distinct())
     wanted = open_.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     grams = left.join(wanted, "doc_id", "left_semi").select("doc_id", "grams")

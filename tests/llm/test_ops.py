@@ -95,6 +95,30 @@ def test_ngram_join_gathers_by_bucket():
         assert got == {k: (len(s), len(s & many)) for k, s in enumerate(sets) if 2 * len(s & many) >= len(s)}
 
 
+def test_ngram_join_of_many_buckets():
+    """However many buckets prefixes are spread over, no near pair of two blocks is lost, and what moves stays below what the entries take if each were alone."""
+    rng = np.random.default_rng(1)
+    sets = [set((rng.zipf(1.3, int(rng.integers(2, 400))) % 3000).tolist()) for _ in range(200)]
+    sets += [set(rng.permutation(sorted(s))[: max(1, int(len(s) * rng.uniform(0.4, 1)))].tolist()) | set(rng.integers(0, 3000, 9).tolist()) for s in sets]
+    freq = Counter(x for s in sets for x in s)
+    for threshold in (0.5, 0.8):
+        rows = []
+        for k, s in enumerate(sets):
+            own = sorted((x for x in s if freq[x] > 1), key=lambda x: (freq[x], x))
+            if len(own) >= (need := math.ceil(len(s) * threshold)):
+                rows.append((k, len(s), k // 2, len(own) - need + 1, np.array(own, np.int64).tobytes()))
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "size", "block", "prefix", "grams"])
+        want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if i // 2 != j // 2 and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold}
+        for buckets in (1, 60):
+            routed = pa.Table.from_batches(list(ngram_join._routed(buckets)(iter([batch.slice(0, 100), batch.slice(100)]))))
+            assert sum(len(x) for c in routed.column_names[1:] for x in routed[c].to_pylist()) <= sum(r[3] * (max(16, len(r[4]) / 16) + 48) for r in rows)
+            got = set()
+            for k in range(buckets):
+                for b in ngram_join._told(threshold)(iter(routed.filter(pc.equal(routed["bucket"], k)).to_batches())):
+                    got |= set(zip(b["a"].to_pylist(), b["b"].to_pylist()))
+            assert want and want <= got
+
+
 def test_similarity_never_passes_one(spark):
     """Rows of one doc_id with different texts: the longest counts."""
     d = spark.createDataFrame([(1, "a b c d e"), (1, "p q r"), (2, "a b c d e"), (2, None), (3, "p q r")], "doc_id long, text string")
