@@ -165,7 +165,7 @@ def select(docs: DataFrame, weights: dict[str, float] | None = None, budget: int
     """
     spark = docs.sparkSession
     docs = _spark.documents(docs, "source", "text").withColumn("source", F.coalesce("source", F.lit("")))
-    counted = docs.mapInArrow(_count, "doc_id long, source string, tokens long").groupBy("doc_id").agg(F.max(F.struct("tokens", "source")).alias("x")).select("doc_id", "x.source", "x.tokens").where("tokens > 0")
+    counted = docs.mapInArrow(_text.releasing(_count), "doc_id long, source string, tokens long").groupBy("doc_id").agg(F.max(F.struct("tokens", "source")).alias("x")).select("doc_id", "x.source", "x.tokens").where("tokens > 0")
     counted = _spark.cut(counted.withColumn("h", F.xxhash64("doc_id", F.lit(seed))))
     by_length = _spark.cut(counted.groupBy("source", "tokens").agg(F.count("*").alias("n")))
     totals = by_length.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).alias("t"), F.max("n").alias("most")).collect()

@@ -351,4 +351,4 @@ def redact(docs: DataFrame, mask: str = MASK, lines: int = LINES) -> DataFrame:
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(_text.releasing(run), schema)

@@ -145,7 +145,7 @@ def units(text: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray, np.
         yield i, j, b, starts, np.r_[starts[1:], len(b)], np.searchsorted(o, starts, side="right") - 1
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
     """Batches of few rows: what is copied of their texts on the way stays small."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):

@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,27 +67,94 @@ def _counts(buckets: np.ndarray, doc: np.ndarray, selected: np.ndarray) -> tuple
     return key // len(selected), key % len(selected), count
 
 
-def fit(texts: list[str], toxic: list[int], min_docs: int = MIN_DOCS, ratio: float = 4.0, most: int = MOST, epochs: int = 300, cap: int = CAP) -> Model:
-    """Trains on labelled texts. Without both labels the model finds nothing toxic."""
-    y = np.array(toxic, bool)
-    buf, offs = _text.flat(_text.lowered(pa.array(texts, pa.string())))
-    b, d, n_words = features(buf, offs)
-    n = len(y)
-    if not y.any() or y.all():
-        return Model(np.zeros(0, np.int64), np.zeros(0), np.array([30.0, 31.0, 32.0]), cap)
-    pair = np.unique(d[None, :].astype(np.int64) * (1 << BITS) + b)
-    doc, bucket = pair >> BITS, pair & ((1 << BITS) - 1)
-    bad = np.bincount(bucket[y[doc]], minlength=1 << BITS)
-    good = np.bincount(bucket[~y[doc]], minlength=1 << BITS)
+def _featured(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``features`` of a batch's second column, with the range of its rows that they are of."""
+    buf, offs = _text.flat(_text.lowered(batch.column(1)))
+    for i, j in _text.chunks(offs):
+        yield i, j, *features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (doc_id, text, toxic): in how many toxic and how many other texts of all batches each bucket is."""
+    found = np.zeros((2, 1 << BITS), np.int32)
+    for batch in batches:
+        toxic = batch.column(2).to_numpy(zero_copy_only=False) == 1
+        for i, _, b, d, _ in _featured(batch):
+            pair = np.unique(d.astype(np.int64) << BITS | b)
+            y = toxic[i:][pair >> BITS]
+            for k in (0, 1):
+                found[k] += np.bincount(pair[y == k] & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
+    at = np.flatnonzero(found.any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (at, found[1][at], found[0][at])], names=["bucket", "bad", "good"])
+
+
+def _used(chosen: np.ndarray):
+    """Of (doc_id, text, toxic, h): the number of words, and which chosen buckets each text has how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, b, d, n_words in _featured(batch):
+                row, col, count = _counts(b, d, chosen)
+                ends = pa.array(np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (col, count)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(3)[i:j], batch.column(2)[i:j], pa.array(n_words.astype(np.int64)), *lists], names=["doc_id", "h", "toxic", "words", "features", "counts"])
+
+    return run
+
+
+def _choose(seen: pa.Table, share: float, min_docs: int, ratio: float, most: int) -> np.ndarray:
+    """The best buckets, ascending. share: toxic texts for each other one."""
+    bucket, bad, good = (seen.sort_by("bucket")[c].to_numpy().astype(np.int64) for c in ("bucket", "bad", "good"))
     # documents' lengths differ between the labels, so rates are per document with as many words
-    share = max(y.sum(), 1) / max((~y).sum(), 1)
     lift = (bad + 0.1) / (good + 0.5) / share
     chosen = np.flatnonzero((bad >= min_docs) & (lift >= ratio))
-    chosen = np.sort(chosen[np.argsort(-(bad * np.log(lift))[chosen], kind="stable")[:most]])
+    return np.sort(bucket[chosen[np.argsort(-(bad * np.log(lift))[chosen], kind="stable")[:most]]])
+
+
+def fit(texts: list[str], toxic: list[int], min_docs: int = MIN_DOCS, ratio: float = 4.0, most: int = MOST, epochs: int = 300, cap: int = CAP) -> Model:
+    """Trains on labelled texts that are here. Without both labels the model finds nothing toxic."""
+    y = np.array(toxic, bool)
+    if not y.any() or y.all():
+        return _nothing(cap)
+    ids = pa.array(np.arange(len(y)))
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), pa.array(y.astype(np.int32)), ids], names=["doc_id", "text", "toxic", "h"])
+    chosen = _choose(pa.Table.from_batches(_seen(iter([batch]))), y.sum() / (~y).sum(), min_docs, ratio, most)
+    return _learn(pa.Table.from_batches(_used(chosen)(iter([batch]))), chosen, epochs, cap) if len(chosen) else _nothing(cap)
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, min_docs: int = MIN_DOCS, ratio: float = 4.0, most: int = MOST, epochs: int = 300, cap: int = CAP) -> Model:
+    """The model of ``fit(*sample(docs, labels, rows))``. The texts stay with the executors, which count the
+    features; the driver gets the buckets of ``min_docs`` toxic texts or more, which are 2**BITS at most,
+    and how often each text has the selected ones."""
+    if (found := _labelled(docs, labels, rows)) is None:
+        return _nothing(cap)
+    found = _spark.cut(found.withColumn("h", F.xxhash64("text")).repartition("doc_id"))
+    n = {r["toxic"]: r["count"] for r in found.groupBy("toxic").count().collect()}
+    if len(n) < 2:
+        return _nothing(cap)
+    seen = found.mapInArrow(_text.releasing(_seen), "bucket int, bad int, good int").groupBy("bucket").agg(*(F.sum(c).cast("int").alias(c) for c in ("bad", "good")))
+    chosen = _choose(seen.where(F.col("bad") >= min_docs).toArrow(), n[1] / n[0], min_docs, ratio, most)
     if not len(chosen):
-        return Model(np.zeros(0, np.int64), np.zeros(0), np.array([30.0, 31.0, 32.0]), cap)
-    row, col, count = _counts(b, d, chosen)
-    x = np.log1p(np.minimum(count, cap))
+        return _nothing(cap)
+    used = found.mapInArrow(_text.releasing(_used(chosen)), "doc_id long, h long, toxic int, words long, features array<int>, counts array<int>").toArrow()
+    model = _learn(used.sort_by([(c, "ascending") for c in ("doc_id", "h", "toxic")]), chosen, epochs, cap)
+    del used
+    _text.release()
+    return model
+
+
+def _nothing(cap: int) -> Model:
+    """Finds nothing toxic."""
+    return Model(np.zeros(0, np.int64), np.zeros(0), np.array([30.0, 31.0, 32.0]), cap)
+
+
+def _learn(used: pa.Table, chosen: np.ndarray, epochs: int, cap: int) -> Model:
+    used = used.combine_chunks()
+    y, n_words = used["toxic"].to_numpy() == 1, used["words"].to_numpy()
+    n = len(y)
+    row = np.repeat(np.arange(n), pc.list_value_length(used["features"]).to_numpy())
+    col, count = (pc.list_flatten(used[c]).to_numpy() for c in ("features", "counts"))
+    x = np.log1p(np.minimum(count, cap).astype(np.int64))
     density = np.bincount(row, count, n) / np.maximum(n_words, 1)
     grade = np.zeros(n, np.int64)
     cuts = np.quantile(density[y], [1 / 3, 2 / 3])
@@ -122,16 +190,22 @@ def predict(model: Model, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray
     return p.sum(1), p[:, 0]
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = SEED) -> tuple[list[str], list[int]]:
-    """At most ``rows`` labelled texts, half of them toxic where there are as many: those with the least seeded hash."""
+def _labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = SEED) -> DataFrame | None:
+    """(doc_id, text, toxic) of at most ``rows`` labels, half of them toxic where there are as many: those with the least seeded hash. None without labels."""
     labels = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
     ids = [r for k in (0, 1) for r in labels.where(F.col("toxic") == k).orderBy(*order).limit(rows // 2).collect()]
     if not ids:
-        return [], []
+        return None
     # a table of at most `rows` rows
     wanted = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int"))
-    got = sorted(_spark.documents(docs, "text").join(wanted, "doc_id").select("doc_id", "text", "toxic").collect(), key=lambda r: (r[0], r[1] or ""))
+    return _spark.documents(docs, "text").join(wanted, "doc_id").select("doc_id", "text", "toxic")
+
+
+def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = SEED) -> tuple[list[str], list[int]]:
+    """The texts that ``train`` learns from, and their labels."""
+    found = _labelled(docs, labels, rows, seed)
+    got = sorted(found.collect(), key=lambda r: (r[0], r[1] or "")) if found is not None else []
     return [r[1] or "" for r in got], [r[2] for r in got]
 
 
@@ -160,8 +234,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, m
     count; no documents give no rows; further columns are not looked at.
     Texts of any length are scored whole.
     """
-    model = fit(*sample(docs, labels, train_rows), min_docs=min_docs, most=most, cap=cap)
-    return _spark.documents(docs, "text").mapInArrow(_score(model), "doc_id long, severity double, p_toxic double, toxic boolean")
+    model = train(docs, labels, train_rows, min_docs=min_docs, most=most, cap=cap)
+    return _spark.documents(docs, "text").mapInArrow(_text.releasing(_score(model)), "doc_id long, severity double, p_toxic double, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -171,7 +245,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
     and wordless texts, stay; repeated rows all stay or all go; without labels of
     both kinds all stay; no documents give no rows; a table without the column text raises.
     """
-    model = fit(*sample(docs, labels, train_rows))
+    model = train(docs, labels, train_rows)
     schema = docs.schema
     at = docs.columns.index("text")
 
@@ -181,4 +255,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
             keep = [predict(model, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[1] < REJECT for i, j in _text.chunks(offs)]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(_text.releasing(run), schema)

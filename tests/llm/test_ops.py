@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import tracemalloc
 import unicodedata
 from collections import Counter
 
@@ -508,6 +509,26 @@ def test_toxicity_is_the_plain_sum(spark, docs):
     assert model.bounds.tolist() == sorted(model.bounds.tolist()) and len(weight) <= toxicity.MOST
 
 
+def test_toxicity_leaves_texts_with_the_executors(spark, tmp_path):
+    """The model is that of the sampled texts as a whole; what the driver's Python takes doesn't grow with their length."""
+    sf = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    twice = d.union(d.where("doc_id % 9 = 0")).union(d.where("doc_id % 7 = 0").withColumn("text", F.lit(None).cast("string")))
+    for x in (d, twice.repartition(5)):
+        here, there = toxicity.fit(*toxicity.sample(x, labels)), toxicity.train(x, labels)
+        assert len(here.buckets) > 10 and here.buckets.tolist() == there.buckets.tolist()
+        assert there.weights.tolist() == pytest.approx(here.weights.tolist(), abs=1e-6) and there.bounds.tolist() == pytest.approx(here.bounds.tolist(), abs=1e-6)
+    long = d.withColumn("text", F.concat("text", F.lit(" "), F.repeat(F.sha2(F.col("doc_id").cast("string"), 256), 600)))
+    long.write.parquet(f"{tmp_path}/long")
+    most = []
+    for x in (d, spark.read.parquet(f"{tmp_path}/long")):
+        tracemalloc.start()
+        toxicity.drop_toxic(x, labels)
+        most.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert most[1] < most[0] + 5, most
+
+
 def test_mixing(spark, docs, none):
     rng = np.random.default_rng(4)
     for _ in range(2000):
