@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import annotate, ontology
-from tessera.operators.units import by_row, formula_number
+from tessera.operators.units import by_row, each_unit, formula_number
 
 CHECK = "check string, passed boolean, expected string, actual string"
 CASES = "case_id string, standard_code string, pdf_page int, check string, passed boolean, expected string, actual string"
@@ -267,6 +267,19 @@ def formula_rows(unit: dict, annotation: dict, ids: set[str]) -> list[dict]:
     return out
 
 
+def own_formula_rows(unit: dict) -> list[dict]:
+    """``formula_rows`` of a unit and what the gold rules say of it."""
+    if unit["unit_type"] != "formula_package":
+        return []
+    annotation = annotate.annotate_unit(unit)
+    return formula_rows(unit, annotation, {e["entity_id"] for e in annotation["entities"]})
+
+
+def raw_formula_paths(raw: DataFrame) -> DataFrame:
+    """As ``gold_formula_paths`` of the units of RAW and their annotations by rule, in one pass and without a join."""
+    return each_unit(raw, own_formula_rows, FORMULA_ROW)
+
+
 def gold_formula_paths(units: DataFrame, annotations: DataFrame) -> DataFrame:
     """FORMULA_ROW of each formula of UNIT rows with the ANNOTATION rows of their units (a join by unit_id)."""
     rows = units.where("unit_type = 'formula_package'").select("unit_id", F.struct(*units.columns).alias("unit")).join(annotations.select("unit_id", F.struct("entities", "relations").alias("annotation")), "unit_id")

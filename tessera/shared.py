@@ -1,4 +1,4 @@
-"""The folder that all executors share, and tables kept there to cut lineage."""
+"""The folder that all executors share, tables kept there to cut lineage, and rows spread over tasks."""
 
 from __future__ import annotations
 
@@ -22,3 +22,12 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame, key: str, most: int = 4000, least: int = 250) -> DataFrame:
+    """``df`` in tasks of about ``most`` rows or fewer, by a hash of ``key``: a file of a few MB, which Spark gives to one task, can hold rows enough for all of them.
+
+    Few rows still make three tasks a core, of ``least`` rows or more. Rows are counted first, for which Parquet reads its footers alone.
+    """
+    n = df.count()
+    return df.repartition(max(1, -(-n // most), min(3 * df.sparkSession.sparkContext.defaultParallelism, -(-n // least))), key)
