@@ -115,14 +115,17 @@ def header_rows(rows: Column) -> Column:
 def column_names(rows: Column, width: Column | None = None) -> Column:
     """Names from header rows: empty cells filled from the left, values joined by ' / ' downwards but for one that repeats the one above, columns without any numbered, and repeated names too."""
     none = F.array().cast("array<string>")
+    # what stands in a lambda is worked out for every element: what several need is given to a lambda as its variable
+    given = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
     last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(""))
-    filled = F.transform(rows, lambda r: F.aggregate(r, none, lambda acc, c: F.concat(acc, F.array(F.coalesce(F.nullif(c, F.lit("")), last(acc))))))
+    fill = lambda r: F.aggregate(r, none, lambda acc, c: F.concat(acc, F.array(F.coalesce(F.nullif(c, F.lit("")), last(acc)))))
+    at = lambda filled, k: F.transform(filled, lambda r: F.trim(F.coalesce(F.get(r, k), F.lit(""))))
+    parts = lambda values: F.aggregate(values, none, lambda acc, x: F.when((x != "") & ((F.size(acc) == 0) | (last(acc) != x)), F.concat(acc, F.array(x))).otherwise(acc))
+    name = lambda filled, k: given(F.array_join(parts(at(filled, k)), " / "), lambda n: F.when(n != "", n).otherwise(F.concat(F.lit("column_"), (k + 1).cast("string"))))
+    seen = lambda named, n, i: F.size(F.filter(F.slice(named, F.lit(1), i + 1), lambda o: o == n))
+    numbered = lambda named: F.transform(named, lambda n, i: given(seen(named, n, i), lambda s: F.when(s > 1, F.concat(n, F.lit("_"), s.cast("string"))).otherwise(n)))
     width = F.array_max(F.transform(rows, lambda r: F.size(r))) if width is None else width
-    at = lambda k: F.transform(filled, lambda r: F.trim(F.coalesce(F.get(r, k), F.lit(""))))
-    parts = lambda k: F.aggregate(at(k), none, lambda acc, x: F.when((x != "") & ((F.size(acc) == 0) | (last(acc) != x)), F.concat(acc, F.array(x))).otherwise(acc))
-    named = F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.coalesce(F.nullif(F.array_join(parts(k), " / "), F.lit("")), F.concat(F.lit("column_"), (k + 1).cast("string"))))
-    seen = lambda i: F.size(F.filter(F.slice(named, F.lit(1), i + 1), lambda o: o == F.get(named, i)))
-    return F.transform(named, lambda n, i: F.when(seen(i) > 1, F.concat(n, F.lit("_"), seen(i).cast("string"))).otherwise(n))
+    return given(F.transform(rows, fill), lambda filled: given(F.transform(F.sequence(F.lit(0), width - 1), lambda k: name(filled, k)), numbered))
 
 
 def reading_order_ok(rows: DataFrame, part: list[str], order: str, place: list[str]) -> DataFrame:
