@@ -50,11 +50,12 @@ def macro_f1(gold: DataFrame, predicted: DataFrame, key: list[str], value: str,
 
 
 def by_dimensions(flags: DataFrame, dimensions: list[str]) -> DataFrame:
-    """(dimension, value, metrics): overall and by each dimension, in one pass by grouping sets."""
+    """(dimension, value, metrics): overall and by each dimension, by grouping sets of the counts of all dimensions together."""
+    flags = flags.groupBy(*dimensions).agg(F.count_if("in_gold").alias("gold"), F.count_if("in_pred").alias("predicted"), F.count_if(F.col("in_gold") & F.col("in_pred")).alias("tp"))
     gs = ", ".join(["()", *(f"(`{d}`)" for d in dimensions)])
     name = "CASE " + " ".join(f"WHEN grouping(`{d}`) = 0 THEN '{d}'" for d in dimensions) + " ELSE 'all' END"
     value = "coalesce(" + ", ".join(f"CASE WHEN grouping(`{d}`) = 0 THEN cast(`{d}` AS string) END" for d in dimensions) + ", '')"
-    counts = flags.sparkSession.sql(f"SELECT {name} AS dimension, {value} AS value, count_if(in_gold) AS gold, count_if(in_pred) AS predicted, count_if(in_gold AND in_pred) AS tp FROM {{flags}} GROUP BY GROUPING SETS ({gs})", flags=flags)
+    counts = flags.sparkSession.sql(f"SELECT {name} AS dimension, {value} AS value, sum(gold) AS gold, sum(predicted) AS predicted, sum(tp) AS tp FROM {{flags}} GROUP BY GROUPING SETS ({gs})", flags=flags)
     precision = F.coalesce(F.try_divide("tp", "predicted"), F.when(F.col("gold") == 0, 1.0).otherwise(0.0))
     recall = F.coalesce(F.try_divide("tp", "gold"), F.lit(1.0))
     return counts.select("*", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)), 6).alias("f1"), F.round(F.coalesce(F.try_divide(F.col("predicted") - F.col("tp"), F.col("predicted")), F.lit(0.0)), 6).alias("false_discovery_rate"))

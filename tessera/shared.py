@@ -31,3 +31,8 @@ def spread(df: DataFrame, key: str, most: int = 4000, least: int = 250) -> DataF
     """
     n = df.count()
     return df.repartition(max(1, -(-n // most), min(3 * df.sparkSession.sparkContext.defaultParallelism, -(-n // least))), key)
+
+
+def tasks(df: DataFrame, most: int = 300_000) -> int:
+    """As many tasks as the session's shuffles have, more where each would get over ``most`` rows of ``df``, so that a task's memory doesn't grow with the input."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // most))

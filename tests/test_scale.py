@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera import shared
 from tessera.operators import annotate as A
-from tessera.operators import gates, layout, units
+from tessera.operators import contract, gates, layout, units
 from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -64,3 +64,33 @@ def test_rows_of_arrow_columns():
     t = pa.array(rows, kind)
     for part in (t, t.slice(1), t.slice(2, 3), t.slice(0, 0), t.slice(4)):
         assert units.plain(part) == part.to_pylist(maps_as_pydicts="lossy")
+
+
+def test_figures_of_predictions_without_sets_or_joins_of_keys(spark):
+    """Each unit's mentions meet in one task: no evidence is collected to lists, all paths come of one pass, and the only join is that with the units."""
+    rows = catalog._order_rows(spark, SF)
+    out = contract.evaluate(*rows)
+    for name, joins in (("entities", 1), ("relations", 1), ("paths", 1), ("evidence", 2), ("errors", 2), ("exact", 1)):
+        p = plan(out[name])
+        assert "collect_" not in p and p.count("Join ") == joins, name
+    assert plan(contract.compare_experts(*rows)[1]).count("Join ") == 1
+    assert shared.tasks(spark.range(10), most=1) == 10 and shared.tasks(spark.range(10)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_evidence_and_paths_of_odd_mentions(spark):
+    """Empty evidence of both sides is the same, null pieces count as none; mentions of other units don't count; an indicator's own edges above decide."""
+    u = spark.createDataFrame([("a", ("s",), "t"), ("b", ("s",), "t")], "unit_id string, provenance struct<standard_code: string>, unit_type string")
+    e = "unit_id string, name string, entity_type string, evidence_span_ids array<string>"
+    r = "unit_id string, head_name string, head_type string, relation_type string, tail_name string, tail_type string, evidence_span_ids array<string>"
+    ids = u.select("unit_id", F.lit(A.ONTOLOGY_VERSION).alias("ontology_version"))
+    edge = lambda h, kind, t, unit="a": (unit, h, "k", kind, t, "k", ["1"])
+    calc = [edge("i", "calculated_by", "f"), edge("j", "calculated_by", "f"), edge("s", "has_indicator", "i"), edge("t", "has_indicator", "i"), edge("f", "has_input", "x"), edge("f", "has_input", "y"), edge("f", "has_unit", "m", "other")]
+    side = lambda entities, relations: {"units": ids, "entities": spark.createDataFrame(entities, e), "relations": spark.createDataFrame(relations, r)}
+    gold = side([("a", "x", "k", []), ("a", "y", "k", ["1", "2"]), ("a", " y ", "k", ["2", None]), ("a", "z", "k", ["1"]), ("b", "w", "k", None), ("other", "x", "k", ["1"])], calc)
+    pred = side([("a", "x", "k", None), ("a", "y", "k", ["2"]), ("a", "z", "k", ["1", None]), ("b", "v", "k", []), ("other", "x", "k", ["1"])], [x for x in calc if x[1] != "t" and x[4] != "y"])
+    out = contract.evaluate(u, gold, pred)
+    assert tuple(out["evidence"].where("field = 'entities'").first()) == ("entities", 3, 2, 0.666667, 2, 0.666667)
+    assert {x.path: (x.applicable, x.complete) for x in out["paths"].collect()} == {
+        "formula_input_complete": (1, 0), "formula_output_complete": (0, 0), "indicator_formula_complete": (2, 1), "explicit_unit_edges": (0, 0), "explicit_source_edges": (0, 0), "quality_constraint_edges": (0, 0),
+    }
+    assert tuple(out["exact"].first()) == (2, 1, 1, 0, 0.0) and {tuple(x.key) for x in out["errors"].where("error_type LIKE 'entity%'").collect()} == {("b", "w", "k"), ("b", "v", "k")}
