@@ -7,14 +7,18 @@ by one where they lie; everything over all records is a join or an aggregate.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import annotate, evaluation, validation
-from tessera.operators.units import by_row
+from tessera.operators.units import by_row, schema_of
 
 BLIND_KEYS = ["gold_annotation", "gold_nature", "review_status", "entities", "relations", "triple_id"]
 GOLD_ONLY = frozenset({"gold_annotation", "gold_nature", "review_status", "triple_id"})
@@ -27,8 +31,10 @@ RELATION_KEY = ["unit_id", "head_name", "head_type", "relation_type", "tail_name
 
 def assert_blind(records: DataFrame, column: str = "value") -> None:
     """Raises with the first forbidden paths if any record, as JSON text, has a field that tells the answer."""
-    found = records.select(F.explode(T.forbidden_paths(column, BLIND_KEYS)).alias("p")).limit(20).collect()
-    if found:
+    paths = records.select(F.explode(T.forbidden_paths(column, BLIND_KEYS)).alias("p"))
+    # a limit would look through one task, then four and so on, where there are none
+    if paths.agg(F.count("*")).first()[0]:
+        found = paths.limit(20).collect()
         raise ValueError("blind input contains forbidden gold fields: " + ", ".join(r.p for r in found))
 
 
@@ -41,6 +47,21 @@ def _paths(value: object, prefix: str = "$") -> list[str]:
     return [p for i, v in enumerate(value) for p in _paths(v, f"{prefix}[{i}]")] if isinstance(value, list) else []
 
 
+def _leaks(value: object) -> bool:
+    """Whether ``_paths`` finds any, without a text for each place."""
+    left = [value]
+    while left:
+        value = left.pop()
+        if isinstance(value, dict):
+            if not GOLD_ONLY.isdisjoint(value):
+                return True
+            value = value.values()
+        elif not isinstance(value, list):
+            continue
+        left += [x for x in value if isinstance(x, (dict, list))]
+    return False
+
+
 def _text(value: object) -> str:
     return "" if value is None else str(value)
 
@@ -64,7 +85,7 @@ def check_prediction(unit: dict, prediction: dict) -> list[dict]:
         elif foreign := sorted(set(map(str, ids)) - known):
             fail(f"invalid_{kind}_evidence", "evidence outside the unit", place, found=foreign)
 
-    for path in _paths(prediction):
+    for path in _paths(prediction) if _leaks(prediction) else ():
         fail("gold_field_leakage", "a field that only gold has", field=path)
     same("prediction_schema_version", "another schema version", prediction.get("schema_version"), annotate.PREDICTION_VERSION)
     same("ontology_version", "another ontology version", prediction.get("ontology_version"), annotate.ONTOLOGY_VERSION)
@@ -130,32 +151,68 @@ def check_prediction(unit: dict, prediction: dict) -> list[dict]:
     return out
 
 
-def validate_predictions(units: DataFrame, predictions: DataFrame, ontology_version: str | None = annotate.ONTOLOGY_VERSION) -> tuple[DataFrame, DataFrame]:
+VALID = "unit_id string, value string"
+
+
+def _met(rows: Iterator[tuple[str, bool, str]]) -> Iterator[tuple[str, int, int, str | None, str | None]]:
+    """(unit id, units, predictions, the first of each) of sorted rows (unit id, whether a prediction, text)."""
+    for own, group in groupby(rows, key=itemgetter(0)):
+        n, first = [0, 0], [None, None]
+        for _, k, value in group:
+            if not n[k]:
+                first[k] = value
+            n[k] += 1
+        yield own, *n, *first
+
+
+def _judged(own: str, nu: int, np: int, unit: str | None, prediction: str | None) -> list[dict]:
+    """FAILURE rows of a unit id: what its numbers of units and predictions say, and of one prediction every failure."""
+    codes = {"missing_prediction_units": nu > 0 and np == 0, "extra_prediction_units": nu == 0 and np > 0, "duplicate_prediction_units": np > 1, "duplicate_source_units": nu > 1}
+    out = [{"unit_id": own, "code": c, "message": c.replace("_", " ")} for c, found in codes.items() if found]
+    return out + (check_prediction(json.loads(unit), json.loads(prediction)) if np == 1 and nu else [])
+
+
+def _valid(own: str, nu: int, np: int, unit: str | None, prediction: str | None) -> list[dict]:
+    return [{"unit_id": own, "value": prediction}] if np == 1 and nu and not check_prediction(json.loads(unit), json.loads(prediction)) else []
+
+
+def validate_predictions(units: DataFrame, predictions: DataFrame, ontology_version: str | None = annotate.ONTOLOGY_VERSION, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(failures, valid predictions) of units and predictions given as JSON text in ``value``.
 
     FAILURE rows: of single predictions as in ``check_prediction``; unit ids
     without, with several or unknown predictions (missing_, duplicate_,
     extra_prediction_units), repeated units (duplicate_source_units), and a
     schema of another ontology, with unit_id '' for what concerns no one unit.
-    Units with gold fields raise.
+    Units with gold fields raise. Of repeated units the least text counts.
+
+    Units and predictions meet in one shuffle, in ``tasks`` tasks or as many as
+    the session sets, and are read in the order of their ids, one at a time.
     """
     assert_blind(units)
-    spark = units.sparkSession
     key = F.coalesce(F.get_json_object("value", "$.unit_id"), F.lit(""))
-    u, p = units.select(key.alias("unit_id"), F.col("value").alias("unit")), predictions.select(key.alias("unit_id"), F.col("value").alias("prediction"))
-    n = u.groupBy("unit_id").agg(F.count("*").alias("nu")).join(p.groupBy("unit_id").agg(F.count("*").alias("np")), "unit_id", "full").na.fill(0, ["nu", "np"])
-    flags = F.array_compact(F.array(
-        F.when((F.col("nu") > 0) & (F.col("np") == 0), F.lit("missing_prediction_units")), F.when((F.col("nu") == 0) & (F.col("np") > 0), F.lit("extra_prediction_units")),
-        F.when(F.col("np") > 1, F.lit("duplicate_prediction_units")), F.when(F.col("nu") > 1, F.lit("duplicate_source_units")),
-    ))
-    empty = lambda *given: [F.lit(None).cast(t.split()[1] if "array" not in t else "array<string>").alias(t.split()[0]) for t in FAILURE.split(", ") if t.split()[0] not in given]
-    keys = n.select("unit_id", F.explode(flags).alias("code")).select("unit_id", "code", F.replace("code", F.lit("_"), F.lit(" ")).alias("message"), *empty("unit_id", "code", "message"))
-    single = n.where("np = 1 AND nu > 0").select("unit_id")
-    pairs = u.dropDuplicates(["unit_id"]).join(p, "unit_id").join(single, "unit_id", "left_semi")
-    failures = by_row(pairs, lambda r: check_prediction(json.loads(r["unit"]), json.loads(r["prediction"])), FAILURE)
-    other = [] if ontology_version == annotate.ONTOLOGY_VERSION else [("", "schema_ontology_version", "the schema is of another ontology version", None, None, ontology_version, annotate.ONTOLOGY_VERSION, None)]
-    valid = pairs.join(failures.select("unit_id").distinct(), "unit_id", "left_anti").select("unit_id", F.col("prediction").alias("value"))
-    return reduce(DataFrame.union, [spark.createDataFrame(other, FAILURE), keys, failures]), valid
+    both = units.select(key.alias("unit_id"), F.lit(False).alias("k"), "value").union(predictions.select(key, F.lit(True), "value"))
+    met = (both.repartition(tasks, "unit_id") if tasks else both.repartition("unit_id")).sortWithinPartitions("unit_id", "k", "value")
+
+    def judged(f: Callable[..., list[dict]], schema: str) -> DataFrame:
+        kind = schema_of(schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = (batch.slice(k, 256) for batch in batches for k in range(0, batch.num_rows, 256))
+            made: list[dict] = []
+            for met in _met(row for part in parts for row in zip(*(c.to_pylist() for c in part.columns))):
+                made += f(*met)
+                if len(made) >= 256:
+                    yield from pa.Table.from_pylist(made, kind[1]).to_batches()
+                    made = []
+            yield from pa.Table.from_pylist(made, kind[1]).to_batches()
+
+        return met.mapInArrow(run, kind[0])
+
+    failures = judged(_judged, FAILURE)
+    if ontology_version != annotate.ONTOLOGY_VERSION:
+        other = [("", "schema_ontology_version", "the schema is of another ontology version", None, None, ontology_version, annotate.ONTOLOGY_VERSION, None)]
+        failures = failures.union(units.sparkSession.createDataFrame(other, FAILURE))
+    return failures, judged(_valid, VALID)
 
 
 def validation_report(units: DataFrame, predictions: DataFrame, failures: DataFrame, valid: DataFrame) -> DataFrame:

@@ -94,3 +94,17 @@ def test_evidence_and_paths_of_odd_mentions(spark):
         "formula_input_complete": (1, 0), "formula_output_complete": (0, 0), "indicator_formula_complete": (2, 1), "explicit_unit_edges": (0, 0), "explicit_source_edges": (0, 0), "quality_constraint_edges": (0, 0),
     }
     assert tuple(out["exact"].first()) == (2, 1, 1, 0, 0.0) and {tuple(x.key) for x in out["errors"].where("error_type LIKE 'entity%'").collect()} == {("b", "w", "k"), ("b", "v", "k")}
+
+
+def test_predictions_are_read_in_one_pass_beside_their_units(spark):
+    """One shuffle brings units and predictions together, in as many tasks as asked for, and nothing is kept of a task but the group at hand."""
+    text = lambda *rows: spark.createDataFrame([(x,) for x in rows], "value string")
+    u = text('{"unit_id": "b", "v": 2}', '{"unit_id": "a", "unit_type": "t", "provenance": {"standard_code": "s"}}', '{"unit_id": "b", "v": 1}', "{}")
+    p = text('{"unit_id": "b"}', '{"unit_id": "b"}', '{"unit_id": "c"}', '{"unit_id": "a", "x": [{"triple_id": 1}]}')
+    failures, valid = contract.validate_predictions(u, p, tasks=3)
+    for df in (failures, valid):
+        assert plan(df).count("RepartitionByExpression") == 1 and "Join" not in plan(df) and "Aggregate" not in plan(df) and df.rdd.getNumPartitions() == 3
+    got = {(x.unit_id, x.code, x.message) for x in failures.where("code LIKE '%_units'").collect()}
+    assert got == {("b", "duplicate_source_units", "duplicate source units"), ("b", "duplicate_prediction_units", "duplicate prediction units"), ("c", "extra_prediction_units", "extra prediction units"), ("", "missing_prediction_units", "missing prediction units")}
+    assert valid.count() == 0 and [x.field for x in failures.where("code = 'gold_field_leakage'").collect()] == ["$.x[0].triple_id"]
+    assert catalog._json_tasks(spark, SF) == int(spark.conf.get("spark.sql.shuffle.partitions"))
