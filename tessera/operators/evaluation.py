@@ -75,10 +75,17 @@ def evidence_overlap(gold: DataFrame, predicted: DataFrame, key: list[str], evid
     return both.agg(n.alias("matched"), F.round(F.try_divide(F.count_if(F.arrays_overlap("g", "p")), n), 6).alias("overlap_rate"), F.round(F.try_divide(F.count_if(F.col("g") == F.col("p")), n), 6).alias("exact_rate"))
 
 
-def complete_groups(gold: DataFrame, predicted: DataFrame, key: list[str], group: list[str]) -> DataFrame:
-    """Relational division: gold groups all of whose edges are predicted (groups, complete, rate)."""
-    flags = gold.select(*key).distinct().join(predicted.select(*key).distinct().withColumn("_p", F.lit(True)), key, "left")
-    per = flags.groupBy(*group).agg(F.bool_and(F.col("_p").isNotNull()).alias("whole"))
+def complete_groups(gold: DataFrame, predicted: DataFrame, key: list[str], group: list[str], tasks: int | None = None) -> DataFrame:
+    """Relational division: gold groups all of whose edges are predicted (groups, complete, rate).
+
+    Edges of both sides meet in one shuffle by group, in ``tasks`` tasks or as many as the session sets; null keys match nothing.
+    """
+    side = lambda df, k: df.select(*key, F.lit(k == 0).alias("_g"), F.lit(k == 1).alias("_p"))
+    both = side(gold, 0).union(side(predicted, 1))
+    both = both.repartition(tasks, *group) if tasks else both.repartition(*group)
+    flags = both.groupBy(*key).agg(F.bool_or("_g").alias("_g"), F.bool_or("_p").alias("_p")).where("_g")
+    known = reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in key))
+    per = flags.groupBy(*group).agg(F.bool_and(F.col("_p") & known).alias("whole"))
     return per.agg(F.count("*").alias("groups"), F.count_if("whole").alias("complete"), F.round(F.try_divide(F.count_if("whole"), F.count("*")), 6).alias("rate"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera import shared
 from tessera.operators import annotate as A
-from tessera.operators import contract, gates, layout, units
+from tessera.operators import contract, evaluation, gates, layout, units
 from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -15,9 +15,6 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def executed(df):
-    return df._jdf.queryExecution().executedPlan().toString()
-
 
 def test_rows_of_a_small_file_are_spread(spark, tmp_path):
     spark.range(3000).withColumn("v", F.col("id") % 7).coalesce(1).write.parquet(f"{tmp_path}/x")
@@ -108,3 +105,12 @@ def test_predictions_are_read_in_one_pass_beside_their_units(spark):
     assert got == {("b", "duplicate_source_units", "duplicate source units"), ("b", "duplicate_prediction_units", "duplicate prediction units"), ("c", "extra_prediction_units", "extra prediction units"), ("", "missing_prediction_units", "missing prediction units")}
     assert valid.count() == 0 and [x.field for x in failures.where("code = 'gold_field_leakage'").collect()] == ["$.x[0].triple_id"]
     assert catalog._json_tasks(spark, SF) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_complete_groups_meet_once(spark):
+    """Gold and predictions in one shuffle by group, without a join; predicted edges of no gold and null keys are no edges of a group."""
+    edges = lambda *rows: spark.createDataFrame(rows, "g int, x int")
+    gold, pred = edges((1, 1), (1, 2), (1, 2), (2, 1), (3, None), (4, 1), (4, 2)), edges((1, 1), (1, 2), (1, 9), (2, 2), (3, None), (4, 1), (5, 1))
+    out = evaluation.complete_groups(gold, pred, ["g", "x"], ["g"], 2)
+    assert tuple(out.first()) == (4, 1, 0.25) and "Join" not in plan(out) and plan(out).count("RepartitionByExpression") == 1
+    assert tuple(evaluation.complete_groups(gold.limit(0), pred, ["g", "x"], ["g"]).first()) == (0, 0, None)
