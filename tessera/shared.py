@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,3 +38,11 @@ def spread(df: DataFrame, key: str, most: int = 4000, least: int = 250) -> DataF
 def tasks(df: DataFrame, most: int = 300_000) -> int:
     """As many tasks as the session's shuffles have, more where each would get over ``most`` rows of ``df``, so that a task's memory doesn't grow with the input."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // most))
+
+
+def freed() -> None:
+    """Gives memory that a Python worker has freed back to the machine: workers are used again, and would else keep their peaks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

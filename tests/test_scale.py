@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera import shared
 from tessera.operators import annotate as A
-from tessera.operators import contract, evaluation, gates, layout, units
+from tessera.operators import contract, evaluation, gates, graph, layout, units
 from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -114,3 +114,15 @@ def test_complete_groups_meet_once(spark):
     out = evaluation.complete_groups(gold, pred, ["g", "x"], ["g"], 2)
     assert tuple(out.first()) == (4, 1, 0.25) and "Join" not in plan(out) and plan(out).count("RepartitionByExpression") == 1
     assert tuple(evaluation.complete_groups(gold.limit(0), pred, ["g", "x"], ["g"]).first()) == (0, 0, None)
+
+
+def test_texts_are_counted_in_pieces_of_bounded_size():
+    """Long texts are counted a few at a time, one over the bound alone; no row is lost, and the pieces' rows are those of all rows together."""
+    texts = ["ab " * n for n in (10, 200_000, 5, 60_000, 60_000, 3)] + [None, ""] + ["x y"] * 300
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["key", "text"])
+    pieces = list(graph._pieces(batch))
+    assert [t for p in pieces for t in p.column(1).to_pylist()] == texts and all(p.num_rows <= 128 for p in pieces)
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= graph.PIECE for p in pieces)
+    got = sorted((r["key"], r["term"], r["tf"]) for out in graph._counted(["ab", "x"])([batch]) for r in out.to_pylist())
+    assert (1, "ab", 400_000) in got and got == sorted((k, t, n) for k, x in enumerate(texts) for t, n in graph.query_terms(x or "").items() if t in ("ab", "x"))
+    assert list(graph._pieces(batch.slice(0, 0))) == []
